@@ -94,3 +94,15 @@ def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
         col = t[k].to_numpy()
         new[1:] |= col[1:] != col[:-1]
     return np.flatnonzero(new)
+
+
+def slices(texts: list[bytes], room: int = 4_000_000):
+    """Ranges (i, j) of a batch's texts of about ``room`` bytes, one text at least, so that memory follows the slice."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= room):
+            size += len(texts[j])
+            j += 1
+        yield i, j
+        i = j

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, flat_words, id_and_text, mix64, stored, table
+from feedweave.llm.common import byte_texts, flat_words, id_and_text, mix64, slices, stored, table
 from feedweave.llm.components import connected_components
 
 WIDTH = 5
@@ -68,33 +68,40 @@ def odd_sketch(minima: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
+
+
 def _signed(batches):
     a, b = _permutations()
     for batch in batches:
-        sets = shingle_sets(byte_texts(batch["text"]))
-        bands = np.zeros((len(sets), BANDS), np.uint64)
-        sketches = np.zeros((len(sets), SKETCH_WORDS), np.int64)
-        digests = np.zeros((len(sets), 2), np.int64)
-        for i, s in enumerate(sets):
-            if len(s):
-                low = signature(s, a, b)
-                x = np.arange(BANDS, dtype=np.uint64)
-                for k in range(ROWS):
-                    x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + low[k::ROWS])
-                bands[i], sketches[i] = x, odd_sketch(low)
-                digests[i] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists(bands.view(np.int64)), lists(sketches)],
-            names=["doc_id", "n", "d1", "d2", "bands", "sketch"],
-        )
+        texts = byte_texts(batch["text"])
+        for i, j in slices(texts):
+            sets = shingle_sets(texts[i:j])
+            bands = np.zeros((len(sets), BANDS), np.uint64)
+            sketches = np.zeros((len(sets), SKETCH_WORDS), np.int64)
+            digests = np.zeros((len(sets), 2), np.int64)
+            for k, s in enumerate(sets):
+                if len(s):
+                    low = signature(s, a, b)
+                    x = np.arange(BANDS, dtype=np.uint64)
+                    for r in range(ROWS):
+                        x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS])
+                    bands[k], sketches[k] = x, odd_sketch(low)
+                    digests[k] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"][i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(bands.view(np.int64)), _lists(sketches)],
+                names=["doc_id", "n", "d1", "d2", "bands", "sketch"],
+            )
 
 
 def _sets(batches):
     for batch in batches:
-        sets = shingle_sets(byte_texts(batch["text"]))
-        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], names=["doc_id", "shingles"])
+        texts = byte_texts(batch["text"])
+        for i, j in slices(texts):
+            sets = shingle_sets(texts[i:j])
+            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"][i:j], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], names=["doc_id", "shingles"])
 
 
 def differing_bits(x: Column, y: Column) -> Column:
