@@ -1,6 +1,9 @@
 """Queries of the training-data operators."""
 
+from feedweave.llm.language_id import op10_language_id
 from feedweave.llm.minhash_dedup import op8_minhash_near_dedup
+from feedweave.llm.packing import op5_packing
+from feedweave.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op8_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_packing, op8_minhash_near_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
