@@ -1,24 +1,52 @@
-"""Documents to training sequences, stage by stage."""
+"""Documents to training sequences: language, toxicity and near-duplicate filters, then packing.
+
+Each stage reads what its predecessor kept and decides by an operator of feedweave.llm; all but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedweave.llm.minhash_dedup import near_duplicates
+from feedweave.llm import language_id, minhash_dedup, packing, toxicity
+from feedweave.llm.common import stored, table
+
+LEAST_SCORE = 0.5  # of the predicted language
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``kept``, columns unchanged; rows without a doc_id go."""
+    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those whose best language has a score under LEAST_SCORE."""
+    return _only(docs, language_id.identify(docs).where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents predicted toxic by a model learned from the labelled ones among them."""
+    return _only(docs, toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).where("predicted = 0"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group, the one with the smallest id."""
+    return _only(docs, minhash_dedup.near_duplicates(docs).where("kept"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents that are left, in sequences of at most 4096 ids."""
+    return packing.pack(docs)
 
 
-STAGES = [("minhash", near_dedup)]
-ORACLE_SQL = None
+STAGES = [("language_id", identify_language), ("toxicity", drop_toxic), ("minhash_near_dedup", drop_near_duplicates), ("packing", pack)]
+ORACLE_SQL = None  # models and token ids are beyond SQL; tests/llm compares with a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs
