@@ -1,9 +1,12 @@
 """Queries of the training-data operators."""
 
+from feedweave.llm.embedding_dedup import op7_embedding_near_dedup
 from feedweave.llm.language_id import op10_language_id
 from feedweave.llm.minhash_dedup import op8_minhash_near_dedup
 from feedweave.llm.packing import op5_packing
+from feedweave.llm.ppm_score import op1_ppm_score
+from feedweave.llm.topk_search import op9_exact_top_k
 from feedweave.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_packing, op8_minhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ppm_score, op4_toxicity, op5_packing, op7_embedding_near_dedup, op8_minhash_near_dedup, op9_exact_top_k, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
