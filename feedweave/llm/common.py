@@ -106,3 +106,16 @@ def slices(texts: list[bytes], room: int = 4_000_000):
             j += 1
         yield i, j
         i = j
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows whose doc_id is among ``ids(doc_id)``.
+
+    A bitmap of ``bits`` hashed ids, at most bits / 64 rows and so bounded, is broadcast and drops most other rows before the
+    exact semi-join shuffles what is left.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    marks = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+    near = rows.withColumn("word", F.shiftright(place, 6)).withColumn("bit", place.bitwiseAND(63).cast("int"))
+    near = near.join(F.broadcast(marks), "word").where(F.expr("(shiftright(mask, bit) & 1) = 1")).drop("word", "bit", "mask")
+    return near.join(ids, "doc_id", "left_semi")

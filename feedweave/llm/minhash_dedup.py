@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, flat_words, id_and_text, mix64, slices, stored, table
+from feedweave.llm.common import byte_texts, flat_words, id_and_text, mix64, slices, sorted_groups, stored, table, with_ids
 from feedweave.llm.components import connected_components
 
 WIDTH = 5
@@ -120,11 +120,15 @@ def bits_allowed(similarity: float) -> int:
     return int(mean + 3 * (mean * (1 - mean / m)) ** 0.5) + 1
 
 
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, shingles`` of the documents among ``ids(doc_id)``, from their whole texts."""
+    return stored(with_ids(docs, ids.distinct()).mapInArrow(_sets, "doc_id long, shingles array<long>"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of distinct ``pairs(a, b)``, those with 100 * intersection >= percent * union on the full shingle sets."""
     pairs = stored(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"))
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     first, second = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(second, "b").join(first, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -146,7 +150,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "value"))
     buckets = keyed.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("rep").alias("hub"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("size > 1")
-    members = stored(keyed.join(buckets, ["band", "value"]).select("rep", "hub", "size", "who").distinct())  # equal buckets of several bands count once
+    # buckets of several bands with the same members count once, as the first of them
+    members = stored(keyed.join(buckets, ["band", "value"]).groupBy("rep", "hub", "size", "who").agg(F.min("band").alias("band")))
 
     allowed = bits_allowed(percent / 100)
 
@@ -161,8 +166,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Buckets that the stars left in several components: compare what lies in different ones.
     placed = members.where("size > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
     open_ = placed.groupBy("hub", "size", "who").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    rest = placed.where("rep <> hub").join(open_, ["hub", "size", "who"]).join(about, "rep")
-    links2 = stored(confirmed(_across(rest, percent, allowed).select("a", "b").distinct(), docs, percent))
+    rest = placed.where("rep <> hub").join(open_, ["hub", "size", "who"]).select("hub", "size", "who", "band", "rep", "c").join(classes.select("rep", "n", "sketch", "bands"), "rep")
+    links2 = stored(_across(rest, docs, percent, allowed))
     found = connected_components(links.union(links2))
 
     ids = classes.select("d1", "d2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component_id", "rep").alias("component"))
@@ -171,38 +176,93 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across(rest: DataFrame, percent: int, allowed: int) -> DataFrame:
-    """Pairs of one bucket's members from different components that pass the size and sketch screens.
+def _across(rest: DataFrame, docs: DataFrame, percent: int, allowed: int) -> DataFrame:
+    """Links ``(a, b)`` that join components, among the members of each bucket that lie in different ones.
 
-    A bucket of m members is cut into ceil(m / TILE) chunks; each pair of chunks is one tile, so no row gathers more than
-    about twice TILE members whatever the bucket's size.
+    A bucket of m members is cut into ceil(m / TILE) chunks; each pair of chunks is one tile of about 2 * TILE members at
+    most, whatever the bucket's size.  A first pass over the tiles finds the members with a partner that passes the screens
+    (lengths, sketches, no earlier band in common); only these ship their full sets to the second, which confirms.  Neither
+    makes a row for each pair.
     """
     chunks = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    tiles = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = tiles.groupBy("hub", "size", "who", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("rep", "c", "n", "sketch", "own")).alias("m"))
-
-    def compare(batches):
-        for batch in batches:
-            a, b = [], []
-            lists, i, j = batch["m"], batch["i"].to_numpy(), batch["j"].to_numpy()
-            at, flat = lists.offsets.to_numpy(), lists.values
-            f = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
-            rep, c, n, own = f("rep"), f("c"), f("n"), f("own")
-            sketch = flat.field("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-            for t in range(batch.num_rows):
-                s = slice(at[t], at[t + 1])
-                r, cc, nn, oo, sk = rep[s], c[s], n[s], own[s], sketch[s]
-                left, right = (np.flatnonzero(oo == i[t]), np.flatnonzero(oo == j[t])) if i[t] != j[t] else (np.arange(len(r)),) * 2
-                for x in left:
-                    y = right[(cc[right] != cc[x]) & (r[right] > r[x] if i[t] == j[t] else True)]
-                    y = y[100 * np.minimum(nn[y], nn[x]) >= percent * np.maximum(nn[y], nn[x])]
-                    y = y[np.bitwise_count(sk[y] ^ sk[x]).sum(axis=1) <= allowed]
-                    a += np.minimum(r[y], r[x]).tolist()
-                    b += np.maximum(r[y], r[x]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return tiles.select("i", "j", "m").mapInArrow(compare, "a long, b long")
+    tiles = rest.withColumn("own", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    tiles = tiles.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("tile", F.xxhash64("hub", "size", "who", "i", "j")).drop("hub", "size", "who", "other")
+    keys = ["tile", "band", "i", "j"]
+    cols = ["tile", "band", "i", "j", "own", "rep", "c", "n", "sketch", "bands"]
+
+    def pairs_of(t, a: int, b: int):
+        """The rows x and y of the candidate pairs of one tile, as positions from a."""
+        rows = t.slice(a, b - a)
+        rep, c, n, own = (rows[k].to_numpy() for k in ("rep", "c", "n", "own"))
+        sketch = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band, i, j = (t[k][a].as_py() for k in ("band", "i", "j"))
+        xs, ys = [], []
+        for x in range(b - a):
+            y = np.flatnonzero((c != c[x]) & (rep > rep[x]) & ((own != own[x]) if i != j else True) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
+            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= allowed]
+            y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+        return rows, np.concatenate(xs), np.concatenate(ys)
+
+    def screen(batches):
+        for t, starts in sorted_groups(batches, keys):
+            keep = []
+            for a, b in zip(starts.tolist(), np.append(starts[1:], t.num_rows).tolist()):
+                if b - a > 1:
+                    _, x, y = pairs_of(t, a, b)
+                    keep.append(a + np.union1d(x, y))
+            if keep and len(rows := np.concatenate(keep)):
+                yield from t.take(pa.array(rows.astype(np.int64))).combine_chunks().to_batches()
+
+    def confirm(batches):
+        for t, starts in sorted_groups(batches, keys):
+            found = []
+            for a, b in zip(starts.tolist(), np.append(starts[1:], t.num_rows).tolist()):
+                if b - a > 1:
+                    rows, x, y = pairs_of(t, a, b)
+                    sets = rows["shingles"].combine_chunks()
+                    at, n = sets.offsets.to_numpy(), rows["n"].to_numpy()
+                    both = common(sets.values.to_numpy(), at, x, y)
+                    ok = 100 * both >= percent * (n[x] + n[y] - both)
+                    rep, c, seen = rows["rep"].to_numpy(), rows["c"].to_numpy(), set()
+                    for p, q in zip(x[ok].tolist(), y[ok].tolist()):
+                        if (edge := (int(c[p]), int(c[q]))) not in seen:  # one link joins two components
+                            seen |= {edge, edge[::-1]}
+                            found.append((int(rep[p]), int(rep[q])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("tile").sortWithinPartitions(*keys)
+
+    fields = "tile long, band int, i int, j int, own int, rep long, c long, n long, sketch array<long>, bands array<long>"
+    chosen = stored(dealt(tiles.select(cols)).mapInArrow(screen, fields))
+    sets = sets_of(docs, chosen.select(F.col("rep").alias("doc_id"))).toDF("rep", "shingles")
+    return dealt(chosen.join(sets, "rep").select(*cols, "shingles")).mapInArrow(confirm, "a long, b long").distinct()
+
+
+def common(values: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x and y; set k is values[at[k]:at[k + 1]].
+
+    Few pairs intersect one by one; many by products of the sets' incidence matrix, in slices of its columns.
+    """
+    used = np.union1d(x, y)
+    total = int((at[used + 1] - at[used]).sum())
+    if len(x) * 40 < total:
+        return np.array([len(np.intersect1d(values[at[p] : at[p + 1]], values[at[q] : at[q + 1]], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist())], np.int64)
+    place = np.zeros(len(at), np.int64)
+    place[used] = np.arange(len(used))
+    _, column = np.unique(np.concatenate([values[at[k] : at[k + 1]] for k in used.tolist()]), return_inverse=True)
+    row = np.repeat(np.arange(len(used)), at[used + 1] - at[used])
+    product = np.zeros((len(used), len(used)), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        part = (column >= low) & (column < low + 4096)
+        m = np.zeros((len(used), 4096), np.float32)
+        m[row[part], column[part] - low] = 1
+        product += m @ m.T
+    return product[place[x], place[y]].astype(np.int64)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
