@@ -5,8 +5,10 @@ contexts of up to ORDER bytes, kept as one table per depth: (context, symbol, co
 followed by costs the context's escape (method D) and is looked up in the next shorter context, where the symbols of the
 longer one are excluded; the last resort is a uniform choice among the bytes never seen.
 
-Documents are dealt to blocks of bounded size.  Each block reports its distinct (ORDER + 1)-grams and words; their counts are
-summed, every distinct gram's probability is found once by joins down the tables, and comes back to the blocks that need it.
+Documents are dealt to blocks of bounded size.  A block reports its distinct (ORDER + 1)-grams and words as packed arrays, cut
+into PARTS by key, so that a shuffled row holds thousands of them; parts are summed as streams.  Every distinct gram's
+probability is found once by joins down the tables, and goes back, packed again, to the blocks that asked.  Words travel as
+63-bit hashes.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, crc_mod, flat_words, id_and_text, slices, sorted_groups, stored, table, words_of
+from feedweave.llm.common import byte_texts, crc_mod, discard, flat_words, id_and_text, slices, sorted_groups, stored, table, words_of
 
 ORDER = 5
 BLOCK_BYTES = 24_000_000
+SLICE = 2_000_000  # bytes of text whose grams are in memory at once
+PARTS = 61
+GROUP = 64
 END = 10  # the end mark and what stands before a text; words hold no white space
 SLICE_DOCS = 1 << 16  # fits the low 16 bits beside a gram of 48
 
@@ -49,38 +54,71 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return gram[inside[ORDER:]], np.repeat(np.arange(len(texts)), sizes)
 
 
+def word_keys(words: pa.Array) -> np.ndarray:
+    """63-bit hashes of words."""
+    return pd.util.hash_array(np.array([*words.to_pylist(), None], dtype=object), categorize=False)[:-1] & np.uint64((1 << 63) - 1)
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    u, slot = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(slot, np.concatenate(counts), len(u)).astype(np.int64)
+
+
 def _gathered(batches):
-    """Each block's distinct grams (token null) and words (gram null) with their counts in training documents."""
+    """Each block's distinct grams (parts 0 to PARTS - 1) and words (the parts after) with their counts in training documents."""
     for t, starts in sorted_groups(batches, ["block"]):
-        ends = np.append(starts[1:], t.num_rows)
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            block = t["block"][a].as_py()
+        for a, b in zip(starts.tolist(), np.append(starts[1:], t.num_rows).tolist()):
             texts = byte_texts(t["text"].slice(a, b - a))
             train = t["train"].slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-            grams, words = [], []
-            for i, j in slices(texts):
+            found = [([], []), ([], [])]
+            for i, j in slices(texts, SLICE):
                 g, owner = grams_of(texts[i:j])
                 u, n = np.unique((g << np.uint64(1)) | train[i:j][owner].astype(np.uint64), return_counts=True)
-                grams.append((u, n))
-                coded, counts = flat_words(texts[i:j])
-                learned = np.bincount(coded.indices.to_numpy()[np.repeat(train[i:j], counts)], minlength=len(coded.dictionary)) if len(coded) else np.zeros(0, np.int64)
-                words.append(pa.table({"token": coded.dictionary, "n": pa.array(learned.astype(np.int64))}))
-            u, slot = np.unique(np.concatenate([x for x, _ in grams]) >> np.uint64(1), return_inverse=True)
-            flag = np.concatenate([x for x, _ in grams]) & np.uint64(1)
-            n = np.bincount(slot, np.concatenate([x for _, x in grams]) * flag, len(u)).astype(np.int64)
-            w = pa.concat_tables(words).group_by("token").aggregate([("n", "sum")])
-            yield from _rows(block, pa.array(u.view(np.int64)), None, pa.array(n))
-            yield from _rows(block, None, w["token"].combine_chunks(), w["n_sum"].combine_chunks())
-
-
-def _rows(block: int, gram, token, n):
-    size = len(n)
-    for i in range(0, size, 100_000):
-        k = min(100_000, size - i)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(k, block, np.int32)), gram[i : i + k] if gram is not None else pa.nulls(k, pa.int64()), token[i : i + k] if token is not None else pa.nulls(k, pa.binary()), n[i : i + k]],
-            names=["block", "gram", "token", "n"],
-        )
+                found[0][0].append(u >> np.uint64(1))
+                found[0][1].append(n * (u & np.uint64(1)).astype(np.int64))
+                coded, sizes = flat_words(texts[i:j])
+                if len(coded):
+                    found[1][0].append(word_keys(coded.dictionary))
+                    found[1][1].append(np.bincount(coded.indices.to_numpy()[np.repeat(train[i:j], sizes)], minlength=len(coded.dictionary)))
+            block = t["block"][a].as_py()
+            rows = [(block, k * PARTS + part, u[own].tobytes(), n[own].tobytes()) for k, (keys, counts) in enumerate(found) if keys for u, n in [summed(keys, counts)] for part in range(PARTS) for own in [np.flatnonzero(u % np.uint64(PARTS) == part)] if len(own)]
+            for i in range(0, len(rows), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 16]), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "part", "keys", "n"])
+
+
+def _totals(batches):
+    """The sums of each part over all blocks; the rows come sorted by part, and what is held is one part's distinct keys."""
+    part, keys, counts, held = None, [], [], 0
+
+    def emit():
+        u, n = summed(keys, counts)
+        for i in range(0, len(u), 50_000):
+            k = u[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + 50_000])], names=["part", "key", "n"])
+
+    for batch in batches:
+        for p, k, n in zip(batch["part"].to_pylist(), batch["keys"].to_pylist(), batch["n"].to_pylist()):
+            if p != part and keys:
+                yield from emit()
+                keys, counts, held = [], [], 0
+            part = p
+            keys.append(np.frombuffer(k, np.uint64))
+            counts.append(np.frombuffer(n, np.int64))
+            held += len(keys[-1])
+            if held > 2_000_000 and len(keys) > 8:
+                u, c = summed(keys, counts)
+                keys, counts, held = [u], [c], 0
+    if keys:
+        yield from emit()
+
+
+def _answered(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """To each block's keys of a part their values; grams' as 32-bit numbers."""
+    order = np.argsort(key := values["key"].to_numpy())
+    key, value = key[order].view(np.uint64), values["value"].to_numpy()[order]
+    out = [value[np.searchsorted(key, np.frombuffer(k, np.uint64))].astype(np.float32 if p < PARTS else np.float64).tobytes() for p, k in zip(asked["part"].to_pylist(), asked["keys"].to_pylist())]
+    return pa.table({"block": asked["block"], "part": asked["part"], "keys": asked["keys"], "v": pa.array(out, pa.binary())})
 
 
 def levels(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
@@ -130,31 +168,38 @@ def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return known.union(left.select("gram", (F.col("cost") - F.log10(256.0 - F.col("off_kinds"))).alias("logp")))
 
 
+def _unpacked(rows: list[tuple[bytes, bytes]], kind) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k, _ in rows)])
+    order = np.argsort(keys)
+    return keys[order], np.concatenate([np.zeros(0, kind), *(np.frombuffer(v, kind) for _, v in rows)])[order]
+
+
 def _scored(n_train: int, denominator: float, end_count: int):
     def run(docs: pa.Table, facts: pa.Table) -> pa.Table:
-        grams = facts.filter(pc.is_valid(facts["gram"]))
-        order = np.argsort(g := grams["gram"].to_numpy())
-        g, logp = g[order].view(np.uint64), grams["value"].to_numpy()[order]
-        words = facts.filter(pc.is_valid(facts["token"]))
-        tokens, count = words["token"].combine_chunks(), words["value"].to_numpy()
+        rows = list(zip(facts["part"].to_pylist(), facts["keys"].to_pylist(), facts["v"].to_pylist()))
+        g, logp = _unpacked([x[1:] for x in rows if x[0] < PARTS], np.float32)
+        w, count = _unpacked([x[1:] for x in rows if x[0] >= PARTS], np.float64)
+        del rows
         texts = byte_texts(docs["text"])
-        ids = docs["doc_id"]
         parts = []
-        for i, j in slices(texts):
-            for i, j in [(x, min(j, x + SLICE_DOCS)) for x in range(i, j, SLICE_DOCS)]:
+        for low, high in slices(texts, SLICE):
+            for i in range(low, high, SLICE_DOCS):
+                j = min(high, i + SLICE_DOCS)
                 own, owner = grams_of(texts[i:j])
-                own = np.sort(own << np.uint64(16) | owner.astype(np.uint64))
+                own <<= np.uint64(16)
+                own |= owner.astype(np.uint64)
+                own.sort()
                 at = np.flatnonzero(np.concatenate([[True], (own[1:] ^ own[:-1]) >> np.uint64(16) != 0]))
-                value = logp[np.searchsorted(g, own[at] >> np.uint64(16))]
+                value = logp[np.searchsorted(g, own[at] >> np.uint64(16))].astype(np.float64)
                 score = np.bincount((own & np.uint64(SLICE_DOCS - 1)).astype(np.int64), np.repeat(value, np.diff(np.append(at, len(own)))), j - i)
                 coded, sizes = flat_words(texts[i:j])
-                c = count[pc.index_in(coded.dictionary, value_set=tokens).to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0)
+                c = count[np.searchsorted(w, word_keys(coded.dictionary))] if len(coded) else np.zeros(0)
                 codes, doc = coded.indices.to_numpy(), np.repeat(np.arange(j - i), sizes)
                 base = np.bincount(doc, np.log10((c + 0.5) / denominator)[codes], j - i) + math.log10((end_count + 0.5) / denominator)
                 known = np.bincount(doc, (c > 0)[codes], j - i).astype(np.int64) + (end_count > 0)
                 parts.append((sizes + 1, known, base, score))
         cols = [np.concatenate(x) for x in zip(*parts)]
-        return pa.table({"doc_id": ids, "train": docs["train"], "n_tokens": cols[0], "n_known": cols[1], "train_tokens": np.full(len(texts), n_train), "base_score": cols[2], "score": cols[3]})
+        return pa.table({"doc_id": docs["doc_id"], "train": docs["train"], "n_tokens": cols[0], "n_known": cols[1], "train_tokens": np.full(len(texts), n_train), "base_score": cols[2], "score": cols[3]})
 
     return run
 
@@ -172,20 +217,22 @@ def ppm_scores(docs: DataFrame, train: Column) -> DataFrame:
     blocks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / BLOCK_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     dealt = rows.repartition("block").sortWithinPartitions("block")
-    facts = stored(dealt.select("block", "text", "train").mapInArrow(_gathered, "block int, gram long, token binary, n long"))
-    words, grams = facts.where("token is not null"), facts.where("gram is not null")
-
-    word_counts = stored(words.groupBy("token").agg(F.sum("n").alias("c")))
+    facts = stored(dealt.select("block", "text", "train").mapInArrow(_gathered, "block int, part int, keys binary, n binary"))
+    totals = stored(facts.select("part", "keys", "n").repartition("part").sortWithinPartitions("part").mapInArrow(_totals, "part int, key long, n long"))
+    words = totals.where(F.col("part") >= PARTS)
     ends = rows.where("train").count()
-    about = word_counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    about = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n, v = about["n"] + ends, about["v"] + (ends > 0)
 
-    scores = gram_scores(stored(grams.groupBy("gram").agg(F.sum("n").alias("n"))))
-    none = F.lit(None)
-    back = words.join(word_counts, "token").select("block", none.cast("long").alias("gram"), "token", F.col("c").cast("double").alias("value"))
-    back = back.union(grams.join(scores, "gram").select("block", "gram", none.cast("binary"), F.col("logp")))
+    scores = gram_scores(totals.where(F.col("part") < PARTS).select(F.col("key").alias("gram"), "n"))
+    values = scores.select((F.col("gram") % PARTS).cast("int").alias("part"), F.col("gram").alias("key"), F.col("logp").alias("value")).union(words.select("part", "key", F.col("n").cast("double")))
+    # a group answers GROUP blocks at most; the values of a part go to each of its groups
+    asked = facts.withColumn("group", F.floor(F.col("block") / GROUP))
+    values = values.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) // GROUP).cast("long"))))
+    answers = stored(asked.groupBy("part", "group").cogroup(values.groupBy("part", "group")).applyInArrow(_answered, "block int, part int, keys binary, v binary"))
+    discard(facts)
     out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scored(n, n + 0.5 * (v + 1), ends), out)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n, n + 0.5 * (v + 1), ends), out)
 
 
 def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
