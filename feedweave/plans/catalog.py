@@ -1,5 +1,532 @@
-"""Registered queries of the post-analytics part and their DuckDB SQL."""
+"""Registered queries of the post-analytics part and, beside each, DuckDB SQL for the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedweave.functions import scores as S
+from feedweave.functions import text as T
+from feedweave.operators import enrich, export, history, review
+from feedweave.plans.views import capabilities, oracle, rules, view
+from feedweave.sources import ingest
+from feedweave.streaming import posts as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "heuristic_decision_by_category"
+
+
+def query(sql: str | None = None, *views: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = oracle(sql, *views)
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BAIT_RE = (
+    "(?i)share if you agree|tag someone who|like if you|type\\s+(yes|amen|1)\\s+in\\s+(the\\s+)?comments?|comment\\s+\\w+\\s+if|"
+    "share\\s+before\\s+it(''s|\\s+is)\\s+(deleted|removed|gone)|bet you can''?t name|only\\s+\\d+%?\\s+(of\\s+people\\s+)?(can|will)|"
+    "don''?t\\s+scroll\\s+without|ignore\\s+if\\s+you"
+)
+EMOJI_RE = "[\\x{1F300}-\\x{1F9FF}\\x{2600}-\\x{27BF}\\x{FE00}-\\x{FE0F}\\x{1F000}-\\x{1F02F}\\x{1F0A0}-\\x{1F0FF}\\x{200D}\\x{20E3}\\x{E0020}-\\x{E007F}]"
+WS_RE = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
+SHORT_RE = "^(贊助|助贊|Sponsored|广告|廣告|スポンサー)(\\z|[ \\x{00A0}·•])"
+AD_RE = "^Ad\\z|^Ad\\s*[·•]\\s*(?:🌐)?\\z"
+
+
+def squeezed(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '{WS_RE}', ' ', 'g'), '^ | \\z', '', 'g')"
+
+
+SHORT = f"(length(header) <= 30 and (regexp_matches(header, '{SHORT_RE}') or regexp_matches({squeezed('header')}, '{AD_RE}')))"
+SUGGESTED_SQL = " or ".join(f"contains(header, '{x}')" for x in ("Suggested for you", "Suggested", "People You May Know", "People you may know", "為你推薦", "推薦", "你可能認識的朋友", "おすすめ", "あなたへのおすすめ", "知り合いかも"))
+DENSITY = f"(case when length(dom_text) > 0 then len(regexp_extract_all(dom_text, '{EMOJI_RE}')) / cast(length(dom_text) as double) else 0 end)"
+COMMERCIAL = f"(case when {SHORT} then 1.0 when content_kind = 'share_without_comment' then null when {SUGGESTED_SQL} then 0.9 when regexp_matches(dom_text, '{BAIT_RE}') then 0.7 when {DENSITY} > 0.3 then 0.5 end)::double"
+
+
+# Filters and rule scores ----------------------------------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "posts_v")
+    sponsored = T.is_short_label(F.col("header"))
+    return p.withColumn("sponsored", sponsored).withColumn("commercial", S.heuristic_commercial(sponsored, F.col("content_kind"), F.col("dom_text"), F.col("header")))
+
+
+@query(f"""select coalesce(category, 'none') as primary_category, filtered, count(*) as n, round(avg(commercial), 6) as avg_score from (
+  select commercial, case when commercial > 0 then 'commercial' end as category, {SHORT} as filtered from (select *, {COMMERCIAL} as commercial from posts_v)) group by 1, 2""", "posts_v")
+def heuristic_decision_by_category(spark, sf_dir):
+    none = F.lit(None).cast("double")
+    rows = _scored(spark, sf_dir).withColumn("category", S.primary_category(F.col("commercial"), none, none))
+    return rows.groupBy(F.coalesce("category", F.lit("none")).alias("primary_category"), F.col("sponsored").alias("filtered")).agg(F.count("*").alias("n"), F.round(F.avg("commercial"), 6).alias("avg_score"))
+
+
+@query(f"select post_id, {COMMERCIAL} as commercial from posts_v", "posts_v")
+def heuristic_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("post_id", "commercial")
+
+
+@query(f"select post_id from posts_v where regexp_matches(dom_text, '{BAIT_RE}')", "posts_v")
+def engagement_bait_posts(spark, sf_dir):
+    return view(spark, sf_dir, "posts_v").where(T.is_bait(F.col("dom_text"))).select("post_id")
+
+
+@query(f"select post_id, round({DENSITY}, 6) as density from posts_v", "posts_v")
+def emoji_density(spark, sf_dir):
+    return view(spark, sf_dir, "posts_v").select("post_id", F.round(T.emoji_density(F.col("dom_text")), 6).alias("density"))
+
+
+@query(f"select post_id, header from posts_v where {SHORT}", "posts_v")
+def short_sponsor_label(spark, sf_dir):
+    return view(spark, sf_dir, "posts_v").where(T.is_short_label(F.col("header"))).select("post_id", "header")
+
+
+@query("""select post_id, h as header from (select post_id, author_name || ' · ' || header as h from posts_v) where length(h) <= 60 and (
+  (instr(h, 'Sponsored') > 0 and (instr(h, 'Sponsored') = 1 or substr(h, instr(h, 'Sponsored') - 1, 1) in (' ', '·', '•')) and (substr(h, instr(h, 'Sponsored') + 9, 1) in (' ', '·', '•', ''))))""", "posts_v")
+def delimited_sponsor_label(spark, sf_dir):
+    return view(spark, sf_dir, "posts_v").select("post_id", F.concat_ws(" · ", "author_name", "header").alias("header")).where(T.has_delimited_label(F.col("header")))
+
+
+@query("""select post_id, case when completeness = 'expanded_or_upgraded' then 3 when completeness = 'likely_truncated' then 1 else 2 end as rank, count(*) as n from event_log_v group by 1, 2""", "event_log_v")
+def completeness_rank(spark, sf_dir):
+    c = F.col("completeness")
+    return view(spark, sf_dir, "event_log_v").groupBy("post_id", F.when(c == "expanded_or_upgraded", 3).when(c == "likely_truncated", 1).otherwise(2).alias("rank")).agg(F.count("*").alias("n"))
+
+
+@query("""select post_id, regexp_matches(dom_text, '(See more|查看更多|顯示更多)') as truncated, not (content_kind <> 'standard') and is_recommended as recommended from posts_v""", "posts_v")
+def truncation_and_recommendation(spark, sf_dir):
+    return view(spark, sf_dir, "posts_v").select("post_id", F.col("dom_text").rlike("See more|查看更多|顯示更多").alias("truncated"), ((F.col("content_kind") == "standard") & F.col("is_recommended")).alias("recommended"))
+
+
+@query("""select post_id, author_name from (select post_id, author_name from posts_v) where lower(author_name) in ('author 1', 'author 5', 'author 36')""", "posts_v")
+def allowlist_semijoin(spark, sf_dir):
+    allowed = spark.createDataFrame([("author 1",), ("author 5",), ("author 36",)], "name string")
+    p = view(spark, sf_dir, "posts_v")
+    return p.join(F.broadcast(allowed), F.lower("author_name") == F.col("name"), "left_semi").select("post_id", "author_name")
+
+
+# Links ----------------------------------------------------------------------------------------------------------------
+
+PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
+HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
+
+
+@query(f"""select page_id, case when not (h = 'facebook.com' or h like '%.facebook.com') then 'external' when p in ('', '/', '/home.php') then 'feed'
+  when regexp_matches(p, '^/groups/[^/]+') then 'group' when regexp_matches(p, '^/(permalink|story|photo)[.]php') then 'post'
+  when regexp_matches(p, '^/(watch|reel|reels|saved|settings|groups)(/|\\z)') or regexp_matches(p, '^/l[.]php') then 'unsupported'
+  when regexp_matches(p, '^/[^/]+/?\\z') or regexp_matches(p, '^/[^/]+/(posts|photos|videos)(/|\\z)') then 'profile' else 'unsupported' end as kind
+  from (select page_id, {HOST} as h, {PATH} as p from urls_v)""", "urls_v")
+def page_support_kind(spark, sf_dir):
+    h, p = T.host(F.col("url")), T.path(F.col("url"))
+    kind = (
+        F.when(~((h == "facebook.com") | h.endswith(".facebook.com")), "external").when(p.isin("", "/", "/home.php"), "feed")
+        .when(p.rlike("^/groups/[^/]+"), "group").when(p.rlike("^/(permalink|story|photo)[.]php"), "post")
+        .when(p.rlike("^/(watch|reel|reels|saved|settings|groups)(/|\\z)|^/l[.]php"), "unsupported")
+        .when(p.rlike("^/[^/]+/?\\z|^/[^/]+/(posts|photos|videos)(/|\\z)"), "profile").otherwise("unsupported")
+    )
+    return view(spark, sf_dir, "urls_v").select("page_id", kind.alias("kind"))
+
+
+@query(f"""select page_id, {HOST} as host, {HOST} = 'l.facebook.com' as redirect, regexp_matches({PATH}, '^/groups/[^/]+/?\\z') as group_feed from urls_v""", "urls_v")
+def url_predicates(spark, sf_dir):
+    h = T.host(F.col("url"))
+    return view(spark, sf_dir, "urls_v").select("page_id", h.alias("host"), (h == "l.facebook.com").alias("redirect"), T.path(F.col("url")).rlike(r"^/groups/[^/]+/?\z").alias("group_feed"))
+
+
+@query("""select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*', ''), '([?&])(?:fbclid|utm_source|utm_medium|utm_campaign|utm_term|utm_content)=[^&]*', '\\1', 'g'),
+  '&+', '&', 'g'), '[?]&', '?', 'g'), '[?&]+\\z', '') as url from urls_v""", "urls_v")
+def tracking_param_strip(spark, sf_dir):
+    return view(spark, sf_dir, "urls_v").select("page_id", T.without_tracking(F.col("url")).alias("url"))
+
+
+@query(f"""select {HOST} as host, count(*) as n, count(distinct url) as n_urls from urls_v where not ({HOST} like '%facebook.com') group by 1""", "urls_v")
+def external_links(spark, sf_dir):
+    h = T.host(F.col("url"))
+    return view(spark, sf_dir, "urls_v").where(~h.endswith("facebook.com")).groupBy(h.alias("host")).agg(F.count("*").alias("n"), F.count_distinct("url").alias("n_urls"))
+
+
+@query(f"""select host, url, n from (select {HOST} as host, url, length(url) as n, row_number() over (partition by {HOST} order by length(url), url) as r from urls_v) where r = 1""", "urls_v")
+def permalink_choice(spark, sf_dir):
+    u = F.col("url")
+    return view(spark, sf_dir, "urls_v").groupBy(T.host(u).alias("host")).agg(F.min(F.struct(F.length(u).alias("n"), "url")).alias("m")).select("host", "m.url", "m.n")
+
+
+# Joins ----------------------------------------------------------------------------------------------------------------
+
+def compacted(c: str) -> str:
+    return f"lower(regexp_replace({c}, '{WS_RE}', '', 'g'))"
+
+
+SEED = "left({0}, least(32, greatest(12, cast(floor(length({0}) * 0.35e0) as int))))"
+AUTHORS = "(length(lower(a.author_name)) < 2 or length(lower(g.author_name)) < 2 or contains(lower(a.author_name), lower(g.author_name)) or contains(lower(g.author_name), lower(a.author_name)))"
+
+
+@query(f"""select a.post_id, arg_min(g.post_id, g.seq) as gql_id, arg_min(g.is_sponsored, g.seq) as gql_sponsored from
+  (select post_id, author_name, {compacted('dom_text')} as t from posts_v) a left join
+  (select seq, post_id, author_name, is_sponsored, {compacted('text')} as t from gql_v) g
+  on length(a.t) >= 8 and length(g.t) >= 8 and (contains(a.t, {SEED.format('g.t')}) or contains(g.t, {SEED.format('a.t')})) and {AUTHORS} group by 1""", "posts_v", "gql_v")
+def fuzzy_enrichment_first_match(spark, sf_dir):
+    posts = view(spark, sf_dir, "posts_v").select("post_id", "author_name", F.col("dom_text").alias("t"))
+    return enrich.first_match(posts, view(spark, sf_dir, "gql_v"))
+
+
+@query("""select p.post_id from posts_v p where exists (select 1 from gql_v g where g.is_sponsored and length(g.text) > 20 and contains(p.full_text, left(g.text, 30)))""", "posts_v", "gql_v")
+def known_sponsored_semijoin(spark, sf_dir):
+    return enrich.known_sponsored(view(spark, sf_dir, "posts_v"), view(spark, sf_dir, "gql_v")).select("post_id")
+
+
+@query("""select p.post_id, length(g.text) - length(p.dom_text) as gained from posts_v p join gql_v g on g.seq = p.seq where length(g.text) > length(p.dom_text) + 50""", "posts_v", "gql_v")
+def retro_text_upgrade(spark, sf_dir):
+    g = view(spark, sf_dir, "gql_v").select("seq", F.col("text").alias("later"))
+    gain = F.length("later") - F.length("dom_text")
+    return view(spark, sf_dir, "posts_v").join(g, "seq").where(gain > 50).select("post_id", gain.alias("gained"))
+
+
+@query("""select doc_id, pos, (select value from ssr_v o where o.doc_id = m.doc_id and o.kind = 'message' order by abs(o.pos - m.pos), o.pos, o.value limit 1) as message from ssr_v m where kind = 'marker'""", "ssr_v")
+def nearest_marker_join(spark, sf_dir):
+    return enrich.nearest(view(spark, sf_dir, "ssr_v"), "message")
+
+
+@query("""select d.doc_id, coalesce((select o.source from documents o where left(o.text, 60) = left(d.text, 60) and o.doc_id <> d.doc_id order by o.doc_id limit 1), '(unknown)') as other_author
+  from documents d where exists (select 1 from documents o where left(o.text, 60) = left(d.text, 60) and o.doc_id <> d.doc_id)""")
+def duplicate_author_prefix(spark, sf_dir):
+    return enrich.other_with_prefix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+@query("""select * from (select post_id, (select r.rule_id from (select * from (select *, row_number() over (order by ord) as k from rules_v where enabled) where k <= 10) r
+    where least(len(list_filter(w, lambda x: x = r.keyword)) / 10e0, 1e0) >= r.threshold order by r.ord limit 1) as fold_rule,
+  (select count(*) from (select * from (select *, row_number() over (order by ord) as k from rules_v where enabled) where k <= 10) r where least(len(list_filter(w, lambda x: x = r.keyword)) / 10e0, 1e0) >= r.threshold)::int as rule_hits
+  from (select post_id, regexp_split_to_array(lower(full_text), '\\s+') as w from posts_v))""", "posts_v")
+def fold_rules(spark, sf_dir):
+    return enrich.folded(view(spark, sf_dir, "posts_v"), rules(spark))
+
+
+@query("""select e.event_id, d.provider, case when d.needs_key and e.k % 3 = 0 then 'key_missing' when not d.deep then 'unsupported' when d.needs_endpoint and e.k % 5 = 0 then 'endpoint_missing' else 'ready' end as gate
+  from (select event_id, event_id % 100 as k, case event_id % 5 when 0 then 'local' when 1 then 'device' when 2 then 'cloud' when 3 then 'custom' else 'other' end as p from events) e left join dims_v d on d.provider = e.p""")
+def feature_gate(spark, sf_dir):
+    i = F.col("event_id")
+    e = _table(spark, sf_dir, "events").select("event_id", (i % 100).alias("k"), F.when(i % 5 == 0, "local").when(i % 5 == 1, "device").when(i % 5 == 2, "cloud").when(i % 5 == 3, "custom").otherwise("other").alias("provider"))
+    d = capabilities(spark).withColumnRenamed("provider", "known")
+    gate = F.when(F.col("needs_key") & (F.col("k") % 3 == 0), "key_missing").when(~F.col("deep"), "unsupported").when(F.col("needs_endpoint") & (F.col("k") % 5 == 0), "endpoint_missing").otherwise("ready")
+    return e.join(F.broadcast(d), F.col("provider") == F.col("known"), "left").select("event_id", F.col("known").alias("provider"), gate.alias("gate"))
+
+
+# Deduplication and cleaning -------------------------------------------------------------------------------------------
+
+
+@query("""select doc_id from (select doc_id, row_number() over (partition by left(text, 50) order by doc_id) as r from documents) where r = 1""")
+def prefix_dedupe(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy(F.left("text", F.lit(50)).alias("p")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("""select author_name, arg_min(post_id, seq) as post_id, min(seq) as seq from gql_v group by 1""", "gql_v")
+def id_dedupe(spark, sf_dir):
+    return view(spark, sf_dir, "gql_v").groupBy("author_name").agg(F.min(F.struct("seq", "post_id")).alias("m")).select("author_name", "m.post_id", "m.seq")
+
+
+@query(f"""select post_id, {squeezed("regexp_replace(dom_text, '(See more|查看更多|顯示更多)[ \\t]*(\\n|\\z)', '\\2', 'g')")} as text from posts_v""", "posts_v")
+def chrome_cleaner(spark, sf_dir):
+    return view(spark, sf_dir, "posts_v").select("post_id", T.squeeze(F.regexp_replace("dom_text", r"(See more|查看更多|顯示更多)[ \t]*(\n|\z)", "$2")).alias("text"))
+
+
+@query("""select post_id, len(list_filter(string_split(dom_text, chr(10)), lambda x: length(trim(x, ' ')) > 1 and not regexp_matches(x, '^\\s*[0-9]{1,4}\\s*\\z') and x <> 'See more')) as n_lines from posts_v""", "posts_v")
+def line_cleaner(spark, sf_dir):
+    kept = F.filter(F.split("dom_text", "\n"), lambda x: (F.length(F.trim(x)) > 1) & ~x.rlike(r"^\s*[0-9]{1,4}\s*\z") & (x != "See more"))
+    return view(spark, sf_dir, "posts_v").select("post_id", F.size(kept).cast("long").alias("n_lines"))
+
+
+SEGMENTS = f"""select post_id, ord, kind, text from (
+  select post_id, 1 as ord, 'comment' as kind, left({squeezed('dom_text')}, 2000) as text from posts_v where content_kind = 'reshare_with_comment'
+  union all select post_id, 2, 'shared_content', left({squeezed('full_text')}, 2000) from posts_v where content_kind <> 'standard'
+  union all select post_id, 3, 'post_text', left({squeezed('full_text')}, 2000) from posts_v where content_kind = 'standard') where length(text) >= 8"""
+
+
+@query(SEGMENTS, "posts_v")
+def segments_build(spark, sf_dir):
+    return review.segments(view(spark, sf_dir, "posts_v"))
+
+
+@query(f"""select post_id, count(*) as n_segments, sum(length(text))::bigint as n_chars, sum(f)::bigint as n_found, least(1e0, sum(f) / 5e0) as signal from (
+  select *, len(regexp_extract_all(text, '視頻|视频|質量|质量|軟件|软件|信息|網絡|网络|鏈接|链接|用戶|用户|账户')) + len(regexp_extract_all(text, '[!?]')) as f from ({SEGMENTS})) group by 1""", "posts_v")
+def segments_rollup(spark, sf_dir):
+    return review.rollup(review.segments(view(spark, sf_dir, "posts_v")))
+
+
+@query("""select post_id, case when strpos(s, '.') between 1 and 90 then s else s end as first from (
+  select post_id, case when regexp_matches(full_text, '^[^\\n]{1,90}?[。！？!?]') then regexp_extract(full_text, '^[^\\n]{1,90}?[。！？!?]') else left(full_text, 90) end as s from posts_v)""", "posts_v")
+def first_sentence(spark, sf_dir):
+    return view(spark, sf_dir, "posts_v").select("post_id", T.first_sentence(F.col("full_text")).alias("first"))
+
+
+# Parsed responses -----------------------------------------------------------------------------------------------------
+
+BODY = "regexp_replace(regexp_replace(raw, '^\\s*```(?:json)?\\s*', ''), '\\s*```\\s*\\z', '')"
+OBJECT = f"(case when regexp_matches({BODY}, '(?s)^[{{]') and json_valid({BODY}) then {BODY}::json end)"
+NUM = "(case json_type(j, '$.{0}') when 'BOOLEAN' then (case when json_extract_string(j, '$.{0}') = 'true' then 1e0 else 0e0 end) else try_cast(json_extract_string(j, '$.{0}') as double) end)"
+UNIT = "least(1e0, greatest(0e0, coalesce({})))"
+
+
+def _unit(*keys: str) -> str:
+    n = f"coalesce({', '.join(NUM.format(k) for k in keys)}, null)"
+    return f"case when {n} is not null then least(1e0, greatest(0e0, {n})) end"
+
+
+@query(f"""select event_id, j is not null as strict, {_unit('c', 'commercial')} as commercial, {_unit('p', 'political')} as political, {_unit('e', 'emotional')} as emotional, {_unit('P', 'personal')} as personal from (select event_id, {OBJECT} as j from llm_v)""", "llm_v")
+def score_parse_long_short(spark, sf_dir):
+    v = F.col("v")
+    rows = view(spark, sf_dir, "llm_v").withColumn("v", S.variant(F.col("raw")))
+    return rows.select("event_id", v.isNotNull().alias("strict"), *(S.number(v, short, name).alias(name) for short, name in (("c", "commercial"), ("p", "political"), ("e", "emotional"), ("P", "personal"))))
+
+
+@query("""select event_id, substr(raw, 1, 1)::double / 10 as commercial, substr(raw, 2, 1)::double / 10 as political, substr(raw, 3, 1)::double / 10 as emotional, substr(raw, 4, 1)::double / 10 as personal from llm_v where regexp_matches(raw, '^[0-9]{{4}}\\z')""".replace("{{", "{").replace("}}", "}"), "llm_v")
+def compact_digits(spark, sf_dir):
+    raw = F.col("raw")
+    rows = view(spark, sf_dir, "llm_v").select("event_id", *(S.digit(raw, k, 4).alias(n) for k, n in enumerate(("commercial", "political", "emotional", "personal"), 1)))
+    return rows.where("commercial is not null")
+
+
+@query(f"""select event_id, {_unit('txt_ai')} as text_ai, {_unit('img_ai')} as image_ai, {_unit('ai_likelihood', 'txt_ai', 'img_ai')} as ai, left(json_extract_string(j, '$.sum'), 80) as summary from (select event_id, {OBJECT} as j from llm_v) where j is not null""", "llm_v")
+def deep_normalize(spark, sf_dir):
+    v = F.col("v")
+    rows = view(spark, sf_dir, "llm_v").withColumn("v", S.variant(F.col("raw"))).where(v.isNotNull())
+    text, image = S.number(v, "txt_ai"), S.number(v, "img_ai")
+    return rows.select("event_id", text.alias("text_ai"), image.alias("image_ai"), F.coalesce(S.number(v, "ai_likelihood"), F.greatest(text, image)).alias("ai"), F.left(F.try_variant_get(v, "$.sum", "string"), F.lit(80)).alias("summary"))
+
+
+@query("""select count(*) as n, count(*) filter (regexp_matches(raw, '^[0-9]+\\z')) as digits, count(*) filter (raw like '```%') as fenced, count(*) filter (raw like '{%') as bare from llm_v""", "llm_v")
+def response_shapes(spark, sf_dir):
+    raw = F.col("raw")
+    return view(spark, sf_dir, "llm_v").agg(F.count("*").alias("n"), F.count_if(raw.rlike(r"^[0-9]+\z")).alias("digits"), F.count_if(raw.startswith("```")).alias("fenced"), F.count_if(raw.startswith("{")).alias("bare"))
+
+
+@query("""select post_id, regexp_replace(regexp_replace(t, '視頻|视频', '影片', 'g'), '信息', '資訊', 'g') as text, len(regexp_extract_all(t, '視頻|视频|信息')) as found from (select post_id, concat(case when post_id % 3 = 0 then '視頻信息 ' else '' end, left(full_text, 20)) as t from posts_v)""", "posts_v")
+def output_term_review(spark, sf_dir):
+    t = F.concat(F.when(F.col("post_id") % 3 == 0, "視頻信息 ").otherwise(""), F.left("full_text", F.lit(20)))
+    return view(spark, sf_dir, "posts_v").select("post_id", review.replaced(t).alias("text"), review.term_findings(t).cast("long").alias("found"))
+
+
+# Decisions ------------------------------------------------------------------------------------------------------------
+
+TOP = "greatest(commercial, coalesce(deep_commercial, 0), political, emotional, coalesce(factual_risk, 0), case when coalesce(needs_fact_check, false) then 0.85e0 else 0 end)"
+
+
+@query(f"""select event_id, case when {TOP} >= 0.8 then 'high' when {TOP} >= 0.5 then 'mid' else 'low' end as severity from decisions_v""", "decisions_v")
+def severity_band(spark, sf_dir):
+    top = F.greatest("commercial", F.coalesce("deep_commercial", F.lit(0.0)), "political", "emotional", S.fact_check(F.col("factual_risk"), F.col("needs_fact_check")))
+    return view(spark, sf_dir, "decisions_v").select("event_id", S.severity(top, F.lit(0)).alias("severity"))
+
+
+@query("""select event_id, array_to_string(list_transform((list_sort(list_filter([{'s': -commercial, 'k': 0, 'n': case when commercial >= 0.5 then 'commercial' end}, {'s': -political, 'k': 1, 'n': case when political >= 0.5 then 'political' end}, {'s': -emotional, 'k': 2, 'n': case when emotional >= 0.5 then 'emotional' end}], lambda x: x.n is not null)))[1:2], lambda x: x.n), ',') as top from decisions_v""", "decisions_v")
+def top2_signals(spark, sf_dir):
+    return view(spark, sf_dir, "decisions_v").select("event_id", S.top_signals([(n, F.col(n), 0.5) for n in ("commercial", "political", "emotional")]).alias("top"))
+
+
+@query("""select event_id, coalesce(needs_fact_check, false) or coalesce(factual_risk, 0) >= 0.7 as high_risk,
+  coalesce(needs_fact_check, false) or coalesce(factual_risk, 0) >= 0.5 or political >= 0.6 or coalesce(deep_commercial, commercial) >= 0.6 as lookup_worthy,
+  not coalesce(needs_fact_check, false) and coalesce(factual_risk, 0) < 0.4 and political < 0.6 and coalesce(deep_commercial, commercial) < 0.6 as low_risk from decisions_v""", "decisions_v")
+def risk_profile(spark, sf_dir):
+    need, risk, com = F.coalesce("needs_fact_check", F.lit(False)), F.coalesce("factual_risk", F.lit(0.0)), F.coalesce("deep_commercial", "commercial")
+    pol = F.col("political")
+    return view(spark, sf_dir, "decisions_v").select(
+        "event_id", (need | (risk >= 0.7)).alias("high_risk"), (need | (risk >= 0.5) | (pol >= 0.6) | (com >= 0.6)).alias("lookup_worthy"), (~need & (risk < 0.4) & (pol < 0.6) & (com < 0.6)).alias("low_risk")
+    )
+
+
+@query("""select event_id, case when is_sponsored then 'sponsored' when factual_risk is null then 'no_deep_result' when factual_risk < 0.2 and not needs_fact_check then 'low_risk' when personal >= 0.9 then 'personal' else 'allowed' end as gate from decisions_v""", "decisions_v")
+def request_gate(spark, sf_dir):
+    gate = F.when(F.col("is_sponsored"), "sponsored").when(F.col("factual_risk").isNull(), "no_deep_result").when((F.col("factual_risk") < 0.2) & ~F.col("needs_fact_check"), "low_risk").when(F.col("personal") >= 0.9, "personal").otherwise("allowed")
+    return view(spark, sf_dir, "decisions_v").select("event_id", gate.alias("gate"))
+
+
+@query("""select user_id, count(*) as scanned, count(*) filter (is_sponsored) as sponsored, count(deep_commercial) as deep, count(*) filter (commercial >= 0.5 or political >= 0.5 or emotional >= 0.5) as flagged from decisions_v group by 1""", "decisions_v")
+def session_counters(spark, sf_dir):
+    flagged = (F.col("commercial") >= 0.5) | (F.col("political") >= 0.5) | (F.col("emotional") >= 0.5)
+    return view(spark, sf_dir, "decisions_v").groupBy("user_id").agg(F.count("*").alias("scanned"), F.count_if("is_sponsored").alias("sponsored"), F.count("deep_commercial").alias("deep"), F.count_if(flagged).alias("flagged"))
+
+
+@query("""select case when greatest(commercial, political, emotional) <= 0 then 'none' when commercial = greatest(commercial, political, emotional) then 'commercial' when political = greatest(commercial, political, emotional) then 'political' else 'emotional' end as category, count(*) as n from decisions_v where is_sponsored group by 1""", "decisions_v")
+def filtered_by_category(spark, sf_dir):
+    c = S.primary_category(F.col("commercial"), F.col("political"), F.col("emotional"))
+    return view(spark, sf_dir, "decisions_v").where("is_sponsored").groupBy(F.coalesce(c, F.lit("none")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("""select event_id, (commercial >= 0.5)::int + (political >= 0.5)::int + (emotional >= 0.5)::int + (personal >= 0.5)::int as hits, greatest(commercial, deep_commercial) as merged from decisions_v""", "decisions_v")
+def rule_hits(spark, sf_dir):
+    names = ("commercial", "political", "emotional", "personal")
+    return view(spark, sf_dir, "decisions_v").select("event_id", F.size(F.filter(F.array(*names), lambda x: x >= 0.5)).alias("hits"), F.greatest("commercial", F.coalesce("deep_commercial", "commercial")).alias("merged"))
+
+
+@query("""select user_id, arg_min(event_id, abs(commercial - 0.5) * 1000000e0 + event_id / 100000000e0) as event_id from decisions_v where not is_sponsored group by 1""", "decisions_v")
+def most_centered(spark, sf_dir):
+    d = view(spark, sf_dir, "decisions_v").where("not is_sponsored")
+    return d.groupBy("user_id").agg(F.min(F.struct(F.abs(F.col("commercial") - 0.5), "event_id"))["event_id"].alias("event_id"))
+
+
+# History --------------------------------------------------------------------------------------------------------------
+
+
+@query("select post_id, seq, text, completeness from (select *, row_number() over (partition by post_id order by seq desc) as r from event_log_v) where r = 1", "event_log_v")
+def latest_per_post(spark, sf_dir):
+    return history.latest(view(spark, sf_dir, "event_log_v").select("post_id", "seq", "text", "completeness"), "post_id", "seq")
+
+
+@query("select post_id, seq, r::int as place from (select *, row_number() over (partition by post_id order by seq desc) as r from event_log_v) where r <= 10", "event_log_v")
+def last10_history(spark, sf_dir):
+    return history.last_n(view(spark, sf_dir, "event_log_v"), "post_id", "seq").select("post_id", "seq", "place")
+
+
+@query("select post_id, min(seq) as first_seq, max(seq) as last_seq from event_log_v group by 1 order by 2 desc, 1 desc limit 300", "event_log_v")
+def ring300(spark, sf_dir):
+    return history.ring(view(spark, sf_dir, "event_log_v"), "post_id", "seq")
+
+
+@query("select post_id, case when not filtered and not is_sponsored then 2 when not filtered then 1 else 0 end as tier, seq from event_log_v order by 2 desc, ts desc, seq desc limit 1", "event_log_v")
+def fallback_selection(spark, sf_dir):
+    return history.fallback(view(spark, sf_dir, "event_log_v"), "post_id", "ts", "seq")
+
+
+@query("""select post_id, arg_max(text, seq) filter (text <> '') as text, arg_max(author_name, seq) filter (author_name is not null) as author_name,
+  max(case completeness when 'likely_truncated' then 1 when 'visible_complete' then 2 else 3 end) as completeness_rank, bool_or(is_sponsored) as ever_sponsored, count(*) as n_events from event_log_v group by 1""", "event_log_v")
+def progressive_merge(spark, sf_dir):
+    return history.progressive(view(spark, sf_dir, "event_log_v"), "post_id", "seq")
+
+
+@query("select post_id, seq, last_value(author_name ignore nulls) over (partition by post_id order by seq rows between unbounded preceding and current row) as carried_author_name from event_log_v", "event_log_v")
+def deep_state_carry(spark, sf_dir):
+    return history.carried(view(spark, sf_dir, "event_log_v"), "post_id", "seq", "author_name")
+
+
+@query("""select text_key, seq, ts from (select *, row_number() over (partition by text_key order by seq desc) as r from cache_v) where r = 1 and ts > (select max(ts) from cache_v) - interval 1 day order by ts desc, seq desc limit 500""", "cache_v")
+def ttl_cache_hydrate(spark, sf_dir):
+    return history.fresh(view(spark, sf_dir, "cache_v"), "text_key", "seq", "ts", "1 day")
+
+
+@query("select distinct storage_key from cache_v where storage_key <> 'classificationCacheV15'", "cache_v")
+def versioned_key_sweep(spark, sf_dir):
+    keys = view(spark, sf_dir, "cache_v").select("storage_key").distinct()
+    return keys.where(F.col("storage_key").rlike(r"^classificationCacheV\d+\z")).exceptAll(spark.createDataFrame([("classificationCacheV15",)], "storage_key string"))
+
+
+@query("select storage_key, max(seq) as seq, count(*) as n from cache_v group by 1", "cache_v")
+def readiness_upsert(spark, sf_dir):
+    return view(spark, sf_dir, "cache_v").groupBy("storage_key").agg(F.max("seq").alias("seq"), F.count("*").alias("n"))
+
+
+@query("""select user_id, run, count(*) as n, min(ts) as began, max(ts) as ended from (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as run from (
+  select *, case when coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)), 1e18) > 3600e6 then 1 else 0 end as new from events)) group by 1, 2""")
+def dwell_gaps_islands(spark, sf_dir):
+    return history.sessions(_table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600)
+
+
+@query("""select event_id from (select event_id, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts) as gap from events) where gap is null or gap >= 1800e6""")
+def debounce(spark, sf_dir):
+    return history.debounced(_table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 1800).select("event_id")
+
+
+# Review ---------------------------------------------------------------------------------------------------------------
+
+RANK = "case severity when 'error' then 3 when 'warning' then 2 else 1 end"
+
+
+@query(f"""select post_id, place, found, suggestion, n, sev from (select *, (row_number() over (partition by post_id order by n desc, sev desc, first, found, suggestion))::int as place from (
+  select post_id, found, suggestion, count(*) as n, max({RANK}) as sev, min(seq) as first from issues_v group by 1, 2, 3)) where place <= 3""", "issues_v")
+def term_topk(spark, sf_dir):
+    return review.terms(view(spark, sf_dir, "issues_v"))
+
+
+@query(f"""with g as (select post_id, case when rule_type = 'punctuation' then 'punctuation' when rule_type in ('lexical', 'cross_strait') then 'wording' else 'style' end as issue_group, count(*) as n, max({RANK}) as sev, count(distinct found) as n_terms from issues_v group by 1, 2)
+  select * from g where post_id in (select post_id from g where issue_group <> 'punctuation')""".replace("with g as", "select * from (with g as", 1) + ")", "issues_v")
+def finding_summary(spark, sf_dir):
+    return review.findings(view(spark, sf_dir, "issues_v"))
+
+
+@query("select kind, count(*) filter (severity = 'info') as info, count(*) filter (severity = 'warning') as warning, count(*) filter (severity = 'error') as error, count(distinct post_id) as n_posts from issues_v group by 1", "issues_v")
+def severity_counts(spark, sf_dir):
+    return view(spark, sf_dir, "issues_v").groupBy("kind").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("info", "warning", "error")), F.count_distinct("post_id").alias("n_posts"))
+
+
+@query("select rule_type, count(*) as n from issues_v where suggestion <> '' group by 1", "issues_v")
+def issue_counts_by_rule(spark, sf_dir):
+    return view(spark, sf_dir, "issues_v").where("suggestion <> ''").groupBy("rule_type").agg(F.count("*").alias("n"))
+
+
+# Sources, streams and exports -----------------------------------------------------------------------------------------
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as newline-delimited responses: nested posts, blank lines and broken ones."""
+    post = F.to_json(F.struct(F.struct(F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("post_id"), F.array(F.struct(F.col("role").alias("name"))).alias("actors"), F.struct("text").alias("message"), (F.col("turn") % 3 == 0).alias("is_sponsored")).alias("node")))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(post, F.lit("\n\n{broken\n")).alias("body"))
+
+
+@query("select conv_id, turn, 0 as line, text from conversations")
+def ndjson_scan(spark, sf_dir):
+    rows = ingest.ndjson(_responses(spark, sf_dir))
+    return rows.select("conv_id", "turn", "line", F.variant_get("value", "$.node.message.text", "string").alias("text"))
+
+
+@query("select conv_id, turn, 0 as pos, concat('c', conv_id, '-', turn) as post_id, role as author_name, text, turn % 3 = 0 as is_sponsored from conversations where length(text) > 3")
+def json_post_walk(spark, sf_dir):
+    lines = _responses(spark, sf_dir).withColumn("body", F.element_at(F.split("body", "\n"), 1))
+    return ingest.walk(lines, "body")
+
+
+@query()
+def page_visible_text(spark, sf_dir):
+    return ingest.pages_text(_table(spark, sf_dir, "pages"))
+
+
+@query("""select event_id, case when event_id % 2 = 0 then '[redacted]' else '' end as api_key, event_type as kind from events""")
+def redaction(spark, sf_dir):
+    m = F.create_map(F.lit("openApiKey"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(""), F.lit("apiKeyring"), F.col("event_type"))
+    r = F.col("r")
+    return _table(spark, sf_dir, "events").select("event_id", export.redacted(m).alias("r")).select("event_id", r["openApiKey"].alias("api_key"), r["apiKeyring"].alias("kind"))
+
+
+@query("""select event_id, concat('---', chr(10), 'title: "Post ', event_id, '"', chr(10), 'tags: [', case when commercial >= 0.5 then 'commercial' else '' end, ']', chr(10), '---', chr(10), chr(10), '# Post ', event_id, chr(10), chr(10), 'risk ', coalesce(cast(floor(factual_risk * 100 + 0.5) as int)::varchar, 'unknown'), chr(10)) as note from decisions_v""", "decisions_v")
+def markdown_export(spark, sf_dir):
+    tags = F.array_compact(F.array(F.when(F.col("commercial") >= 0.5, "commercial")))
+    body = F.concat(F.lit("risk "), F.coalesce(F.floor(F.col("factual_risk") * 100 + 0.5).cast("int").cast("string"), F.lit("unknown")))
+    return view(spark, sf_dir, "decisions_v").select("event_id", export.markdown(F.concat(F.lit("Post "), F.col("event_id")), tags, body).alias("note"))
+
+
+def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """All of a bounded stream's output, by a table of the session's memory: for tests and small results."""
+    spark = stream.sparkSession
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
+@query("""select user_id, count(*) as n from events group by 1""")
+def stream_session(spark, sf_dir):
+    found = _drained(streams.sessions(_event_stream(spark, sf_dir)), "feedweave_sessions", "complete")
+    return found.groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
+@query("select count(*) as n from (select distinct user_id, event_type, ts from events)")
+def stream_dedupe(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).select("user_id", "event_type", "ts")
+    return _drained(streams.once(rows, ["user_id", "event_type", "ts"]), "feedweave_once", "append").agg(F.count("*").alias("n"))
+
+
+@query("""select post_id, arg_max(text, seq) filter (text <> '') as text, arg_max(author_name, seq) filter (author_name is not null) as author_name, count(*) as n from event_log_v group by 1""", "event_log_v")
+def stream_progressive(spark, sf_dir):
+    i, e = F.col("event_id"), _event_stream(spark, sf_dir)
+    rows = e.select(F.col("user_id").alias("post_id"), i.alias("seq"), F.when(i % 4 == 0, "").otherwise(F.concat_ws(" ", "event_type", (i % 10).cast("string"))).alias("text"), F.when(i % 5 != 0, F.concat_ws(" ", F.lit("Author"), (F.col("user_id") % 37).cast("string"))).alias("author_name"))
+    found = _drained(streams.progressive(rows), "feedweave_progressive", "update")
+    return found.groupBy("post_id").agg(F.max(F.struct("n", "text", "author_name")).alias("m")).select("post_id", "m.text", "m.author_name", "m.n")

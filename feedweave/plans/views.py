@@ -1,0 +1,88 @@
+"""Input views derived from the test tables.  Their formulas are inputs, not logic, and read the same in Spark SQL and DuckDB."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+VIEWS = {
+    "posts_v": ("documents", """
+        select doc_id as post_id, doc_id as seq, concat('Author ', cast(doc_id % 37 as string)) as author_name,
+          case when doc_id % 7 = 3 then 'Sponsored · 🌐' when doc_id % 7 = 5 then 'Sponsoredness rises' else concat('Author ', cast(doc_id % 37 as string)) end as header,
+          case doc_id % 6 when 0 then 'share_without_comment' when 1 then 'reshare_with_comment' else 'standard' end as content_kind,
+          doc_id % 9 = 4 as is_recommended,
+          concat(left(text, 200), case when doc_id % 5 = 0 then concat(chr(10), 'See more') else '' end,
+            case when doc_id % 11 = 0 then concat(chr(10), 'Share if you agree!') else '' end,
+            case when doc_id % 13 = 0 then repeat('😀', length(left(text, 200))) else '' end) as dom_text,
+          text as full_text
+        from {documents}"""),
+    "gql_v": ("documents", """
+        select doc_id as seq, concat('g', cast(doc_id as string)) as post_id,
+          case when doc_id % 4 = 0 then 'Somebody Else' else concat('Author ', cast(doc_id % 37 as string)) end as author_name,
+          text, doc_id % 8 = 0 as is_sponsored
+        from {documents} where doc_id % 3 = 0"""),
+    "event_log_v": ("events", """
+        select user_id as post_id, event_id as seq, ts, case when event_id % 4 = 0 then '' else concat(event_type, ' ', cast(event_id % 10 as string)) end as text,
+          case when event_id % 5 = 0 then null else concat('Author ', cast(user_id % 37 as string)) end as author_name,
+          case event_id % 3 when 0 then 'likely_truncated' when 1 then 'visible_complete' else 'expanded_or_upgraded' end as completeness,
+          event_id % 7 = 0 as is_sponsored, event_id % 3 = 0 as filtered
+        from {events}"""),
+    "decisions_v": ("events", """
+        select event_id, user_id, cast(floor(value / 5) as bigint) / 100e0 as commercial, (event_id * 7 % 100) / 100e0 as political,
+          (event_id * 13 % 100) / 100e0 as emotional, (event_id * 29 % 100) / 100e0 as personal,
+          case when event_id % 2 = 0 then (event_id * 31 % 100) / 100e0 end as deep_commercial,
+          case when event_id % 2 = 0 then (event_id * 37 % 100) / 100e0 end as factual_risk,
+          case when event_id % 2 = 0 then event_id % 10 = 0 end as needs_fact_check, event_id % 7 = 0 as is_sponsored
+        from {events}"""),
+    "llm_v": ("events", """
+        select event_id, case event_id % 6
+          when 0 then concat('{{"commercial":', cast(event_id % 130 as string), 'e-2,"political":true}}')
+          when 1 then concat('{{"c":0.', cast(event_id % 10 as string), ',"p":0,"e":1.5,"P":false}}')
+          when 2 then right(concat('0000', cast(event_id * 17 % 10000 as string)), 4)
+          when 3 then concat('```json', chr(10), '{{"sum":"s","txt_ai":0.', cast(event_id % 10 as string), '}}', chr(10), '```')
+          when 4 then 'Here is the JSON: {{"c":0.5}}' else '{{"c":' end as raw
+        from {events}"""),
+    "issues_v": ("events", """
+        select user_id as post_id, event_id as seq, event_type as found, case when event_id % 4 = 0 then '' else upper(event_type) end as suggestion,
+          case event_id % 5 when 0 then 'lexical' when 1 then 'cross_strait' when 2 then 'punctuation' when 3 then 'translationese' else 'grammar' end as rule_type,
+          case event_id % 3 when 0 then 'info' when 1 then 'warning' else 'error' end as severity,
+          case event_id % 4 when 0 then 'post_text' when 1 then 'shared_content' when 2 then 'link_preview' else 'image_text' end as kind
+        from {events}"""),
+    "ssr_v": ("conversations", """
+        select conv_id as doc_id, case turn % 4 when 0 then 'marker' when 1 then 'message' when 2 then 'actor' else 'post_id' end as kind,
+          turn * 100 + length(text) % 97 as pos, left(text, 40) as value
+        from {conversations}"""),
+    "urls_v": ("pages", """
+        select page_id, case page_id % 5 when 0 then concat('https://www.facebook.com/groups/', cast(page_id as string))
+          when 1 then concat('https://m.facebook.com/user', cast(page_id as string), '/posts/9?fbclid=x&a=1#top')
+          when 2 then concat('https://l.facebook.com/l.php?u=', cast(page_id as string)) else url end as url
+        from {pages}"""),
+    "cache_v": ("events", """
+        select concat(cast(user_id as string), ':', event_type) as text_key, event_id as seq, ts, concat('classificationCacheV', cast(event_id % 16 as string)) as storage_key
+        from {events}"""),
+}
+
+RULES = [(k, f"rule{k}", word, threshold, k % 4 != 3) for k, (word, threshold) in enumerate([("the", 0.2), ("of", 0.4), ("and", 0.6), ("der", 0.2), ("la", 0.5), ("que", 0.3), ("on", 0.9), ("tion", 0.5), ("er", 0.7), ("in", 0.8), ("es", 0.4), ("die", 0.3), ("is", 0.6), ("to", 0.9)])]
+CAPABILITIES = [("local", True, False, True, True), ("device", False, False, True, True), ("cloud", True, True, True, True), ("custom", True, False, True, False)]
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    source, sql = VIEWS[name]
+    return spark.sql(sql, **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    """User-defined fold rules in stored order: more rows than the ten that may be active."""
+    return spark.createDataFrame(RULES, "ord int, rule_id string, keyword string, threshold double, enabled boolean")
+
+
+def capabilities(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CAPABILITIES, "provider string, needs_endpoint boolean, needs_key boolean, fast boolean, deep boolean")
+
+
+def oracle(body: str, *names: str) -> str:
+    """DuckDB SQL with the named views in front of ``body``."""
+    parts = [f"{n} as ({VIEWS[n][1].format(**{VIEWS[n][0]: VIEWS[n][0]})})" for n in names]
+    literal = lambda v: str(v).lower() if isinstance(v, bool) else repr(v)
+    if "rules_v" in body:
+        parts.append("rules_v(ord, rule_id, keyword, threshold, enabled) as (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in RULES) + ")")
+    if "dims_v" in body:
+        parts.append("dims_v(provider, needs_endpoint, needs_key, fast, deep) as (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in CAPABILITIES) + ")")
+    return ("with " + ", ".join(parts) + " " if parts else "") + body
