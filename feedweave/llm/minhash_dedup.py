@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches screen, full shingle sets confirm.
 
 A document's set holds the 64-bit hashes of its distinct word 5-grams.  Equal sets collapse to one class first, so copies
-never meet as pairs.  Each band's bucket links its members to the smallest one (a star, not all pairs); only members that
+never meet as pairs.  Each band's bucket links its members to one of them, its hub (a star, not all pairs); only members that
 these links leave in different components are then compared among themselves, in tiles of bounded size.  Every link is
 confirmed by the exact intersection of the full sets.
 """
@@ -149,9 +149,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     about = classes.select("rep", "n", "sketch")
 
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    buckets = keyed.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("rep").alias("hub"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("size > 1")
+    buckets = keyed.groupBy("band", "value").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("size > 1")
+    shared = stored(keyed.join(buckets, ["band", "value"]))
+    # A bucket's hub is the member with the most company over all bands: a text that others were made from, if there is one.
+    company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
+    hubs = shared.join(company, "rep").groupBy("band", "value").agg((-F.max(F.struct("company", (-F.col("rep")).alias("r")))["r"]).alias("hub"))
     # buckets of several bands with the same members count once, as the first of them
-    members = stored(keyed.join(buckets, ["band", "value"]).groupBy("rep", "hub", "size", "who").agg(F.min("band").alias("band")))
+    members = stored(shared.join(hubs, ["band", "value"]).groupBy("rep", "hub", "size", "who").agg(F.min("band").alias("band")))
 
     allowed = bits_allowed(percent / 100)
 
@@ -159,7 +163,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         x, y = about.toDF("a", "na", "xa"), about.toDF("b", "nb", "xb")
         return pairs.join(y, "b").join(x, "a").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing_bits(F.col("xa"), F.col("xb")) <= allowed)).select("a", "b")
 
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = stored(confirmed(screened(stars), docs, percent))
     found = connected_components(links)
 
