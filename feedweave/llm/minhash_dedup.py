@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     ids = classes.select("d1", "d2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component_id", "rep").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(ids, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
