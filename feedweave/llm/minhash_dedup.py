@@ -20,7 +20,8 @@ from feedweave.llm.components import connected_components
 
 WIDTH = 5
 BANDS, ROWS = 24, 5
-SKETCH_WORDS = 8  # 64-bit words of an odd sketch
+SAMPLE = 1024  # smallest hashes of a set that its odd sketch folds
+SKETCH_WORDS = 32  # 64-bit words of an odd sketch
 TILE = 256  # members of a bucket compared in one row of a tile join, on either side
 SAMPLES = BANDS * ROWS
 
@@ -61,9 +62,9 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def odd_sketch(minima: np.ndarray) -> np.ndarray:
-    """The samples (position, minimum) folded into a bitmap that keeps each bit's parity."""
-    bits = mix64(minima + np.arange(len(minima), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * SKETCH_WORDS)
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """The bottom-k MinHash sample of a sorted set, folded into a bitmap that keeps each bit's parity."""
+    bits = mix64(s[:SAMPLE] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * SKETCH_WORDS)
     odd = np.bincount(bits.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -87,7 +88,7 @@ def _signed(batches):
                     x = np.arange(BANDS, dtype=np.uint64)
                     for r in range(ROWS):
                         x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS])
-                    bands[k], sketches[k] = x, odd_sketch(low)
+                    bands[k], sketches[k] = x, odd_sketch(s)
                     digests[k] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"][i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(bands.view(np.int64)), _lists(sketches)],
@@ -108,16 +109,18 @@ def differing_bits(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def bits_allowed(similarity: float) -> int:
-    """Differing sketch bits that a pair of the given similarity exceeds with a chance of about one in a million.
+def most_long(percent: int) -> int:
+    """Differing samples of a linked pair that may have more than SAMPLE shingles: the mean in the worst case, and six deviations."""
+    j = percent / 100
+    return int(2 * SAMPLE * (1 - j) + 12 * (SAMPLE * j * (1 - j)) ** 0.5)
 
-    The number of unequal samples is binomial; two bits at most differ for each.  Five standard deviations are allowed.
+
+def screen_bits(a: Column, b: Column, percent: int) -> Column:
+    """Differing sketch bits that a link between sets of a and b shingles can have.
+
+    Each differing sample turns one bit over, so up to SAMPLE shingles this bound is certain.
     """
-    p = 1 - similarity
-    unequal = SAMPLES * p + 5 * (SAMPLES * p * (1 - p)) ** 0.5
-    m, n = 64 * SKETCH_WORDS, 2 * unequal
-    mean = m / 2 * (1 - (1 - 2 / m) ** n)
-    return int(mean + 3 * (mean * (1 - mean / m)) ** 0.5) + 1
+    return F.when((a <= SAMPLE) & (b <= SAMPLE), F.floor((a + b) * (100 - percent) / (100 + percent))).otherwise(most_long(percent))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -157,11 +160,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # buckets of several bands with the same members count once, as the first of them
     members = stored(shared.join(hubs, ["band", "value"]).groupBy("rep", "hub", "size", "who").agg(F.min("band").alias("band")))
 
-    allowed = bits_allowed(percent / 100)
-
     def screened(pairs: DataFrame) -> DataFrame:
         x, y = about.toDF("a", "na", "xa"), about.toDF("b", "nb", "xb")
-        return pairs.join(y, "b").join(x, "a").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing_bits(F.col("xa"), F.col("xb")) <= allowed)).select("a", "b")
+        return pairs.join(y, "b").join(x, "a").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing_bits(F.col("xa"), F.col("xb")) <= screen_bits(F.col("na"), F.col("nb"), percent))).select("a", "b")
 
     stars = members.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = stored(confirmed(screened(stars), docs, percent))
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = members.where("size > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
     open_ = placed.groupBy("hub", "size", "who").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").drop("lo", "hi")
     rest = placed.where("rep <> hub").join(open_, ["hub", "size", "who"]).select("hub", "size", "who", "band", "rep", "c").join(classes.select("rep", "n", "sketch", "bands"), "rep")
-    links2 = stored(_across(rest, docs, percent, allowed))
+    links2 = stored(_across(rest, docs, percent))
     found = connected_components(links.union(links2))
 
     ids = classes.select("d1", "d2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component_id", "rep").alias("component"))
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across(rest: DataFrame, docs: DataFrame, percent: int, allowed: int) -> DataFrame:
+def _across(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` that join components, among the members of each bucket that lie in different ones.
 
     A bucket of m members is cut into ceil(m / TILE) chunks; each pair of chunks is one tile of about 2 * TILE members at
@@ -204,7 +205,8 @@ def _across(rest: DataFrame, docs: DataFrame, percent: int, allowed: int) -> Dat
         xs, ys = [], []
         for x in range(b - a):
             y = np.flatnonzero((c != c[x]) & (rep > rep[x]) & ((own != own[x]) if i != j else True) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= allowed]
+            most = np.where((n[y] <= SAMPLE) & (n[x] <= SAMPLE), (n[y] + n[x]) * (100 - percent) // (100 + percent), most_long(percent))
+            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1) <= most]
             y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
             xs.append(np.full(len(y), x))
             ys.append(y)

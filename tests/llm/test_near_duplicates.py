@@ -177,3 +177,23 @@ def test_index_stops_early_and_keeps_ties():
         want = v @ q
         least = np.sort(want)[-5]
         assert sorted(rows.tolist()) == np.flatnonzero(want >= least).tolist() and (want[rows] == scores).all()
+
+
+def test_screen_never_drops_a_link():
+    """Sets of all sizes at the very threshold pass the sketch screen."""
+    rng = np.random.default_rng(9)
+    for n in (10, 100, 550, 1000, 1100, 5000, 20000):
+        for nested in (True, False):
+            for _ in range(10):
+                common_ = int(np.ceil(0.85 * n)) if nested else n
+                extra = n - common_ if nested else int(0.15 / 0.85 * n)
+                pool = np.unique(rng.integers(0, 2**63, 3 * n + 20, np.uint64))
+                rng.shuffle(pool)
+                a = np.sort(pool[: common_ + (extra if nested else extra // 2)])
+                b = np.sort(np.concatenate([pool[:common_], pool[2 * n : 2 * n + (0 if nested else extra - extra // 2)]]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both < 85 * (len(a) + len(b) - both):
+                    continue
+                bits = np.bitwise_count((minhash_dedup.odd_sketch(a) ^ minhash_dedup.odd_sketch(b)).view(np.uint64)).sum()
+                small = max(len(a), len(b)) <= minhash_dedup.SAMPLE
+                assert bits <= ((len(a) + len(b)) * 15 // 185 if small else minhash_dedup.most_long(85))
