@@ -8,6 +8,8 @@ comes from a monotone queue, so the work is linear in the number of candidates.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import deque
 
@@ -69,16 +71,115 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> lis
     return chain[::-1]
 
 
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the runs that start at ``first`` and are ``sizes`` long, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class Merges:
+    """The vocabulary's merges for many plain words at once: in each round every word that still can merges its best pair.
+
+    Equal to the library's result, since a merge never makes a pair that ranks before it.
+    """
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, model):
+        import json
+
+        table = json.loads(model.to_str())["model"]
+        vocab = table["vocab"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        symbol = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+        self.inner = np.array([vocab[symbol[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[symbol[b] + "</w>"] for b in range(256)], np.int64)
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in table["merges"]]
+        keys = np.array([(vocab[x] << 20) | vocab[y] for x, y in pairs], np.int64)
+        self.made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where((self.keys[at] == pair) & (left >= 0) & (right >= 0), self.order[at], self.NONE).astype(np.int32)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in a row, where each word's begin, and how many they are."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        rows_of, pools = [], []
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == n)
+            raw = np.frombuffer(b"".join(words[k] for k in rows.tolist()), np.uint8).reshape(-1, n)
+            ids = self.inner[raw]
+            ids[:, -1] = self.last[raw[:, -1]]
+            rank = self.ranks(ids[:, :-1], ids[:, 1:])
+            while True:
+                done = (rank == self.NONE).all(axis=1) if rank.shape[1] else np.ones(len(rows), bool)
+                if done.any():
+                    rows_of.append(np.repeat(rows[done], ids.shape[1]))
+                    pools.append(ids[done].reshape(-1))
+                    rows, ids, rank = rows[~done], ids[~done], rank[~done]
+                if not len(rows):
+                    break
+                best = rank.argmin(axis=1)
+                every = np.arange(len(rows))
+                made = self.made[rank[every, best]]
+                keep = np.arange(ids.shape[1] - 1)
+                ids = np.take_along_axis(ids, keep + (keep > best[:, None]), axis=1)
+                ids[every, best] = made
+                rank = np.take_along_axis(rank, keep[:-1] + (keep[:-1] >= best[:, None]), axis=1)
+                before = np.flatnonzero(best > 0)
+                rank[before, best[before] - 1] = self.ranks(ids[before, best[before] - 1], made[before])
+                after = np.flatnonzero(best < rank.shape[1])
+                rank[after, best[after]] = self.ranks(made[after], ids[after, best[after] + 1])
+        owner, pool = np.concatenate([np.zeros(0, np.int64), *rows_of]), np.concatenate([np.zeros(0, np.int64), *pools])
+        order = np.argsort(owner, kind="stable")
+        sizes = np.bincount(owner, minlength=len(words))
+        return pool[order].astype(np.uint32), np.cumsum(sizes) - sizes, sizes
+
+
 class Tokens:
-    """Token ids of texts, each distinct word of a batch encoded once: the vocabulary's words never span white space."""
+    """Token ids of texts, each distinct word of a batch encoded once: the vocabulary's words never span white space.
 
-    def __init__(self, path: str):
-        import os
+    Words of plain Latin letters go through ``Merges``, the few others and the marks behind words through the library.
+    """
+
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,24})([.,;:!?|]*)")
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.merges = Merges(self.model)
+
+    def words(self, distinct: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words in a row, where each word's begin, and how many they are."""
+        cores: dict[str, int] = {}
+        others: dict[str, int] = {"": 0}
+        core, other = np.full(len(distinct), -1), np.zeros(len(distinct), np.int64)
+        for k, w in enumerate(distinct):
+            text = w.decode()
+            if m := self.PLAIN.fullmatch(text):
+                core[k] = cores.setdefault(m[1].lower(), len(cores))
+                text = m[2]
+            other[k] = others.setdefault(text, len(others))
+        pool, first, sizes = self.merges([c.encode() for c in cores])
+        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        rest = [x.ids for x in encode(list(others), add_special_tokens=False)]
+        if (end := END.decode()) in others:
+            rest[others[end]] = [end_id]
+        n = np.fromiter(map(len, rest), np.int64, len(rest))
+        # units: cores first, then the others; a word is a core, if it has one, and an other
+        first = np.concatenate([first, len(pool) + np.cumsum(n) - n])
+        sizes = np.concatenate([sizes, n])
+        pool = np.concatenate([pool, np.fromiter((i for own in rest for i in own), np.uint32, int(n.sum()))])
+        empty = len(cores) + others[""]
+        units = np.stack([np.where(core >= 0, core, empty), len(cores) + other], axis=1).reshape(-1)
+        both = sizes[units].reshape(-1, 2).sum(axis=1)
+        return pool[spread(first[units], sizes[units])], np.cumsum(both) - both, both
 
     def __call__(self, texts: list[bytes], end_id: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row with ``end_id`` after each text; each text's number of ids; where sentences end, as counts of ids before."""
@@ -91,16 +192,10 @@ class Tokens:
             words.append(END)
         coded = pa.array(words, pa.binary()).dictionary_encode()
         distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-        ids = [x.ids for x in encode([w.decode() for w in distinct], add_special_tokens=False)]
-        if END in distinct:
-            ids[distinct.index(END)] = [end_id]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum()))
-        first = np.cumsum(sizes) - sizes
+        pool, first, sizes = self.words(distinct, end_id)
         n = sizes[codes]
         ends = np.cumsum(n)
-        flat = pool[np.repeat(first[codes] - (ends - n), n) + np.arange(int(n.sum()))]
+        flat = pool[spread(first[codes], n)]
         stops = np.fromiter((w.endswith((b".", b"!", b"?", b'."', b"\xe3\x80\x82")) for w in distinct), bool, len(distinct))
         last = np.cumsum(per_text) - 1
         lengths = np.diff(np.concatenate([[0], ends[last]])) if len(texts) else np.zeros(0, np.int64)
@@ -109,15 +204,17 @@ class Tokens:
 
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, final: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a cut may fall, from 0 to ``total``, and each one's penalty."""
-    base = np.union1d(np.union1d(doc_ends, sentence_ends), [0, total])
-    base = base[(base >= 0) & (base <= total)]
-    extra = [np.arange(a + GRID, b, GRID) for a, b in zip(base[:-1].tolist(), base[1:].tolist()) if b - a > LONG_SENTENCE]
+    base = np.concatenate([[0], sentence_ends, doc_ends, [total]])
+    base = np.unique(base[(base >= 0) & (base <= total)])
+    extra = [np.arange(a + GRID, b, GRID) for k in np.flatnonzero(np.diff(base) > LONG_SENTENCE).tolist() for a, b in [base[k : k + 2].tolist()]]
     if final:
         extra.append(np.arange(total, max(0, total - 2 * LENGTH), -TAIL_GRID))
-    pos = np.unique(np.concatenate([base, *extra])).astype(np.int64)
+    pos = np.unique(np.concatenate([base, *extra])).astype(np.int64) if extra else base.astype(np.int64)
     penalty = np.full(len(pos), HARD_CUT)
-    penalty[np.isin(pos, sentence_ends)] = SENTENCE_CUT
-    penalty[np.isin(pos, doc_ends) | (pos == 0) | (pos == total)] = 0.0
+    for cuts, cost in ((sentence_ends, SENTENCE_CUT), (doc_ends, 0.0)):
+        cuts = cuts[cuts <= total]
+        penalty[np.searchsorted(pos, cuts)] = cost
+    penalty[0] = penalty[-1] = 0.0
     return pos, penalty
 
 
