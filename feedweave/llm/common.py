@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,16 @@ def discard(df: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def shared(spark: SparkSession, value):
+    """A function that returns a copy of ``value`` on any executor: broadcast, its classes included, as these needn't be installed there."""
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        return pickle.loads(box.value)
+
+    return get
+
+
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null ids count as the empty string."""
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

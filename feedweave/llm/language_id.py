@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, crc_mod, flat_words, id_and_text, mix64, slices, table
+from feedweave.llm.common import byte_texts, crc_mod, flat_words, id_and_text, mix64, shared, slices, table
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 64
@@ -184,10 +184,10 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
     ``und`` with score 0 if the text is null or has no letter (and for every text without a model).  Ties go to the
     language that sorts first.  Whole texts count, however long.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs.sparkSession, model)
 
     def run(batches):
-        model = shared.value
+        model = get()
         for batch in batches:
             texts = byte_texts(batch["text"])
             out_lang, out_score = ["und"] * len(texts), [0.0] * len(texts)

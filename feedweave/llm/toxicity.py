@@ -1,8 +1,8 @@
 """Toxic documents: a learned lexicon, matched with misspellings by Levenshtein automata, scored in context.
 
 The lexicon's terms (whole words, and stems written ``stem*``) are those whose documents are labelled toxic far more often
-than chance.  A trie of the terms is walked together with each distinct word's Levenshtein automaton; a stem accepts when the
-automaton has read all of it.  Hits inside quotation marks or behind a verb of saying count apart from open abuse.  A logistic
+than chance.  A trie of the terms is walked together with each distinct word's Levenshtein automaton; a stem
+takes every word that it begins.  Hits inside quotation marks or behind a verb of saying count apart from open abuse.  A logistic
 regression over the counts gives the score.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -17,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, crc_mod, id_and_text, slices, table
+from feedweave.llm.common import byte_texts, crc_mod, id_and_text, shared, slices, stored, table
 
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000  # the bounds of the training sample, by label
-MAX_TERMS = 400
+MAX_TERMS = 200
 STEMS = range(4, 9)
 WINDOW = 6  # words on either side that tell quotation from abuse
 THRESHOLD = 0.7
 # Digits and signs that stand for letters, and words that announce a quotation.
 LOOKS_LIKE = str.maketrans("013457@$!", "oieastasi")
+DISGUISE, LETTER = re.compile("[013457@$!]"), re.compile("[^\\W\\d_]")
 SAYING = frozenset(b"said says called calls quoted quote wrote writes word term insult slur named dit disait mot sagte nannte wort dijo palabra".split())
 QUOTES = re.compile("[\"\u201c\u201d\u201e\u00ab\u00bb]")
 
@@ -39,6 +41,14 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
 
+def letter_counts(words: list[str]) -> np.ndarray:
+    """A row per word: how often it has each character, by code point modulo 61; at most 64 characters of it count."""
+    cut = [w[:64] for w in words]
+    points = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 61
+    owner = np.repeat(np.arange(len(cut)), np.fromiter(map(len, cut), np.int64, len(cut)))
+    return np.bincount(owner * 61 + points, minlength=61 * len(cut)).reshape(-1, 61).astype(np.int16)
+
+
 class Lexicon:
     """Terms with weights in a trie; ``match`` intersects it with a word's Levenshtein automaton."""
 
@@ -50,30 +60,30 @@ class Lexicon:
             for c in term.rstrip("*"):
                 node = node.setdefault(c, {})
             node.setdefault("", []).append(term)
-        masks = [(self.mask(t.rstrip("*")), len(t.rstrip("*")), allowed_edits(t)) for t in sorted(weights) if not t.endswith("*")]
-        self.masks = [np.array(x) for x in zip(*masks)] if masks else [np.zeros(0, np.int64)] * 3
+        self.whole = [t for t in sorted(weights) if not t.endswith("*")]
         self.stems = [t[:-1] for t in sorted(weights) if t.endswith("*")]
-
-    @staticmethod
-    def mask(word: str) -> int:
-        m = 0
-        for c in word:
-            m |= 1 << ord(c) % 61
-        return m
-
-    def plausible(self, words: list[str]) -> np.ndarray:
-        """Which words can match at all: an edit changes a word's length by one at most and its set of letters by two."""
-        masks = np.fromiter(map(self.mask, words), np.int64, len(words))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ok = np.zeros(len(words), bool)
-        for m, n, k in zip(*(x.tolist() for x in self.masks)):
-            ok |= (np.abs(sizes - n) <= k) & (np.bitwise_count(masks ^ m) <= 2 * k)
+        self.first = tuple(self.stems)
+        self.letters = letter_counts(self.whole)
+
+    def plausible(self, words: list[str]) -> list[int]:
+        """Positions of the words that can match at all: an edit changes a word's length by one at most, its letters' counts by two."""
+        counts = letter_counts(words)
+        sizes = counts.sum(axis=1, dtype=np.int64)
+        found = [np.zeros(0, np.int64)]
+        for term, own in zip(self.whole, self.letters):
+            k = allowed_edits(term)
+            near = np.flatnonzero(np.abs(sizes - len(term)) <= k)
+            found.append(near[np.abs(counts[near] - own).sum(axis=1) <= 2 * k])
         if self.stems:
-            ok |= np.fromiter((w.startswith(tuple(self.stems)) for w in words), bool, len(words))
-        return ok
+            found.append(np.array([i for i, w in enumerate(words) if w.startswith(self.first)], np.int64))
+        return np.unique(np.concatenate(found)).tolist()
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term that ``word`` writes and the edits needed; fewest edits first, then the longest term, then by name."""
+        if word in self.weights:
+            return word, 0
+        if stems := [s for s in self.stems if word.startswith(s) and len(word) > len(s)]:
+            return max(stems, key=len) + "*", 0
         best: tuple[int, int, str] | None = None
         state = list(range(len(word) + 1))
         limit = 2
@@ -81,9 +91,8 @@ class Lexicon:
         while stack:
             node, state, depth = stack.pop()
             for term in node.get("", ()):
-                edits = (0 if word.startswith(term[:-1]) and len(word) > depth else 99) if term.endswith("*") else state[-1]
-                if edits <= allowed_edits(term) and (edits or term.endswith("*") or len(word) == depth):
-                    found = (edits, -depth, term)
+                if not term.endswith("*") and state[-1] <= allowed_edits(term):
+                    found = (state[-1], -depth, term)
                     best = min(best, found) if best else found
             for c, child in node.items():
                 if c:
@@ -95,12 +104,25 @@ class Lexicon:
         return (best[2], best[0]) if best else None
 
 
-#: Features: weight of open hits, of misspelled ones, of quoted ones (each as log(1 + sum)), distinct terms, hits per word.
+#: What document_features counts: weights of open, misspelled and quoted hits, distinct terms written as they are, misspelled hits, words.
+RAW = ("open", "misspelled", "quoted", "kinds", "slips", "words")
 FEATURES = 5
 
 
+def design(raw: np.ndarray, noise: float) -> np.ndarray:
+    """Features of a document: logarithms of the hits' weights by kind, of the distinct terms and of the weight per word.
+
+    ``noise`` is how often a word of clean text happens to be near a term; misspelled hits count as far as they exceed what
+    that explains, three standard deviations included, so that long texts gather none by chance.
+    """
+    open_, slipped, quoted, kinds, slips, words = raw.T
+    chance = noise * words
+    excess = np.maximum(0, slips - chance - 3 * np.sqrt(chance)) / np.maximum(slips, 1)
+    return np.stack([np.log1p(open_), np.log1p(slipped * excess), np.log1p(quoted), np.log1p(kinds), np.log1p(100 * (open_ + quoted) / np.maximum(words, 1))], axis=1)
+
+
 def document_features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
-    """A row of features per text."""
+    """A row per text: see RAW."""
     words: list[bytes] = []
     counts = np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -111,16 +133,16 @@ def document_features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     distinct = coded.dictionary.to_pylist()
     bare = [plain(w) for w in distinct]
     hit_of: dict[int, tuple[float, int, str]] = {}
-    tried: list[tuple[int, str]] = []
-    for variant in (bare, [w.translate(LOOKS_LIKE) if not w.isalpha() else "" for w in bare]):
-        ok = lexicon.plausible(variant) if variant else []
-        tried += [(i, variant[i]) for i in np.flatnonzero(ok).tolist() if variant[i] and i not in hit_of]
-        for i, w in tried:
-            if i not in hit_of and (found := lexicon.match(w)):
-                term, edits = found
-                hit_of[i] = lexicon.weights[term], edits + (w != bare[i]), term
-        tried = []
-    out = np.zeros((len(texts), FEATURES))
+    for i in lexicon.plausible(bare):
+        if bare[i] and (found := lexicon.match(bare[i])):
+            hit_of[i] = lexicon.weights[found[0]], found[1], found[0]
+    signs = [i for i, w in enumerate(bare) if i not in hit_of and DISGUISE.search(w) and LETTER.search(w)]
+    other = [bare[i].translate(LOOKS_LIKE) for i in signs]
+    for k in lexicon.plausible(other):
+        if found := lexicon.match(other[k]):
+            hit_of[signs[k]] = lexicon.weights[found[0]], found[1] + 1, found[0]
+    out = np.zeros((len(texts), len(RAW)))
+    out[:, 5] = counts
     codes = coded.indices.to_numpy()
     places = np.flatnonzero(np.isin(codes, np.fromiter(hit_of, np.int64, len(hit_of)))) if hit_of else np.zeros(0, np.int64)
     begin = np.cumsum(counts) - counts
@@ -134,13 +156,13 @@ def document_features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
         opened = len(QUOTES.findall(before)) % 2 == 1 or bool(QUOTES.match(own))
         closed = bool(QUOTES.search(after)) or bool(QUOTES.search(own[1:]))
         quoted = opened and closed or any(w.lower().strip(b".,:;\"'") in SAYING for w in words[max(a, p - 3) : p])
-        out[d, 2 if quoted else 1 if edits else 0] += weight
-        kinds.setdefault(d, set()).add(term)
-    per_word = out[:, :3].sum(axis=1) / np.maximum(counts, 1)
-    out[:, :3] = np.log1p(out[:, :3])
+        out[d, 1 if edits else 2 if quoted else 0] += weight
+        if edits:
+            out[d, 4] += 1
+        else:
+            kinds.setdefault(d, set()).add(term)
     for d, k in kinds.items():
-        out[d, 3] = math.log1p(len(k))
-    out[:, 4] = np.log1p(100 * per_word)
+        out[d, 3] = len(k)
     return out
 
 
@@ -152,22 +174,26 @@ def _terms(text: bytes) -> set[str]:
 def learn_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int = MAX_TERMS) -> dict[str, float]:
     """Terms whose share of the toxic documents clearly exceeds their share of the clean ones, with log ratios as weights."""
     found = []
-    least = max(3, round(0.01 * n_toxic))
+    rate = n_toxic / max(1, n_toxic + n_clean)
+    doubt = math.log(max(1, len(toxic))) + math.log(1000)
     for term, t in toxic.items():
-        if t < least:
-            continue
         c = clean.get(term, 0)
+        share = t / (t + c)
+        if t < 3 or share <= rate or not 0 < rate < 1:
+            continue
+        # Chernoff's bound on seeing so many toxic documents among the term's by chance, over all terms tried
+        far = (t + c) * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0))
         p, q = (t + 0.5) / (n_toxic + 1), (c + 0.5) / (n_clean + 1)
-        z = (t / n_toxic - c / max(1, n_clean)) / math.sqrt(q * (1 - q) / n_toxic + 1e-9)
-        if p > 3 * q and z > 8:
-            found.append((z, -len(term), term, math.log(p / q)))
+        if far > doubt and p > 3 * q:
+            found.append((far, term, math.log(p / q)))
     chosen: dict[str, float] = {}
-    for _, _, term, weight in sorted(found, reverse=True):
+    evidence = {term: far for far, term, _ in found}
+    for far, term, weight in sorted(found, key=lambda x: (-x[0], x[1].endswith("*"), -len(x[1]), x[1])):
         stem = term.rstrip("*")
-        # a stem already chosen speaks for what it begins, unless the longer term is the purer one by far
-        over = [w for s, w in chosen.items() if s.endswith("*") and stem.startswith(s[:-1])]
-        under = [s for s in chosen if term.endswith("*") and s.rstrip("*").startswith(stem)]
-        if (over and weight < max(over) + 0.7) or any(chosen[s] > weight + 0.7 for s in under):
+        covered = [s for s in chosen if s.endswith("*") and stem.startswith(s[:-1])]
+        longer = [s for s in chosen if term.endswith("*") and s.rstrip("*").startswith(stem)]
+        # what a chosen stem begins says nothing new; a stem must add much to the chosen terms that begin with it
+        if covered or longer and far < 1.3 * max(evidence[s] for s in longer):
             continue
         chosen[term] = weight
         if len(chosen) >= most:
@@ -193,8 +219,8 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0
 PRIOR = np.array([1.5, 1.3, 0.6, 1.0, 0.2, -4.0])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and weights from ``docs(doc_id, text)`` joined with ``labels(doc_id, toxic)``.
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]:
+    """Lexicon, rate of chance hits and weights from ``docs(doc_id, text)`` joined with ``labels(doc_id, toxic)``.
 
     Bounded: at most TOXIC_DOCS toxic and CLEAN_DOCS clean documents, chosen by a hash of their ids; term counts are summed
     per batch before they are shuffled, and MAX_TERMS terms reach the driver.  Null texts or labels teach nothing.
@@ -206,6 +232,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     sample = id_and_text(docs).join(F.broadcast(chosen), "doc_id")  # the bounded sample's ids
 
+    def marked(batches):
+        for batch in batches:
+            marks = [min((zlib.crc32(b" ".join(w[k : k + 3])) for w in [text.lower().split()] for k in range(max(1, len(w) - 2))), default=0) for text in byte_texts(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["text"], batch["toxic"], pa.array(marks, pa.int64())], names=["text", "toxic", "mark"])
+
+    # copies and near copies teach once: most of them share the smallest hash of their word 3-grams
+    single = sample.select("text", "toxic").mapInArrow(marked, "text string, toxic int, mark long").groupBy("mark").agg(F.min(F.struct("toxic", "text")).alias("m"))
+    sample = stored(single.select("m.text", "m.toxic"))
+
     def count(batches):
         toxic, clean, n = Counter(), Counter(), [0, 0]
         for batch in batches:
@@ -221,31 +256,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
     n_toxic, n_clean = ((rows[0]["t"], rows[0]["c"]) if rows and rows[0]["term"] == "" else (0, 0))
     weights = learn_lexicon(Counter({r["term"]: r["t"] for r in rows[1:]}), Counter({r["term"]: r["c"] for r in rows[1:]}), n_toxic, n_clean) if n_toxic else {}
     lexicon = Lexicon(weights)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    get_lexicon = shared(docs.sparkSession, lexicon)
 
     def measure(batches):
+        lexicon = get_lexicon()
         for batch in batches:
             texts = byte_texts(batch["text"])
             for i, j in slices(texts):
-                x = document_features(texts[i:j], shared.value)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(FEATURES)), batch["toxic"][i:j]], names=[*(f"x{k}" for k in range(FEATURES)), "toxic"])
+                x = document_features(texts[i:j], lexicon)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(len(RAW))), batch["toxic"][i:j]], names=[*RAW, "toxic"])
 
-    fields = ", ".join(f"x{i} double" for i in range(FEATURES))
-    xy = np.array(sorted(map(tuple, sample.select("text", "toxic").mapInArrow(measure, f"{fields}, toxic int").collect())), np.float64).reshape(-1, FEATURES + 1)
-    y = xy[:, -1]
-    return lexicon, (logistic(xy[:, :-1], y, PRIOR) if len(set(y.tolist())) == 2 else PRIOR)
+    fields = ", ".join(f"{k} double" for k in RAW)
+    found = np.array(sorted(map(tuple, sample.select("text", "toxic").mapInArrow(measure, f"{fields}, toxic int").collect())), np.float64).reshape(-1, len(RAW) + 1)
+    raw, y = found[:, :-1], found[:, -1]
+    clean = raw[y == 0]
+    noise = float((clean[:, 4].sum() + 1) / (clean[:, 5].sum() + 1000))
+    w = logistic(design(raw, noise), y, PRIOR) if len(set(y.tolist())) == 2 else PRIOR.copy()
+    w[1] = max(w[1], 0.8 * w[0])  # misspelled abuse is rare in the labels; where it exceeds chance, it counts nearly as much
+    return lexicon, noise, w
 
 
-def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Lexicon, float, np.ndarray]) -> DataFrame:
     """``doc_id, score, predicted`` for every row of ``docs``; null and empty texts get the score of a text without hits."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs.sparkSession, model)
 
     def run(batches):
-        lexicon, w = shared.value
+        lexicon, noise, w = get()
         for batch in batches:
             texts, parts = byte_texts(batch["text"]), []
-            for i, j in slices(texts):
-                x = document_features(texts[i:j], lexicon)
+            for i, j in slices(texts, 6_000_000):
+                x = design(document_features(texts[i:j], lexicon), noise)
                 parts.append(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))))
             p = np.concatenate([*parts, np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])

@@ -270,8 +270,9 @@ def test_lexicon_automaton_equals_edit_distance():
     terms = ["idiot", "scum", "worthless", "abc"]
     lexicon = toxicity.Lexicon({t: 1.0 for t in [*terms, "lowe*"]})
     words = ["".join(rng.choice("idotscumwrhle") for _ in range(rng.randint(2, 10))) for _ in range(500)] + ["idiot", "idi0t", "idoit", "scumm", "worthles", "abcd", "lowen", "lowe", "worthlesss"]
-    ok = lexicon.plausible(words)
-    for w, plausible in zip(words, ok):
+    ok = set(lexicon.plausible(words))
+    for i, w in enumerate(words):
+        plausible = i in ok
         near = [(distance(w, t), t) for t in terms if distance(w, t) <= toxicity.allowed_edits(t)]
         found = lexicon.match(w)
         if w.startswith("lowe") and len(w) > 4:
@@ -284,7 +285,7 @@ def test_lexicon_automaton_equals_edit_distance():
 
 def test_toxicity(spark):
     rng = random.Random(6)
-    clean = lambda: " ".join(rng.choice(["house", "tree", "river", "walk", "stone", "green"]) for _ in range(40))
+    clean = lambda: " ".join("".join(rng.choice(["hou", "tre", "riv", "wal", "sto", "gre", "na"]) for _ in range(4)) for _ in range(40))
     rows, labels = [], []
     for i in range(400):
         toxic = i % 4 == 0
