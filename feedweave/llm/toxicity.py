@@ -104,7 +104,7 @@ class Lexicon:
         return (best[2], best[0]) if best else None
 
 
-#: What document_features counts: weights of open, misspelled and quoted hits, distinct terms written as they are, misspelled hits, words.
+#: What document_features counts: weights of open, misspelled and quoted hits, distinct terms written as they are, misspelled forms, words.
 RAW = ("open", "misspelled", "quoted", "kinds", "slips", "words")
 FEATURES = 5
 
@@ -113,11 +113,11 @@ def design(raw: np.ndarray, noise: float) -> np.ndarray:
     """Features of a document: logarithms of the hits' weights by kind, of the distinct terms and of the weight per word.
 
     ``noise`` is how often a word of clean text happens to be near a term; misspelled hits count as far as they exceed what
-    that explains, three standard deviations included, so that long texts gather none by chance.
+    that explains, four standard deviations included, so that long texts gather none by chance.
     """
     open_, slipped, quoted, kinds, slips, words = raw.T
     chance = noise * words
-    excess = np.maximum(0, slips - chance - 3 * np.sqrt(chance)) / np.maximum(slips, 1)
+    excess = np.maximum(0, slips - chance - 4 * np.sqrt(chance)) / np.maximum(slips, 1)
     return np.stack([np.log1p(open_), np.log1p(slipped * excess), np.log1p(quoted), np.log1p(kinds), np.log1p(100 * (open_ + quoted) / np.maximum(words, 1))], axis=1)
 
 
@@ -148,6 +148,7 @@ def document_features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     begin = np.cumsum(counts) - counts
     owners = np.searchsorted(begin + counts, places, side="right")
     kinds: dict[int, set[str]] = {}
+    forms: set[tuple[int, int]] = set()
     for p, d in zip(places.tolist(), owners.tolist()):
         weight, edits, term = hit_of[int(codes[p])]
         a, b = max(int(begin[d]), p - WINDOW), min(int(begin[d] + counts[d]), p + WINDOW + 1)
@@ -156,11 +157,13 @@ def document_features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
         opened = len(QUOTES.findall(before)) % 2 == 1 or bool(QUOTES.match(own))
         closed = bool(QUOTES.search(after)) or bool(QUOTES.search(own[1:]))
         quoted = opened and closed or any(w.lower().strip(b".,:;\"'") in SAYING for w in words[max(a, p - 3) : p])
-        out[d, 1 if edits else 2 if quoted else 0] += weight
-        if edits:
-            out[d, 4] += 1
-        else:
+        if not edits:
+            out[d, 2 if quoted else 0] += weight
             kinds.setdefault(d, set()).add(term)
+        elif (form := (d, int(codes[p]))) not in forms:  # a misspelled form counts once in a text
+            forms.add(form)
+            out[d, 1] += weight
+            out[d, 4] += 1
     for d, k in kinds.items():
         out[d, 3] = len(k)
     return out
@@ -272,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
     clean = raw[y == 0]
     noise = float((clean[:, 4].sum() + 1) / (clean[:, 5].sum() + 1000))
     w = logistic(design(raw, noise), y, PRIOR) if len(set(y.tolist())) == 2 else PRIOR.copy()
-    w[1] = max(w[1], 0.8 * w[0])  # misspelled abuse is rare in the labels; where it exceeds chance, it counts nearly as much
+    w[1] = max(w[1], w[0] + 0.4 * max(w[3], 0.0))  # misspelled abuse is rare in the labels; where it exceeds chance, it counts nearly as much
     return lexicon, noise, w
 
 
