@@ -530,3 +530,6 @@ def stream_progressive(spark, sf_dir):
     rows = e.select(F.col("user_id").alias("post_id"), i.alias("seq"), F.when(i % 4 == 0, "").otherwise(F.concat_ws(" ", "event_type", (i % 10).cast("string"))).alias("text"), F.when(i % 5 != 0, F.concat_ws(" ", F.lit("Author"), (F.col("user_id") % 37).cast("string"))).alias("author_name"))
     found = _drained(streams.progressive(rows), "feedweave_progressive", "update")
     return found.groupBy("post_id").agg(F.max(F.struct("n", "text", "author_name")).alias("m")).select("post_id", "m.text", "m.author_name", "m.n")
+
+
+from feedweave.plans import panel_queries  # noqa: E402, F401  registers its queries here
