@@ -18,72 +18,56 @@ from feedweave.llm.common import sorted_groups, stored, table
 BLOCK = 4096  # candidates of a block
 QUERY_BLOCK = 1024
 LEVELS = 16  # quantised impacts of a dimension within a block
-ROUND = 0.08  # share of a query's segments that is processed between proofs
+ROUNDS = (0.3, 0.5, 0.7, 1.0)  # shares of a query's segments that are processed when bounds are drawn
 
 
 class BlockIndex:
-    """Impact-ordered posting segments of a block of integer vectors."""
+    """Impact-ordered posting segments of a block of integer vectors: per dimension and quantised impact the rows that have it."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        low, high = vectors.min(axis=0), vectors.max(axis=0)
-        self.step = np.maximum(1, -(-(high - low + 1) // LEVELS))
-        level = (vectors - low) // self.step
         d = vectors.shape[1]
-        self.floor = low + np.arange(LEVELS)[:, None] * self.step  # least impact of each level, by dimension
-        order = np.argsort(level, axis=0, kind="stable")
-        self.rows = order.T.copy()  # by dimension, rows by ascending level
-        self.ends = np.stack([np.searchsorted(level[order[:, k], k], np.arange(LEVELS + 1)) for k in range(d)])
+        low, high = vectors.min(axis=0), vectors.max(axis=0)
+        step = np.maximum(1, -(-(high - low + 1) // LEVELS))
+        level = (vectors - low) // step
+        self.floor = low + np.arange(LEVELS)[:, None] * step  # least and largest impact of each segment
+        self.top = self.floor + step - 1
+        self.segment = (level * d + np.arange(d)).astype(np.int32)  # of each row and dimension
+        self.filled = np.bincount(self.segment.reshape(-1), minlength=LEVELS * d).reshape(LEVELS, d) > 0
 
     def search(self, q: np.ndarray, k: int, skip: slice = slice(0, 0)) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the ``k`` best rows, those of ``skip`` left out; ties at the last place are all there."""
-        n, d = self.vectors.shape
-        top = self.floor + self.step - 1
-        best = np.maximum(q * self.floor, q * top)  # a segment's largest and least contribution
-        least = np.minimum(q * self.floor, q * top)
-        filled = np.diff(self.ends, axis=1).T > 0
-        lv, dim = np.nonzero(filled)
-        gain = best[lv, dim]
-        order = np.argsort(-gain, kind="stable")
-        lv, dim = lv[order], dim[order]
-        # Bounds of each row, dimension by dimension: processed ones by their segment, others by the best segment to come.
-        ahead = np.where(filled, best, np.iinfo(np.int64).min).max(axis=0).astype(np.int64)
-        behind = np.where(filled, least, np.iinfo(np.int64).max).min(axis=0).astype(np.int64)
-        upper, lower = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        upper += ahead.sum()
-        lower += behind.sum()
-        pending = [[] for _ in range(d)]
-        for a, b in zip(dim.tolist(), lv.tolist()):
-            pending[a].append(b)
-        alive = np.ones(n, bool)
+        """Positions and scores of the ``k`` best rows, those of ``skip`` left out; ties at the last place are all there.
+
+        Segments are processed by descending contribution.  A row's score lies between the sums of what its processed
+        segments contribute and of the least and most that unprocessed ones of a dimension can; rows whose most is below the
+        k-th best least are proven out, and only when few are left, or all segments are processed, are those scored exactly.
+        """
+        some, none = np.iinfo(np.int64).max >> 8, np.iinfo(np.int64).min >> 8
+        ends = q * self.floor, q * self.top
+        best, least = np.maximum(*ends), np.minimum(*ends)
+        gain = np.where(self.filled, best, none)
+        order = np.argsort(-gain, axis=None, kind="stable")[: int(self.filled.sum())]
+        alive = np.ones(len(self.vectors), bool)
         alive[skip] = False
-        size = max(d, int(len(lv) * ROUND))
-        seen = np.zeros((d, n), bool) if d * n <= 1 << 24 else None
-        for at in range(0, len(lv), size):
-            if int(alive.sum()) <= max(4 * k, 32):
+        live = np.flatnonzero(alive)
+        waiting = self.filled.copy()
+        at = 0
+        for share in ROUNDS:
+            if len(live) <= max(4 * k, 32):
                 break
-            for a, b in zip(dim[at : at + size].tolist(), lv[at : at + size].tolist()):
-                rows = self.rows[a, self.ends[a, b] : self.ends[a, b + 1]]
-                upper[rows] += best[b, a] - ahead[a]
-                lower[rows] += least[b, a] - behind[a]
-                if seen is not None:
-                    seen[a, rows] = True
-                pending[a].remove(b)
-                nxt = max((best[c, a] for c in pending[a]), default=ahead[a])
-                if seen is not None and nxt < ahead[a]:
-                    upper[~seen[a]] += nxt - ahead[a]
-                    # rows of later segments start from the lowered bound
-                    ahead[a] = nxt
-            live = np.flatnonzero(alive)
-            if len(live) > k:
-                proven = np.partition(lower[live], len(live) - k)[len(live) - k]
-                alive[live[upper[live] < proven]] = False
-        rows = np.flatnonzero(alive)
-        scores = self.vectors[rows] @ q  # the exact scores of all rows that can be among the best
-        if len(rows) > k:
-            keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
-            rows, scores = rows[keep], scores[keep]
-        return rows, scores
+            to = int(np.ceil(share * len(order)))
+            waiting.reshape(-1)[order[at:to]] = False
+            at = to
+            most = np.where(waiting, np.where(waiting, best, none).max(axis=0), best).reshape(-1)
+            fewest = np.where(waiting, np.where(waiting, least, some).min(axis=0), least).reshape(-1)
+            mine = self.segment[live]
+            lower = fewest[mine].sum(axis=1)
+            live = live[most[mine].sum(axis=1) >= np.partition(lower, len(live) - k)[len(live) - k]]
+        scores = self.vectors[live] @ q
+        if len(live) > k:
+            keep = scores >= np.partition(scores, len(live) - k)[len(live) - k]
+            live, scores = live[keep], scores[keep]
+        return live, scores
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
