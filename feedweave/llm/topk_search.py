@@ -2,8 +2,8 @@
 
 Every component becomes floor(scale * x).  Candidates lie in blocks; a block's index holds, for each dimension, posting
 segments of rows with equal quantised impact.  For a query the segments of all dimensions are processed by descending
-contribution to the score.  After each round a bound on what is still to come proves which rows can't be among the best; the
-search stops on that proof alone, and the rows that still can are scored exactly.
+contribution to the score.  A bound on what is still to come proves which rows can't be among the best; the search stops on
+that proof alone, and the rows that still can are scored exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from feedweave.llm.common import sorted_groups, stored, table
 BLOCK = 4096  # candidates of a block
 QUERY_BLOCK = 1024
 LEVELS = 16  # quantised impacts of a dimension within a block
-ROUNDS = (0.3, 0.5, 0.7, 1.0)  # shares of a query's segments that are processed when bounds are drawn
+SHARE = 0.7  # of a query's segments that are processed before bounds are drawn for the first time
+TOGETHER = 16  # queries whose accumulators are filled side by side
 
 
 class BlockIndex:
@@ -29,45 +30,70 @@ class BlockIndex:
         d = vectors.shape[1]
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         step = np.maximum(1, -(-(high - low + 1) // LEVELS))
-        level = (vectors - low) // step
+        self.level = np.ascontiguousarray(((vectors - low) // step).T.astype(np.int16))
         self.floor = low + np.arange(LEVELS)[:, None] * step  # least and largest impact of each segment
         self.top = self.floor + step - 1
-        self.segment = (level * d + np.arange(d)).astype(np.int32)  # of each row and dimension
-        self.filled = np.bincount(self.segment.reshape(-1), minlength=LEVELS * d).reshape(LEVELS, d) > 0
+        place = self.level.T.astype(np.int64) * d + np.arange(d)
+        self.filled = np.bincount(place.reshape(-1), minlength=LEVELS * d).reshape(LEVELS, d) > 0
 
-    def search(self, q: np.ndarray, k: int, skip: slice = slice(0, 0)) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the ``k`` best rows, those of ``skip`` left out; ties at the last place are all there.
+    def ceilings(self, queries: np.ndarray, share: float) -> np.ndarray:
+        """For each dimension, level and query the most that a row of that segment can add to the score.
 
-        Segments are processed by descending contribution.  A row's score lies between the sums of what its processed
-        segments contribute and of the least and most that unprocessed ones of a dimension can; rows whose most is below the
-        k-th best least are proven out, and only when few are left, or all segments are processed, are those scored exactly.
+        The segments are processed by descending contribution, until ``share`` of them are.  A processed one adds its own
+        largest contribution; rows of all others add at most what the best unprocessed segment of the dimension does.
         """
-        some, none = np.iinfo(np.int64).max >> 8, np.iinfo(np.int64).min >> 8
-        ends = q * self.floor, q * self.top
-        best, least = np.maximum(*ends), np.minimum(*ends)
-        gain = np.where(self.filled, best, none)
-        order = np.argsort(-gain, axis=None, kind="stable")[: int(self.filled.sum())]
-        alive = np.ones(len(self.vectors), bool)
-        alive[skip] = False
-        live = np.flatnonzero(alive)
-        waiting = self.filled.copy()
-        at = 0
-        for share in ROUNDS:
-            if len(live) <= max(4 * k, 32):
-                break
-            to = int(np.ceil(share * len(order)))
-            waiting.reshape(-1)[order[at:to]] = False
-            at = to
-            most = np.where(waiting, np.where(waiting, best, none).max(axis=0), best).reshape(-1)
-            fewest = np.where(waiting, np.where(waiting, least, some).min(axis=0), least).reshape(-1)
-            mine = self.segment[live]
-            lower = fewest[mine].sum(axis=1)
-            live = live[most[mine].sum(axis=1) >= np.partition(lower, len(live) - k)[len(live) - k]]
-        scores = self.vectors[live] @ q
-        if len(live) > k:
-            keep = scores >= np.partition(scores, len(live) - k)[len(live) - k]
-            live, scores = live[keep], scores[keep]
-        return live, scores
+        best = np.maximum(queries[:, None, :] * self.floor, queries[:, None, :] * self.top).astype(np.float64)
+        best[:, ~self.filled] = -np.inf
+        total = int(self.filled.sum())
+        if (done := int(np.ceil(share * total))) < total:
+            flat = best.reshape(len(queries), -1)
+            waiting = np.ones(flat.shape, bool)
+            np.put_along_axis(waiting, np.argpartition(-flat, done, axis=1)[:, :done], False, axis=1)
+            waiting = waiting.reshape(best.shape)
+            best = np.where(waiting, np.where(waiting, best, -np.inf).max(axis=1, keepdims=True), best)
+        return best.transpose(2, 1, 0)
+
+    def bounds(self, queries: np.ndarray, share: float, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """An upper bound of the score of each of ``rows`` (first axis) and query, no lower than the score even by rounding."""
+        table = self.ceilings(queries, share)
+        room = np.abs(np.where(np.isfinite(table), table, 0)).max(axis=1, initial=0).sum(axis=0).max(initial=0)
+        table = np.ascontiguousarray(table, np.float32 if room < 1 << 24 else np.float64)  # 24 bits hold such sums exactly
+        level = self.level[:, rows]
+        most = table[0][level[0]]
+        for d in range(1, len(level)):
+            most += table[d].take(level[d], axis=0)
+        return most if room < 1 << 24 else most + room * 1e-9
+
+    def search(self, queries: np.ndarray, k: int, skip: list[slice]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, positions and scores of the ``k`` best rows, those of its ``skip`` left out; ties at the last place are all there.
+
+        The k-th best exact score among rows with high bounds is one that the k best reach; rows whose bound is below it are
+        proven out.  If many are left after a share of the segments, the others are processed for these.  What is left then
+        is scored exactly.
+        """
+        out = []
+        for a in range(0, len(queries), TOGETHER):
+            for q, most, left_out in zip(queries[a : a + TOGETHER], self.bounds(queries[a : a + TOGETHER], SHARE).T, skip[a : a + TOGETHER]):
+                most = most.copy()
+                most[left_out] = -np.inf
+                live = self.survivors(q, k, np.flatnonzero(most > -np.inf), most)
+                if len(live) > 16 * k:
+                    most = np.full(len(most), -np.inf)
+                    most[live] = self.bounds(q[None], 1.0, live)[:, 0]
+                    live = self.survivors(q, k, live, most)
+                scores = self.vectors[live] @ q
+                if len(live) > k:
+                    keep = scores >= np.partition(scores, len(live) - k)[len(live) - k]
+                    live, scores = live[keep], scores[keep]
+                out.append((live, scores))
+        return out
+
+    def survivors(self, q: np.ndarray, k: int, live: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Those of ``live`` that their bounds ``most`` don't prove out."""
+        if len(live) <= 4 * k:
+            return live
+        some = live[np.argpartition(most[live], len(live) - 4 * k)[len(live) - 4 * k :]]
+        return live[most[live] >= np.partition(self.vectors[some] @ q, 3 * k)[3 * k]]
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
@@ -93,9 +119,8 @@ def _search(k: int):
                 order = np.argsort(other, kind="stable")
                 other, index = other[order], BlockIndex(v[~flag][order])
                 out: list[tuple[int, int, int]] = []
-                for query, x in zip(own.tolist(), v[flag]):
-                    same = slice(int(np.searchsorted(other, query)), int(np.searchsorted(other, query, side="right")))
-                    rows, scores = index.search(x, k, same)
+                low, high = np.searchsorted(other, own), np.searchsorted(other, own, side="right")
+                for query, (rows, scores) in zip(own.tolist(), index.search(v[flag], k, [slice(x, y) for x, y in zip(low.tolist(), high.tolist())])):
                     best = np.lexsort((other[rows], -scores))[:k]
                     out += [(query, int(other[rows[i]]), int(scores[i])) for i in best]
                 if out:
