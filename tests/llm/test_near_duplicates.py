@@ -172,11 +172,19 @@ def test_index_stops_early_and_keeps_ties():
     v = rng.integers(-60, 60, (3000, 32))
     v[100:140] = v[7]
     index = topk_search.BlockIndex(v)
-    for q in v[:40]:
-        rows, scores = index.search(q, 5)
+    queries, skip = v[:40], [slice(k, k + 1) for k in range(40)]
+    for q, own, (rows, scores) in zip(queries, skip, index.search(queries, 5, skip)):
         want = v @ q
-        least = np.sort(want)[-5]
-        assert sorted(rows.tolist()) == np.flatnonzero(want >= least).tolist() and (want[rows] == scores).all()
+        kept = np.delete(np.arange(len(v)), own)
+        least = np.sort(want[kept])[-5]
+        assert sorted(rows.tolist()) == kept[want[kept] >= least].tolist() and (want[rows] == scores).all()
+    for share in (0.3, topk_search.SHARE, 1.0):
+        most = index.bounds(queries, share)
+        assert (most >= v @ queries.T).all()
+        assert (index.bounds(queries[:1], share, np.array([5, 70]))[:, 0] == most[[5, 70], 0]).all()
+    assert len(index.survivors(queries[7], 5, np.arange(len(v)), most[:, 7])) < len(v) // 10
+    huge = topk_search.BlockIndex(v * (1 << 20))
+    assert all(sorted(x.tolist()) == sorted(y.tolist()) for (x, _), (y, _) in zip(huge.search(queries, 5, skip), index.search(queries, 5, skip)))
 
 
 def test_screen_never_drops_a_link():
