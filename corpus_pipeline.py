@@ -12,6 +12,7 @@ from feedweave.llm import language_id, minhash_dedup, packing, toxicity
 from feedweave.llm.common import stored, table
 
 LEAST_SCORE = 0.5  # of the predicted language
+NEAR_PERCENT = 80  # Jaccard similarity of the word shingles of near-duplicates
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group, the one with the smallest id."""
-    return _only(docs, minhash_dedup.near_duplicates(docs).where("kept"))
+    return _only(docs, minhash_dedup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ confirmed by the exact intersection of the full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,11 @@ from feedweave.llm.common import byte_texts, flat_words, id_and_text, mix64, sli
 from feedweave.llm.components import connected_components
 
 WIDTH = 5
-BANDS, ROWS = 24, 5
+ROWS = 5  # MinHash values of a band
+MISSES = 1e-6  # most that the chance to miss a pair exactly at the limit may be
 SAMPLE = 1024  # smallest hashes of a set that its odd sketch folds
 SKETCH_WORDS = 32  # 64-bit words of an odd sketch
 TILE = 256  # members of a bucket compared in one row of a tile join, on either side
-SAMPLES = BANDS * ROWS
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -49,9 +50,14 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return sets
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def bands_for(percent: int) -> int:
+    """Bands that miss a pair at ``percent`` with a chance of MISSES at most: 24 at 85, 35 at 80."""
+    return max(1, math.ceil(math.log(MISSES) / math.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
+def _permutations(samples: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(8)
-    return rng.integers(0, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, SAMPLES, np.uint64)
+    return rng.integers(0, 2**63, samples, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, samples, np.uint64)
 
 
 def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,27 +79,30 @@ def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
 
 
-def _signed(batches):
-    a, b = _permutations()
-    for batch in batches:
-        texts = byte_texts(batch["text"])
-        for i, j in slices(texts):
-            sets = shingle_sets(texts[i:j])
-            bands = np.zeros((len(sets), BANDS), np.uint64)
-            sketches = np.zeros((len(sets), SKETCH_WORDS), np.int64)
-            digests = np.zeros((len(sets), 2), np.int64)
-            for k, s in enumerate(sets):
-                if len(s):
-                    low = signature(s, a, b)
-                    x = np.arange(BANDS, dtype=np.uint64)
-                    for r in range(ROWS):
-                        x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS])
-                    bands[k], sketches[k] = x, odd_sketch(s)
-                    digests[k] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"][i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(bands.view(np.int64)), _lists(sketches)],
-                names=["doc_id", "n", "d1", "d2", "bands", "sketch"],
-            )
+def _signed(n_bands: int):
+    def signed(batches):
+        a, b = _permutations(n_bands * ROWS)
+        for batch in batches:
+            texts = byte_texts(batch["text"])
+            for i, j in slices(texts):
+                sets = shingle_sets(texts[i:j])
+                bands = np.zeros((len(sets), n_bands), np.uint64)
+                sketches = np.zeros((len(sets), SKETCH_WORDS), np.int64)
+                digests = np.zeros((len(sets), 2), np.int64)
+                for k, s in enumerate(sets):
+                    if len(s):
+                        low = signature(s, a, b)
+                        x = np.arange(n_bands, dtype=np.uint64)
+                        for r in range(ROWS):
+                            x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS])
+                        bands[k], sketches[k] = x, odd_sketch(s)
+                        digests[k] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"][i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), _lists(bands.view(np.int64)), _lists(sketches)],
+                    names=["doc_id", "n", "d1", "d2", "bands", "sketch"],
+                )
+
+    return signed
 
 
 def _sets(batches):
@@ -143,10 +152,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Links: 100 * |A & B| >= percent * |A | B| on sets of word 5-grams.  ``component_id`` is the smallest doc_id reachable by
     links; ``kept`` marks it.  Null, empty and blank texts have empty sets, link with nothing and are kept.  Rows that repeat
     a doc_id with the same text are copies of each other; a null doc_id takes no part and comes back kept.  An empty table
-    gives an empty result; other columns are ignored.  24 bands of 5 rows miss a pair at 0.85 once in about a million.
+    gives an empty result; other columns are ignored.  ``bands_for(percent)`` bands
+    of 5 rows miss a pair at the limit once in about a million.
     """
     docs = id_and_text(docs)
-    signed = stored(docs.mapInArrow(_signed, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
+    signed = stored(docs.mapInArrow(_signed(bands_for(percent)), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
     full = signed.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
     about = classes.select("rep", "n", "sketch")
@@ -193,6 +203,7 @@ def _across(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     tiles = rest.withColumn("own", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     tiles = tiles.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("tile", F.xxhash64("hub", "size", "who", "i", "j")).drop("hub", "size", "who", "other")
     keys = ["tile", "band", "i", "j"]
+    n_bands = bands_for(percent)
     cols = ["tile", "band", "i", "j", "own", "rep", "c", "n", "sketch", "bands"]
 
     def pairs_of(t, a: int, b: int):
@@ -200,7 +211,7 @@ def _across(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         rows = t.slice(a, b - a)
         rep, c, n, own = (rows[k].to_numpy() for k in ("rep", "c", "n", "own"))
         sketch = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, n_bands)
         band, i, j = (t[k][a].as_py() for k in ("band", "i", "j"))
         xs, ys = [], []
         for x in range(b - a):
@@ -272,4 +283,4 @@ def common(values: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) ->
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

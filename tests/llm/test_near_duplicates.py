@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from feedweave.llm import embedding_dedup, minhash_dedup, topk_search
 from feedweave.llm.components import connected_components
 
@@ -76,6 +77,28 @@ def test_documents_equal_brute_force(spark, seed):
     assert found == expected_documents(texts)
 
 
+def test_pipeline_stage_drops_near_copies_at_80(spark):
+    """Copies with a Jaccard similarity of 0.80 to 0.85 go in the pipeline's stage, which equals brute force at 0.8; op8 keeps them."""
+    base = [f"w{i}" for i in range(204)]  # 200 shingles
+    near, far = list(base), list(base)
+    for i in (20, 60, 100, 140):
+        near[i] = "x"  # 180 shared of 220
+    for i in (20, 60, 100, 140, 180):
+        far[i] = "y"  # 175 shared of 225
+    texts = [" ".join(w) for w in (base, near, far)] + corpus(1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert kept == [i for i, _, c in expected_documents(texts, 80) if i == c] and kept[:2] == [0, 2]
+    at85 = {r["doc_id"] for r in minhash_dedup.near_duplicates(df, percent=85).where("kept").collect()}
+    assert {0, 1, 2} <= at85
+
+
+@pytest.mark.parametrize("percent, bands", [(85, 24), (80, 35)])
+def test_bands_miss_a_pair_at_the_limit_once_in_a_million(percent, bands):
+    assert minhash_dedup.bands_for(percent) == bands
+    assert (1 - (percent / 100) ** minhash_dedup.ROWS) ** bands <= 1e-6
+
+
 def test_documents_empty_and_null_ids(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = minhash_dedup.near_duplicates(spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id long, text string")).collect()
