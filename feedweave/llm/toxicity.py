@@ -174,11 +174,27 @@ def _terms(text: bytes) -> set[str]:
     return whole | {w[:n] + "*" for w in whole for n in STEMS if len(w) > n}
 
 
-def learn_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int = MAX_TERMS) -> dict[str, float]:
-    """Terms whose share of the toxic documents clearly exceeds their share of the clean ones, with log ratios as weights."""
+def doubt_of(tried: int) -> float:
+    """What a term's evidence must exceed if so many terms are tried."""
+    return math.log(max(1, tried)) + math.log(1000)
+
+
+def clear_terms(counts: DataFrame, n_toxic: int, n_clean: int, tried: int) -> DataFrame:
+    """The rows of ``counts(term, t, c)`` that learn_lexicon would find, by the same bound, odds and direction."""
+    t, c, rate = F.col("t"), F.col("c"), n_toxic / (n_toxic + n_clean)
+    share = t / (t + c)
+    far = (t + c) * (share * F.log(share / rate) + F.when(c > 0, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0))
+    return counts.where((t >= 3) & (share > rate) & (far > doubt_of(tried) - 1e-6) & ((t + 0.5) / (n_toxic + 1) > 3 * (c + 0.5) / (n_clean + 1)))
+
+
+def learn_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int = MAX_TERMS, tried: int | None = None) -> dict[str, float]:
+    """Terms whose share of the toxic documents clearly exceeds their share of the clean ones, with log ratios as weights.
+
+    ``tried`` is the number of terms that ``toxic`` was picked from, if these are not all.
+    """
     found = []
     rate = n_toxic / max(1, n_toxic + n_clean)
-    doubt = math.log(max(1, len(toxic))) + math.log(1000)
+    doubt = doubt_of(len(toxic) if tried is None else tried)
     for term, t in toxic.items():
         c = clean.get(term, 0)
         share = t / (t + c)
@@ -226,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
     """Lexicon, rate of chance hits and weights from ``docs(doc_id, text)`` joined with ``labels(doc_id, toxic)``.
 
     Bounded: at most TOXIC_DOCS toxic and CLEAN_DOCS clean documents, chosen by a hash of their ids; term counts are summed
-    per batch before they are shuffled, and MAX_TERMS terms reach the driver.  Null texts or labels teach nothing.
+    per batch before they are shuffled, and only terms that pass the significance bound reach the driver.  Null texts or labels teach nothing.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(crc_mod(F.col("doc_id"), 3) != 1)
@@ -255,9 +271,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "t", "c"])
 
     counts = sample.select("text", "toxic").mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    rows = counts.where("term = '' or (t >= 3 and t > 0.1 * c)").orderBy(F.col("term") != "", F.desc(F.col("t") - F.col("c") / 4), "term").limit(20 * MAX_TERMS).collect()
-    n_toxic, n_clean = ((rows[0]["t"], rows[0]["c"]) if rows and rows[0]["term"] == "" else (0, 0))
-    weights = learn_lexicon(Counter({r["term"]: r["t"] for r in rows[1:]}), Counter({r["term"]: r["c"] for r in rows[1:]}), n_toxic, n_clean) if n_toxic else {}
+    counts = stored(counts.where("term = '' or t >= 3"))
+    n_toxic, n_clean, tried = counts.agg(F.sum(F.expr("if(term = '', t, 0)")), F.sum(F.expr("if(term = '', c, 0)")), F.sum(F.expr("if(term = '', 0, 1)"))).first()
+    terms = counts.where("term <> ''")
+    rows = clear_terms(terms, n_toxic, n_clean, tried).collect() if n_toxic and n_clean else []
+    weights = learn_lexicon(Counter({r["term"]: r["t"] for r in rows}), Counter({r["term"]: r["c"] for r in rows}), n_toxic, n_clean, tried=tried) if rows else {}
     lexicon = Lexicon(weights)
     get_lexicon = shared(docs.sparkSession, lexicon)
 

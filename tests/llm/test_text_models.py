@@ -306,6 +306,35 @@ def test_toxicity(spark):
     assert none.where("predicted = 1").count() == 0 and toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), marks)).count() == 0
 
 
+def labelled(n_toxic, n_clean, extra, common, seed=7):
+    """Documents and labels, none held out: all hold the ``common`` words in an order of their own, toxic document k those of ``extra(k)`` too."""
+    rng = random.Random(seed)
+    ids = [i for i in range(4 * (n_toxic + n_clean)) if zlib.crc32(str(i).encode()) % 3 != 1][: n_toxic + n_clean]
+    docs = []
+    for k, i in enumerate(ids):
+        own = list(common) + (extra(k) if k < n_toxic else [])
+        rng.shuffle(own)
+        docs.append((i, " ".join(own)))
+    return docs, [(i, int(k < n_toxic)) for k, i in enumerate(ids)]
+
+
+def test_common_words_take_no_places_from_toxic_terms(spark):
+    """More than 4,000 words that all documents hold, and a term of half the toxic ones."""
+    common = ["".join((a, b, c)) for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop"]
+    docs, labels = labelled(60, 90, lambda k: ["moronic"] * (k % 2), common)
+    lexicon, _, _ = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(common) > 4000 and set(lexicon.weights) == {"moronic"}
+
+
+def test_terms_by_columns_equal_terms_by_lexicon(spark):
+    rng = random.Random(8)
+    toxic = Counter({f"w{k}": rng.choice([1, 3, 20, 40, rng.randint(1, 60)]) for k in range(600)})
+    clean = Counter({w: rng.choice([0, 0, 1, rng.randint(0, 90)]) for w in toxic})
+    want = toxicity.learn_lexicon(toxic, clean, 60, 90, most=10**6)
+    counts = spark.createDataFrame([(w, t, clean[w]) for w, t in toxic.items()], "term string, t long, c long")
+    assert {r["term"] for r in toxicity.clear_terms(counts, 60, 90, len(toxic)).collect()} == set(want) and want
+
+
 # Revisits ----------------------------------------------------------------------------------------------------------------
 
 
