@@ -2,7 +2,7 @@
 
 The lexicon's terms (whole words, and stems written ``stem*``) are those whose documents are labelled toxic far more often
 than chance.  A trie of the terms is walked together with each distinct word's Levenshtein automaton; a stem
-takes every word that it begins.  Hits inside quotation marks or behind a verb of saying count apart from open abuse.  A logistic
+takes every word that it begins, and misspellings of the whole words that it stands for.  Hits inside quotation marks or behind a verb of saying count apart from open abuse.  A logistic
 regression over the counts gives the score.
 """
 
@@ -50,17 +50,21 @@ def letter_counts(words: list[str]) -> np.ndarray:
 
 
 class Lexicon:
-    """Terms with weights in a trie; ``match`` intersects it with a word's Levenshtein automaton."""
+    """Terms with weights in a trie; ``match`` intersects it with a word's Levenshtein automaton.
 
-    def __init__(self, weights: dict[str, float]):
+    ``forms`` are whole words that stand for a stem among the terms: the automata reach them, and they count as the stem.
+    """
+
+    def __init__(self, weights: dict[str, float], forms: dict[str, str] | None = None):
         self.weights = dict(weights)
+        self.forms = {w: stem for w, stem in (forms or {}).items() if w not in self.weights}
         self.trie: dict = {}
-        for term in sorted(weights):
+        for term in sorted([*weights, *self.forms]):
             node = self.trie
             for c in term.rstrip("*"):
                 node = node.setdefault(c, {})
             node.setdefault("", []).append(term)
-        self.whole = [t for t in sorted(weights) if not t.endswith("*")]
+        self.whole = [t for t in sorted([*weights, *self.forms]) if not t.endswith("*")]
         self.stems = [t[:-1] for t in sorted(weights) if t.endswith("*")]
         self.first = tuple(self.stems)
         self.letters = letter_counts(self.whole)
@@ -101,7 +105,7 @@ class Lexicon:
                         row.append(min(row[i] + 1, state[i + 1] + 1, state[i] + (x != c)))
                     if min(row) <= limit:
                         stack.append((child, row, depth + 1))
-        return (best[2], best[0]) if best else None
+        return (self.forms.get(best[2], best[2]), best[0]) if best else None
 
 
 #: What document_features counts: weights of open, misspelled and quoted hits, distinct terms written as they are, misspelled forms, words.
@@ -220,6 +224,18 @@ def learn_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, mo
     return chosen
 
 
+def stem_forms(weights: dict[str, float], counts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, str]:
+    """The whole words of ``counts(term, t, c)`` that a stem among the terms takes or equals, and that lean to toxic documents; the longest stem of each."""
+    stems = [s[:-1] for s in weights if s.endswith("*")]
+    if not stems:
+        return {}
+    taken = F.lit(False)
+    for n in sorted({len(s) for s in stems}):
+        taken = taken | F.substring("term", 1, n).isin([s for s in stems if len(s) == n])
+    leaning = counts.where((F.col("t") >= 3) & (F.col("t") * n_clean > F.col("c") * n_toxic) & ~F.endswith("term", F.lit("*")) & taken)
+    return {r["term"]: max((s for s in stems if r["term"].startswith(s)), key=len) + "*" for r in leaning.select("term").collect()}
+
+
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Weights (the intercept last) by Newton's method, drawn towards ``prior``."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -276,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
     terms = counts.where("term <> ''")
     rows = clear_terms(terms, n_toxic, n_clean, tried).collect() if n_toxic and n_clean else []
     weights = learn_lexicon(Counter({r["term"]: r["t"] for r in rows}), Counter({r["term"]: r["c"] for r in rows}), n_toxic, n_clean, tried=tried) if rows else {}
-    lexicon = Lexicon(weights)
+    lexicon = Lexicon(weights, stem_forms(weights, terms, n_toxic, n_clean) if weights else {})
     get_lexicon = shared(docs.sparkSession, lexicon)
 
     def measure(batches):

@@ -335,6 +335,19 @@ def test_terms_by_columns_equal_terms_by_lexicon(spark):
     assert {r["term"] for r in toxicity.clear_terms(counts, 60, 90, len(toxic)).collect()} == set(want) and want
 
 
+def test_misspellings_of_inflected_terms(spark):
+    """A term that also occurs inflected is learned as a stem; its whole words stay targets of the automata."""
+    docs, labels = labelled(60, 90, lambda k: [("idiot", "idiots", "scum", "scumbag")[k % 4]], [f"w{k}" for k in range(40)])
+    lexicon, _, _ = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(t.startswith("idio") and t.endswith("*") for t in lexicon.weights) and "idiot" not in lexicon.weights
+    words = ["idiot", "idiots", "idiotic", "ldiot", "iddiot", "idots", "idi0t"]
+    assert set(lexicon.plausible(words)) == set(range(len(words)))
+    assert [lexicon.match(w) for w in words] == [("idio*", n) for n in (0, 0, 0, 1, 1, 1, 1)]
+    assert lexicon.match("radio") is None and toxicity.Lexicon(lexicon.weights).match("ldiot") is None
+    stem = toxicity.Lexicon({"scum*": 1.0}, {"scum": "scum*"})
+    assert stem.match("scum") == ("scum*", 0) and stem.match("scvm") == ("scum*", 1) and stem.match("scvmbag") is None
+
+
 # Revisits ----------------------------------------------------------------------------------------------------------------
 
 
