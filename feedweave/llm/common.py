@@ -15,31 +15,44 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` where the cluster names one, else (tests) a new local one."""
+    """The folder every executor sees, as ``spark.checkpoint.dir`` names it.
+
+    On a cluster the setting is required; only a local master, whose executors are this machine, gets a new local folder.
+    """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not path:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         path = "file://" + tempfile.mkdtemp(prefix="feedweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors, and keeps column pruning."""
+def stored(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors, and keeps column pruning.
+
+    The table is noted in ``made``, for ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/feedweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by ``stored`` that nothing will read again, and lets Spark drop the shuffle files of finished steps."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/feedweave/" in path:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if made is not None:
+        made.append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored`` that nothing will read again, and lets Spark drop the shuffle files of finished steps."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    spark._jvm.System.gc()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def shared(spark: SparkSession, value):

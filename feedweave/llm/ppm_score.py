@@ -5,10 +5,11 @@ contexts of up to ORDER bytes, kept as one table per depth: (context, symbol, co
 followed by costs the context's escape (method D) and is looked up in the next shorter context, where the symbols of the
 longer one are excluded; the last resort is a uniform choice among the bytes never seen.
 
-Documents are dealt to blocks of bounded size.  A block reports its distinct (ORDER + 1)-grams and words as packed arrays, cut
-into PARTS by key, so that a shuffled row holds thousands of them; parts are summed as streams.  Every distinct gram's
-probability is found once by joins down the tables, and goes back, packed again, to the blocks that asked.  Words travel as
-63-bit hashes.
+Documents are dealt to blocks of bounded size, LANE blocks to a lane.  A block reports its distinct (ORDER + 1)-grams and words
+as packed arrays, cut into PARTS by key, so that a shuffled row holds thousands of them; each part of each lane is summed by
+itself, so groups stay bounded and their number grows with the text.  Every distinct gram's probability is found once by joins
+down the tables, joined with the distinct keys of each lane, and goes back, packed again, to the blocks that asked.  Words
+travel as 63-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from feedweave.llm.common import byte_texts, crc_mod, discard, flat_words, id_and_text, slices, sorted_groups, stored, table, words_of
 
 ORDER = 5
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 SLICE = 2_000_000  # bytes of text whose grams are in memory at once
 PARTS = 61
-GROUP = 64
+LANE = 32  # blocks
 END = 10  # the end mark and what stands before a text; words hold no white space
 SLICE_DOCS = 1 << 16  # fits the low 16 bits beside a gram of 48
 
@@ -59,10 +60,38 @@ def word_keys(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.array([*words.to_pylist(), None], dtype=object), categorize=False)[:-1] & np.uint64((1 << 63) - 1)
 
 
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts."""
-    u, slot = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(slot, np.concatenate(counts), len(u)).astype(np.int64)
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes plane by plane: the planes of sorted keys and small counts hold long runs, which compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+class Tally:
+    """Distinct keys, sorted, and the sums of their counts; grows by sorted distinct keys, so one slice's are held beside it at most."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        self.counts[at[known]] += counts[known]
+        if not known.all():
+            both = np.concatenate([self.keys, keys[~known]])
+            order = np.argsort(both, kind="stable")
+            self.keys, self.counts = both[order], np.concatenate([self.counts, counts[~known]])[order]
+
+
+def distinct_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
 
 
 def _gathered(batches):
@@ -71,65 +100,66 @@ def _gathered(batches):
         for a, b in zip(starts.tolist(), np.append(starts[1:], t.num_rows).tolist()):
             texts = byte_texts(t["text"].slice(a, b - a))
             train = t["train"].slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-            found = [([], []), ([], [])]
+            grams, words = Tally(), Tally()
             for i, j in slices(texts, SLICE):
                 g, owner = grams_of(texts[i:j])
-                u, n = np.unique((g << np.uint64(1)) | train[i:j][owner].astype(np.uint64), return_counts=True)
-                found[0][0].append(u >> np.uint64(1))
-                found[0][1].append(n * (u & np.uint64(1)).astype(np.int64))
+                g <<= np.uint64(1)
+                g |= train[i:j][owner].astype(np.uint64)
+                g.sort()
+                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                n = np.diff(np.append(first, len(g))) * (g[first] & np.uint64(1)).astype(np.int64)
+                grams.add(*distinct_sums(g[first] >> np.uint64(1), n))
                 coded, sizes = flat_words(texts[i:j])
                 if len(coded):
-                    found[1][0].append(word_keys(coded.dictionary))
-                    found[1][1].append(np.bincount(coded.indices.to_numpy()[np.repeat(train[i:j], sizes)], minlength=len(coded.dictionary)))
+                    n = np.bincount(coded.indices.to_numpy()[np.repeat(train[i:j], sizes)], minlength=len(coded.dictionary))
+                    words.add(*distinct_sums(word_keys(coded.dictionary), n))
+            del texts
             block = t["block"][a].as_py()
-            rows = [(block, k * PARTS + part, u[own].tobytes(), n[own].tobytes()) for k, (keys, counts) in enumerate(found) if keys for u, n in [summed(keys, counts)] for part in range(PARTS) for own in [np.flatnonzero(u % np.uint64(PARTS) == part)] if len(own)]
-            for i in range(0, len(rows), 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 16]), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "part", "keys", "n"])
+            for k, tally in enumerate((grams, words)):
+                for part in range(PARTS):
+                    own = tally.keys % np.uint64(PARTS) == part
+                    if own.any():
+                        values = [block], [k * PARTS + part], [packed(tally.keys[own])], [packed(tally.counts[own])]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "part", "keys", "n"])
 
 
-def _totals(batches):
-    """The sums of each part over all blocks; the rows come sorted by part, and what is held is one part's distinct keys."""
-    part, keys, counts, held = None, [], [], 0
+def _combined(batches):
+    """The distinct keys of a part in a lane with their counts summed over its blocks; rows come sorted by both, one part's keys of a lane are held."""
+    now, tally = None, Tally()
 
     def emit():
-        u, n = summed(keys, counts)
-        for i in range(0, len(u), 50_000):
-            k = u[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + 50_000])], names=["part", "key", "n"])
+        for i in range(0, len(tally.keys), 50_000):
+            k = tally.keys[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(k), x, np.int32)) for x in now), pa.array(k.view(np.int64)), pa.array(tally.counts[i : i + 50_000])], names=["part", "lane", "key", "n"])
 
     for batch in batches:
-        for p, k, n in zip(batch["part"].to_pylist(), batch["keys"].to_pylist(), batch["n"].to_pylist()):
-            if p != part and keys:
-                yield from emit()
-                keys, counts, held = [], [], 0
-            part = p
-            keys.append(np.frombuffer(k, np.uint64))
-            counts.append(np.frombuffer(n, np.int64))
-            held += len(keys[-1])
-            if held > 2_000_000 and len(keys) > 8:
-                u, c = summed(keys, counts)
-                keys, counts, held = [u], [c], 0
-    if keys:
+        for part, lane, k, n in zip(*(batch[c].to_pylist() for c in ("part", "lane", "keys", "n"))):
+            if (part, lane) != now:
+                if now:
+                    yield from emit()
+                now, tally = (part, lane), Tally()
+            tally.add(unpacked(k, np.uint64), unpacked(n, np.int64))
+    if now:
         yield from emit()
 
 
 def _answered(asked: pa.Table, values: pa.Table) -> pa.Table:
-    """To each block's keys of a part their values; grams' as 32-bit numbers."""
+    """To each block's keys of a part their values."""
     order = np.argsort(key := values["key"].to_numpy())
     key, value = key[order].view(np.uint64), values["value"].to_numpy()[order]
-    out = [value[np.searchsorted(key, np.frombuffer(k, np.uint64))].astype(np.float32 if p < PARTS else np.float64).tobytes() for p, k in zip(asked["part"].to_pylist(), asked["keys"].to_pylist())]
+    out = [packed(value[np.searchsorted(key, unpacked(k, np.uint64))]) for k in asked["keys"].to_pylist()]
     return pa.table({"block": asked["block"], "part": asked["part"], "keys": asked["keys"], "v": pa.array(out, pa.binary())})
 
 
-def levels(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """Per depth k from 0 to ``order``: the trie's (ctx, s, n), and its contexts (ctx, total, kinds, beneath).
+def levels(counts: DataFrame, made: list[DataFrame], order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """Per depth k from 0 to ``order``: the trie's (ctx, s, n), and its contexts (ctx, total, kinds, beneath); tables written are noted in ``made``.
 
     ``beneath`` sums, over the context's symbols, their counts in the next shorter context: what exclusion takes off there.
     """
     nodes = {order: counts.where("n > 0").select(F.shiftright("gram", 8).alias("ctx"), F.col("gram").bitwiseAND(255).alias("s"), "n")}
     for k in range(order - 1, -1, -1):
         mask = (1 << 8 * k) - 1
-        nodes[k] = stored(nodes[k + 1].groupBy(F.col("ctx").bitwiseAND(mask).alias("ctx"), "s").agg(F.sum("n").alias("n")))
+        nodes[k] = stored(nodes[k + 1].groupBy(F.col("ctx").bitwiseAND(mask).alias("ctx"), "s").agg(F.sum("n").alias("n")), made)
     out = []
     for k in range(order + 1):
         t = nodes[k].withColumn("beneath", F.lit(0).cast("long"))
@@ -137,16 +167,16 @@ def levels(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataF
             shorter = nodes[k - 1].select(F.col("ctx").alias("short"), "s", F.col("n").alias("beneath"))
             short = nodes[k].withColumn("short", F.col("ctx").bitwiseAND((1 << 8 * (k - 1)) - 1))
             t = short.join(F.broadcast(shorter) if k <= 2 else shorter, ["short", "s"])  # depths 0 and 1 hold 65,792 nodes at most
-        out.append((nodes[k], stored(t.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("beneath").alias("beneath")))))
+        out.append((nodes[k], stored(t.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("beneath").alias("beneath")), made)))
     return out
 
 
-def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def gram_scores(counts: DataFrame, made: list[DataFrame], order: int = ORDER) -> DataFrame:
     """``gram, logp`` for every gram of ``counts(gram, n)``: log10 of its last byte's probability after the others.
 
-    ``n`` counts the gram in training texts and may be 0.
+    ``n`` counts the gram in training texts and may be 0.  Tables written on the way are noted in ``made``.
     """
-    trie = levels(counts, order)
+    trie = levels(counts, made, order)
     deep = trie[order][1]
     found = counts.withColumn("ctx", F.shiftright("gram", 8)).join(deep, "ctx", "left").select("gram", "n", "total", "kinds", "beneath")
     known = found.where("n > 0").select("gram", F.log10((F.col("n") - 0.5) / F.col("total")).alias("logp"))
@@ -157,7 +187,7 @@ def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
         nodes, contexts = trie[k]
         if k <= 1:
             nodes, contexts = F.broadcast(nodes), F.broadcast(contexts)
-        here = stored(left) if k % 2 == 0 else left
+        here = stored(left, made) if k % 2 == 0 else left
         here = here.withColumn("ctx", F.shiftright("gram", 8).bitwiseAND((1 << 8 * k) - 1)).withColumn("s", F.col("gram").bitwiseAND(255))
         here = here.join(contexts, "ctx", "left").join(nodes, ["ctx", "s"], "left")
         total, kinds = F.col("total") - F.col("off"), F.col("kinds") - F.col("off_kinds")
@@ -168,17 +198,17 @@ def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return known.union(left.select("gram", (F.col("cost") - F.log10(256.0 - F.col("off_kinds"))).alias("logp")))
 
 
-def _unpacked(rows: list[tuple[bytes, bytes]], kind) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k, _ in rows)])
+def _gathered_values(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([np.zeros(0, np.uint64), *(unpacked(k, np.uint64) for k, _ in rows)])
     order = np.argsort(keys)
-    return keys[order], np.concatenate([np.zeros(0, kind), *(np.frombuffer(v, kind) for _, v in rows)])[order]
+    return keys[order], np.concatenate([np.zeros(0), *(unpacked(v, np.float64) for _, v in rows)])[order]
 
 
 def _scored(n_train: int, denominator: float, end_count: int):
     def run(docs: pa.Table, facts: pa.Table) -> pa.Table:
         rows = list(zip(facts["part"].to_pylist(), facts["keys"].to_pylist(), facts["v"].to_pylist()))
-        g, logp = _unpacked([x[1:] for x in rows if x[0] < PARTS], np.float32)
-        w, count = _unpacked([x[1:] for x in rows if x[0] >= PARTS], np.float64)
+        g, logp = _gathered_values([x[1:] for x in rows if x[0] < PARTS])
+        w, count = _gathered_values([x[1:] for x in rows if x[0] >= PARTS])
         del rows
         texts = byte_texts(docs["text"])
         parts = []
@@ -190,7 +220,7 @@ def _scored(n_train: int, denominator: float, end_count: int):
                 own |= owner.astype(np.uint64)
                 own.sort()
                 at = np.flatnonzero(np.concatenate([[True], (own[1:] ^ own[:-1]) >> np.uint64(16) != 0]))
-                value = logp[np.searchsorted(g, own[at] >> np.uint64(16))].astype(np.float64)
+                value = logp[np.searchsorted(g, own[at] >> np.uint64(16))]
                 score = np.bincount((own & np.uint64(SLICE_DOCS - 1)).astype(np.int64), np.repeat(value, np.diff(np.append(at, len(own)))), j - i)
                 coded, sizes = flat_words(texts[i:j])
                 c = count[np.searchsorted(w, word_keys(coded.dictionary))] if len(coded) else np.zeros(0)
@@ -217,20 +247,21 @@ def ppm_scores(docs: DataFrame, train: Column) -> DataFrame:
     blocks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / BLOCK_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     dealt = rows.repartition("block").sortWithinPartitions("block")
+    lane = F.floor(F.col("block") / LANE).cast("int").alias("lane")
     facts = stored(dealt.select("block", "text", "train").mapInArrow(_gathered, "block int, part int, keys binary, n binary"))
-    totals = stored(facts.select("part", "keys", "n").repartition("part").sortWithinPartitions("part").mapInArrow(_totals, "part int, key long, n long"))
+    asked = stored(facts.select("part", lane, "keys", "n").repartition("part", "lane").sortWithinPartitions("part", "lane").mapInArrow(_combined, "part int, lane int, key long, n long"))
+    totals = stored(asked.groupBy("part", "key").agg(F.sum("n").alias("n")))
     words = totals.where(F.col("part") >= PARTS)
     ends = rows.where("train").count()
     about = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n, v = about["n"] + ends, about["v"] + (ends > 0)
 
-    scores = gram_scores(totals.where(F.col("part") < PARTS).select(F.col("key").alias("gram"), "n"))
+    made: list[DataFrame] = []
+    scores = gram_scores(totals.where(F.col("part") < PARTS).select(F.col("key").alias("gram"), "n"), made)
     values = scores.select((F.col("gram") % PARTS).cast("int").alias("part"), F.col("gram").alias("key"), F.col("logp").alias("value")).union(words.select("part", "key", F.col("n").cast("double")))
-    # a group answers GROUP blocks at most; the values of a part go to each of its groups
-    asked = facts.withColumn("group", F.floor(F.col("block") / GROUP))
-    values = values.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((blocks - 1) // GROUP).cast("long"))))
-    answers = stored(asked.groupBy("part", "group").cogroup(values.groupBy("part", "group")).applyInArrow(_answered, "block int, part int, keys binary, v binary"))
-    discard(facts)
+    wanted = asked.select("part", "lane", "key").join(values, ["part", "key"])
+    answers = stored(facts.select("block", "part", lane, "keys").groupBy("part", "lane").cogroup(wanted.groupBy("part", "lane")).applyInArrow(_answered, "block int, part int, keys binary, v binary"))
+    discard(facts, asked, totals, *made)
     out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(n, n + 0.5 * (v + 1), ends), out)
 
