@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,15 +89,41 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def flat_words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All words of a batch, dictionary-encoded in order of first appearance, and each text's word count."""
-    words: list[bytes] = []
-    counts = np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = words_of(text)
-        counts[i] = len(own)
-        words += own
-    return pa.array(words, pa.binary()).dictionary_encode(), counts
+def split_words(texts: list[bytes] | pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words ``[^\\x20\\x09-\\x0D]+`` of a batch in a row, A-Z lower-cased if asked, and each text's word count."""
+    column = (texts.cast(pa.binary()) if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())).view(pa.string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.flatten().cast(pa.binary())
+    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves empty parts
+    if not some.all():
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[some], minlength=len(counts))
+        flat = flat.filter(pa.array(some))
+    return flat, counts
+
+
+def flat_words(texts: list[bytes] | pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All lower-cased words of a batch, dictionary-encoded in order of first appearance, and each text's word count."""
+    words, counts = split_words(texts)
+    return words.dictionary_encode(), counts
+
+
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the runs that start at ``first`` and are ``sizes`` long, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary or string array in a row, and each value's begin and the last one's end."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if len(column) and column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
+def binary_array(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,25 +8,26 @@ comes from a monotone queue, so the work is linear in the number of candidates.
 
 from __future__ import annotations
 
+import math
 import os
-import re
 import zlib
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, id_and_text, slices, table
+from feedweave.llm.common import binary_array, byte_texts, bytes_of, group_starts, id_and_text, shared, slices, split_words, spread, table
 
 LENGTH = 4096
 SENTENCE_CUT, HARD_CUT, NEW_SEQUENCE = 6.0, 64.0, 2.0
 LONG_SENTENCE, GRID = 512, 128  # a longer sentence may be cut on this grid
 TAIL_GRID = 64
 CHUNK = 1 << 19  # ids that one run of the dynamic programme covers, about
-END = b" "  # no word holds a space
+PART_BYTES = 16_000_000  # of text in a range of the order, about
+MARKS = 64  # rows that a range's bounds are drawn from, about
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -71,12 +72,6 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> lis
     return chain[::-1]
 
 
-def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices of the runs that start at ``first`` and are ``sizes`` long, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(first - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 class Merges:
     """The vocabulary's merges for many plain words at once: in each round every word that still can merges its best pair.
 
@@ -105,13 +100,14 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
         return np.where((self.keys[at] == pair) & (left >= 0) & (right >= 0), self.order[at], self.NONE).astype(np.int32)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words in a row, where each word's begin, and how many they are."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        data, at = bytes_of(words)
+        lengths = np.diff(at)
         rows_of, pools = [], []
-        for n in np.unique(lengths).tolist():
+        for n in np.unique(lengths[lengths > 0]).tolist():
             rows = np.flatnonzero(lengths == n)
-            raw = np.frombuffer(b"".join(words[k] for k in rows.tolist()), np.uint8).reshape(-1, n)
+            raw = data[at[rows][:, None] + np.arange(n)]
             ids = self.inner[raw]
             ids[:, -1] = self.last[raw[:, -1]]
             rank = self.ranks(ids[:, :-1], ids[:, 1:])
@@ -143,10 +139,13 @@ class Merges:
 class Tokens:
     """Token ids of texts, each distinct word of a batch encoded once: the vocabulary's words never span white space.
 
-    Words of plain Latin letters go through ``Merges``, the few others and the marks behind words through the library.
+    Words of plain Latin letters (A-Z, a-z and the letters of U+00C0 to U+00FF, 24 at most) go through ``Merges``, the few
+    others and the marks behind words through the library.
     """
 
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{1,24})([.,;:!?|]*)")
+    MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?|", np.uint8))
+    ASCII = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+    SECOND = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])  # after the byte C3
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,51 +154,67 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.merges = Merges(self.model)
 
-    def words(self, distinct: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cut(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word's core, in lower case, and what follows; a word that isn't letters and then marks has no core."""
+        data, at = bytes_of(words)
+        sizes = np.diff(at)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        two = np.zeros(len(data), bool)
+        two[:-1] = (data[:-1] == 0xC3) & self.SECOND[data[1:]]
+        letter = self.ASCII[data] | two
+        letter[1:] |= two[:-1]
+        n = np.bincount(owner[letter], minlength=len(words))
+        chars = n - np.bincount(owner[two], minlength=len(words))
+        leading = np.arange(len(data)) - at[:-1][owner] < n[owner]
+        odd = np.bincount(owner[(leading & ~letter) | ~(letter | self.MARK[data])], minlength=len(words))
+        plain = (n > 0) & (chars <= 24) & (odd == 0)
+        core = leading & plain[owner]
+        low = data.copy()
+        low[core & self.ASCII[data]] |= 0x20
+        second = np.zeros(len(data), bool)
+        second[1:] = two[:-1]
+        low[core & second & (data < 0x9F)] += 0x20
+        kept = np.where(plain, n, 0)
+        return binary_array(low[core], kept), binary_array(data[~core], sizes - kept)
+
+    def words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words in a row, where each word's begin, and how many they are."""
-        cores: dict[str, int] = {}
-        others: dict[str, int] = {"": 0}
-        core, other = np.full(len(distinct), -1), np.zeros(len(distinct), np.int64)
-        for k, w in enumerate(distinct):
-            text = w.decode()
-            if m := self.PLAIN.fullmatch(text):
-                core[k] = cores.setdefault(m[1].lower(), len(cores))
-                text = m[2]
-            other[k] = others.setdefault(text, len(others))
-        pool, first, sizes = self.merges([c.encode() for c in cores])
+        core, other = (x.dictionary_encode() for x in self.cut(distinct))
+        pool, first, sizes = self.merges(core.dictionary)
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-        rest = [x.ids for x in encode(list(others), add_special_tokens=False)]
-        if (end := END.decode()) in others:
-            rest[others[end]] = [end_id]
+        rest = [x.ids for x in encode([x.decode() for x in other.dictionary.to_pylist()], add_special_tokens=False)]
         n = np.fromiter(map(len, rest), np.int64, len(rest))
-        # units: cores first, then the others; a word is a core, if it has one, and an other
+        # units: cores first, then the others; a word is its core, if it has one, and its other
         first = np.concatenate([first, len(pool) + np.cumsum(n) - n])
         sizes = np.concatenate([sizes, n])
         pool = np.concatenate([pool, np.fromiter((i for own in rest for i in own), np.uint32, int(n.sum()))])
-        empty = len(cores) + others[""]
-        units = np.stack([np.where(core >= 0, core, empty), len(cores) + other], axis=1).reshape(-1)
+        units = np.stack([core.indices.to_numpy(), len(core.dictionary) + other.indices.to_numpy()], axis=1).reshape(-1)
         both = sizes[units].reshape(-1, 2).sum(axis=1)
         return pool[spread(first[units], sizes[units])], np.cumsum(both) - both, both
 
-    def __call__(self, texts: list[bytes], end_id: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def stops(distinct: pa.Array) -> np.ndarray:
+        """Which words end a sentence."""
+        data, at = bytes_of(distinct)
+        back = lambda k: data[np.maximum(at[1:] - k, at[:-1])] if len(data) else np.zeros(len(distinct), np.uint8)
+        one, two, three = back(1), back(2), back(3)
+        sizes = np.diff(at)
+        return np.isin(one, np.frombuffer(b".!?", np.uint8)) | ((one == 34) & (two == 46) & (sizes > 1)) | ((three == 0xE3) & (two == 0x80) & (one == 0x82) & (sizes > 2))
+
+    def __call__(self, texts: list[bytes] | pa.Array, end_id: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row with ``end_id`` after each text; each text's number of ids; where sentences end, as counts of ids before."""
-        words: list[bytes] = []
-        per_text = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = text.split()
-            per_text[i] = len(own) + 1
-            words += own
-            words.append(END)
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        pool, first, sizes = self.words(distinct, end_id)
+        words, counts = split_words(texts, lower=False)
+        coded = words.dictionary_encode()
+        pool, first, sizes = self.words(coded.dictionary)
+        # the end of a text is one more word
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(counts), len(sizes))
+        pool, first, sizes = np.append(pool, np.uint32(end_id)), np.append(first, len(pool)), np.append(sizes, 1)
         n = sizes[codes]
         ends = np.cumsum(n)
         flat = pool[spread(first[codes], n)]
-        stops = np.fromiter((w.endswith((b".", b"!", b"?", b'."', b"\xe3\x80\x82")) for w in distinct), bool, len(distinct))
-        last = np.cumsum(per_text) - 1
+        last = np.cumsum(counts + 1) - 1
         lengths = np.diff(np.concatenate([[0], ends[last]])) if len(texts) else np.zeros(0, np.int64)
-        return flat, lengths, ends[stops[codes]]
+        return flat, lengths, ends[np.append(self.stops(coded.dictionary), False)[codes]]
 
 
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, final: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -218,78 +233,122 @@ def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, fina
     return pos, penalty
 
 
+class Packer:
+    """Packs one range of the order: ``add`` takes its documents, ``solve`` gives the pieces of all windows that are settled."""
+
+    def __init__(self, part: int, length: int):
+        self.sequence, self.length = part << 40, length
+        self.ids, self.stops = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.docs: list[tuple[int, int, int]] = []  # id, ids of it before the chunk, all its ids
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, doc_ids: list[int], ids: np.ndarray, lengths: np.ndarray, stops: np.ndarray) -> None:
+        self.docs += [(doc, 0, n) for doc, n in zip(doc_ids, lengths.tolist())]
+        self.held.append((ids, stops))
+        self.size += len(ids)
+
+    def solve(self, final: bool) -> pa.RecordBatch | None:
+        at = len(self.ids)
+        more = []
+        for own, own_stops in self.held:
+            more.append(own_stops + at)
+            at += len(own)
+        ids, stops, docs = np.concatenate([self.ids, *(x for x, _ in self.held)]), np.concatenate([self.stops, *more]), self.docs
+        self.held, self.size = [], 0
+        if not len(ids):
+            return None
+        ends = np.cumsum([n - before for _, before, n in docs])
+        pos, penalty = candidates(ends, stops, len(ids), final)
+        cuts = pos[best_cuts(pos, penalty, self.length)].tolist()
+        rows, d, start = [], 0, 0
+        starts = [0, *ends.tolist()]
+        if not final and len(cuts) > 2:
+            cuts = cuts[:-1]  # the last window stays open
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            x = a
+            while x < b:
+                while starts[d + 1] <= x:
+                    d += 1
+                y = min(b, starts[d + 1])
+                doc, before, n = docs[d]
+                rows.append((doc, before + x - starts[d], y - x, zlib.crc32(ids[x:y]), n, self.sequence, x - a))
+                x = y
+            self.sequence += 1
+            start = b
+        self.ids, self.stops = ids[start:].copy(), stops[stops > start] - start
+        kept = int(np.searchsorted(ends, start, side="right"))
+        self.docs = [(doc, before + max(0, start - s), n) for (doc, before, n), s in zip(docs[kept:], starts[kept:])]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in SCHEMA.split(", ")]) if rows else None
+
+
 def _packed(path: str | None, length: int):
     def run(batches):
         import public_tokenizers
 
         tokens = Tokens(path or public_tokenizers.path("word_bpe_49k.json"))
-        sequence = TaskContext.get().partitionId() << 40
-        ids, stops = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        docs: list[tuple[int, int, int]] = []  # id, ids of it before the chunk, all its ids
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def solve(final: bool):
-            nonlocal ids, stops, docs, held, size, sequence
-            at = len(ids)
-            more = []
-            for own, own_stops in held:
-                more.append(own_stops + at)
-                at += len(own)
-            ids, stops = np.concatenate([ids, *(x for x, _ in held)]), np.concatenate([stops, *more])
-            held, size = [], 0
-            if not len(ids):
-                return None
-            ends = np.cumsum([n - before for _, before, n in docs])
-            pos, penalty = candidates(ends, stops, len(ids), final)
-            cuts = pos[best_cuts(pos, penalty, length)].tolist()
-            rows, d, start = [], 0, 0
-            starts = [0, *ends.tolist()]
-            if not final and len(cuts) > 2:
-                cuts = cuts[:-1]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                x = a
-                while x < b:
-                    while starts[d + 1] <= x:
-                        d += 1
-                    y = min(b, starts[d + 1])
-                    doc, before, n = docs[d]
-                    rows.append((doc, before + x - starts[d], y - x, zlib.crc32(ids[x:y].tobytes()), n, sequence, x - a))
-                    x = y
-                sequence += 1
-                start = b
-            ids, stops = ids[start:], stops[stops > start] - start
-            kept = int(np.searchsorted(ends, start, side="right"))
-            docs = [(doc, before + max(0, start - s), n) for (doc, before, n), s in zip(docs[kept:], starts[kept:])]
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")]) if rows else None
-
+        packer, now = None, None
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].to_pylist(), byte_texts(batch["text"])
-            for i, j in slices(texts):
-                flat, lengths, own_stops = tokens(texts[i:j])
-                docs += [(doc, 0, n) for doc, n in zip(doc_ids[i:j], lengths.tolist())]
-                held.append((flat, own_stops))
-                size += len(flat)
-                if size >= CHUNK and (out := solve(False)) is not None:
-                    yield out
-        if (out := solve(True)) is not None:
+            t = pa.Table.from_batches([batch])
+            begins = group_starts(t, ["part"]).tolist() if t.num_rows else []
+            for a, b in zip(begins, [*begins[1:], t.num_rows]):
+                part = batch["part"][a].as_py()
+                if part != now:
+                    if packer and (out := packer.solve(True)) is not None:
+                        yield out
+                    packer, now = Packer(part, length), part
+                doc_ids, texts = batch["doc_id"].slice(a, b - a).to_pylist(), byte_texts(batch["text"].slice(a, b - a))
+                for i, j in slices(texts, 6_000_000):
+                    packer.add(doc_ids[i:j], *tokens(texts[i:j]))
+                    if packer.size >= CHUNK and (out := packer.solve(False)) is not None:
+                        yield out
+        if packer and (out := packer.solve(True)) is not None:
             yield out
 
     return run
 
 
+def order_keys(ids: np.ndarray, ties: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The order of (id, tie, row) as byte strings: big-endian, the sign turned."""
+    raw = np.stack([ids, ties, rows], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(raw.astype(">u8")).view("S24").reshape(-1)
+
+
+def ranges_of(rows: DataFrame) -> Column:
+    """The number of each row's range in the order of ``doc_id, tie, row``.
+
+    Ranges hold about PART_BYTES of text.  Their bounds are quantiles of a sample by a hash, about MARKS rows a range, so that the same
+    table gives the same ranges in each run.
+    """
+    at = ["doc_id", "tie", "row"]
+    about = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 8).alias("b")).first()
+    parts = max(1, math.ceil((about["b"] or 0) / PART_BYTES))
+    one_in = max(1, about["n"] // (MARKS * parts))
+    marks = rows.where(F.pmod(F.xxhash64(*at), F.lit(one_in)) == 0).select(*(F.coalesce(c, F.lit(-(1 << 63))).alias(c) for c in at)).toPandas() if parts > 1 else None
+    bounds = np.zeros(0, "S24")
+    if marks is not None and len(marks):
+        keys = np.sort(order_keys(*(marks[c].to_numpy() for c in at)))
+        bounds = np.unique(keys[np.arange(1, parts) * len(keys) // parts])
+    get = shared(rows.sparkSession, bounds)
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series, ties: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(get(), order_keys(ids.to_numpy(), ties.to_numpy(), own.to_numpy()), side="right").astype(np.int32))
+
+    return part(F.coalesce("doc_id", F.lit(-(1 << 63))), "tie", "row")
+
+
 def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces of all documents in sequences of at most ``length`` ids: see SCHEMA for the columns.
 
     Null and empty texts are one id (the end).  A document with a null id is packed too, its pieces carry the null.  Rows
     that repeat an id are packed one after the other, each with its own ``start`` from 0.  An empty table gives an empty
-    result; other columns are ignored.  A range of the order that Spark deals to one task ends with one shorter sequence,
-    cut so that little of it is padding.  ``sequence_id`` grows with the order; it isn't gapless.
+    result; other columns are ignored.  A range of the order ends with one shorter sequence, cut so that little of it is
+    padding.  ``sequence_id`` grows with the order; it isn't gapless.  The same rows give the same pieces in each run.
     """
-    rows = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return dealt.select("doc_id", "text").mapInArrow(_packed(tokenizer_path, length), SCHEMA)
+    rows = id_and_text(docs).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.withColumn("part", ranges_of(rows)).repartitionByRange("part").sortWithinPartitions("part", "doc_id", "tie")
+    return dealt.select("part", "doc_id", "text").mapInArrow(_packed(tokenizer_path, length), SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
