@@ -1,9 +1,10 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Every component becomes floor(scale * x).  Candidates lie in blocks; a block's index holds, for each dimension, posting
-segments of rows with equal quantised impact.  For a query the segments of all dimensions are processed by descending
-contribution to the score.  A bound on what is still to come proves which rows can't be among the best; the search stops on
-that proof alone, and the rows that still can are scored exactly.
+Every component becomes floor(scale * x).  Candidates lie in blocks.  A block's index holds posting lists: for each dimension the
+rows ordered by quantised impact, cut into segments of equal impact.  For a query, the segments of all dimensions are ordered by
+what their rows can gain over the dimension's least segment, and processed in that order: each adds its gain to its rows.  After
+each round of segments a row can still gain, in each dimension where it wasn't met, what the best segment left there offers; rows
+whose bound lies below the score of k others are proven out.  The search stops once all but a small part are, and scores these exactly.
 """
 
 from __future__ import annotations
@@ -13,87 +14,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import sorted_groups, stored, table
+from feedweave.llm.common import discard, sorted_groups, stored, table
 
 BLOCK = 4096  # candidates of a block
-QUERY_BLOCK = 1024
-LEVELS = 16  # quantised impacts of a dimension within a block
-SHARE = 0.7  # of a query's segments that are processed before bounds are drawn for the first time
-TOGETHER = 16  # queries whose accumulators are filled side by side
+QUERY_BLOCK = 8192
+LEVELS = 32  # quantised impacts of a dimension within a block
+FIRST, ROUND = 0.5, 0.125  # shares of a block's postings processed before the first test of the bounds, and between tests
+LIVE = 16  # the search stops once all but the 16th part of a block's rows are proven out
 
 
 class BlockIndex:
-    """Impact-ordered posting segments of a block of integer vectors: per dimension and quantised impact the rows that have it."""
+    """Posting segments of a block of integer vectors: per dimension and quantised impact the rows that have it."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        d = vectors.shape[1]
+        n, d = vectors.shape
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         step = np.maximum(1, -(-(high - low + 1) // LEVELS))
-        self.level = np.ascontiguousarray(((vectors - low) // step).T.astype(np.int16))
-        self.floor = low + np.arange(LEVELS)[:, None] * step  # least and largest impact of each segment
-        self.top = self.floor + step - 1
-        place = self.level.T.astype(np.int64) * d + np.arange(d)
-        self.filled = np.bincount(place.reshape(-1), minlength=LEVELS * d).reshape(LEVELS, d) > 0
-
-    def ceilings(self, queries: np.ndarray, share: float) -> np.ndarray:
-        """For each dimension, level and query the most that a row of that segment can add to the score.
-
-        The segments are processed by descending contribution, until ``share`` of them are.  A processed one adds its own
-        largest contribution; rows of all others add at most what the best unprocessed segment of the dimension does.
-        """
-        best = np.maximum(queries[:, None, :] * self.floor, queries[:, None, :] * self.top).astype(np.float64)
-        best[:, ~self.filled] = -np.inf
-        total = int(self.filled.sum())
-        if (done := int(np.ceil(share * total))) < total:
-            flat = best.reshape(len(queries), -1)
-            waiting = np.ones(flat.shape, bool)
-            np.put_along_axis(waiting, np.argpartition(-flat, done, axis=1)[:, :done], False, axis=1)
-            waiting = waiting.reshape(best.shape)
-            best = np.where(waiting, np.where(waiting, best, -np.inf).max(axis=1, keepdims=True), best)
-        return best.transpose(2, 1, 0)
-
-    def bounds(self, queries: np.ndarray, share: float, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """An upper bound of the score of each of ``rows`` (first axis) and query, no lower than the score even by rounding."""
-        table = self.ceilings(queries, share)
-        room = np.abs(np.where(np.isfinite(table), table, 0)).max(axis=1, initial=0).sum(axis=0).max(initial=0)
-        table = np.ascontiguousarray(table, np.float32 if room < 1 << 24 else np.float64)  # 24 bits hold such sums exactly
-        level = self.level[:, rows]
-        most = table[0][level[0]]
-        for d in range(1, len(level)):
-            most += table[d].take(level[d], axis=0)
-        return most if room < 1 << 24 else most + room * 1e-9
+        self.level = ((vectors - low) // step).astype(np.int8)
+        self.postings = np.ascontiguousarray(np.argsort(self.level, axis=0, kind="stable").T)
+        self.impact = np.take_along_axis(np.ascontiguousarray(self.level.T), self.postings, axis=1)
+        self.size = np.stack([np.bincount(self.level[:, k], minlength=LEVELS) for k in range(d)])
+        floor = low[:, None] + np.arange(LEVELS) * step[:, None]  # least and largest impact of each segment
+        self.ends = floor.astype(np.float64), (floor + step[:, None] - 1).astype(np.float64)
+
+    def plan(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Gains by dimension and level; the filled segments by descending gain, as (dimension, level); the sum of the dimensions' least contributions."""
+        q = query[:, None].astype(np.float64)
+        most = np.where(self.size > 0, np.maximum(q * self.ends[0], q * self.ends[1]), np.inf)
+        least = most.min(axis=1)
+        gain = most - least[:, None]
+        d, level = np.nonzero(self.size)
+        order = np.argsort(-gain[d, level], kind="stable")
+        return gain, d[order], level[order], float(least.sum())
 
     def search(self, queries: np.ndarray, k: int, skip: list[slice]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query, positions and scores of the ``k`` best rows, those of its ``skip`` left out; ties at the last place are all there.
+        """For each query, positions and scores of the ``k`` best rows, those of its ``skip`` left out; ties at the last place are all there."""
+        return [self.best(q, k, left_out)[:2] for q, left_out in zip(queries, skip)]
+
+    def best(self, query: np.ndarray, k: int, skip: slice, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """As ``search`` for one query, and the number of segments that were processed.
 
-        The k-th best exact score among rows with high bounds is one that the k best reach; rows whose bound is below it are
-        proven out.  If many are left after a share of the segments, the others are processed for these.  What is left then
-        is scored exactly.
+        Rows that score below ``bar`` may be missing: the caller knows k rows of that score elsewhere.
         """
-        out = []
-        for a in range(0, len(queries), TOGETHER):
-            for q, most, left_out in zip(queries[a : a + TOGETHER], self.bounds(queries[a : a + TOGETHER], SHARE).T, skip[a : a + TOGETHER]):
-                most = most.copy()
-                most[left_out] = -np.inf
-                live = self.survivors(q, k, np.flatnonzero(most > -np.inf), most)
-                if len(live) > 16 * k:
-                    most = np.full(len(most), -np.inf)
-                    most[live] = self.bounds(q[None], 1.0, live)[:, 0]
-                    live = self.survivors(q, k, live, most)
-                scores = self.vectors[live] @ q
-                if len(live) > k:
-                    keep = scores >= np.partition(scores, len(live) - k)[len(live) - k]
-                    live, scores = live[keep], scores[keep]
-                out.append((live, scores))
-        return out
-
-    def survivors(self, q: np.ndarray, k: int, live: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Those of ``live`` that their bounds ``most`` don't prove out."""
-        if len(live) <= 4 * k:
-            return live
-        some = live[np.argpartition(most[live], len(live) - 4 * k)[len(live) - 4 * k :]]
-        return live[most[live] >= np.partition(self.vectors[some] @ q, 3 * k)[3 * k]]
+        n, dims = self.vectors.shape
+        gain, d, level, base = self.plan(query)
+        sizes = self.size[d, level]
+        behind = np.cumsum(sizes)
+        slack = 1e-6 * (gain[:, [0, -1]].max(axis=1, initial=0, where=np.isfinite(gain[:, [0, -1]])).sum() + abs(base) + 1)  # more than rounding can lose
+        upward = query <= 0  # a dimension's segments gain most at this end, so the processed ones are a run of its postings
+        met, taken = np.zeros(n), np.zeros(dims, np.int64)
+        out = np.ones(n, bool)
+        out[skip] = False
+        live, at, share = np.flatnonzero(out), 0, FIRST
+        while at < len(d) and len(live) > max(4 * k, n // LIVE):
+            at = min(len(d), int(np.searchsorted(behind, share * n * dims)) + 1)
+            share += ROUND
+            now = np.bincount(d[:at], sizes[:at], dims).astype(np.int64)
+            for j, (a, b, up) in enumerate(zip(taken.tolist(), now.tolist(), upward.tolist())):
+                if b > a:
+                    run = slice(a, b) if up else slice(n - b, n - a)
+                    met[self.postings[j, run]] += gain[j][self.impact[j, run]]
+            taken = now
+            left = np.zeros(dims)
+            left[d[at:][::-1]] = gain[d, level][at:][::-1]  # the largest of each dimension is written last
+            lowest, highest = np.full(dims, LEVELS, np.int8), np.full(dims, -1, np.int8)
+            np.minimum.at(lowest, d[:at], level[:at].astype(np.int8))
+            np.maximum.at(highest, d[:at], level[:at].astype(np.int8))
+            seen = (self.level >= lowest) & (self.level <= highest)
+            bound = base + met + left.sum() - seen.astype(np.float32) @ left.astype(np.float32) + slack
+            top = live[np.argpartition(bound[live], len(live) - 4 * k)[len(live) - 4 * k :]] if len(live) > 4 * k else live
+            scores = self.vectors[top] @ query
+            if len(scores) >= k:
+                bar = max(bar, np.partition(scores, len(scores) - k)[len(scores) - k])
+            live = live[bound[live] >= bar]
+        scores = self.vectors[live] @ query
+        if len(live) > k:
+            keep = scores >= np.partition(scores, len(live) - k)[len(live) - k]
+            live, scores = live[keep], scores[keep]
+        return live, scores, at
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
@@ -106,25 +105,34 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
 
 def _search(k: int):
     def run(batches):
+        bars: dict[int, tuple[int, dict[int, int]]] = {}  # of the query block at hand: each query row's k-th best score so far
         for t, starts in sorted_groups(batches, ["qb", "cb"]):
             ends = np.append(starts[1:], t.num_rows)
-            ids, is_query, dims = t["vec_id"].to_numpy(), t["is_query"].to_numpy(zero_copy_only=False), t["dim"].to_numpy()
+            ids, keys, is_query, dims, blocks = t["vec_id"].to_numpy(), t["row"].to_numpy(), t["is_query"].to_numpy(zero_copy_only=False), t["dim"].to_numpy(), t["qb"].to_numpy()
             q = t["q"].combine_chunks()
             for a, b in zip(starts.tolist(), ends.tolist()):
                 v = q[a:b].flatten().to_numpy().reshape(b - a, int(dims[a]))
                 flag = is_query[a:b].astype(bool)
-                own, other = ids[a:b][flag], ids[a:b][~flag]
+                own, other = np.flatnonzero(flag), np.flatnonzero(~flag)
                 if not len(own) or not len(other):
                     continue
-                order = np.argsort(other, kind="stable")
-                other, index = other[order], BlockIndex(v[~flag][order])
-                out: list[tuple[int, int, int]] = []
-                low, high = np.searchsorted(other, own), np.searchsorted(other, own, side="right")
-                for query, (rows, scores) in zip(own.tolist(), index.search(v[flag], k, [slice(x, y) for x, y in zip(low.tolist(), high.tolist())])):
-                    best = np.lexsort((other[rows], -scores))[:k]
-                    out += [(query, int(other[rows[i]]), int(scores[i])) for i in best]
+                if (block := int(blocks[a])) not in bars:
+                    bars = {block: {}}
+                bar = bars[block]
+                key = keys[a:b]
+                order = other[np.argsort(key[other], kind="stable")]
+                at = np.searchsorted(key[order], key[own])
+                index, vec_id = BlockIndex(v[order]), ids[a:b][order]
+                out: list[tuple[int, int, int, int]] = []
+                for row, i in zip(own.tolist(), at.tolist()):
+                    mine = int(key[row])
+                    rows, scores, _ = index.best(v[row], k, slice(i, i + (i < len(order) and key[order[i]] == mine)), bar.get(mine, -np.inf))
+                    best = np.lexsort((vec_id[rows], -scores))[:k]
+                    out += [(mine, int(ids[a + row]), int(vec_id[rows[j]]), int(scores[j])) for j in best.tolist()]
+                    if len(best) == k:
+                        bar[mine] = max(bar.get(mine, int(scores[best[-1]])), int(scores[best[-1]]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -132,28 +140,43 @@ def _search(k: int):
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest integer inner products, ties to the smaller vec_id.
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates all rows of other ids with a vector of the same
-    length.  Fewer than ``k`` candidates: all of them.  Null or empty vectors and those with null, NaN or infinite components
-    take no part.  Rows that repeat a vec_id with the same vector count once, with another vector as candidates of
-    their own.  An empty table gives an empty result; other columns are ignored.
+    Queries are the rows whose vec_id is divisible by ``every``; candidates all other rows with a vector of the same length.
+    Fewer than ``k`` candidates: all of them.  Null or empty vectors and those with null, NaN or infinite components, and
+    rows without a vec_id, take no part.  Rows that repeat a vec_id, with the same vector or another, are rows of their own:
+    each is a candidate of all the others, and each has its own ranking if it is a query.  An empty table gives an empty
+    result; other columns are ignored.
 
-    Candidates are dealt to blocks by a hash of their ids, queries to blocks likewise; each pair of blocks is one group of
+    Candidates are dealt to blocks by a hash of their rows, queries to blocks likewise; each pair of blocks is one group of
     bounded size.  Of each group only the k best rows of a query go on, and their last ranking is pre-limited per task.
     """
-    rows = stored(quantised(vectors, scale).distinct().withColumn("dim", F.size("q").cast("long")))
+    rows = stored(quantised(vectors, scale).withColumn("dim", F.size("q").cast("long")).withColumn("row", F.monotonically_increasing_id()))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     n, m = rows.count(), queries.count()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    by = lambda parts: F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(parts)).cast("int")
+    by = lambda parts: F.pmod(F.xxhash64("row", F.lit(9)), F.lit(parts)).cast("int")
     shape = F.col("dim") * (1 << 32)  # blocks hold vectors of one length
     cand = rows.withColumn("cb", shape + by(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("is_query", F.lit(False))
     want = queries.withColumn("qb", by(query_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cb", shape + F.col("cb")).withColumn("is_query", F.lit(True))
-    cols = ["qb", "cb", "is_query", "vec_id", "dim", "q"]
-    dealt = cand.select(cols).union(want.select(cols)).repartition("qb", "cb").sortWithinPartitions("qb", "cb", "is_query", "vec_id")
-    found = stored(dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    cols = ["qb", "cb", "is_query", "row", "vec_id", "dim", "q"]
+    dealt = cand.select(cols).union(want.select(cols)).repartition("qb", "cb").sortWithinPartitions("qb", "cb", "is_query", "row")
+    found = stored(dealt.mapInArrow(_search(k), "query_row long, query_id long, vec_id long, score long"))
+    discard(rows)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q
+  from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select a.r, a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) as bigint) as score
+  from v a join v b on a.r <> b.r and len(a.q) = len(b.q) where a.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as int) as rank, vec_id, score from s
+qualify row_number() over (partition by r order by score desc, vec_id) <= 5
+"""
