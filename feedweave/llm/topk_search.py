@@ -171,10 +171,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with v as (
-  select row_number() over () as r, vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q
-  from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+  select row_number() over () as r, vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as q
+  from embeddings where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
 ), s as (
-  select a.r, a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) as bigint) as score
+  select a.r, a.vec_id as query_id, b.vec_id, cast(list_sum([z[1] * z[2] for z in list_zip(a.q, b.q)]) as bigint) as score
   from v a join v b on a.r <> b.r and len(a.q) = len(b.q) where a.vec_id % 50 = 0
 )
 select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as int) as rank, vec_id, score from s
