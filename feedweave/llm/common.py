@@ -45,14 +45,14 @@ def stored(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
     """Deletes tables made by ``stored`` that nothing will read again, and lets Spark drop the shuffle files of finished steps."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    if tables:
+    if tables and shuffles:  # Spark's cleaner drops the shuffles of plans that were collected
+        gc.collect()
         tables[0].sparkSession._jvm.System.gc()
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, flat_words, id_and_text, mix64, slices, sorted_groups, stored, table, with_ids
+from feedweave.llm.common import byte_texts, discard, flat_words, id_and_text, mix64, slices, sorted_groups, stored, table, with_ids
 from feedweave.llm.components import connected_components
 
 WIDTH = 5
@@ -132,15 +132,15 @@ def screen_bits(a: Column, b: Column, percent: int) -> Column:
     return F.when((a <= SAMPLE) & (b <= SAMPLE), F.floor((a + b) * (100 - percent) / (100 + percent))).otherwise(most_long(percent))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, made: list[DataFrame]) -> DataFrame:
     """``doc_id, shingles`` of the documents among ``ids(doc_id)``, from their whole texts."""
-    return stored(with_ids(docs, ids.distinct()).mapInArrow(_sets, "doc_id long, shingles array<long>"))
+    return stored(with_ids(docs, ids.distinct()).mapInArrow(_sets, "doc_id long, shingles array<long>"), made)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
     """Of distinct ``pairs(a, b)``, those with 100 * intersection >= percent * union on the full shingle sets."""
-    pairs = stored(pairs)
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    pairs = stored(pairs, made)
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), made)
     first, second = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(second, "b").join(first, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -152,8 +152,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Links: 100 * |A & B| >= percent * |A | B| on sets of word 5-grams.  ``component_id`` is the smallest doc_id reachable by
     links; ``kept`` marks it.  Null, empty and blank texts have empty sets, link with nothing and are kept.  Rows that repeat
     a doc_id with the same text are copies of each other; a null doc_id takes no part and comes back kept.  An empty table
-    gives an empty result; other columns are ignored.  ``bands_for(percent)`` bands
-    of 5 rows miss a pair at the limit once in about a million.
+    gives an empty result; other columns are ignored.  ``bands_for(percent)`` bands of 5 rows miss a pair at the limit once in
+    about a million.  The sketch screen can lose no link between sets of up to SAMPLE shingles; between larger ones it lets
+    six standard deviations pass, a chance of about one in a billion.
     """
     docs = id_and_text(docs)
     signed = stored(docs.mapInArrow(_signed(bands_for(percent)), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
@@ -161,29 +162,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
     about = classes.select("rep", "n", "sketch")
 
+    # What many rows are joined with is written first: Spark splits a hot key's partition where both sides of a join are read from
+    # a shuffle directly, not where one is aggregated on the way.
+    made: list[DataFrame] = []
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    buckets = keyed.groupBy("band", "value").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("size > 1")
-    shared = stored(keyed.join(buckets, ["band", "value"]))
+    buckets = stored(keyed.groupBy("band", "value").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("size > 1"), made)
+    shared = stored(keyed.join(buckets, ["band", "value"]), made)
     # A bucket's hub is the member with the most company over all bands: a text that others were made from, if there is one.
-    company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
-    hubs = shared.join(company, "rep").groupBy("band", "value").agg((-F.max(F.struct("company", (-F.col("rep")).alias("r")))["r"]).alias("hub"))
+    company = stored(shared.groupBy("rep").agg(F.sum("size").alias("company")), made)
+    hubs = stored(shared.join(company, "rep").groupBy("band", "value").agg((-F.max(F.struct("company", (-F.col("rep")).alias("r")))["r"]).alias("hub")), made)
     # buckets of several bands with the same members count once, as the first of them
-    members = stored(shared.join(hubs, ["band", "value"]).groupBy("rep", "hub", "size", "who").agg(F.min("band").alias("band")))
+    members = stored(shared.join(hubs, ["band", "value"]).groupBy("rep", "hub", "size", "who").agg(F.min("band").alias("band")), made)
 
     def screened(pairs: DataFrame) -> DataFrame:
         x, y = about.toDF("a", "na", "xa"), about.toDF("b", "nb", "xb")
         return pairs.join(y, "b").join(x, "a").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing_bits(F.col("xa"), F.col("xb")) <= screen_bits(F.col("na"), F.col("nb"), percent))).select("a", "b")
 
     stars = members.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-    links = stored(confirmed(screened(stars), docs, percent))
+    links = stored(confirmed(screened(stars), docs, percent, made), made)
     found = connected_components(links)
 
     # Buckets that the stars left in several components: compare what lies in different ones.
     placed = members.where("size > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep")).drop("component_id")
-    open_ = placed.groupBy("hub", "size", "who").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    open_ = stored(placed.groupBy("hub", "size", "who").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").drop("lo", "hi"), made)
     rest = placed.where("rep <> hub").join(open_, ["hub", "size", "who"]).select("hub", "size", "who", "band", "rep", "c").join(classes.select("rep", "n", "sketch", "bands"), "rep")
-    links2 = stored(_across(rest, docs, percent))
+    links2 = stored(_across(rest, docs, percent, made), made)
     found = connected_components(links.union(links2))
+    discard(*made)
 
     ids = classes.select("d1", "d2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component_id", "rep").alias("component"))
     out = signed.select("doc_id", "n", "d1", "d2").join(ids, ["d1", "d2", "n"], "left")
@@ -191,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _across(rest: DataFrame, docs: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
     """Links ``(a, b)`` that join components, among the members of each bucket that lie in different ones.
 
     A bucket of m members is cut into ceil(m / TILE) chunks; each pair of chunks is one tile of about 2 * TILE members at
@@ -255,8 +260,8 @@ def _across(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         return rows.repartition("tile").sortWithinPartitions(*keys)
 
     fields = "tile long, band int, i int, j int, own int, rep long, c long, n long, sketch array<long>, bands array<long>"
-    chosen = stored(dealt(tiles.select(cols)).mapInArrow(screen, fields))
-    sets = sets_of(docs, chosen.select(F.col("rep").alias("doc_id"))).toDF("rep", "shingles")
+    chosen = stored(dealt(tiles.select(cols)).mapInArrow(screen, fields), made)
+    sets = sets_of(docs, chosen.select(F.col("rep").alias("doc_id")), made).toDF("rep", "shingles")
     return dealt(chosen.join(sets, "rep").select(*cols, "shingles")).mapInArrow(confirm, "a long, b long").distinct()
 
 

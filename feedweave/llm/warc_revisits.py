@@ -36,11 +36,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     both sides have an etag, it must be equal (weak marks aside); else where both have last-modified, that; else none could
     be checked.  Returns ``record_id, canonical_url, outcome, base_id, headers``: outcome is ``response``, ``resolved``,
     ``validator_mismatch``, ``no_validator``, ``no_earlier_response`` or ``other``; headers are a response's own, and of a
-    resolved revisit the base's with the permitted ones of the revisit put over them (names in lower case).  Null url, ts or
+    resolved revisit the base's with the permitted ones of the revisit put over them (names in lower case; of names that differ in
+    case alone, the first in the order of the names as written stands).  Null url, ts or
     record_id: a revisit finds nothing.  Repeated record_ids of responses count once, the headers of the largest text
     stand; repeated revisits come back each.  An empty table gives an empty result; other columns are ignored.
     """
-    named = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    entries = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
+    lowered = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    first = F.filter(lowered, lambda e, i: F.array_position(F.transform(lowered, lambda x: x["key"]), e["key"]) == i + 1)
+    named = F.map_from_entries(first)
     rows = stored(records.select("record_id", canonical_url(F.col("url")).alias("u"), "ts", "status", named.alias("h")))
     points = rows.where("u is not null and ts is not null and record_id is not null and status in (200, 304)").groupBy("u", "ts").agg(F.max(F.when(F.col("status") == 200, F.col("record_id"))).alias("rid"), F.max(F.col("status") == 304).alias("asked"))
     points = stored(points.withColumn("slice", F.floor(F.col("ts") / SLICE)))
@@ -48,11 +52,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     before = (Window.unboundedPreceding, -1)
     near = points.withColumn("near", F.max(full).over(Window.partitionBy("u", "slice").orderBy("ts").rowsBetween(*before)))
     carried = points.groupBy("u", "slice").agg(F.max(full).alias("last")).withColumn("carried", F.max("last").over(Window.partitionBy("u").orderBy("slice").rowsBetween(*before)))
+    # answers and bases are written, so that Spark can split the partition of a moment or base that many revisits share
     answer = near.where("asked").join(carried, ["u", "slice"]).select("u", "ts", F.coalesce("near", "carried")["rid"].alias("base_id"))
 
-    asked = rows.where("status = 304").join(answer, ["u", "ts"], "left")
+    asked = rows.where("status = 304").join(stored(answer), ["u", "ts"], "left")
     base = rows.where("status = 200 and record_id is not null").groupBy("record_id").agg(F.max(F.struct(F.to_json("h").alias("j"), F.map_entries("h").alias("e"))).alias("b")).select(F.col("record_id").alias("base_id"), F.map_from_entries("b.e").alias("bh"))
-    joined = asked.join(base, "base_id", "left")
+    joined = stored(asked).join(stored(base), "base_id", "left")
     h, b = F.col("h"), F.col("bh")
     get = F.try_element_at
     etag = lambda m: F.regexp_replace(get(m, F.lit("etag")), "^W/", "")
