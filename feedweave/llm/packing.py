@@ -26,7 +26,7 @@ SENTENCE_CUT, HARD_CUT, NEW_SEQUENCE = 6.0, 64.0, 2.0
 LONG_SENTENCE, GRID = 512, 128  # a longer sentence may be cut on this grid
 TAIL_GRID = 64
 CHUNK = 1 << 19  # ids that one run of the dynamic programme covers, about
-PART_BYTES = 16_000_000  # of text in a range of the order, about
+PART_BYTES = 24_000_000  # of text in a range of the order, about
 MARKS = 64  # rows that a range's bounds are drawn from, about
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,14 +40,17 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> lis
     the earliest predecessor wins.
     """
     m = len(pos)
-    exact: dict[int, list[int]] = {}
+    hits = [np.zeros((2, 0), np.int64)]  # later and earlier position of windows of a power of two
     size = 1
     while size <= length:
         i = np.searchsorted(pos, pos - size)
-        hit = np.flatnonzero((pos[np.minimum(i, m - 1)] == pos - size) & (pos >= pos[0] + size))
-        for j, k in zip(hit.tolist(), i[hit].tolist()):
-            exact.setdefault(j, []).append(k)
+        later = np.flatnonzero((pos[np.minimum(i, m - 1)] == pos - size) & (pos >= pos[0] + size))
+        hits.append(np.stack([later, i[later]]))
         size *= 2
+    later, earlier = np.concatenate(hits, axis=1)
+    order = np.argsort(later, kind="stable")
+    exact, upto = earlier[order].tolist(), np.searchsorted(later[order], np.arange(m), side="right").tolist()
+    p = 0
     at, pen = pos.tolist(), penalty.tolist()
     cost, back = [0.0] * m, [0] * m
     queue: deque[tuple[float, int]] = deque([(float(at[0]), 0)])
@@ -57,7 +60,9 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> lis
             queue.popleft()
         low, k = queue[0]
         c = low + length - at[j]
-        for i in exact.get(j, ()):
+        while p < upto[j]:
+            i = exact[p]
+            p += 1
             if cost[i] < c or cost[i] == c and i < k:
                 c, k = cost[i], i
         cost[j], back[j] = (c := c + pen[j] + NEW_SEQUENCE), k
@@ -92,13 +97,30 @@ class Merges:
         pairs = [x.split(" ") if isinstance(x, str) else x for x in table["merges"]]
         keys = np.array([(vocab[x] << 20) | vocab[y] for x, y in pairs], np.int64)
         self.made = np.array([vocab[x + y] for x, y in pairs], np.int64)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        # the pairs by a hash; the few that share a place with an earlier one are looked up by bisection
+        place = self.place(keys)
+        _, first = np.unique(place, return_index=True)
+        self.key, self.rank, self.crowded = np.full(1 << 21, -1), np.full(1 << 21, self.NONE, np.int32), np.zeros(1 << 21, bool)
+        self.key[place[first]], self.rank[place[first]] = keys[first], first
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        self.crowded[place[rest]] = True
+        self.rest = rest[np.argsort(keys[rest])]
+        self.rest_keys = keys[self.rest]
+
+    @staticmethod
+    def place(pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).view(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pair = (left << 20) | right
-        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-        return np.where((self.keys[at] == pair) & (left >= 0) & (right >= 0), self.order[at], self.NONE).astype(np.int32)
+        place = self.place(pair)
+        out = np.where(self.key[place] == pair, self.rank[place], self.NONE)
+        again = self.crowded[place] & (out == self.NONE)
+        if again.any():
+            own = pair[again]
+            at = np.minimum(np.searchsorted(self.rest_keys, own), len(self.rest) - 1)
+            out[again] = np.where(self.rest_keys[at] == own, self.rest[at], self.NONE)
+        return out
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words in a row, where each word's begin, and how many they are."""
