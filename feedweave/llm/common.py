@@ -80,6 +80,20 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def carried(docs: DataFrame, carry: bool, more: str) -> tuple[DataFrame, str]:
+    """The input of a mapInArrow over texts and its output schema: ``doc_id, text``, or the whole row as one struct, so that no name clashes."""
+    if not carry:
+        return id_and_text(docs), f"doc_id long, {more}"
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    return rows, f"row {rows.schema['row'].dataType.simpleString()}, {more}"
+
+
+def row_texts(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts of a batch of ``carried`` rows; null: empty."""
+    column = batch["text"] if "text" in batch.schema.names else batch["row"].field("text")
+    return byte_texts(pc.fill_null(column.cast(pa.string()), ""))
+
+
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 

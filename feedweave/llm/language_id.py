@@ -1,8 +1,8 @@
 """Languages of words and documents by a linear-chain conditional random field.
 
-Features of a word: affixes, character n-grams and, for frequent training words, the word itself.  Transitions between the
-labels of neighbouring words are learned.  Training sequences join spans of documents of different languages, so the model
-meets code-switching.  Forward-backward gives every word a distribution over the languages; a document's is their mean,
+Features of a word: affixes, character n-grams and, for training words seen more than twice, the word itself.  Transitions between
+the labels of neighbouring words and the weights of first labels are learned with them.  Training sequences join runs of words of
+different languages, so the model meets code-switching.  Forward-backward gives every word a distribution over the languages; a document's is their mean,
 weighted by letters.
 """
 
@@ -15,18 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, crc_mod, flat_words, id_and_text, mix64, shared, slices, table
+from feedweave.llm.common import carried, crc_mod, flat_words, id_and_text, mix64, row_texts, shared, slices, table
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 64
-DOCS_PER_LANGUAGE = 400  # the bound of the training sample
-SPAN_CHARS = 2000  # of each document in that sample, from a place set by its id
-LEXICON = 4000
+DOCS_PER_LANGUAGE = 300  # the bound of the training sample: whole documents of each language, about
 
 
 def core(word: bytes) -> str:
     """A word's letters in lower case; digits, signs and marks fall away."""
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha())
+    text = word.decode("utf-8", "replace").lower()
+    return text if text.isalpha() else "".join(c for c in text if c.isalpha())
 
 
 def feature_ids(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +60,17 @@ class Crf:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of distinct words by label."""
-        ids, at = feature_ids(words, self.lexicon)
-        return np.stack([np.bincount(at, self.emit[ids, k], len(words)) for k in range(len(self.labels))], axis=1)
+        return self.weighed(*feature_ids(words, self.lexicon), len(words))
+
+    def weighed(self, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(at, self.emit[ids, k], n) for k in range(len(self.labels))], axis=1)
 
     def marginals(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Each word's distribution over the labels; ``scores`` holds the words of all sequences, ``counts`` the sequences' lengths.
+        """Each word's distribution over the labels; ``scores`` holds the words of all sequences, ``counts`` the sequences' lengths."""
+        return self.expectations(scores, counts)[0]
+
+    def expectations(self, scores: np.ndarray, counts: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's distribution over the labels and, if asked, the expected number of each pair of neighbouring labels.
 
         Sequences run side by side, longest first, so step t of all of them is one array operation.
         """
@@ -75,7 +79,7 @@ class Crf:
         order = np.argsort(-counts, kind="stable")
         begin, n = first[order], counts[order]
         live = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1 if len(n) else 1), side="right")
-        move = np.exp(self.move)
+        move, both = np.exp(self.move), np.zeros_like(self.move)
         ahead = np.empty_like(out)
         a = None
         for t, k in enumerate(live.tolist()):
@@ -90,10 +94,41 @@ class Crf:
             rows = begin[:k] + t
             own = ahead[rows] * b
             own /= own.sum(axis=1, keepdims=True)
-            b = (b * out[rows]) @ move.T
+            behind = b * out[rows]
+            if pairs and t:
+                # a pair's probability: what leads to its first label, the transition, the second label's emission, what follows
+                before = ahead[rows - 1]
+                both += (before / ((before @ move) * behind).sum(axis=1, keepdims=True)).T @ behind * move
+            b = behind @ move.T
             b /= b.sum(axis=1, keepdims=True)
             out[rows] = own
-        return out
+        return out, both
+
+    def log_likelihood(self, scores: np.ndarray, counts: np.ndarray, gold: np.ndarray) -> float:
+        """Of the gold labels, all sequences together."""
+        total, at = 0.0, 0
+        for n in counts.tolist():
+            own, y = scores[at : at + n], gold[at : at + n]
+            total += self.start[y[0]] + own[np.arange(n), y].sum() + self.move[y[:-1], y[1:]].sum()
+            a = self.start + own[0]
+            for t in range(1, n):
+                a = np.logaddexp.reduce(a[:, None] + self.move, axis=0) + own[t]
+            total -= np.logaddexp.reduce(a)
+            at += n
+        return float(total)
+
+    def gradient(self, scores: np.ndarray, counts: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ``log_likelihood``, by the words' scores, the transitions and the first labels' weights."""
+        p, both = self.expectations(scores, counts, pairs=True)
+        by_score = -p
+        by_score[np.arange(len(gold)), gold] += 1
+        first = np.cumsum(counts) - counts
+        inner = np.ones(len(gold), bool)
+        inner[first + counts - 1] = False
+        i = np.flatnonzero(inner)
+        by_move = -both
+        np.add.at(by_move, (gold[i], gold[i + 1]), 1)
+        return by_score, by_move, by_score[first].sum(axis=0)
 
 
 def training_sequences(texts: list[tuple[str, str]], seed: int = 10, length: int = 48) -> list[tuple[list[str], list[str]]]:
@@ -123,12 +158,12 @@ def train(texts: list[tuple[str, str]], epochs: int = 3, batch: int = 32, rate:
     """A CRF from (text, language) pairs by minibatch AdaGrad on the conditional likelihood."""
     labels = sorted({lang for _, lang in texts})
     seen = Counter(w for text, _ in texts for w in {core(x) for x in text.encode().split()} if w)
-    lexicon = {w: i for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]) if n > 2}
-    size = max(1, len(labels))
-    model = Crf(labels, lexicon, np.zeros((BUCKETS + LEXICON, size), np.float32), np.zeros((size, size)), np.zeros(size))
+    lexicon = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 2))}
+    size, features = max(1, len(labels)), BUCKETS + len(lexicon)
+    model = Crf(labels, lexicon, np.zeros((features, size), np.float32), np.zeros((size, size)), np.zeros(size))
     sequences = training_sequences(texts)
     index = {lang: i for i, lang in enumerate(labels)}
-    g_emit, g_move = np.full((BUCKETS + LEXICON, size), 1e-3, np.float32), np.full((size, size), 1e-3)
+    g_emit, g_move, g_start = np.full((features, size), 1e-3, np.float32), np.full((size, size), 1e-3), np.full(size, 1e-3)
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         order = rng.permutation(len(sequences))
@@ -138,77 +173,100 @@ def train(texts: list[tuple[str, str]], epochs: int = 3, batch: int = 32, rate:
             gold = np.array([index[x] for _, own in chosen for x in own])
             counts = np.array([len(words) for words, _ in chosen])
             idx, rep = feature_ids(flat, lexicon)
-            p = model.marginals(model.emissions(flat), counts)
-            diff = -p
-            diff[np.arange(len(gold)), gold] += 1
+            by_score, by_move, by_start = model.gradient(model.weighed(idx, rep, len(flat)), counts, gold)
             used, slot = np.unique(idx, return_inverse=True)
-            grad = np.stack([np.bincount(slot, diff[rep, k], len(used)) for k in range(size)], axis=1) - decay * model.emit[used]
+            grad = np.stack([np.bincount(slot, by_score[rep, k], len(used)) for k in range(size)], axis=1) - decay * model.emit[used]
             g_emit[used] += grad**2
             model.emit[used] += rate * grad / np.sqrt(g_emit[used])
-            # transitions: counts seen less counts expected, the latter from neighbouring marginals under the model
-            inner = np.ones(len(flat), bool)
-            inner[np.cumsum(counts) - 1] = False
-            i = np.flatnonzero(inner)
-            pair = p[i][:, :, None] * np.exp(model.move)[None] * p[i + 1][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            step = -pair.sum(axis=0)
-            np.add.at(step, (gold[i], gold[i + 1]), 1)
-            g_move += step**2
-            model.move += rate * step / np.sqrt(g_move)
+            g_move += by_move**2
+            model.move += rate * by_move / np.sqrt(g_move)
+            g_start += by_start**2
+            model.start += rate * by_start / np.sqrt(g_start)
     return model
 
 
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Crf | None:
-    """A model from ``docs(doc_id, text, lang)`` with text and language.
+    """A model from ``docs(doc_id, text, lang)`` with text and language, for every language there is.
 
-    Bounded: at most MAX_LANGUAGES languages (the most frequent), about ``docs_per_language`` documents of each, chosen by a
-    hash of text and id, SPAN_CHARS characters of each.  None if nothing is labelled.
+    The sample is bounded by ``docs_per_language``: about so many whole documents of each language, chosen by a hash of id and
+    language, the same in each run.  None if nothing is labelled.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].cast("string").alias("lang")).where("text is not null and lang is not null and text rlike '[a-zA-Z\\\\x{80}-\\\\x{10FFFF}]'")
-    sizes = sorted(((r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()))
-    if not sizes:
-        return None
-    mark = F.xxhash64("doc_id", "lang")
-    share = F.create_map(*(x for lang, n in sizes for x in (F.lit(lang), F.lit(min(1.0, 1.2 * docs_per_language / n + 20 / n)))))
-    chosen = rows.where(F.pmod(mark, F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
-    start = F.pmod(mark, F.greatest(F.length("text") - SPAN_CHARS, F.lit(1))).cast("int") + 1
-    taken = chosen.select("lang", "doc_id", F.col("text").substr(start, F.lit(SPAN_CHARS)).alias("text")).limit(len(sizes) * (2 * docs_per_language + 50)).collect()
-    texts = [(r["text"], r["lang"]) for r in sorted(taken, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"]))]
-    model = train(texts)
+    mark = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
+    chosen = rows.join(F.broadcast(sizes), "lang").where(mark < F.lit((docs_per_language + 20) * 2.0**30) / F.col("n"))
+    texts = sorted(map(tuple, chosen.select("lang", F.coalesce("doc_id", F.lit(0)), "text").collect()))
+    model = train([(text, lang) for lang, _, text in texts])
     return model if model.labels else None
 
 
-def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row of ``docs``.
+def _words(texts: list[bytes], model: Crf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words with letters of all texts: the text's position, the word's place in it, its letters and its distribution; and each text's word count."""
+    words, counts = flat_words(texts)
+    cores = [core(w) for w in words.dictionary.to_pylist()]
+    codes = words.indices.to_numpy()
+    letters = np.array([len(x) for x in cores], np.float64)[codes] if len(codes) else np.zeros(0)
+    has = letters > 0
+    owner = np.repeat(np.arange(len(texts)), counts)[has]
+    place = (np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts))[has]
+    own = np.bincount(owner, minlength=len(texts))
+    p = model.marginals(model.emissions(cores)[codes][has] if len(codes) else np.zeros((0, len(model.labels))), own[own > 0])
+    return owner, place, letters[has], p, own
+
+
+def predict(docs: DataFrame, model: Crf | None, carry: bool = False) -> DataFrame:
+    """``doc_id, lang_pred, score`` for every row of ``docs``; with ``carry``, the whole row as a struct ``row`` instead of ``doc_id``.
 
     ``und`` with score 0 if the text is null or has no letter (and for every text without a model).  Ties go to the
-    language that sorts first.  Whole texts count, however long.
+    language that sorts first.  Whole texts count, however long.  Repeated rows and rows without a doc_id come back each; an
+    empty table gives an empty result; other columns, whatever their names, change nothing.
     """
     get = shared(docs.sparkSession, model)
 
     def run(batches):
         model = get()
         for batch in batches:
-            texts = byte_texts(batch["text"])
+            texts = row_texts(batch)
             out_lang, out_score = ["und"] * len(texts), [0.0] * len(texts)
             if model is not None:
                 for i, j in slices(texts):
-                    words, counts = flat_words(texts[i:j])
-                    cores = [core(w) for w in words.dictionary.to_pylist()]
-                    codes = words.indices.to_numpy()
-                    letters = np.array([len(x) for x in cores], np.float64)[codes] if len(codes) else np.zeros(0)
-                    has = letters > 0
-                    owner = np.repeat(np.arange(j - i), counts)[has]
-                    p = model.marginals(model.emissions(cores)[codes][has] if len(codes) else np.zeros((0, len(model.labels))), (own := np.bincount(owner, minlength=j - i))[own > 0])
-                    total = np.bincount(owner, letters[has], j - i)
-                    sums = np.stack([np.bincount(owner, letters[has] * p[:, k], j - i) for k in range(len(model.labels))], axis=1)
+                    owner, _, letters, p, own = _words(texts[i:j], model)
+                    total = np.bincount(owner, letters, j - i)
+                    sums = np.stack([np.bincount(owner, letters * p[:, k], j - i) for k in range(len(model.labels))], axis=1)
                     best = sums.argmax(axis=1)
                     for k in np.flatnonzero(own > 0).tolist():
                         out_lang[i + k] = model.labels[best[k]]
                         out_score[i + k] = min(1.0, max(0.0, float(sums[k, best[k]] / total[k])))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out_lang), pa.array(out_score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())], names=[batch.schema.names[0], "lang_pred", "score"])
+
+    rows, schema = carried(docs, carry, "lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
+
+
+def label_spans(docs: DataFrame, model: Crf) -> DataFrame:
+    """``doc_id, spans`` for every row of ``docs``: the runs of words of one language, in order.
+
+    A span holds ``start`` (the words before it), ``words``, ``lang`` (each word's most probable label) and ``probability``
+    (the mean of its words').  Words without letters belong to the span before them; a text without letters has no spans.
+    """
+    get = shared(docs.sparkSession, model)
+
+    def run(batches):
+        model = get()
+        for batch in batches:
+            texts = row_texts(batch)
+            for i, j in slices(texts):
+                owner, place, _, p, _ = _words(texts[i:j], model)
+                label, most = p.argmax(axis=1), p.max(axis=1, initial=0)
+                new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (label[1:] != label[:-1])])) if len(owner) else np.zeros(0, np.int64)
+                ends = np.append(new[1:], len(owner))
+                spans: list[list[dict]] = [[] for _ in range(j - i)]
+                for a, b in zip(new.tolist(), ends.tolist()):
+                    spans[owner[a]].append({"start": int(place[a]), "words": int(place[b - 1] - place[a] + 1), "lang": model.labels[label[a]], "probability": float(most[a:b].mean())})
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("lang", pa.string()), ("probability", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, spans array<struct<start: int, words: int, lang: string, probability: double>>")
 
 
 def label_words(text: str, model: Crf) -> list[tuple[str, str, float]]:
@@ -218,10 +276,10 @@ def label_words(text: str, model: Crf) -> list[tuple[str, str, float]]:
     return [(w, model.labels[int(x.argmax())], float(x.max())) for w, x in zip(words, p)]
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Predictions for all documents by a model learned from those whose crc32(doc_id) mod 4 isn't 2."""
     model = fit(docs.where(crc_mod(docs["doc_id"], 4) != 2))
-    return predict(docs, model)
+    return predict(docs, model, carry)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from feedweave.llm.common import id_and_text, spread, table
 SPACE = "▁"
 CACHE = 200_000  # distinct words whose ids a task keeps
 SHORT = 40  # characters of a word that runs beside others
-ROOM = 4_000_000  # characters of a batch that are encoded at once
+ROOM = 2_500_000  # characters of a batch that are encoded at once
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

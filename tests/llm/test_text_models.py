@@ -247,6 +247,29 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(2)
+    model = language_id.Crf(["a", "b", "c"], {}, np.zeros((1, 3)), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3))
+    counts, gold, scores = np.array([6, 1, 3]), rng.integers(0, 3, 10), rng.normal(0, 2, (10, 3))
+    by_score, by_move, by_start = model.gradient(scores.copy(), counts, gold)
+    for value, slope in ((scores, by_score), (model.move, by_move), (model.start, by_start)):
+        for at in np.ndindex(value.shape):
+            kept = value[at]
+            ends = []
+            for step in (1e-5, -1e-5):
+                value[at] = kept + step
+                ends.append(model.log_likelihood(scores, counts, gold))
+            value[at] = kept
+            assert slope[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-5)
+
+
+def test_spans_of_code_switched_text(spark):
+    model = language_id.train([("the cat and the dog were here with that thing " * 20, "en"), ("der hund und die katze sind nicht schön gewesen " * 20, "de")])
+    df = spark.createDataFrame([(1, "the cat and the dog, 12 und die katze sind schön"), (2, None), (3, "12 ..")], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["words"], s["lang"]) for s in r["spans"]] for r in language_id.label_spans(df, model).collect()}
+    assert found == {1: [(0, 5, "en"), (6, 5, "de")], 2: [], 3: []}
+
+
 def test_code_switching():
     model = language_id.train([("the cat and the dog were here with that thing " * 20, "en"), ("der hund und die katze sind nicht schön gewesen " * 20, "de")])
     labels = [lang for _, lang, _ in language_id.label_words("the cat and the dog und die katze sind schön", model)]
