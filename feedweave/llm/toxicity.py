@@ -1,9 +1,10 @@
 """Toxic documents: a learned lexicon, matched with misspellings by Levenshtein automata, scored in context.
 
 The lexicon's terms (whole words, and stems written ``stem*``) are those whose documents are labelled toxic far more often
-than chance.  A trie of the terms is walked together with each distinct word's Levenshtein automaton; a stem
-takes every word that it begins, and misspellings of the whole words that it stands for.  Hits inside quotation marks or behind a verb of saying count apart from open abuse.  A logistic
-regression over the counts gives the score.
+than chance; all that pass the bound count, however many.  A trie of the terms is walked together with each distinct word's
+Levenshtein automaton; a stem takes every word that it begins, and misspellings of the whole words that it stands for.  Hits
+inside quotation marks or behind a verb of saying count apart from open abuse.  A logistic regression over the counts gives the
+score; it learns what misspelled hits weigh from copies of the toxic training texts whose terms are misspelled on purpose.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, crc_mod, id_and_text, shared, slices, stored, table
+from feedweave.llm.common import byte_texts, carried, crc_mod, discard, id_and_text, row_texts, shared, slices, stored, table
 
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000  # the bounds of the training sample, by label
-MAX_TERMS = 200
 STEMS = range(4, 9)
 WINDOW = 6  # words on either side that tell quotation from abuse
 THRESHOLD = 0.7
@@ -191,7 +191,7 @@ def clear_terms(counts: DataFrame, n_toxic: int, n_clean: int, tried: int) -> Da
     return counts.where((t >= 3) & (share > rate) & (far > doubt_of(tried) - 1e-6) & ((t + 0.5) / (n_toxic + 1) > 3 * (c + 0.5) / (n_clean + 1)))
 
 
-def learn_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int = MAX_TERMS, tried: int | None = None) -> dict[str, float]:
+def learn_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int | None = None, tried: int | None = None) -> dict[str, float]:
     """Terms whose share of the toxic documents clearly exceeds their share of the clean ones, with log ratios as weights.
 
     ``tried`` is the number of terms that ``toxic`` was picked from, if these are not all.
@@ -219,7 +219,7 @@ def learn_lexicon(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, mo
         if covered or longer and far < 1.3 * max(evidence[s] for s in longer):
             continue
         chosen[term] = weight
-        if len(chosen) >= most:
+        if len(chosen) == most:
             break
     return chosen
 
@@ -236,21 +236,38 @@ def stem_forms(weights: dict[str, float], counts: DataFrame, n_toxic: int, n_cle
     return {r["term"]: max((s for s in stems if r["term"].startswith(s)), key=len) + "*" for r in leaning.select("term").collect()}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Weights (the intercept last) by Newton's method, drawn towards ``prior``."""
+def misspelled(text: bytes, lexicon: Lexicon) -> bytes:
+    """The text with each word that writes a term of four letters or more changed by one edit, which a hash of word and place chooses."""
+    words = text.split()
+    for k, word in enumerate(words):
+        bare = plain(word)
+        if len(bare) < 4 or not ((found := lexicon.match(bare)) and not found[1]):
+            continue
+        h = zlib.crc32(b"%d %s" % (k, word))
+        at, kind, letter = 1 + h % (len(bare) - 2), (h >> 8) % 4, "abcdefghijklmnopqrstuvwxyz"[(h >> 12) % 26]
+        changed = (
+            bare[:at] + letter + bare[at + 1 :] if kind == 0 else bare[:at] + bare[at + 1 :] if kind == 1 else bare[:at] + letter + bare[at:] if kind == 2 else bare[:at] + bare[at] + bare[at:]
+        )
+        words[k] = changed.encode()
+    return b" ".join(words)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, share: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """Weights (the intercept last) by Newton's method, drawn towards ``prior``; row i counts ``share[i]`` times."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    share = np.ones(len(x)) if share is None else share
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        hessian = (x1 * (p * (1 - p))[:, None]).T @ x1 + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, x1.T @ (y - p) - ridge * (w - prior))
+        hessian = (x1 * (share * p * (1 - p))[:, None]).T @ x1 + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, x1.T @ (share * (y - p)) - ridge * (w - prior))
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-#: Before any label is seen: open abuse weighs fully, misspelled abuse nearly so, quoted words half.
+#: Where few labels say otherwise: open abuse weighs fully, misspelled abuse nearly so, quoted words half.
 PRIOR = np.array([1.5, 1.3, 0.6, 1.0, 0.2, -4.0])
 
 
@@ -300,34 +317,43 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
         for batch in batches:
             texts = byte_texts(batch["text"])
             for i, j in slices(texts):
-                x = document_features(texts[i:j], lexicon)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(len(RAW))), batch["toxic"][i:j]], names=[*RAW, "toxic"])
+                toxic = batch["toxic"].slice(i, j - i).to_numpy()
+                changed = [misspelled(texts[i + k], lexicon) for k in np.flatnonzero(toxic == 1).tolist()]
+                x = np.concatenate([document_features(texts[i:j], lexicon), document_features(changed, lexicon)])
+                kind = np.concatenate([toxic, np.full(len(changed), 2)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(len(RAW))), pa.array(kind)], names=[*RAW, "kind"])
 
     fields = ", ".join(f"{k} double" for k in RAW)
-    found = np.array(sorted(map(tuple, sample.select("text", "toxic").mapInArrow(measure, f"{fields}, toxic int").collect())), np.float64).reshape(-1, len(RAW) + 1)
-    raw, y = found[:, :-1], found[:, -1]
-    clean = raw[y == 0]
+    found = np.array(sorted(map(tuple, sample.select("text", "toxic").mapInArrow(measure, f"{fields}, kind int").collect())), np.float64).reshape(-1, len(RAW) + 1)
+    discard(sample, counts)
+    raw, kind = found[:, :-1], found[:, -1]
+    clean = raw[kind == 0]
     noise = float((clean[:, 4].sum() + 1) / (clean[:, 5].sum() + 1000))
-    w = logistic(design(raw, noise), y, PRIOR) if len(set(y.tolist())) == 2 else PRIOR.copy()
-    w[1] = max(w[1], w[0] + 0.4 * max(w[3], 0.0))  # misspelled abuse is rare in the labels; where it exceeds chance, it counts nearly as much
+    # a toxic text and its misspelled copy count half each
+    w = logistic(design(raw, noise), (kind > 0).astype(float), PRIOR, np.where(kind > 0, 0.5, 1.0)) if len(set(kind.tolist())) == 3 else PRIOR.copy()
     return lexicon, noise, w
 
 
-def score(docs: DataFrame, model: tuple[Lexicon, float, np.ndarray]) -> DataFrame:
-    """``doc_id, score, predicted`` for every row of ``docs``; null and empty texts get the score of a text without hits."""
+def score(docs: DataFrame, model: tuple[Lexicon, float, np.ndarray], carry: bool = False) -> DataFrame:
+    """``doc_id, score, predicted`` for every row of ``docs``; with ``carry``, the whole row as a struct ``row`` instead of ``doc_id``.
+
+    Null and empty texts get the score of a text without hits.  Repeated rows and rows without a doc_id come back each, whole
+    texts count; an empty table gives an empty result; other columns, whatever their names, change nothing.
+    """
     get = shared(docs.sparkSession, model)
 
     def run(batches):
         lexicon, noise, w = get()
         for batch in batches:
-            texts, parts = byte_texts(batch["text"]), []
+            texts, parts = row_texts(batch), []
             for i, j in slices(texts, 6_000_000):
                 x = design(document_features(texts[i:j], lexicon), noise)
                 parts.append(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))))
             p = np.concatenate([*parts, np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[batch.schema.names[0], "score", "predicted"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    rows, schema = carried(docs, carry, "score double, predicted int")
+    return rows.mapInArrow(run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
