@@ -200,6 +200,65 @@ def test_licences(spark):
     assert spark.range(1).select(license_scan.words_column(F.lit(sample))).first()[0] == license_scan.words(sample)
 
 
+def plain_scan(text):
+    """The scan of one text, step by step."""
+    import re
+
+    (classes, weights, bias), least, marks = license_scan.trained()
+    joined = re.sub(license_scan.WRAPPED.replace("(?md)", "(?m)"), r"\1 ", text or "")
+    parts = [p for p in joined.split("\n") if p.strip(" ")]
+    found, candidates = [], 0
+    for pos, p in enumerate(parts):
+        own = license_scan.words(p)
+        if not license_scan.grams(own) & set(marks):
+            continue
+        candidates += 1
+        probability = license_scan.probabilities((classes, weights, bias), own)
+        best = max(range(len(classes)), key=lambda k: (probability[k], -sorted(classes).index(classes[k])))
+        family = classes[best] if classes[best] in ("unknown", "none") or probability[best] >= least else "unknown"
+        if family == "none":
+            continue
+        threes = lambda w: {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+        mine, share = threes(own), 0.0
+        for t in license_scan.CONFIRMING.get(family, ()):
+            other = license_scan.words(t)
+            if license_scan.keys(other) == license_scan.keys(own):
+                share = max(share, len(mine & threes(other)) / min(len(mine), len(threes(other))))
+        found.append((float(probability[best]), -pos, family, share >= license_scan.CONFIRM))
+    best = max(found, default=(0.0, 0, "none", False))
+    return len(parts), candidates, len(found), best[2], best[0], best[3]
+
+
+LICENCE_LINES = {
+    "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0", "Released under the GNU Lesser General Public License, version 3.": "lgpl-3.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0", "Released under the BSD 2-Clause License.": "bsd-2-clause",
+    "Licensed under the Eclipse Public License 2.0.": "epl-2.0", "Released under the ISC License.": "isc", "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0", "Released under Apache 2.0": "apache-2.0",
+    "Distributed under the GPLv3": "gpl-3.0", "MIT-style terms": "mit", "You may use this under BSD 3-Clause": "bsd-3-clause", "Licensed under the Artistic License 2.0.": "unknown", "Released under the European Union Public Licence 1.2.": "unknown",
+}
+
+
+def test_licence_families_and_wrapped_notices(spark):
+    wrapped = "\n".join(
+        ["Permission is hereby granted, free of charge, to any person obtaining a", "copy of this software and associated documentation files (the Software),", "to deal in the Software without restriction, including without limitation", "the rights to use, copy, modify, merge, publish, distribute, sublicense."]
+    )
+    df = spark.createDataFrame([*enumerate(LICENCE_LINES), (100, f"Title\n\n{wrapped}\n\nEnd")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert [rows[i]["family"] for i in range(len(LICENCE_LINES))] == list(LICENCE_LINES.values())
+    assert not any(rows[i]["confirmed"] for i, f in enumerate(LICENCE_LINES.values()) if f == "unknown")
+    assert all(rows[i]["confirmed"] for i in range(9))
+    assert (rows[100]["n_paragraphs"], rows[100]["family"], rows[100]["confirmed"]) == (3, "mit", True)
+
+
+def test_licence_query_equals_plain_scan(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [*LICENCE_LINES, None, "", " \n\t\n ", "GNU General Public License version 3, or GPL 2", "Ties: All rights reserved.\nAll rights reserved."]
+    both = docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([*more, *more])] + [(None, more[0])], "doc_id long, text string"))
+    texts = sorted(both.collect(), key=str)
+    found = sorted(license_scan.scan(both).collect(), key=str)
+    want = sorted(((r["doc_id"], *plain_scan(r["text"])) for r in texts), key=str)
+    assert sorted((r[0] or 0, *r[1:5], round(r[5], 6), r[6]) for r in found) == sorted((w[0] or 0, *w[1:5], round(w[5], 6), w[6]) for w in want)
+
+
 def test_licence_variants_left_out():
     classes, weights, bias = license_scan.train()
     right = total = 0
