@@ -23,6 +23,9 @@ SUGGESTED = ("Suggested for you", "Suggested", "People You May Know", "People yo
 SHORT_LABELS = ("贊助", "助贊", "Sponsored", "广告", "廣告", "スポンサー")
 EMOJI = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{1F000}-\x{1F02F}\x{1F0A0}-\x{1F0FF}\x{200D}\x{20E3}\x{E0020}-\x{E007F}]"
 SPACED_AD = r"(?i)(^|[^A-Za-z])S\s+s\s+o\s+p\s+r\s+n\s+e\s+o\s+t\s+d\s+g(?=[^A-Za-z]|\z)"
+RESERVED_PATHS = ("ads", "bookmarks", "business", "events", "friends", "gaming", "help", "login", "marketplace", "memories", "messages", "notifications", "pages", "privacy", "reel", "reels", "saved", "settings", "watch")
+NO_FEED = ("messages", "settings", "marketplace", "watch", "gaming", "events", "notifications", "photo", "stories", "reel", "help", "privacy", "policies", "legal", "about", "business", "ads", "developers")
+UNSUPPORTED_GROUPS = ("create", "discover", "joins", "notifications")
 TRACKING = ("fbclid", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")
 WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -114,6 +117,23 @@ def path(c: Column) -> Column:
     return F.regexp_extract(c, r"^https?://[^/?#]+([^?#]*)", 1)
 
 
+def is_feed_like(path: Column) -> Column:
+    """A path where posts are expected: home, a group or a profile, none of the areas without a feed."""
+    return ~path.rlike("^/(" + "|".join(NO_FEED) + ")") & path.rlike(r"^/\z|^/groups/[^/]+/?\z|^/[^/]+/?\z")
+
+
+def page_kind(c: Column) -> Column:
+    """What kind of page a URL is: feed, group, post, profileOrPage, unsupportedFacebook or nonFacebook."""
+    h, parts = host(c), F.filter(F.split(F.lower(path(c)), "/"), lambda x: F.trim(x) != "")
+    first, second = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
+    return (
+        F.when(~((h == "facebook.com") | h.endswith(".facebook.com")), "nonFacebook").when((F.size(parts) == 0) | (first == "home.php"), "feed")
+        .when(first == "groups", F.when(second.isNull() | second.isin(*UNSUPPORTED_GROUPS), "unsupportedFacebook").otherwise("group"))
+        .when(first.isin("profile.php", "people"), "profileOrPage").when(first.isin("permalink.php", "story.php", "photo.php"), "post").when(first.isin(*RESERVED_PATHS), "unsupportedFacebook")
+        .when((F.size(parts) == 1) | second.isin("posts", "photos", "videos"), "profileOrPage").otherwise("unsupportedFacebook")
+    )
+
+
 def without_tracking(c: Column) -> Column:
     """Tracking parameters and the fragment off a URL."""
     bare = F.regexp_replace(c, "#.*", "")

@@ -20,41 +20,64 @@ def windows(c: Column, size: int = ANCHOR) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+def marked(hashes: Column, seeds: DataFrame, bits: int = 1 << 24) -> tuple[DataFrame, Column, Column]:
+    """A bitmap of the seeds' anchors, of ``bits`` bits and so of 262,144 rows at most: its rows, and the word and bit of a hash."""
+    place = F.pmod(F.col("h"), F.lit(bits))
+    words = seeds.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+    own = F.pmod(hashes, F.lit(bits))
+    return words, F.shiftright(own, 6), own.bitwiseAND(63).cast("int")
+
+
 def containing(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     """Pairs (text_id, seed_id) of ``texts(text_id, t)`` and ``seeds(seed_id, s)`` where t contains s, s of 8 characters or more.
 
-    The seed's first eight characters meet the text's eight-character windows in an equi-join; only then the whole seed is
-    looked for.  No text is compared with all seeds.
+    The seed's first eight characters, its anchor, meet the text's eight-character windows in an equi-join of hashes; only then
+    the whole seed is looked for.  Before the join a bitmap of the anchors, bounded in size, drops windows that no seed begins
+    with.  No text is compared with all seeds; give each distinct text and seed once.
     """
-    cut = texts.where(F.length("t") >= ANCHOR).select("text_id", F.explode(windows(F.col("t"))).alias("w"))
-    keyed = seeds.where(F.length("s") >= ANCHOR).select("seed_id", F.left("s", F.lit(ANCHOR)).alias("w"))
-    near = cut.join(keyed, "w").select("text_id", "seed_id")
-    return near.join(seeds.select("seed_id", "s"), "seed_id").join(texts.select("text_id", "t"), "text_id").where(F.contains("t", F.col("s"))).select("text_id", "seed_id").distinct()
+    keyed = seeds.where(F.length("s") >= ANCHOR).select("seed_id", F.xxhash64(F.left("s", F.lit(ANCHOR))).alias("h"))
+    cut = texts.where(F.length("t") >= ANCHOR).select("text_id", F.explode(windows(F.col("t"))).alias("w")).select("text_id", F.xxhash64("w").alias("h"))
+    words, word, bit = marked(F.col("h"), keyed)
+    cut = cut.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(words), "word").where(F.expr("(shiftright(mask, bit) & 1) = 1")).select("text_id", "h")
+    near = cut.join(keyed, "h").select("text_id", "seed_id").distinct()
+    return near.join(seeds.select("seed_id", "s"), "seed_id").join(texts.select("text_id", "t"), "text_id").where(F.contains("t", F.col("s"))).select("text_id", "seed_id")
 
 
 def first_match(posts: DataFrame, network: DataFrame) -> DataFrame:
     """Each post with the first network post, by seq, that shares a seed either way and whose author is compatible.
 
     ``posts(post_id, author_name, t)`` and ``network(seq, post_id, author_name, text, is_sponsored)``; posts without a match
-    keep nulls.
+    keep nulls.  Texts are compared once however many copies they have; of a text's network posts by one author only the first counts.
     """
-    dom = posts.withColumn("t", T.compact(F.col("t")))
-    net = network.withColumn("t", T.compact(F.col("text"))).where(F.length("t") >= ANCHOR)
-    dom = dom.where(F.length("t") >= ANCHOR)
-    a = containing(dom.select(F.col("post_id").alias("text_id"), "t"), net.select(F.col("seq").alias("seed_id"), seed(F.col("t")).alias("s"))).toDF("post_id", "seq")
-    b = containing(net.select(F.col("seq").alias("text_id"), "t"), dom.select(F.col("post_id").alias("seed_id"), seed(F.col("t")).alias("s"))).select(F.col("seed_id").alias("post_id"), F.col("text_id").alias("seq"))
-    pairs = a.union(b).distinct()
-    other = network.select("seq", F.col("post_id").alias("gql_id"), F.col("author_name").alias("gql_author"), "is_sponsored")
-    fit = pairs.join(other, "seq").join(posts.select("post_id", "author_name"), "post_id").where(F.col("author_name").isNull() | F.col("gql_author").isNull() | T.compatible_authors(F.col("author_name"), F.col("gql_author")))
-    best = fit.groupBy("post_id").agg(F.min(F.struct("seq", "gql_id", "is_sponsored")).alias("m"))
-    return posts.join(best, "post_id", "left").select("post_id", F.col("m.gql_id").alias("gql_id"), F.col("m.is_sponsored").alias("gql_sponsored"))
+    own = posts.withColumn("t", T.compact(F.col("t"))).withColumn("k", F.xxhash64("t"))
+    net = network.withColumn("t", T.compact(F.col("text"))).where(F.length("t") >= ANCHOR).withColumn("n", F.xxhash64("t"))
+    dom_texts = own.where(F.length("t") >= ANCHOR).groupBy("k").agg(F.min("t").alias("t"))
+    net_texts = net.groupBy("n").agg(F.min("t").alias("t"))
+    a = containing(dom_texts.select(F.col("k").alias("text_id"), "t"), net_texts.select(F.col("n").alias("seed_id"), seed(F.col("t")).alias("s"))).toDF("k", "n")
+    b = containing(net_texts.select(F.col("n").alias("text_id"), "t"), dom_texts.select(F.col("k").alias("seed_id"), seed(F.col("t")).alias("s"))).select(F.col("seed_id").alias("k"), F.col("text_id").alias("n"))
+    others = net.groupBy("n", F.col("author_name").alias("gql_author")).agg(F.min(F.struct("seq", F.col("post_id").alias("gql_id"), "is_sponsored")).alias("first"))
+    authors = own.select("k", "author_name").distinct()
+    fit = a.union(b).distinct().join(others, "n").join(authors, "k").where(F.col("author_name").isNull() | F.col("gql_author").isNull() | T.compatible_authors(F.col("author_name"), F.col("gql_author")))
+    best = fit.groupBy(F.col("k").alias("bk"), F.col("author_name").alias("ba")).agg(F.min("first").alias("m"))
+    return own.join(best, (F.col("k") == F.col("bk")) & F.col("author_name").eqNullSafe(F.col("ba")), "left").select("post_id", F.col("m.gql_id").alias("gql_id"), F.col("m.is_sponsored").alias("gql_sponsored"))
 
 
 def known_sponsored(posts: DataFrame, network: DataFrame) -> DataFrame:
     """The posts whose text contains the first 30 characters of a sponsored network text."""
-    seeds = network.where("is_sponsored and length(text) > 20").select(F.col("seq").alias("seed_id"), F.left("text", F.lit(30)).alias("s"))
-    hits = containing(posts.select(F.col("post_id").alias("text_id"), F.col("full_text").alias("t")), seeds).select(F.col("text_id").alias("post_id")).distinct()
-    return posts.join(hits, "post_id", "left_semi")
+    seeds = network.where("is_sponsored and length(text) > 20").select(F.left("text", F.lit(30)).alias("s")).distinct().select(F.xxhash64("s").alias("seed_id"), "s")
+    keyed = posts.withColumn("k", F.xxhash64("full_text"))
+    texts = keyed.groupBy("k").agg(F.min("full_text").alias("t"))
+    hits = containing(texts.select(F.col("k").alias("text_id"), "t"), seeds).select(F.col("text_id").alias("k")).distinct()
+    return keyed.join(hits, "k", "left_semi").drop("k")
+
+
+def retro_marked(posts: DataFrame, network: DataFrame) -> DataFrame:
+    """The posts that a sponsored network post of the same seed marks when it comes late: of the posts that share its seed, by order, the first one not yet marked.
+
+    ``posts(post_id, seq, text, marked)``, ``network(text)`` with seeds of the first 30 characters of texts of 30 or more.
+    """
+    seeds = network.where(F.length("text") >= 30).select(F.left("text", F.lit(30)).alias("s")).distinct()
+    return posts.where("not marked").join(seeds, F.left("text", F.lit(30)) == F.col("s")).groupBy("s").agg(F.min(F.struct("seq", "post_id")).alias("m")).select("m.post_id")
 
 
 def nearest(marks: DataFrame, kind: str) -> DataFrame:
@@ -81,6 +104,14 @@ def other_with_prefix(rows: DataFrame, key: str, text: str, author: str, n: int
     return found.select(key, F.coalesce(F.when(F.col(f"a.{key}") != F.col(key), F.col(f"a.{author}")).otherwise(F.col(f"b.{author}")), F.lit("(unknown)")).alias("other_author"))
 
 
+def feature_gates(rows: DataFrame, capabilities: DataFrame) -> DataFrame:
+    """``rows(enabled, provider, feature, endpoint, model)`` with ``gate``: not_configured, unsupported or ready; a provider that isn't listed supports nothing."""
+    known = capabilities.select(F.col("provider").alias("p"), "needs_endpoint", "deep", (F.col("brief") | F.col("candidate")).alias("brief"))
+    runs = F.coalesce(F.when(F.col("feature") == "ai_analysis", F.col("deep")).otherwise(F.col("brief")), F.lit(False))
+    gate = F.when(~F.col("enabled") | (F.col("provider") == "none"), "not_configured").when(~runs, "unsupported").when(F.col("needs_endpoint") & ((F.col("endpoint") == "") | (F.col("model") == "")), "not_configured").otherwise("ready")
+    return rows.join(F.broadcast(known), F.col("provider") == F.col("p"), "left").withColumn("gate", gate).drop("p", "needs_endpoint", "deep", "brief")
+
+
 def active_rules(rules: DataFrame, most: int = 10) -> DataFrame:
     """The first ten enabled rules in stored order, numbered from 1: a list of fixed length."""
     return rules.where("enabled").orderBy("ord").limit(most).withColumn("k", F.row_number().over(Window.orderBy("ord")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedweave.functions import text as T
+
 RANK = {"likely_truncated": 1, "visible_complete": 2, "expanded_or_upgraded": 3}
 
 
@@ -66,3 +68,14 @@ def debounced(events: DataFrame, key: str, time: str, order: str, quiet_seconds:
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000
     gap = F.lead(seconds).over(w) - seconds
     return events.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= quiet_seconds)).drop("gap")
+
+
+def health(ticks: DataFrame, key: str, time: str, order: str, grace_seconds: int = 20) -> DataFrame:
+    """``ticks(path, emitted, has_main)`` of each key with its state of health since the path last changed: healthy, unhealthy or unknown."""
+    w = Window.partitionBy(key).orderBy(time, order)
+    moved = F.when(F.col("path") == F.lag("path").over(w), 0).otherwise(1)
+    runs = ticks.withColumn("moved", moved).withColumn("run", F.sum("moved").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = Window.partitionBy(key, "run").orderBy(time, order).rowsBetween(Window.unboundedPreceding, 0)
+    waited = F.unix_micros(F.col(time).cast("timestamp")) - F.min(F.unix_micros(F.col(time).cast("timestamp"))).over(r)
+    quiet = (waited < grace_seconds * 1_000_000) | ~F.col("has_main") | ~T.is_feed_like(F.col("path"))
+    return runs.select(key, order, F.when(F.bool_or("emitted").over(r), "healthy").when(quiet, "unknown").otherwise("unhealthy").alias("health"))

@@ -121,20 +121,16 @@ PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
 
 
-@query(f"""select page_id, case when not (h = 'facebook.com' or h like '%.facebook.com') then 'external' when p in ('', '/', '/home.php') then 'feed'
-  when regexp_matches(p, '^/groups/[^/]+') then 'group' when regexp_matches(p, '^/(permalink|story|photo)[.]php') then 'post'
-  when regexp_matches(p, '^/(watch|reel|reels|saved|settings|groups)(/|\\z)') or regexp_matches(p, '^/l[.]php') then 'unsupported'
-  when regexp_matches(p, '^/[^/]+/?\\z') or regexp_matches(p, '^/[^/]+/(posts|photos|videos)(/|\\z)') then 'profile' else 'unsupported' end as kind
-  from (select page_id, {HOST} as h, {PATH} as p from urls_v)""", "urls_v")
+RESERVED = "', '".join(T.RESERVED_PATHS)
+
+
+@query(f"""select page_id, case when not (h = 'facebook.com' or h like '%.facebook.com') then 'nonFacebook' when len(g) = 0 or g[1] = 'home.php' then 'feed'
+  when g[1] = 'groups' then case when len(g) < 2 or g[2] in ('create', 'discover', 'joins', 'notifications') then 'unsupportedFacebook' else 'group' end
+  when g[1] in ('profile.php', 'people') then 'profileOrPage' when g[1] in ('permalink.php', 'story.php', 'photo.php') then 'post' when g[1] in ('{RESERVED}') then 'unsupportedFacebook'
+  when len(g) = 1 or g[2] in ('posts', 'photos', 'videos') then 'profileOrPage' else 'unsupportedFacebook' end as kind
+  from (select page_id, {HOST} as h, list_filter(string_split(lower({PATH}), '/'), lambda x: trim(x) <> '') as g from urls_v)""", "urls_v")
 def page_support_kind(spark, sf_dir):
-    h, p = T.host(F.col("url")), T.path(F.col("url"))
-    kind = (
-        F.when(~((h == "facebook.com") | h.endswith(".facebook.com")), "external").when(p.isin("", "/", "/home.php"), "feed")
-        .when(p.rlike("^/groups/[^/]+"), "group").when(p.rlike("^/(permalink|story|photo)[.]php"), "post")
-        .when(p.rlike("^/(watch|reel|reels|saved|settings|groups)(/|\\z)|^/l[.]php"), "unsupported")
-        .when(p.rlike("^/[^/]+/?\\z|^/[^/]+/(posts|photos|videos)(/|\\z)"), "profile").otherwise("unsupported")
-    )
-    return view(spark, sf_dir, "urls_v").select("page_id", kind.alias("kind"))
+    return view(spark, sf_dir, "urls_v").select("page_id", T.page_kind(F.col("url")).alias("kind"))
 
 
 @query(f"""select page_id, {HOST} as host, {HOST} = 'l.facebook.com' as redirect, regexp_matches({PATH}, '^/groups/[^/]+/?\\z') as group_feed from urls_v""", "urls_v")
@@ -211,14 +207,11 @@ def fold_rules(spark, sf_dir):
     return enrich.folded(view(spark, sf_dir, "posts_v"), rules(spark))
 
 
-@query("""select e.event_id, d.provider, case when d.needs_key and e.k % 3 = 0 then 'key_missing' when not d.deep then 'unsupported' when d.needs_endpoint and e.k % 5 = 0 then 'endpoint_missing' else 'ready' end as gate
-  from (select event_id, event_id % 100 as k, case event_id % 5 when 0 then 'local' when 1 then 'device' when 2 then 'cloud' when 3 then 'custom' else 'other' end as p from events) e left join dims_v d on d.provider = e.p""")
+@query("""select e.event_id, case when not e.enabled or e.provider = 'none' then 'not_configured' when e.feature = 'ai_analysis' and not coalesce(d.deep, false) then 'unsupported'
+  when e.feature = 'reading_brief' and not coalesce(d.brief or d.candidate, false) then 'unsupported' when d.needs_endpoint and (e.endpoint = '' or e.model = '') then 'not_configured' else 'ready' end as gate
+  from gate_v e left join dims_v d on d.provider = e.provider""", "gate_v")
 def feature_gate(spark, sf_dir):
-    i = F.col("event_id")
-    e = _table(spark, sf_dir, "events").select("event_id", (i % 100).alias("k"), F.when(i % 5 == 0, "local").when(i % 5 == 1, "device").when(i % 5 == 2, "cloud").when(i % 5 == 3, "custom").otherwise("other").alias("provider"))
-    d = capabilities(spark).withColumnRenamed("provider", "known")
-    gate = F.when(F.col("needs_key") & (F.col("k") % 3 == 0), "key_missing").when(~F.col("deep"), "unsupported").when(F.col("needs_endpoint") & (F.col("k") % 5 == 0), "endpoint_missing").otherwise("ready")
-    return e.join(F.broadcast(d), F.col("provider") == F.col("known"), "left").select("event_id", F.col("known").alias("provider"), gate.alias("gate"))
+    return enrich.feature_gates(view(spark, sf_dir, "gate_v"), capabilities(spark)).select("event_id", "gate")
 
 
 # Deduplication and cleaning -------------------------------------------------------------------------------------------
@@ -239,10 +232,6 @@ def chrome_cleaner(spark, sf_dir):
     return view(spark, sf_dir, "posts_v").select("post_id", T.squeeze(F.regexp_replace("dom_text", r"(See more|查看更多|顯示更多)[ \t]*(\n|\z)", "$2")).alias("text"))
 
 
-@query("""select post_id, len(list_filter(string_split(dom_text, chr(10)), lambda x: length(trim(x, ' ')) > 1 and not regexp_matches(x, '^\\s*[0-9]{1,4}\\s*\\z') and x <> 'See more')) as n_lines from posts_v""", "posts_v")
-def line_cleaner(spark, sf_dir):
-    kept = F.filter(F.split("dom_text", "\n"), lambda x: (F.length(F.trim(x)) > 1) & ~x.rlike(r"^\s*[0-9]{1,4}\s*\z") & (x != "See more"))
-    return view(spark, sf_dir, "posts_v").select("post_id", F.size(kept).cast("long").alias("n_lines"))
 
 
 SEGMENTS = f"""select post_id, ord, kind, text from (
@@ -270,8 +259,9 @@ def first_sentence(spark, sf_dir):
 
 # Parsed responses -----------------------------------------------------------------------------------------------------
 
-BODY = "regexp_replace(regexp_replace(raw, '^\\s*```(?:json)?\\s*', ''), '\\s*```\\s*\\z', '')"
-OBJECT = f"(case when regexp_matches({BODY}, '(?s)^[{{]') and json_valid({BODY}) then {BODY}::json end)"
+FENCED = "(?is)```(?:json)?[ \\t]*\\r?\\n(.*?)\\r?\\n?```"
+BODY = f"regexp_replace(case when regexp_matches(raw, '{FENCED}') then regexp_extract(raw, '{FENCED}', 1) else raw end, '^\\s+|\\s+\\z', '', 'g')"
+OBJECT = f"(case when regexp_matches({BODY}, '(?s)^[{{].*[}}]\\z') and json_valid({BODY}) then {BODY}::json end)"
 NUM = "(case json_type(j, '$.{0}') when 'BOOLEAN' then (case when json_extract_string(j, '$.{0}') = 'true' then 1e0 else 0e0 end) else try_cast(json_extract_string(j, '$.{0}') as double) end)"
 UNIT = "least(1e0, greatest(0e0, coalesce({})))"
 
@@ -309,9 +299,9 @@ def response_shapes(spark, sf_dir):
     return view(spark, sf_dir, "llm_v").agg(F.count("*").alias("n"), F.count_if(raw.rlike(r"^[0-9]+\z")).alias("digits"), F.count_if(raw.startswith("```")).alias("fenced"), F.count_if(raw.startswith("{")).alias("bare"))
 
 
-@query("""select post_id, regexp_replace(regexp_replace(t, '視頻|视频', '影片', 'g'), '信息', '資訊', 'g') as text, len(regexp_extract_all(t, '視頻|视频|信息')) as found from (select post_id, concat(case when post_id % 3 = 0 then '視頻信息 ' else '' end, left(full_text, 20)) as t from posts_v)""", "posts_v")
+@query("""select post_id, regexp_replace(regexp_replace(t, '視頻|视频', '影片', 'g'), '信息', '資訊', 'g') as text, len(regexp_extract_all(t, '視頻|视频|信息')) as found from (select post_id, concat(case when post_id % 3 = 0 then '視頻信息 ' else '' end, full_text, case when post_id % 7 = 0 then ' 信息' else '' end) as t from posts_v)""", "posts_v")
 def output_term_review(spark, sf_dir):
-    t = F.concat(F.when(F.col("post_id") % 3 == 0, "視頻信息 ").otherwise(""), F.left("full_text", F.lit(20)))
+    t = F.concat(F.when(F.col("post_id") % 3 == 0, "視頻信息 ").otherwise(""), "full_text", F.when(F.col("post_id") % 7 == 0, " 信息").otherwise(""))
     return view(spark, sf_dir, "posts_v").select("post_id", review.replaced(t).alias("text"), review.term_findings(t).cast("long").alias("found"))
 
 
@@ -326,26 +316,60 @@ def severity_band(spark, sf_dir):
     return view(spark, sf_dir, "decisions_v").select("event_id", S.severity(top, F.lit(0)).alias("severity"))
 
 
-@query("""select event_id, array_to_string(list_transform((list_sort(list_filter([{'s': -commercial, 'k': 0, 'n': case when commercial >= 0.5 then 'commercial' end}, {'s': -political, 'k': 1, 'n': case when political >= 0.5 then 'political' end}, {'s': -emotional, 'k': 2, 'n': case when emotional >= 0.5 then 'emotional' end}], lambda x: x.n is not null)))[1:2], lambda x: x.n), ',') as top from decisions_v""", "decisions_v")
+D = "coalesce({}, 0e0)"
+FACT = "greatest(coalesce(factual_risk, 0e0), case when coalesce(needs_fact_check, false) then 0.85e0 else 0e0 end)"
+AI = "coalesce(greatest(case when text_ai >= 0.7 then text_ai end, case when image_ai >= 0.7 then image_ai end), 0e0)"
+
+
+def _leading(rows: list[tuple[str, str, str]]) -> str:
+    """DuckDB: the names of the two rows (name, score, condition) with the highest scores."""
+    listed = ", ".join(f"{{'s': -({score}), 'k': {k}, 'n': case when coalesce({on}, false) then '{name}' end}}" for k, (name, score, on) in enumerate(rows))
+    return f"list_sort(list_filter([{listed}], lambda x: x.n is not null))[1:2]"
+
+
+SIGNALS = f"""select *, {_leading([('commercial', 'commercial', 'commercial >= 0.75'), ('political', 'political', 'political >= 0.5'), ('emotional_strong', 'emotional', 'emotional >= 0.75 and emotional >= rage'),
+    ('emotional', 'emotional', 'emotional >= 0.5 and emotional < 0.75 and emotional >= rage'), ('rule', '0.85e0', 'rule_hits >= 1'), ('insufficient', '0.5e0', 'insufficient')])} as a
+  from (select *, coalesce(list_max(list_transform(list_filter(b, lambda x: x.n = 'ragebait'), lambda x: -x.s)), 0e0) as rage from (select *, {FACT} as fact, {AI} as ai, greatest(commercial, {D.format('deep_commercial')}) as intent,
+  {_leading([('commercial', D.format('deep_commercial'), 'deep_commercial >= 0.75'), ('fact_check', FACT, f'{FACT} >= 0.7'), ('ai', AI, f'{AI} >= 0.8'), ('low_quality', D.format('low_quality'), 'low_quality >= 0.5'), ('ragebait', D.format('manipulation'), 'manipulation >= 0.8')])} as b from decisions_v))"""
+COLUMNS = ("commercial", "political", "emotional", "personal", "deep_commercial", "factual_risk", "needs_fact_check", "text_ai", "image_ai", "low_quality", "manipulation", "insufficient", "rule_hits", "is_sponsored")
+
+
+@query(f"""select event_id, array_to_string(list_transform(a, lambda x: x.n), ',') as fast, array_to_string(list_transform(list_filter(b, lambda x: not list_contains(list_transform(a, lambda y: y.n), x.n)), lambda x: x.n), ',') as deep from ({SIGNALS})""", "decisions_v")
 def top2_signals(spark, sf_dir):
-    return view(spark, sf_dir, "decisions_v").select("event_id", S.top_signals([(n, F.col(n), 0.5) for n in ("commercial", "political", "emotional")]).alias("top"))
+    found = S.headline_signals({c: F.col(c) for c in COLUMNS})
+    return view(spark, sf_dir, "decisions_v").select("event_id", found["fast"].alias("fast"), found["deep"].alias("deep"))
+
+
+@query(f"""select event_id, case when rule_hits >= 1 or m >= 0.8 then 'high' when m >= 0.5 then 'mid' else 'low' end as severity,
+  not is_sponsored and personal >= 0.7 and intent < 0.75 and {D.format('low_quality')} < 0.5 and fact < 0.7 and {D.format('manipulation')} < 0.5 as personal_context
+  from (select *, greatest(intent, political, emotional, ai, {D.format('low_quality')}, fact, {D.format('manipulation')}, case when insufficient then 0.5e0 else 0e0 end) as m from ({SIGNALS}))""", "decisions_v")
+def headline_severity(spark, sf_dir):
+    found = S.headline_signals({c: F.col(c) for c in COLUMNS})
+    return view(spark, sf_dir, "decisions_v").select("event_id", found["severity"].alias("severity"), found["personal_context"].alias("personal_context"))
+
 
+RISKY = "political >= 0.6 or coalesce(deep_commercial, commercial) >= 0.6 or coalesce(text_ai, 0) >= 0.8 or coalesce(image_ai, 0) >= 0.8 or coalesce(low_quality, 0) >= 0.6 or coalesce(manipulation, 0) >= 0.6"
 
-@query("""select event_id, coalesce(needs_fact_check, false) or coalesce(factual_risk, 0) >= 0.7 as high_risk,
-  coalesce(needs_fact_check, false) or coalesce(factual_risk, 0) >= 0.5 or political >= 0.6 or coalesce(deep_commercial, commercial) >= 0.6 as lookup_worthy,
-  not coalesce(needs_fact_check, false) and coalesce(factual_risk, 0) < 0.4 and political < 0.6 and coalesce(deep_commercial, commercial) < 0.6 as low_risk from decisions_v""", "decisions_v")
+
+@query(f"""select event_id, coalesce(needs_fact_check, false) or coalesce(factual_risk, 0) >= 0.7 as high_risk, coalesce(needs_fact_check, false) or coalesce(factual_risk, 0) >= 0.5 or {RISKY} as lookup_worthy,
+  not coalesce(needs_fact_check, false) and coalesce(factual_risk, 0) < 0.4 and not ({RISKY}) as low_risk from decisions_v""", "decisions_v")
 def risk_profile(spark, sf_dir):
     need, risk, com = F.coalesce("needs_fact_check", F.lit(False)), F.coalesce("factual_risk", F.lit(0.0)), F.coalesce("deep_commercial", "commercial")
-    pol = F.col("political")
-    return view(spark, sf_dir, "decisions_v").select(
-        "event_id", (need | (risk >= 0.7)).alias("high_risk"), (need | (risk >= 0.5) | (pol >= 0.6) | (com >= 0.6)).alias("lookup_worthy"), (~need & (risk < 0.4) & (pol < 0.6) & (com < 0.6)).alias("low_risk")
-    )
+    high = lambda c, least: F.coalesce(c, F.lit(0.0)) >= least
+    risky = high("political", 0.6) | high(com, 0.6) | high("text_ai", 0.8) | high("image_ai", 0.8) | high("low_quality", 0.6) | high("manipulation", 0.6)
+    return view(spark, sf_dir, "decisions_v").select("event_id", (need | (risk >= 0.7)).alias("high_risk"), (need | (risk >= 0.5) | risky).alias("lookup_worthy"), (~need & (risk < 0.4) & ~risky).alias("low_risk"))
 
 
-@query("""select event_id, case when is_sponsored then 'sponsored' when factual_risk is null then 'no_deep_result' when factual_risk < 0.2 and not needs_fact_check then 'low_risk' when personal >= 0.9 then 'personal' else 'allowed' end as gate from decisions_v""", "decisions_v")
+@query("""select event_id, case when deep_lang is null or deep_lang <> 'zh-TW' then 'missing_deep_analysis' when brief_lang = 'zh-TW' and not stale then 'fresh_brief_exists' when pending then 'pending'
+  when failed and not stale then 'failed' when inflight then 'inflight' when gate <> 'ready' then 'feature_blocked' else 'allowed' end as gate from (select e.*, case when not e.enabled or e.provider = 'none' then 'not_configured'
+  when not coalesce(d.brief or d.candidate, false) then 'unsupported' when d.needs_endpoint and (e.endpoint = '' or e.model = '') then 'not_configured' else 'ready' end as gate from gate_v e left join dims_v d on d.provider = e.provider)""", "gate_v")
 def request_gate(spark, sf_dir):
-    gate = F.when(F.col("is_sponsored"), "sponsored").when(F.col("factual_risk").isNull(), "no_deep_result").when((F.col("factual_risk") < 0.2) & ~F.col("needs_fact_check"), "low_risk").when(F.col("personal") >= 0.9, "personal").otherwise("allowed")
-    return view(spark, sf_dir, "decisions_v").select("event_id", gate.alias("gate"))
+    rows = enrich.feature_gates(view(spark, sf_dir, "gate_v").withColumn("feature", F.lit("reading_brief")), capabilities(spark))
+    blocked = (
+        F.when(~F.col("deep_lang").eqNullSafe("zh-TW"), "missing_deep_analysis").when((F.col("brief_lang") == "zh-TW") & ~F.col("stale"), "fresh_brief_exists").when(F.col("pending"), "pending")
+        .when(F.col("failed") & ~F.col("stale"), "failed").when(F.col("inflight"), "inflight").when(F.col("gate") != "ready", "feature_blocked").otherwise("allowed")
+    )
+    return rows.select("event_id", blocked.alias("gate"))
 
 
 @query("""select user_id, count(*) as scanned, count(*) filter (is_sponsored) as sponsored, count(deep_commercial) as deep, count(*) filter (commercial >= 0.5 or political >= 0.5 or emotional >= 0.5) as flagged from decisions_v group by 1""", "decisions_v")

@@ -53,9 +53,9 @@ def identity_names(spark, sf_dir):
     return view(spark, sf_dir, "posts_v").select("post_id", F.regexp_extract("header", "^[^·•─✓]*", 0).alias("raw"), P.identity(F.col("header")).alias("name"))
 
 
-@query("""select post_id, case when post_id % 2 = 0 then full_text else full_text end as text from (select post_id, left(full_text, 80) as full_text from posts_v)""", "posts_v")
+@query("""select post_id, case when post_id % 2 = 0 then full_text else full_text end as text from posts_v""", "posts_v")
 def inline_author_prefix(spark, sf_dir):
-    body = F.left("full_text", F.lit(80))
+    body = F.col("full_text")
     text = F.concat(F.when(F.col("post_id") % 2 == 0, F.concat("author_name", F.lit(" · "))).otherwise(""), body)
     return view(spark, sf_dir, "posts_v").select("post_id", P.without_author(text, F.col("author_name")).alias("text"))
 
@@ -108,12 +108,41 @@ def device_risk_levels(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", P.risk(level).alias("risk"))
 
 
-@query("""select event_id, array_to_string(list_filter([case when commercial >= 0.6 then 'commercial' end, case when political >= 0.6 then 'political' end, case when emotional >= 0.7 then 'emotional' end, case when factual_risk >= 0.5 then 'factual' end], lambda x: x is not null), ',') as signals,
-  case when factual_risk >= 0.7 then 'check' when commercial >= 0.75 then 'compare' else 'read' end as action from decisions_v""", "decisions_v")
+SENSITIVE = "coalesce(needs_fact_check, false) or coalesce(factual_risk, 0) >= 0.7"
+
+
+@query(f"""select event_id, array_to_string(list_filter([case when is_sponsored then 'sponsored' end, case when coalesce(deep_commercial, commercial) >= 0.75 then 'commercial' end, case when political >= 0.6 then 'political' end,
+  case when emotional >= 0.75 then 'emotional_strong' when emotional >= 0.6 then 'emotional' end, case when personal >= 0.7 then 'personal' end, case when {SENSITIVE} then 'needs_check' end,
+  case when text_ai >= 0.7 then 'text_ai' end, case when image_ai >= 0.7 then 'image_ai' end], lambda x: x is not null), ',') as signals,
+  case when {SENSITIVE} then 'fact_check' when text_ai >= 0.7 or image_ai >= 0.7 then 'ai' when coalesce(deep_commercial, commercial) >= 0.75 then 'commercial' end as action,
+  array_to_string(list_filter([case when {SENSITIVE} then 'fact_check' end, case when factual_risk >= 0.7 then 'fact_risk' end, case when manipulation >= 0.5 then 'manipulation' end, case when low_quality >= 0.5 then 'low_quality' end], lambda x: x is not null), ',') as quality
+  from decisions_v""", "decisions_v")
 def investigation_signals(spark, sf_dir):
-    named = F.array_compact(F.array(*(F.when(F.col(c) >= least, name) for c, least, name in (("commercial", 0.6, "commercial"), ("political", 0.6, "political"), ("emotional", 0.7, "emotional"), ("factual_risk", 0.5, "factual")))))
-    action = F.when(F.col("factual_risk") >= 0.7, "check").when(F.col("commercial") >= 0.75, "compare").otherwise("read")
-    return view(spark, sf_dir, "decisions_v").select("event_id", F.array_join(named, ",").alias("signals"), action.alias("action"))
+    """Main signals, recommended action and signs of quality of each decision."""
+    sensitive = F.coalesce("needs_fact_check", F.lit(False)) | (F.coalesce("factual_risk", F.lit(0.0)) >= 0.7)
+    intent, ai = F.coalesce("deep_commercial", "commercial"), (F.coalesce("text_ai", F.lit(0.0)) >= 0.7) | (F.coalesce("image_ai", F.lit(0.0)) >= 0.7)
+    named = lambda *rows: F.array_join(F.array_compact(F.array(*(F.when(on, name) for on, name in rows))), ",")
+    c = F.col
+    signals = named(
+        (c("is_sponsored"), "sponsored"), (intent >= 0.75, "commercial"), (c("political") >= 0.6, "political"), (c("emotional") >= 0.75, "emotional_strong"), ((c("emotional") >= 0.6) & (c("emotional") < 0.75), "emotional"),
+        (c("personal") >= 0.7, "personal"), (sensitive, "needs_check"), (c("text_ai") >= 0.7, "text_ai"), (c("image_ai") >= 0.7, "image_ai"),
+    )
+    quality = named((sensitive, "fact_check"), (c("factual_risk") >= 0.7, "fact_risk"), (c("manipulation") >= 0.5, "manipulation"), (c("low_quality") >= 0.5, "low_quality"))
+    return view(spark, sf_dir, "decisions_v").select("event_id", signals.alias("signals"), F.when(sensitive, "fact_check").when(ai, "ai").when(intent >= 0.75, "commercial").alias("action"), quality.alias("quality"))
+
+
+@query(f"""select event_id, array_to_string(list_filter([case when {SENSITIVE} then 'fact_check' end, case when text_ai >= 0.7 then 'text_ai' end, case when image_ai >= 0.7 and has_media then 'image_support' end,
+  case when coalesce(deep_commercial, commercial) >= 0.75 then 'commercial' end, case when low_quality >= 0.5 then 'quality' end, case when emotional >= 0.6 or manipulation >= 0.5 then 'emotional' end, case when political >= 0.6 then 'neutral' end],
+  lambda x: x is not null)[1:4], ',') as questions from decisions_v""", "decisions_v")
+def suggested_questions(spark, sf_dir):
+    """Kinds of questions worth asking about a decision: the first four that apply."""
+    c = F.col
+    sensitive = F.coalesce("needs_fact_check", F.lit(False)) | (F.coalesce("factual_risk", F.lit(0.0)) >= 0.7)
+    rows = (
+        (sensitive, "fact_check"), (c("text_ai") >= 0.7, "text_ai"), ((c("image_ai") >= 0.7) & c("has_media"), "image_support"), (F.coalesce("deep_commercial", "commercial") >= 0.75, "commercial"),
+        (c("low_quality") >= 0.5, "quality"), ((c("emotional") >= 0.6) | (F.coalesce("manipulation", F.lit(0.0)) >= 0.5), "emotional"), (c("political") >= 0.6, "neutral"),
+    )
+    return view(spark, sf_dir, "decisions_v").select("event_id", F.array_join(F.slice(F.array_compact(F.array(*(F.when(on, n) for on, n in rows))), 1, 4), ",").alias("questions"))
 
 
 @query("""select event_id from (select event_id, user_id, ts, event_type, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events) where event_type = 'view' and (nxt is null or epoch_us(nxt) - epoch_us(ts) >= 60e6)""")
@@ -122,14 +151,20 @@ def candidate_delay(spark, sf_dir):
     return history.debounced(_table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 60).where("event_type = 'view'").select("event_id")
 
 
-@query("""select user_id, event_id, case when seen then 'healthy' when waited >= 3600e6 then 'unhealthy' else 'unknown' end as health from (select user_id, event_id, bool_or(event_type = 'purchase') over w as seen, epoch_us(ts) - epoch_us(min(ts) over w) as waited from events
-  window w as (partition by user_id order by ts, event_id rows unbounded preceding))""")
+DENIED = "messages|settings|marketplace|watch|gaming|events|notifications|photo|stories|reel|help|privacy|policies|legal|about|business|ads|developers"
+
+
+@query(f"""select user_id, event_id, case when bool_or(emitted) over r then 'healthy' when epoch_us(ts) - epoch_us(min(ts) over r) < 20e6 or not has_main or regexp_matches(path, '^/({DENIED})')
+  or not regexp_matches(path, '^/\\z|^/groups/[^/]+/?\\z|^/[^/]+/?\\z') then 'unknown' else 'unhealthy' end as health from (select *, sum(moved) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from (
+  select *, case when path = lag(path) over (partition by user_id order by ts, event_id) then 0 else 1 end as moved from ticks_v)) window r as (partition by user_id, run order by ts, event_id rows unbounded preceding)""", "ticks_v")
 def health_state(spark, sf_dir):
-    """Healthy once anything was bought, unhealthy after an hour without."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    seen = F.bool_or(F.col("event_type") == "purchase").over(w)
-    return _table(spark, sf_dir, "events").select("user_id", "event_id", F.when(seen, "healthy").when(micros - F.min(micros).over(w) >= 3_600_000_000, "unhealthy").otherwise("unknown").alias("health"))
+    """Per tick: healthy once a post was found on the path, unhealthy 20 seconds after its first tick if it looks like a feed, else unknown; a new path starts anew."""
+    return history.health(view(spark, sf_dir, "ticks_v"), "user_id", "ts", "event_id")
+
+
+@query(f"""select user_id, event_id, not regexp_matches(path, '^/({DENIED})') and regexp_matches(path, '^/\\z|^/groups/[^/]+/?\\z|^/[^/]+/?\\z') as feed_like from ticks_v""", "ticks_v")
+def feed_like_paths(spark, sf_dir):
+    return view(spark, sf_dir, "ticks_v").select("user_id", "event_id", T.is_feed_like(F.col("path")).alias("feed_like"))
 
 
 @query("""select user_id, event_id, coalesce(event_type <> lag(event_type) over (partition by user_id order by ts, event_id), true) as reset from events""")
@@ -154,9 +189,9 @@ def deduped_rows(spark, sf_dir):
     return _table(spark, sf_dir, "documents").groupBy(T.compact(F.col("text")).alias("t")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("""select doc_id, list_reduce(list_prepend(5381::bigint, list_transform(string_split(left(text, 20), ''), lambda x: unicode(x)::bigint)), lambda h, x: (h * 33 + x) & 4294967295) as h from documents where text <> ''""")
+@query("""select doc_id, list_reduce(list_prepend(5381::bigint, list_transform(string_split(text, ''), lambda x: unicode(x)::bigint)), lambda h, x: (h * 33 + x) & 4294967295) as h from documents where text <> ''""")
 def text_hash_keys(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", T.djb2(F.left("text", F.lit(20))).alias("h"))
+    return _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", T.djb2(F.col("text")).alias("h"))
 
 
 @query("""select post_id, seq, max(completeness_rank) over (partition by post_id order by seq rows unbounded preceding)::int as best_rank from (select *, case completeness when 'likely_truncated' then 1 when 'visible_complete' then 2 else 3 end as completeness_rank from event_log_v)""", "event_log_v")

@@ -8,16 +8,16 @@ VIEWS = {
           case when doc_id % 7 = 3 then 'Sponsored · 🌐' when doc_id % 7 = 5 then 'Sponsoredness rises' else concat('Author ', cast(doc_id % 37 as string)) end as header,
           case doc_id % 6 when 0 then 'share_without_comment' when 1 then 'reshare_with_comment' else 'standard' end as content_kind,
           doc_id % 9 = 4 as is_recommended,
-          concat(left(text, 200), case when doc_id % 5 = 0 then concat(chr(10), 'See more') else '' end,
+          concat(case when doc_id % 5 = 0 then concat(left(text, cast(floor(length(text) / 2) as int)), chr(10), 'See more') else text end,
             case when doc_id % 11 = 0 then concat(chr(10), 'Share if you agree!') else '' end,
-            case when doc_id % 13 = 0 then repeat('😀', length(left(text, 200))) else '' end) as dom_text,
+            case when doc_id % 13 = 0 then repeat('😀', length(text)) else '' end) as dom_text,
           text as full_text
         from {documents}"""),
     "gql_v": ("documents", """
         select doc_id as seq, concat('g', cast(doc_id as string)) as post_id,
           case when doc_id % 4 = 0 then 'Somebody Else' else concat('Author ', cast(doc_id % 37 as string)) end as author_name,
           text, doc_id % 8 = 0 as is_sponsored
-        from {documents} where doc_id % 3 = 0"""),
+        from {documents}"""),
     "event_log_v": ("events", """
         select user_id as post_id, event_id as seq, ts, case when event_id % 4 = 0 then '' else concat(event_type, ' ', cast(event_id % 10 as string)) end as text,
           case when event_id % 5 = 0 then null else concat('Author ', cast(user_id % 37 as string)) end as author_name,
@@ -29,14 +29,19 @@ VIEWS = {
           (event_id * 13 % 100) / 100e0 as emotional, (event_id * 29 % 100) / 100e0 as personal,
           case when event_id % 2 = 0 then (event_id * 31 % 100) / 100e0 end as deep_commercial,
           case when event_id % 2 = 0 then (event_id * 37 % 100) / 100e0 end as factual_risk,
-          case when event_id % 2 = 0 then event_id % 10 = 0 end as needs_fact_check, event_id % 7 = 0 as is_sponsored
+          case when event_id % 2 = 0 then event_id % 10 = 0 end as needs_fact_check, event_id % 7 = 0 as is_sponsored,
+          case when event_id % 2 = 0 and event_id % 3 <> 0 then (event_id * 41 % 100) / 100e0 end as text_ai,
+          case when event_id % 2 = 0 and event_id % 5 <> 0 then (event_id * 43 % 100) / 100e0 end as image_ai,
+          case when event_id % 2 = 0 then (event_id * 47 % 100) / 100e0 end as low_quality, case when event_id % 4 = 0 then (event_id * 53 % 100) / 100e0 end as manipulation,
+          event_id % 11 = 0 as insufficient, event_id % 13 = 0 as has_media, case when event_id % 17 = 0 then 1 + event_id % 2 else 0 end as rule_hits
         from {events}"""),
     "llm_v": ("events", """
         select event_id, case event_id % 6
           when 0 then concat('{{"commercial":', cast(event_id % 130 as string), 'e-2,"political":true}}')
           when 1 then concat('{{"c":0.', cast(event_id % 10 as string), ',"p":0,"e":1.5,"P":false}}')
           when 2 then right(concat('0000', cast(event_id * 17 % 10000 as string)), 4)
-          when 3 then concat('```json', chr(10), '{{"sum":"s","txt_ai":0.', cast(event_id % 10 as string), '}}', chr(10), '```')
+          when 3 then concat(case when event_id % 12 = 3 then concat('Sure:', chr(10)) else '' end, '```json', chr(10), '{{"sum":"s","txt_ai":0.', cast(event_id % 10 as string), '}}', chr(10), '```',
+            case when event_id % 24 = 3 then ' Done.' else '' end)
           when 4 then 'Here is the JSON: {{"c":0.5}}' else '{{"c":' end as raw
         from {events}"""),
     "issues_v": ("events", """
@@ -47,20 +52,37 @@ VIEWS = {
         from {events}"""),
     "ssr_v": ("conversations", """
         select conv_id as doc_id, case turn % 4 when 0 then 'marker' when 1 then 'message' when 2 then 'actor' else 'post_id' end as kind,
-          turn * 100 + length(text) % 97 as pos, left(text, 40) as value
+          turn * 100 + length(text) % 97 as pos, text as value
         from {conversations}"""),
     "urls_v": ("pages", """
         select page_id, case page_id % 5 when 0 then concat('https://www.facebook.com/groups/', cast(page_id as string))
           when 1 then concat('https://m.facebook.com/user', cast(page_id as string), '/posts/9?fbclid=x&a=1#top')
-          when 2 then concat('https://l.facebook.com/l.php?u=', cast(page_id as string)) else url end as url
+          when 2 then concat('https://l.facebook.com/l.php?u=', cast(page_id as string))
+          when 3 then concat('https://www.facebook.com', case cast(floor(page_id / 5) as bigint) % 12 when 0 then '/' when 1 then '/Home.php' when 2 then '/profile.php?id=4' when 3 then '/people/Some-One/77' when 4 then '/groups/discover'
+            when 5 then '/story.php?id=1' when 6 then '/Marketplace/item/3' when 7 then '/someone' when 8 then '/someone/photos/8' when 9 then '/someone/about' when 10 then '/groups/' else '/reel/55' end) else url end as url
         from {pages}"""),
+    "gate_v": ("events", """
+        select event_id, case when event_id % 5 = 0 then null when event_id % 7 = 1 then 'en' else 'zh-TW' end as deep_lang,
+          case when event_id % 6 = 0 then 'zh-TW' when event_id % 6 = 1 then 'en' end as brief_lang, event_id % 4 = 0 as stale, event_id % 11 = 2 as pending, event_id % 13 = 3 as failed,
+          event_id % 17 = 4 as inflight, event_id % 3 > 0 as enabled,
+          case event_id % 9 when 0 then 'lane' when 1 then 'local' when 2 then 'compatible' when 3 then 'device' when 4 then 'cloud_a' when 5 then 'cloud_b' when 6 then 'cloud_c' when 7 then 'none' else 'other' end as provider,
+          case when event_id % 2 = 0 then 'reading_brief' else 'ai_analysis' end as feature, case when event_id % 8 = 0 then '' else 'http://h' end as endpoint, case when event_id % 10 = 0 then '' else 'm' end as model
+        from {events}"""),
+    "ticks_v": ("events", """
+        select user_id, event_id, ts, event_id % 9 = 0 as emitted, event_id % 10 > 0 as has_main,
+          case cast(floor(event_id / 400) as bigint) % 6 when 0 then '/' when 1 then '/groups/5' when 2 then '/messages/t' when 3 then '/someone/' when 4 then '/a/b' else '/settings' end as path
+        from {events}"""),
     "cache_v": ("events", """
         select concat(cast(user_id as string), ':', event_type) as text_key, event_id as seq, ts, concat('classificationCacheV', cast(event_id % 16 as string)) as storage_key
         from {events}"""),
 }
 
 RULES = [(k, f"rule{k}", word, threshold, k % 4 != 3) for k, (word, threshold) in enumerate([("the", 0.2), ("of", 0.4), ("and", 0.6), ("der", 0.2), ("la", 0.5), ("que", 0.3), ("on", 0.9), ("tion", 0.5), ("er", 0.7), ("in", 0.8), ("es", 0.4), ("die", 0.3), ("is", 0.6), ("to", 0.9)])]
-CAPABILITIES = [("local", True, False, True, True), ("device", False, False, True, True), ("cloud", True, True, True, True), ("custom", True, False, True, False)]
+# What each kind of model source needs and may run: endpoint, key, fast scores, analysis, brief, brief after a test.
+CAPABILITIES = [
+    ("lane", False, False, False, True, True, False), ("local", True, False, True, True, True, False), ("compatible", True, False, True, True, True, False), ("device", False, False, True, True, False, True),
+    ("cloud_a", False, True, False, False, False, False), ("cloud_b", False, True, False, False, False, False), ("cloud_c", False, True, False, False, False, False), ("none", False, False, False, False, False, False),
+]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +96,7 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CAPABILITIES, "provider string, needs_endpoint boolean, needs_key boolean, fast boolean, deep boolean")
+    return spark.createDataFrame(CAPABILITIES, "provider string, needs_endpoint boolean, needs_key boolean, fast boolean, deep boolean, brief boolean, candidate boolean")
 
 
 def oracle(body: str, *names: str) -> str:
@@ -84,5 +106,5 @@ def oracle(body: str, *names: str) -> str:
     if "rules_v" in body:
         parts.append("rules_v(ord, rule_id, keyword, threshold, enabled) as (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in RULES) + ")")
     if "dims_v" in body:
-        parts.append("dims_v(provider, needs_endpoint, needs_key, fast, deep) as (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in CAPABILITIES) + ")")
+        parts.append("dims_v(provider, needs_endpoint, needs_key, fast, deep, brief, candidate) as (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in CAPABILITIES) + ")")
     return ("with " + ", ".join(parts) + " " if parts else "") + body
