@@ -556,4 +556,4 @@ def stream_progressive(spark, sf_dir):
     return found.groupBy("post_id").agg(F.max(F.struct("n", "text", "author_name")).alias("m")).select("post_id", "m.text", "m.author_name", "m.n")
 
 
-from feedweave.plans import panel_queries  # noqa: E402, F401  registers its queries here
+from feedweave.plans import context_queries, panel_queries  # noqa: E402, F401  they register their queries here

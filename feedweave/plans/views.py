@@ -61,6 +61,17 @@ VIEWS = {
           when 3 then concat('https://www.facebook.com', case cast(floor(page_id / 5) as bigint) % 12 when 0 then '/' when 1 then '/Home.php' when 2 then '/profile.php?id=4' when 3 then '/people/Some-One/77' when 4 then '/groups/discover'
             when 5 then '/story.php?id=1' when 6 then '/Marketplace/item/3' when 7 then '/someone' when 8 then '/someone/photos/8' when 9 then '/someone/about' when 10 then '/groups/' else '/reel/55' end) else url end as url
         from {pages}"""),
+    "dressed_v": ("documents", """
+        select *, concat(text, case doc_k when 0 then ' 可能是顯示的文字是「HELLO WORLD」的圖像' when 1 then ' 可能是一隻貓的圖像' else '' end) as pictured,
+          case when post_id % 6 = 1 then concat('A shared story number ', cast(post_id as string), ' about things') end as reshare_text, case when post_id % 6 = 1 then 'Ann Lee' end as reshare_author,
+          case when post_id % 6 = 0 then 'share_without_comment' when post_id % 6 = 1 then 'reshare_with_comment' else 'standard' end as content_kind,
+          case when post_id % 6 = 2 then concat('example', cast(post_id as string), '.org A preview of something new') end as shared_attachment
+        from (select doc_id as post_id, doc_id % 8 as k, doc_id % 5 as doc_k, text as base, concat('Author ', cast(doc_id % 37 as string)) as author_name, case when doc_id % 8 in (1, 7) then 'Cat Club' end as source_name,
+          case doc_id % 8 when 0 then concat('Author ', cast(doc_id % 37 as string), chr(10), text)
+            when 1 then concat('Cat Club', chr(10), 'Author ', cast(doc_id % 37 as string), ' · 2小時', chr(10), text)
+            when 2 then concat('貓咪社團', chr(10), 'Author ', cast(doc_id % 37 as string), chr(10), text) when 3 then concat('Author ', cast(doc_id % 37 as string), ': ', text)
+            when 4 then concat('管理員 ', text) when 5 then concat(text, chr(10), '查看更多留言', chr(10), 'someone: hi') when 6 then concat(text, ' See more', chr(10), 'AI 圖片觀察：cat')
+            else concat(text, ' 來源：Cat Club 3小時') end as text from {documents}) d"""),
     "gate_v": ("events", """
         select event_id, case when event_id % 5 = 0 then null when event_id % 7 = 1 then 'en' else 'zh-TW' end as deep_lang,
           case when event_id % 6 = 0 then 'zh-TW' when event_id % 6 = 1 then 'en' end as brief_lang, event_id % 4 = 0 as stale, event_id % 11 = 2 as pending, event_id % 13 = 3 as failed,
