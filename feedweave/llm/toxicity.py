@@ -16,10 +16,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, carried, crc_mod, discard, id_and_text, row_texts, shared, slices, stored, table
+from feedweave.llm.common import byte_texts, carried, crc_mod, discard, id_and_text, row_texts, shared, slices, split_words, stored, table
 
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000  # the bounds of the training sample, by label
 STEMS = range(4, 9)
@@ -66,20 +67,45 @@ class Lexicon:
             node.setdefault("", []).append(term)
         self.whole = [t for t in sorted([*weights, *self.forms]) if not t.endswith("*")]
         self.stems = [t[:-1] for t in sorted(weights) if t.endswith("*")]
-        self.first = tuple(self.stems)
         self.letters = letter_counts(self.whole)
+        # A word within k edits of a term holds one of the term's k + 1 pieces unchanged: the first where it begins, the last where
+        # it ends, or the one between, an edit before it and one behind, at most a letter from its place.
+        pieces: dict[tuple[int, int], set[str]] = {}
+        for term in self.whole:
+            n, k = len(term), allowed_edits(term)
+            cuts = [i * n // (k + 1) for i in range(k + 2)]
+            parts = list(zip(cuts, cuts[1:]))
+            pieces.setdefault((0, parts[0][1]), set()).add(term[: parts[0][1]])
+            if k:
+                pieces.setdefault((parts[-1][0] - n, n - parts[-1][0]), set()).add(term[parts[-1][0] :])
+            for a, b in parts[1:-1]:
+                for at in (a - 1, a, a + 1):
+                    pieces.setdefault((at, b - a), set()).add(term[a:b])
+        self.pieces = {place: sorted(texts) for place, texts in pieces.items()}
+        self.heads = {n: sorted(s for s in self.stems if len(s) == n) for n in {len(s) for s in self.stems}}
+
+    @staticmethod
+    def holding(words: pa.Array, at: int, size: int, texts: list[str]) -> np.ndarray:
+        """Which words hold one of the texts of ``size`` characters at a place, counted from the end if negative."""
+        part = pc.utf8_slice_codeunits(words, at, at + size if at >= 0 or at + size < 0 else 1 << 30)
+        return pc.is_in(part, value_set=pa.array(texts, pa.string())).to_numpy(zero_copy_only=False)
 
     def plausible(self, words: list[str]) -> list[int]:
-        """Positions of the words that can match at all: an edit changes a word's length by one at most, its letters' counts by two."""
-        counts = letter_counts(words)
+        """Positions of the words that can match at all: they hold a piece of a term, and an edit changes their length by one at most, their letters' counts by two."""
+        column = pa.array(words, pa.string())
+        some = np.zeros(len(words), bool)
+        for (at, size), texts in self.pieces.items():
+            some |= self.holding(column, at, size, texts)
+        rows = np.flatnonzero(some)
+        counts = letter_counts([words[i] for i in rows.tolist()])
         sizes = counts.sum(axis=1, dtype=np.int64)
         found = [np.zeros(0, np.int64)]
         for term, own in zip(self.whole, self.letters):
             k = allowed_edits(term)
             near = np.flatnonzero(np.abs(sizes - len(term)) <= k)
-            found.append(near[np.abs(counts[near] - own).sum(axis=1) <= 2 * k])
-        if self.stems:
-            found.append(np.array([i for i, w in enumerate(words) if w.startswith(self.first)], np.int64))
+            found.append(rows[near[np.abs(counts[near] - own).sum(axis=1) <= 2 * k]])
+        for size, texts in self.heads.items():
+            found.append(np.flatnonzero(self.holding(column, 0, size, texts)))
         return np.unique(np.concatenate(found)).tolist()
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -127,13 +153,8 @@ def design(raw: np.ndarray, noise: float) -> np.ndarray:
 
 def document_features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     """A row per text: see RAW."""
-    words: list[bytes] = []
-    counts = np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = text.split()
-        counts[i] = len(own)
-        words += own
-    coded = pa.array(words, pa.binary()).dictionary_encode()
+    words, counts = split_words(texts, lower=False)
+    coded = words.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     bare = [plain(w) for w in distinct]
     hit_of: dict[int, tuple[float, int, str]] = {}
@@ -156,11 +177,12 @@ def document_features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     for p, d in zip(places.tolist(), owners.tolist()):
         weight, edits, term = hit_of[int(codes[p])]
         a, b = max(int(begin[d]), p - WINDOW), min(int(begin[d] + counts[d]), p + WINDOW + 1)
-        before, after = b" ".join(words[a:p]).decode("utf-8", "replace"), b" ".join(words[p + 1 : b]).decode("utf-8", "replace")
-        own = words[p].decode("utf-8", "replace")
+        around = words.slice(a, b - a).to_pylist()
+        before, after = b" ".join(around[: p - a]).decode("utf-8", "replace"), b" ".join(around[p + 1 - a :]).decode("utf-8", "replace")
+        own = around[p - a].decode("utf-8", "replace")
         opened = len(QUOTES.findall(before)) % 2 == 1 or bool(QUOTES.match(own))
         closed = bool(QUOTES.search(after)) or bool(QUOTES.search(own[1:]))
-        quoted = opened and closed or any(w.lower().strip(b".,:;\"'") in SAYING for w in words[max(a, p - 3) : p])
+        quoted = opened and closed or any(w.lower().strip(b".,:;\"'") in SAYING for w in around[max(0, p - 3 - a) : p - a])
         if not edits:
             out[d, 2 if quoted else 0] += weight
             kinds.setdefault(d, set()).add(term)
