@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +82,72 @@ def health(ticks: DataFrame, key: str, time: str, order: str, grace_seconds: int
     waited = F.unix_micros(F.col(time).cast("timestamp")) - F.min(F.unix_micros(F.col(time).cast("timestamp"))).over(r)
     quiet = (waited < grace_seconds * 1_000_000) | ~F.col("has_main") | ~T.is_feed_like(F.col("path"))
     return runs.select(key, order, F.when(F.bool_or("emitted").over(r), "healthy").when(quiet, "unknown").otherwise("unhealthy").alias("health"))
+
+
+def lru(accesses: DataFrame, key: str, order: str, size: int = 500) -> DataFrame:
+    """What a cache of ``size`` entries that drops the least recently used holds in the end: the keys accessed last."""
+    return accesses.groupBy(key).agg(F.max(order).alias(order)).orderBy(F.desc(order)).limit(size)
+
+
+def folded(events: DataFrame, key: str, order: str, start: tuple, step: Callable, fields: list[tuple[str, str]]) -> DataFrame:
+    """Each event with the state that ``step(state, row)`` makes of it and the key's state before it; ``fields`` name and type the state.
+
+    Events come sorted by key and order, so a task holds one key's state, never its events; a key's events must meet in one task,
+    as each depends on the one before.
+    """
+    types = dict(events.dtypes)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, start
+        for part in parts:
+            rows = []
+            for row in part.itertuples(index=False):
+                own = getattr(row, key)
+                if own != now:
+                    now, state = own, start
+                state = step(state, row)
+                rows.append((own, getattr(row, order), *state))
+            yield pd.DataFrame(rows, columns=[key, order, *(n for n, _ in fields)]).astype({n: "object" for n, _ in fields})
+
+    schema = ", ".join([f"{key} {types[key]}", f"{order} {types[order]}", *(f"{n} {t}" for n, t in fields)])
+    return events.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
+def ingested(events: DataFrame) -> DataFrame:
+    """``events(post_id, seq, text, deep_lang, deep, brief, pending)`` folded into ``text, brief, stale, pending`` after each event.
+
+    An empty text keeps the one before.  An event with a brief or a pending one of its own stands; else the state's is carried on,
+    unless the analysis is in another language than the brief; if text or analysis changed, the brief is stale and nothing pends.
+    """
+
+    def step(state: tuple, row) -> tuple:
+        text, brief, stale, pending, deep = state
+        missing = lambda v: None if pd.isna(v) else v
+        lang, own, own_deep = missing(row.deep_lang), missing(row.brief), (missing(row.deep), missing(row.deep_lang))
+        new = row.text or text
+        if deep is None or own is not None or row.pending:
+            return new, own, False, bool(row.pending), own_deep
+        if (brief is None and not pending) or (brief is not None and lang is not None and brief != lang):
+            return new, None, False, False, own_deep
+        if new != text or own_deep != deep:
+            return new, brief, brief is not None, False, own_deep
+        return new, brief, stale, pending, own_deep
+
+    found = folded(events, "post_id", "seq", ("", None, False, False, None), lambda s, r: step(s, r), [("text", "string"), ("brief", "string"), ("stale", "boolean"), ("pending", "boolean"), ("deep", "array<string>")])
+    return found.drop("deep")
+
+
+def held(events: DataFrame, hold: int) -> DataFrame:
+    """``events(user_id, seq, post_id, tick, follow, manual)`` with whether the post is shown, and which one is then.
+
+    Nothing is shown unless the panel follows; while a post chosen by hand is held, for ``hold`` after the choice, no other is.
+    """
+
+    def step(state: tuple, row) -> tuple:
+        _, current, until = state
+        blocked = row.tick < until and current is not None and current != row.post_id
+        moves = bool(row.follow) and not blocked
+        return moves and current != row.post_id, row.post_id if moves else current, row.tick + hold if row.manual else until
+
+    found = folded(events, "user_id", "seq", (False, None, 0), step, [("accepted", "boolean"), ("current", "long"), ("until", "long")])
+    return found.drop("until")

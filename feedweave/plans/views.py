@@ -72,6 +72,28 @@ VIEWS = {
             when 2 then concat('貓咪社團', chr(10), 'Author ', cast(doc_id % 37 as string), chr(10), text) when 3 then concat('Author ', cast(doc_id % 37 as string), ': ', text)
             when 4 then concat('管理員 ', text) when 5 then concat(text, chr(10), '查看更多留言', chr(10), 'someone: hi') when 6 then concat(text, ' See more', chr(10), 'AI 圖片觀察：cat')
             else concat(text, ' 來源：Cat Club 3小時') end as text from {documents}) d"""),
+    "noisy_v": ("documents", """
+        select doc_id as post_id, concat(case doc_id % 4 when 0 then concat('5h', chr(10), '·', chr(10)) when 1 then concat('Like', chr(10), 'xq', chr(10)) when 2 then concat('Facebook Facebook Facebook Facebook', chr(10), '已編輯 ') else concat('3小時', chr(10), ' 1234 ', chr(10)) end,
+          text, case doc_id % 5 when 0 then concat(chr(10), '12', chr(10), '1,234') when 1 then concat(chr(10), '分享對象：公開 end', chr(10), 'at', chr(10), 'Share') when 2 then concat(chr(10), 'x View more comments', chr(10), 'reply') else '' end) as text
+        from {documents}"""),
+    "links_v": ("pages", """
+        select page_id, case page_id % 7 when 0 then concat('https://www.facebook.com/groups/g/posts/', cast(page_id as string), '/#c') when 1 then concat('https://m.facebook.com/user/posts/', cast(page_id as string), '?x=1')
+          when 2 then 'https://facebook.com/story.php?id=1' when 3 then 'https://www.facebook.com/photo/?fbid=2' when 4 then 'https://www.facebook.com/share/p/abc' when 5 then 'https://example.com/a/posts/1' else url end as url
+        from {pages}"""),
+    "brief_v": ("events", """
+        select user_id as post_id, event_id as seq, case when event_id % 3 = 0 then concat('text ', cast(cast(floor(event_id / 900) as bigint) as string)) else '' end as text, case when event_id % 4 = 0 then null when event_id % 19 = 0 then 'en' else 'zh' end as deep_lang,
+          case when event_id % 4 = 0 then null else concat('deep ', cast(cast(floor(event_id / 700) as bigint) as string)) end as deep, case when event_id % 8 = 1 then 'zh' end as brief, event_id % 11 = 5 as pending
+        from {events}"""),
+    "focus_v": ("events", """
+        select user_id, event_id as seq, event_id % 5 as post_id, cast(floor(event_id / 100) as bigint) * 3 + event_id % 3 as tick, event_id % 6 > 0 as follow, event_id % 7 = 0 as manual
+        from {events}"""),
+    "expanded_v": ("events", """
+        select user_id as post_id, event_id as seq, case event_id % 3 when 0 then 'share_without_comment' when 1 then 'reshare_with_comment' else 'standard' end as kind1, case when event_id % 4 = 0 then 'reshare_with_comment' else 'standard' end as kind2,
+          concat('own ', event_type) as text1, concat('whole ', event_type) as text2, concat('s1 ', event_type) as shared1, case when event_id % 5 = 0 then '' else concat('s2 ', event_type) end as shared2
+        from {events}"""),
+    "pipeline_v": ("events", """
+        select event_id, event_id % 19 > 0 as enabled, event_id % 17 = 0 as allowed, event_id % 7 = 0 as sponsored, event_id % 5 = 0 as cached, event_id % 13 as n_chars, case event_id % 11 when 0 then 'timeout' when 1 then 'empty' else 'scores' end as outcome
+        from {events}"""),
     "gate_v": ("events", """
         select event_id, case when event_id % 5 = 0 then null when event_id % 7 = 1 then 'en' else 'zh-TW' end as deep_lang,
           case when event_id % 6 = 0 then 'zh-TW' when event_id % 6 = 1 then 'en' end as brief_lang, event_id % 4 = 0 as stale, event_id % 11 = 2 as pending, event_id % 13 = 3 as failed,
