@@ -199,3 +199,17 @@ def near_duplicate_vectors(rows: DataFrame, similarity: float = SIMILARITY) -> D
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+with recursive v as (
+  select row_number() over () as r, vec_id, label, [cast(x as double) for x in embedding] as e from embeddings
+), ok as (
+  select * from v where label is not null and len(e) > 0 and len([x for x in e if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in e if x <> 0]) > 0
+), p as (
+  select a.r, a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r where list_cosine_similarity(a.e, b.e) >= 0.98
+), t(a, c) as (
+  select vec_id, vec_id from v union select p.a, t.c from t join p on p.b = t.a
+), c as (select a, min(c) as c from t group by 1), n as (select r, count(*) as n from p group by 1)
+select v.vec_id, coalesce(n.n, 0) as n_links, c.c as component_id, v.vec_id = c.c as kept from v join c on c.a = v.vec_id left join n on n.r = v.r
+"""

@@ -289,3 +289,20 @@ def common(values: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) ->
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+ORACLE = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), g as (
+  select doc_id, list_distinct(case when len(w) >= 5 then [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w
+), s as (select doc_id, hash(unnest(g)) as g from g), m as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), q as (
+  select a, b from m join g x on x.doc_id = a join g y on y.doc_id = b where 100 * n >= 85 * (len(x.g) + len(y.g) - n)
+), p as (select a, b from q union all select b, a from q
+), t(a, c) as (
+  select doc_id, doc_id from g union select p.a, t.c from t join p on p.b = t.a
+), c as (select a, min(c) as c from t group by 1)
+select g.doc_id, len(g.g) as n_shingles, c.c as component_id, g.doc_id = c.c as kept from g join c on c.a = g.doc_id
+"""

@@ -30,12 +30,14 @@ THRESHOLD = 0.7
 LOOKS_LIKE = str.maketrans("013457@$!", "oieastasi")
 DISGUISE, LETTER = re.compile("[013457@$!]"), re.compile("[^\\W\\d_]")
 SAYING = frozenset(b"said says called calls quoted quote wrote writes word term insult slur named dit disait mot sagte nannte wort dijo palabra".split())
+MARKS = "\"'`.,;:!?()[]{}<>|*_~-…«»“”„‘’¿¡"
 QUOTES = re.compile("[\"\u201c\u201d\u201e\u00ab\u00bb]")
 
 
 def plain(word: bytes) -> str:
     """A word without the marks around it, in lower case."""
-    return word.decode("utf-8", "replace").lower().strip("\"'`.,;:!?()[]{}<>|*_~-…«»“”„‘’¿¡")
+    text = word.decode("utf-8", "replace").lower().strip(MARKS)
+    return text.rstrip("#$%&").rstrip(MARKS) if text[-2:] in ("##", "$$", "%%", "&&") else text  # a lone $ may stand for a letter
 
 
 def allowed_edits(term: str) -> int:
