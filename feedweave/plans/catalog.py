@@ -524,35 +524,31 @@ def markdown_export(spark, sf_dir):
     return view(spark, sf_dir, "decisions_v").select("event_id", export.markdown(F.concat(F.lit("Post "), F.col("event_id")), tags, body).alias("note"))
 
 
-def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All of a bounded stream's output, by a table of the session's memory: for tests and small results."""
-    spark = stream.sparkSession
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
-@query("""select user_id, count(*) as n from events group by 1""")
+@query("""select user_id, min(ts) as began, max(ts) + interval 30 minute as ended, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from (
+  select *, case when coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)), 1e18) >= 1800e6 then 1 else 0 end as new from events)) group by user_id, run""")
 def stream_session(spark, sf_dir):
-    found = _drained(streams.sessions(_event_stream(spark, sf_dir)), "feedweave_sessions", "complete")
-    return found.groupBy("user_id").agg(F.sum("n").alias("n"))
+    found = streams.drained(streams.sessions(_event_stream(spark, sf_dir)), "complete")
+    return found.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
 
 
-@query("select count(*) as n from (select distinct user_id, event_type, ts from events)")
+@query("select distinct user_id, event_type, cast(floor(epoch(ts) / 3600) as bigint) as hour from events")
 def stream_dedupe(spark, sf_dir):
-    rows = _event_stream(spark, sf_dir).select("user_id", "event_type", "ts")
-    return _drained(streams.once(rows, ["user_id", "event_type", "ts"]), "feedweave_once", "append").agg(F.count("*").alias("n"))
+    """Of a user's events of a kind within an hour only the first goes on, as the calls that share one key in flight do."""
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("hour")
+    rows = _event_stream(spark, sf_dir).select("user_id", "event_type", "ts", hour)
+    return streams.drained(streams.once(rows, ["user_id", "event_type", "hour"], late="40 days"), "append").select("user_id", "event_type", "hour")
 
 
 @query("""select post_id, arg_max(text, seq) filter (text <> '') as text, arg_max(author_name, seq) filter (author_name is not null) as author_name, count(*) as n from event_log_v group by 1""", "event_log_v")
 def stream_progressive(spark, sf_dir):
     i, e = F.col("event_id"), _event_stream(spark, sf_dir)
     rows = e.select(F.col("user_id").alias("post_id"), i.alias("seq"), F.when(i % 4 == 0, "").otherwise(F.concat_ws(" ", "event_type", (i % 10).cast("string"))).alias("text"), F.when(i % 5 != 0, F.concat_ws(" ", F.lit("Author"), (F.col("user_id") % 37).cast("string"))).alias("author_name"))
-    found = _drained(streams.progressive(rows), "feedweave_progressive", "update")
+    found = streams.drained(streams.progressive(rows), "update")
     return found.groupBy("post_id").agg(F.max(F.struct("n", "text", "author_name")).alias("m")).select("post_id", "m.text", "m.author_name", "m.n")
 
 

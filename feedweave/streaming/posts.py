@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def timed(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -19,8 +22,36 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return timed(events).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
 
 
-def once(events: DataFrame, key: list[str]) -> DataFrame:
-    return timed(events).dropDuplicatesWithinWatermark(key)
+def once(events: DataFrame, key: list[str], late: str = "10 minutes") -> DataFrame:
+    return timed(events, late).dropDuplicatesWithinWatermark(key)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below ``spark.checkpoint.dir``; only a local master does without that setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="feedweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/feedweave/{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a bounded stream gives out, batch by batch in Parquet in the shared folder; of a complete mode, the last batch."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")  # a batch that is repeated writes the same folder
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out")
+    if mode == "complete":
+        found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.drop("batch")
 
 
 def progressive(events: DataFrame) -> DataFrame:
