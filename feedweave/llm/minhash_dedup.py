@@ -84,7 +84,7 @@ def _signed(n_bands: int):
         a, b = _permutations(n_bands * ROWS)
         for batch in batches:
             texts = byte_texts(batch["text"])
-            for i, j in slices(texts):
+            for i, j in slices(texts, 2_000_000):
                 sets = shingle_sets(texts[i:j])
                 bands = np.zeros((len(sets), n_bands), np.uint64)
                 sketches = np.zeros((len(sets), SKETCH_WORDS), np.int64)
@@ -108,7 +108,7 @@ def _signed(n_bands: int):
 def _sets(batches):
     for batch in batches:
         texts = byte_texts(batch["text"])
-        for i, j in slices(texts):
+        for i, j in slices(texts, 2_000_000):
             sets = shingle_sets(texts[i:j])
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["doc_id"][i:j], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], names=["doc_id", "shingles"])

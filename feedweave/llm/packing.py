@@ -14,7 +14,6 @@ import zlib
 from collections import deque
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ SENTENCE_CUT, HARD_CUT, NEW_SEQUENCE = 6.0, 64.0, 2.0
 LONG_SENTENCE, GRID = 512, 128  # a longer sentence may be cut on this grid
 TAIL_GRID = 64
 CHUNK = 1 << 19  # ids that one run of the dynamic programme covers, about
-PART_BYTES = 24_000_000  # of text in a range of the order, about
+PART_BYTES = 16_000_000  # of text in a range of the order, about
 MARKS = 64  # rows that a range's bounds are drawn from, about
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -320,10 +319,11 @@ def _packed(path: str | None, length: int):
                         yield out
                     packer, now = Packer(part, length), part
                 doc_ids, texts = batch["doc_id"].slice(a, b - a).to_pylist(), byte_texts(batch["text"].slice(a, b - a))
-                for i, j in slices(texts, 6_000_000):
+                for i, j in slices(texts):
                     packer.add(doc_ids[i:j], *tokens(texts[i:j]))
                     if packer.size >= CHUNK and (out := packer.solve(False)) is not None:
                         yield out
+                        pa.default_memory_pool().release_unused()
         if packer and (out := packer.solve(True)) is not None:
             yield out
 
@@ -346,16 +346,16 @@ def ranges_of(rows: DataFrame) -> Column:
     about = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 8).alias("b")).first()
     parts = max(1, math.ceil((about["b"] or 0) / PART_BYTES))
     one_in = max(1, about["n"] // (MARKS * parts))
-    marks = rows.where(F.pmod(F.xxhash64(*at), F.lit(one_in)) == 0).select(*(F.coalesce(c, F.lit(-(1 << 63))).alias(c) for c in at)).toPandas() if parts > 1 else None
+    marks = rows.where(F.pmod(F.xxhash64(*at), F.lit(one_in)) == 0).select(*(F.coalesce(c, F.lit(-(1 << 63))).alias(c) for c in at)).toArrow() if parts > 1 else None
     bounds = np.zeros(0, "S24")
-    if marks is not None and len(marks):
+    if marks is not None and marks.num_rows:
         keys = np.sort(order_keys(*(marks[c].to_numpy() for c in at)))
         bounds = np.unique(keys[np.arange(1, parts) * len(keys) // parts])
     get = shared(rows.sparkSession, bounds)
 
-    @F.pandas_udf("int")
-    def part(ids: pd.Series, ties: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(get(), order_keys(ids.to_numpy(), ties.to_numpy(), own.to_numpy()), side="right").astype(np.int32))
+    @F.arrow_udf("int")
+    def part(ids: pa.Array, ties: pa.Array, own: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(get(), order_keys(ids.to_numpy(), ties.to_numpy(), own.to_numpy()), side="right").astype(np.int32))
 
     return part(F.coalesce("doc_id", F.lit(-(1 << 63))), "tie", "row")
 
