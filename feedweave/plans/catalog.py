@@ -505,7 +505,11 @@ def json_post_walk(spark, sf_dir):
     return ingest.walk(lines, "body")
 
 
-@query()
+SHOWN = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<nav>.*?</nav>|<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '</[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(f"""select page_id, array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(replace({SHOWN}, '&quot;', chr(34)), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(10)),
+  lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as body from pages""")
 def page_visible_text(spark, sf_dir):
     return ingest.pages_text(_table(spark, sf_dir, "pages"))
 

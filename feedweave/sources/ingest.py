@@ -5,6 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,10 +101,10 @@ def visible_text(html: str | None) -> str:
 
 
 def pages_text(pages: DataFrame) -> DataFrame:
-    """``page_id, body`` of ``pages(page_id, html)``."""
+    """``page_id, body`` of ``pages(page_id, html)``; HTML needs a parser, so pages go through Python in Arrow batches."""
 
-    @F.pandas_udf("string")
-    def body(html: pd.Series) -> pd.Series:
-        return html.map(visible_text)
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array([visible_text(html) for html in batch["html"].to_pylist()], pa.string())], names=["page_id", "body"])
 
-    return pages.select("page_id", body("html").alias("body"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, body string")
