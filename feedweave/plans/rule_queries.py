@@ -26,7 +26,10 @@ def line_cleaner(spark, sf_dir):
     return view(spark, sf_dir, "noisy_v").select("post_id", R.cleaned_lines(F.col("text")).alias("text"))
 
 
-@query(f"select post_id, {squeezed('''regexp_replace(dom_text, '(?m)(See more|查看更多|顯示更多)[ ''' + chr(9) + '''\]*$', '', 'g')''')} as text from posts_v".replace("[ \t\\]*", "[ \\t]*"), "posts_v")
+UNFOLDED = squeezed("regexp_replace(dom_text, '(?m)(See more|查看更多|顯示更多)[ \\t]*$', '', 'g')")
+
+
+@query(f"select post_id, {UNFOLDED} as text from posts_v", "posts_v")
 def dispatch_texts(spark, sf_dir):
     return view(spark, sf_dir, "posts_v").select("post_id", T.dispatch_text(F.col("dom_text")).alias("text"))
 
