@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from feedweave.llm.common import carried, crc_mod, flat_words, id_and_text, mix64, row_texts, shared, slices, table
 
 BUCKETS = 1 << 16
+SLICE = 1_500_000  # bytes of text whose features are in memory at once
 DOCS_PER_LANGUAGE = 300  # the bound of the training sample: whole documents of each language, about
 
 
@@ -229,7 +230,7 @@ def predict(docs: DataFrame, model: Crf | None, carry: bool = False) -> DataFram
             texts = row_texts(batch)
             out_lang, out_score = ["und"] * len(texts), [0.0] * len(texts)
             if model is not None:
-                for i, j in slices(texts):
+                for i, j in slices(texts, SLICE):
                     owner, _, letters, p, own = _words(texts[i:j], model)
                     total = np.bincount(owner, letters, j - i)
                     sums = np.stack([np.bincount(owner, letters * p[:, k], j - i) for k in range(len(model.labels))], axis=1)
@@ -238,6 +239,7 @@ def predict(docs: DataFrame, model: Crf | None, carry: bool = False) -> DataFram
                         out_lang[i + k] = model.labels[best[k]]
                         out_score[i + k] = min(1.0, max(0.0, float(sums[k, best[k]] / total[k])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())], names=[batch.schema.names[0], "lang_pred", "score"])
+            pa.default_memory_pool().release_unused()
 
     rows, schema = carried(docs, carry, "lang_pred string, score double")
     return rows.mapInArrow(run, schema)
@@ -255,7 +257,7 @@ def label_spans(docs: DataFrame, model: Crf) -> DataFrame:
         model = get()
         for batch in batches:
             texts = row_texts(batch)
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE):
                 owner, place, _, p, _ = _words(texts[i:j], model)
                 label, most = p.argmax(axis=1), p.max(axis=1, initial=0)
                 new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (label[1:] != label[:-1])])) if len(owner) else np.zeros(0, np.int64)

@@ -370,11 +370,12 @@ def score(docs: DataFrame, model: tuple[Lexicon, float, np.ndarray], carry: bool
         lexicon, noise, w = get()
         for batch in batches:
             texts, parts = row_texts(batch), []
-            for i, j in slices(texts, 6_000_000):
+            for i, j in slices(texts, 3_000_000):
                 x = design(document_features(texts[i:j], lexicon), noise)
                 parts.append(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))))
             p = np.concatenate([*parts, np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[batch.schema.names[0], "score", "predicted"])
+            pa.default_memory_pool().release_unused()
 
     rows, schema = carried(docs, carry, "score double, predicted int")
     return rows.mapInArrow(run, schema)
