@@ -148,3 +148,16 @@ def decisions(posts: DataFrame) -> DataFrame:
     emitted = F.when(~c("enabled"), 0).when(c("allowed"), 1).otherwise(F.when(c("cached"), 1).otherwise(2) + c("sponsored").cast("int"))
     tier = F.when(c("enabled"), F.when(~c("allowed") & (c("cached") | (~short & scored)), 3).otherwise(1))
     return posts.select("event_id", state.alias("state"), emitted.alias("emitted"), tier.alias("tier"), (c("enabled") & ~c("allowed") & c("sponsored")).alias("filtered"))
+
+
+def new_rows(c: Column) -> Column:
+    """The rows of an array that are not empty and say something that no earlier one says."""
+    bare = lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))
+
+    def same(a: Column, b: Column) -> Column:
+        return (a == b) | ((F.least(F.length(a), F.length(b)) >= 8) & (F.contains(a, b) | F.contains(b, a)))
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when((x == "") | F.exists(kept, lambda k: same(bare(k), bare(x))), kept).otherwise(F.concat(kept, F.array(x)))
+
+    return F.aggregate(F.transform(c, trimmed), F.array().cast("array<string>"), step)
