@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import tempfile
@@ -80,6 +81,28 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive a stage, and what their allocators keep adds up from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` over batches, with freed memory given back after each batch and at the end."""
+
+    def tidied(batches):
+        try:
+            for batch in run(batches):
+                yield batch
+                give_back()
+        finally:
+            give_back()
+
+    return tidied
+
+
 def carried(docs: DataFrame, carry: bool, more: str) -> tuple[DataFrame, str]:
     """The input of a mapInArrow over texts and its output schema: ``doc_id, text``, or the whole row as one struct, so that no name clashes."""
     if not carry:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import carried, crc_mod, flat_words, id_and_text, mix64, row_texts, shared, slices, table
+from feedweave.llm.common import carried, crc_mod, flat_words, id_and_text, mix64, row_texts, shared, slices, table, tidy
 
 BUCKETS = 1 << 16
 SLICE = 1_500_000  # bytes of text whose features are in memory at once
@@ -239,10 +239,9 @@ def predict(docs: DataFrame, model: Crf | None, carry: bool = False) -> DataFram
                         out_lang[i + k] = model.labels[best[k]]
                         out_score[i + k] = min(1.0, max(0.0, float(sums[k, best[k]] / total[k])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_lang, pa.string()), pa.array(out_score, pa.float64())], names=[batch.schema.names[0], "lang_pred", "score"])
-            pa.default_memory_pool().release_unused()
 
     rows, schema = carried(docs, carry, "lang_pred string, score double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def label_spans(docs: DataFrame, model: Crf) -> DataFrame:

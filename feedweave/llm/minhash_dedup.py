@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, discard, flat_words, id_and_text, mix64, slices, sorted_groups, stored, table, with_ids
+from feedweave.llm.common import byte_texts, discard, flat_words, id_and_text, mix64, slices, sorted_groups, stored, table, tidy, with_ids
 from feedweave.llm.components import connected_components
 
 WIDTH = 5
@@ -134,7 +134,7 @@ def screen_bits(a: Column, b: Column, percent: int) -> Column:
 
 def sets_of(docs: DataFrame, ids: DataFrame, made: list[DataFrame]) -> DataFrame:
     """``doc_id, shingles`` of the documents among ``ids(doc_id)``, from their whole texts."""
-    return stored(with_ids(docs, ids.distinct()).mapInArrow(_sets, "doc_id long, shingles array<long>"), made)
+    return stored(with_ids(docs, ids.distinct()).mapInArrow(tidy(_sets), "doc_id long, shingles array<long>"), made)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     six standard deviations pass, a chance of about one in a billion.
     """
     docs = id_and_text(docs)
-    signed = stored(docs.mapInArrow(_signed(bands_for(percent)), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
+    signed = stored(docs.mapInArrow(tidy(_signed(bands_for(percent))), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
     full = signed.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
     about = classes.select("rep", "n", "sketch")
@@ -260,9 +260,9 @@ def _across(rest: DataFrame, docs: DataFrame, percent: int, made: list[DataFrame
         return rows.repartition("tile").sortWithinPartitions(*keys)
 
     fields = "tile long, band int, i int, j int, own int, rep long, c long, n long, sketch array<long>, bands array<long>"
-    chosen = stored(dealt(tiles.select(cols)).mapInArrow(screen, fields), made)
+    chosen = stored(dealt(tiles.select(cols)).mapInArrow(tidy(screen), fields), made)
     sets = sets_of(docs, chosen.select(F.col("rep").alias("doc_id")), made).toDF("rep", "shingles")
-    return dealt(chosen.join(sets, "rep").select(*cols, "shingles")).mapInArrow(confirm, "a long, b long").distinct()
+    return dealt(chosen.join(sets, "rep").select(*cols, "shingles")).mapInArrow(tidy(confirm), "a long, b long").distinct()
 
 
 def common(values: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import binary_array, byte_texts, bytes_of, group_starts, id_and_text, shared, slices, split_words, spread, table
+from feedweave.llm.common import binary_array, byte_texts, bytes_of, group_starts, id_and_text, shared, slices, split_words, spread, table, tidy
 
 LENGTH = 4096
 SENTENCE_CUT, HARD_CUT, NEW_SEQUENCE = 6.0, 64.0, 2.0
@@ -323,7 +323,6 @@ def _packed(path: str | None, length: int):
                     packer.add(doc_ids[i:j], *tokens(texts[i:j]))
                     if packer.size >= CHUNK and (out := packer.solve(False)) is not None:
                         yield out
-                        pa.default_memory_pool().release_unused()
         if packer and (out := packer.solve(True)) is not None:
             yield out
 
@@ -370,7 +369,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
     """
     rows = id_and_text(docs).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     dealt = rows.withColumn("part", ranges_of(rows)).repartitionByRange("part").sortWithinPartitions("part", "doc_id", "tie")
-    return dealt.select("part", "doc_id", "text").mapInArrow(_packed(tokenizer_path, length), SCHEMA)
+    return dealt.select("part", "doc_id", "text").mapInArrow(tidy(_packed(tokenizer_path, length)), SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweave.llm.common import byte_texts, carried, crc_mod, discard, id_and_text, row_texts, shared, slices, split_words, stored, table
+from feedweave.llm.common import byte_texts, carried, crc_mod, discard, id_and_text, row_texts, shared, slices, split_words, stored, table, tidy
 
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000  # the bounds of the training sample, by label
 STEMS = range(4, 9)
@@ -327,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
         terms = sorted(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], names=["term", "t", "c"])
 
-    counts = sample.select("text", "toxic").mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.select("text", "toxic").mapInArrow(tidy(count), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = stored(counts.where("term = '' or t >= 3"))
     n_toxic, n_clean, tried = counts.agg(F.sum(F.expr("if(term = '', t, 0)")), F.sum(F.expr("if(term = '', c, 0)")), F.sum(F.expr("if(term = '', 0, 1)"))).first()
     terms = counts.where("term <> ''")
@@ -348,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(len(RAW))), pa.array(kind)], names=[*RAW, "kind"])
 
     fields = ", ".join(f"{k} double" for k in RAW)
-    found = np.array(sorted(map(tuple, sample.select("text", "toxic").mapInArrow(measure, f"{fields}, kind int").collect())), np.float64).reshape(-1, len(RAW) + 1)
+    found = np.array(sorted(map(tuple, sample.select("text", "toxic").mapInArrow(tidy(measure), f"{fields}, kind int").collect())), np.float64).reshape(-1, len(RAW) + 1)
     discard(sample, counts)
     raw, kind = found[:, :-1], found[:, -1]
     clean = raw[kind == 0]
@@ -375,10 +375,9 @@ def score(docs: DataFrame, model: tuple[Lexicon, float, np.ndarray], carry: bool
                 parts.append(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))))
             p = np.concatenate([*parts, np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[batch.schema.names[0], "score", "predicted"])
-            pa.default_memory_pool().release_unused()
 
     rows, schema = carried(docs, carry, "score double, predicted int")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
