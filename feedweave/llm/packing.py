@@ -89,8 +89,7 @@ class Merges:
 
         table = json.loads(model.to_str())["model"]
         vocab = table["vocab"]
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        symbol = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+        symbol = self.symbols()
         self.inner = np.array([vocab[symbol[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[symbol[b] + "</w>"] for b in range(256)], np.int64)
         pairs = [x.split(" ") if isinstance(x, str) else x for x in table["merges"]]
@@ -106,6 +105,12 @@ class Merges:
         self.rest = rest[np.argsort(keys[rest])]
         self.rest_keys = keys[self.rest]
 
+    @staticmethod
+    def symbols() -> dict[int, str]:
+        """The character that stands for each byte in the vocabulary's strings."""
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+
     @staticmethod
     def place(pair: np.ndarray) -> np.ndarray:
         return ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).view(np.int64)
