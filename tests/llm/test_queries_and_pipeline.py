@@ -31,7 +31,7 @@ def compared(spark, name):
     found = registry.QUERIES[name](spark, SF)
     columns = sorted(found.columns)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(registry.ORACLE_SQL[name])
     assert sorted(want.columns) == columns
