@@ -87,7 +87,7 @@ def post_type(v: Column) -> Column:
     has = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")) != "VOID", F.lit(False))
     return (
         F.when(has("$.attached_story"), "reshare").when(F.coalesce(F.contains(F.try_variant_get(v, "$.url", "string"), F.lit("/reel/")), F.lit(False)), "reel").when(has("$.target_group"), "group")
-        .when(F.schema_of_variant(F.try_variant_get(v, "$.is_text_only_story", "variant")) == "BOOLEAN", F.when(F.try_variant_get(v, "$.is_text_only_story", "boolean"), "text_only"))
+        .when(F.coalesce((F.schema_of_variant(F.try_variant_get(v, "$.is_text_only_story", "variant")) == "BOOLEAN") & F.try_variant_get(v, "$.is_text_only_story", "boolean"), F.lit(False)), "text_only")
         .when(~has("$.actors[0]"), "page").otherwise("standard")
     )
 

@@ -145,3 +145,8 @@ def djb2(c: Column) -> Column:
     """The 32-bit djb2 hash of a string's code points."""
     codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
     return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, x: ((h * 33) + x).bitwiseAND(0xFFFFFFFF))
+
+
+def units(c: Column) -> Column:
+    """A text's length in UTF-16 units: characters beyond the basic plane count twice."""
+    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import text as T
+from feedweave.operators.tables import stored
 
 ANCHOR = 8  # characters of a seed that an equi-join finds before the seed itself is tested
 
@@ -53,11 +54,10 @@ def first_match(posts: DataFrame, network: DataFrame) -> DataFrame:
     net = network.withColumn("t", T.compact(F.col("text"))).where(F.length("t") >= ANCHOR).withColumn("n", F.xxhash64("t"))
     dom_texts = own.where(F.length("t") >= ANCHOR).groupBy("k").agg(F.min("t").alias("t"))
     net_texts = net.groupBy("n").agg(F.min("t").alias("t"))
-    a = containing(dom_texts.select(F.col("k").alias("text_id"), "t"), net_texts.select(F.col("n").alias("seed_id"), seed(F.col("t")).alias("s"))).toDF("k", "n")
-    b = containing(net_texts.select(F.col("n").alias("text_id"), "t"), dom_texts.select(F.col("k").alias("seed_id"), seed(F.col("t")).alias("s"))).select(F.col("seed_id").alias("k"), F.col("text_id").alias("n"))
+    both = sharing_seeds(dom_texts, net_texts)
     others = net.groupBy("n", F.col("author_name").alias("gql_author")).agg(F.min(F.struct("seq", F.col("post_id").alias("gql_id"), "is_sponsored")).alias("first"))
     authors = own.select("k", "author_name").distinct()
-    fit = a.union(b).distinct().join(others, "n").join(authors, "k").where(F.col("author_name").isNull() | F.col("gql_author").isNull() | T.compatible_authors(F.col("author_name"), F.col("gql_author")))
+    fit = both.join(others, "n").join(authors, "k").where(F.col("author_name").isNull() | F.col("gql_author").isNull() | T.compatible_authors(F.col("author_name"), F.col("gql_author")))
     best = fit.groupBy(F.col("k").alias("bk"), F.col("author_name").alias("ba")).agg(F.min("first").alias("m"))
     return own.join(best, (F.col("k") == F.col("bk")) & F.col("author_name").eqNullSafe(F.col("ba")), "left").select("post_id", F.col("m.gql_id").alias("gql_id"), F.col("m.is_sponsored").alias("gql_sponsored"))
 
@@ -80,15 +80,78 @@ def retro_marked(posts: DataFrame, network: DataFrame) -> DataFrame:
     return posts.where("not marked").join(seeds, F.left("text", F.lit(30)) == F.col("s")).groupBy("s").agg(F.min(F.struct("seq", "post_id")).alias("m")).select("m.post_id")
 
 
+def sharing_seeds(posts: DataFrame, network: DataFrame) -> DataFrame:
+    """Pairs (k, n) of distinct compact texts, ``posts(k, t)`` and ``network(n, t)``, of which one holds the other's seed; texts of eight characters or more."""
+    own, net = posts.where(F.length("t") >= ANCHOR), network.where(F.length("t") >= ANCHOR)
+    a = containing(own.select(F.col("k").alias("text_id"), "t"), net.select(F.col("n").alias("seed_id"), seed(F.col("t")).alias("s"))).toDF("k", "n")
+    b = containing(net.select(F.col("n").alias("text_id"), "t"), own.select(F.col("k").alias("seed_id"), seed(F.col("t")).alias("s"))).select(F.col("seed_id").alias("k"), F.col("text_id").alias("n"))
+    return a.union(b).distinct()
+
+
+def late_marks(posts: DataFrame, late: DataFrame) -> DataFrame:
+    """``session, post_id, late_id``: the posts that sponsored network posts mark when they come late, each its first match that isn't marked yet.
+
+    ``posts(session, post_id, seq, text, marked)`` in the order of a session's page, ``late(session, late_id, seq, text)`` in the order of
+    arrival; late texts under 30 units mark nothing.  What a late post finds depends on those before it, so the assignment goes in
+    rounds: late posts of one text ask for the posts of that text rank by rank, an equality join.  In a session everything before the
+    first late post that lost what it asked for is settled, as one after the other would have it; the rest asks again.
+    """
+    own = stored(posts.where("not marked").select("session", "post_id", F.col("seq").alias("at"), F.xxhash64(T.compact(F.col("text"))).alias("k"), T.compact(F.col("text")).alias("t")))
+    net = late.where(T.units(F.col("text")) >= 30).select("session", "late_id", F.col("seq").alias("came"), F.xxhash64(T.compact(F.col("text"))).alias("n"), T.compact(F.col("text")).alias("t"))
+    net = stored(net)
+    pairs = stored(sharing_seeds(own.groupBy("k").agg(F.min("t").alias("t")), net.groupBy("n").agg(F.min("t").alias("t"))))
+    free = stored(own.join(pairs, "k").select("session", "n", "post_id", "at"))
+    asking = stored(net.join(pairs.select("n").distinct(), "n", "left_semi").select("session", "n", "late_id", "came"))
+    settled = None
+    while True:
+        line = lambda order: F.row_number().over(Window.partitionBy("session", "n").orderBy(*order))
+        asked = asking.withColumn("r", line(("came", "late_id"))).join(free.withColumn("r", line(("at", "post_id"))), ["session", "n", "r"])
+        first = asked.groupBy("session", "post_id").agg(F.min(F.struct("came", "late_id")).alias("m"))
+        judged = asked.join(first, ["session", "post_id"]).withColumn("won", F.struct("came", "late_id") == F.col("m"))
+        judged = stored(judged.select("session", "n", "late_id", "came", "post_id", "won"))
+        lost = judged.where("not won").groupBy("session").agg(F.min(F.struct("came", "late_id")).alias("cut"))
+        sure = stored(judged.where("won").join(lost, "session", "left").where(F.col("cut").isNull() | (F.struct("came", "late_id") < F.col("cut"))).select("session", "post_id", "late_id"))
+        settled = sure if settled is None else settled.union(sure)
+        if not lost.limit(1).count():
+            return settled
+        free = stored(free.join(sure, ["session", "post_id"], "left_anti"))
+        asking = stored(asking.join(sure, ["session", "late_id"], "left_anti").join(lost.select("session"), "session", "left_semi"))
+
+
+def known_when(posts: DataFrame, network: DataFrame) -> DataFrame:
+    """``post_id, marked_at, late``: the posts that a remembered sponsored text gives away, when, and whether only after they had been seen.
+
+    ``posts(post_id, seq, text)``, ``network(seq, text)`` of sponsored posts.  A seed is the beginning of a text of over 20 units, looked for
+    with its first 30 characters in a post's first 200; seeds stay, so the first one to come decides.
+    """
+    seeds = network.where(T.units(F.col("text")) > 20).groupBy(F.left("text", F.lit(30)).alias("s")).agg(F.min("seq").alias("came")).withColumn("seed_id", F.xxhash64("s"))
+    keyed = posts.withColumn("t", F.left("text", F.lit(200))).withColumn("k", F.xxhash64("t"))
+    texts = keyed.groupBy("k").agg(F.min("t").alias("t"))
+    hits = containing(texts.select(F.col("k").alias("text_id"), "t"), seeds.select("seed_id", "s"))
+    first = hits.join(seeds.select("seed_id", "came"), "seed_id").groupBy(F.col("text_id").alias("k")).agg(F.min("came").alias("came"))
+    return keyed.join(first, "k").select("post_id", F.greatest("seq", "came").alias("marked_at"), (F.col("came") > F.col("seq")).alias("late"))
+
+
 def nearest(marks: DataFrame, kind: str) -> DataFrame:
     """Per marker of a document the nearest position of ``kind``, ties to the earlier: two running values, no join of pairs."""
+    return nearest_each(marks, (kind,)).select("doc_id", "pos", kind)
+
+
+def nearest_each(marks: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """``doc_id, pos`` of each marker and the nearest value of each kind, all over one sort of ``marks(doc_id, kind, pos, value)``."""
     w = Window.partitionBy("doc_id").orderBy("pos", "value")
-    here = F.when(F.col("kind") == kind, F.struct("pos", "value"))
-    before = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = marks.withColumn("before", before).withColumn("after", after).where("kind = 'marker'")
-    pick = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).when(F.col("pos") - F.col("before.pos") <= F.col("after.pos") - F.col("pos"), F.col("before")).otherwise(F.col("after"))
-    return rows.select("doc_id", "pos", pick["value"].alias(kind))
+    past, coming = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    rows = marks
+    for k in kinds:
+        here = F.when(F.col("kind") == k, F.struct("pos", "value"))
+        rows = rows.withColumn(f"{k}_before", F.last(here, ignorenulls=True).over(past)).withColumn(f"{k}_after", F.first(here, ignorenulls=True).over(coming))
+
+    def pick(k: str) -> Column:
+        before, after = F.col(f"{k}_before"), F.col(f"{k}_after")
+        best = F.when(before.isNull(), after).when(after.isNull(), before).when(F.col("pos") - before["pos"] <= after["pos"] - F.col("pos"), before).otherwise(after)
+        return best["value"].alias(k)
+
+    return rows.where("kind = 'marker'").select("doc_id", "pos", *map(pick, kinds))
 
 
 def other_with_prefix(rows: DataFrame, key: str, text: str, author: str, n: int = 60) -> DataFrame:

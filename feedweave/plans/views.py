@@ -108,6 +108,29 @@ VIEWS = {
     "cache_v": ("events", """
         select concat(cast(user_id as string), ':', event_type) as text_key, event_id as seq, ts, concat('classificationCacheV', cast(event_id % 16 as string)) as storage_key
         from {events}"""),
+    "scripts_v": ("pages", """
+        select page_id, concat(left(html, mid), '<script>', lead, case when k = 4 then '' else concat(message, ',') end, case when k % 2 = 0 then actor else '' end, case when k <> 3 then concat('"post_id":"', cast(page_id * 10 + 1 as string), '",') else '' end,
+            case when k = 4 then concat(tied, ',', spot, ',', tied2, ',') when k = 5 then '"th_dat_spo":null,' else concat('"th_dat_spo":{{"ad_id":"', cast(page_id as string), '"}},') end, '</script>',
+            substr(html, mid + 1), '<script>', repeat('😀', cast(page_id % 3 as int)), actor, case when k = 1 then concat('"th_dat_spo":{{}},', message, ',"th_dat_spo":{{"c":1}},') else '' end,
+            case when k in (2, 5) then concat('"post_id":"', cast(page_id * 10 + 2 as string), '","th_dat_spo":{{"client_token":"x"}},') else '' end, '</script>') as html
+        from (select *, page_id % 6 as k, cast(floor(length(html) / (2 + page_id % 3)) as int) as mid, case when page_id % 7 = 0 then '😀 lead' else '' end as lead,
+            concat('"message":{{"text":"', case when page_id % 5 = 0 then 'short' else concat('A shared ', case when page_id % 2 = 0 then concat(chr(92), 'u00e9', chr(92), chr(34)) else concat(chr(92), 'x bad') end, ' story of page ', cast(page_id as string)) end, '"') as message,
+            concat('"actors":[{{"__typename":"User","name":"Author ', cast(page_id % 37 as string), '"}}],') as actor,
+            '"message":{{"text":"earlier of two"' as tied, '"message":{{"text":"later of two!!"' as tied2, concat('"th_dat_spo":{{"c":"', repeat('x', 13), '"}}') as spot from {pages}) p"""),
+    "nested_v": ("documents", """
+        select doc_id, concat('{{"data":', case k when 0 then concat('[', post, actors, said, '}},', other, ']') when 1 then concat('{{', said, ',"owning_profile":{{"name":"', author, '"}},', deep, ',"story_id":"s', cast(doc_id as string), '"}}')
+            when 2 then concat('{{"comet_sections":{{"context_layout":{{"story":{{"actors":[{{"name":"', author, '"}}]}}}}}},"id":', cast(doc_id as string), ',', said, ',"url":"https://h/reel/1"}}')
+            when 3 then concat('{{"attached_story":{{', actors, said, '}},"creation_story":{{"id":"c"}},', said, '}}') when 4 then concat('{{', actors, '"attached_story":{{"actors":[{{"name":"Shared"}}],"message":{{"text":"shared words ', cast(doc_id as string), '"}}}},', said, ',', deep, '}}')
+            when 5 then concat(post, actors, '"is_text_only_story":', case when doc_id % 2 = 0 then 'false' else 'true' end, ',', said, ',', deep, '}}') when 6 then concat(post, actors, said, ',"target_group":{{"id":1}},', deep, '}}')
+            else concat('[', post, actors, said, '}},', post, actors, said, ',', deep, '}},[', other, ']]') end, ',"extra":{{', deep, '}}}}') as body
+        from (select *, doc_id % 8 as k, concat('"message":{{"text":"', case when doc_id % 13 = 0 then 'abc' else words end, '"}}') as said, concat('{{"a_id":', cast(doc_id as string), ',') as post, concat('"actors":[{{"name":"', author, '"}}],') as actors,
+            concat('{{"actors":[{{"name":null}}],"feedback_id":7,"message":{{"text":"words without a name"}},"owning_profile":{{"name":"Owner"}}}}') as other,
+            concat('"w":', repeat('{{"v":[', cast(floor(depth / 2) as int)), case when depth % 2 = 1 then '{{"u":' else '' end, '{{', signal, '}}', case when depth % 2 = 1 then '}}' else '' end, repeat(']}}', cast(floor(depth / 2) as int))) as deep
+          from (select doc_id, translate(text, concat(chr(34), chr(92), chr(10), chr(13), chr(9)), '     ') as words, concat('Author ', cast(doc_id % 37 as string)) as author, doc_id % 19 as depth,
+            case doc_id % 23 when 0 then '"is_sponsored":true' when 1 then '"is_sponsored":"true"' when 2 then '"is_sponsored":1' when 3 then '"sponsored_data":{{}}' when 4 then '"sponsored_data":null' when 5 then '"ad_id":"9"' when 6 then '"ad_id":""'
+              when 7 then '"ad_id":9' when 8 then '"boosted_post_data":[]' when 9 then '"boosted_post_data":"x"' when 10 then '"is_pseudo_organic":true' when 11 then '"is_pseudo_organic":false' when 12 then '"ad_client_token":"t"' when 13 then '"tracking_data":{{"ad_id":null}}'
+              when 14 then '"tracking_data":{{"page_id":1}}' when 15 then '"tracking_data":{{"campaign_id":3}}' when 16 then '"sponsor_id":0' when 17 then '"sponsor_id":null' when 18 then '"th_dat_spo":{{"client_token":"c"}}' when 19 then '"th_dat_spo":null'
+              when 20 then '"is_sponsored":"false"' when 21 then '"th_dat_spo":false' else '"tracking_data":["ad_id"]' end as signal from {documents}) d) e"""),
 }
 
 RULES = [(k, f"rule{k}", word, threshold, k % 4 != 3) for k, (word, threshold) in enumerate([("the", 0.2), ("of", 0.4), ("and", 0.6), ("der", 0.2), ("la", 0.5), ("que", 0.3), ("on", 0.9), ("tion", 0.5), ("er", 0.7), ("in", 0.8), ("es", 0.4), ("die", 0.3), ("is", 0.6), ("to", 0.9)])]

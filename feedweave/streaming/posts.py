@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from feedweave.operators.tables import shared_folder
+
 
 def timed(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Event time as a timestamp with a watermark: ``timestamp_ntz`` can't carry one."""
@@ -26,17 +26,6 @@ def once(events: DataFrame, key: list[str], late: str = "10 minutes") -> DataFra
     return timed(events, late).dropDuplicatesWithinWatermark(key)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: below ``spark.checkpoint.dir``; only a local master does without that setting."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        base = "file://" + tempfile.mkdtemp(prefix="feedweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/feedweave/{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """All that a bounded stream gives out, batch by batch in Parquet in the shared folder; of a complete mode, the last batch."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
