@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedweave.operators import enrich
+from feedweave.operators.tables import shared_folder
 from feedweave.plans.catalog import AUTHORS, SEED, _table, compacted, query
 from feedweave.plans.views import view
 from feedweave.sources import markers, nested
@@ -46,6 +47,25 @@ def ssr_sponsored_posts(spark, sf_dir):
     return markers.sponsored_posts(view(spark, sf_dir, "scripts_v"))
 
 
+VALID = f"""regexp_matches(url, '(?i)^https?://') and regexp_matches(url, '^https?://([^/]*[.])?facebook[.]com(/|$)') and {sql_units("url")} <= 2048 and count(place) between 1 and 30
+  and bool_and(trim(post_id) <> '' and {sql_units("trim(post_id)")} <= 240 and trim(text) <> '' and {sql_units("trim(text)")} <= 5000 and trim(author_name) <> '' and {sql_units("trim(author_name)")} <= 240)"""
+
+
+@query(f"""select run::int as run, page_id, hit, n_posts::int as n_posts from (with marks as ({SCAN}), posts as ({PAGE_POSTS}),
+  judged as (select page_id, url, count(place) as n_posts, coalesce({VALID}, false) as valid from urls_v left join posts using (page_id) group by 1, 2),
+  reps as (select url, min(page_id) filter (page_id % 2 = 0) as even, min(page_id) as first from urls_v group by 1),
+  known as (select r.url, coalesce(e.valid, false) as valid0, e.n_posts as n0, f.valid as valid1, f.n_posts as n1 from reps r left join judged e on e.page_id = r.even join judged f on f.page_id = r.first)
+  select run, page_id, case run when 1 then valid0 when 2 then valid0 or valid1 else false end as hit, case when run = 0 then n0 when run in (1, 2) and valid0 then n0 else n1 end as n_posts
+  from urls_v join known using (url) cross join range(0, 4) t(run) where run > 0 or page_id % 2 = 0)""", "scripts_v", "urls_v")
+def ssr_cache_aside(spark, sf_dir):
+    """Four rounds of requests for pages' posts: half of the pages, all a minute later, all again, and all once every entry has expired."""
+    urls = view(spark, sf_dir, "urls_v").join(view(spark, sf_dir, "scripts_v"), "page_id").select(F.col("url").alias("key"), "page_id", "html")
+    cache = markers.cached_scans(spark, shared_folder(spark))
+    rounds = [(urls.where("page_id % 2 = 0"), 0), (urls, 60), (urls, 120), (urls, 360)]
+    found = [cache.ask(rows, markers.posts_by_key, now).select(F.lit(i).alias("run"), "page_id", "hit", F.size("answer").alias("n_posts")) for i, (rows, now) in enumerate(rounds)]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 # A page's posts in their order and the sponsored ones that come late, session by session.
 MATCHED = f"length(a.t) >= 8 and length(g.t) >= 8 and (contains(a.t, {SEED.format('g.t')}) or contains(g.t, {SEED.format('a.t')}))"
 

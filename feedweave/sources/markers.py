@@ -6,12 +6,13 @@ import re
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import rules as R
 from feedweave.functions import text as T
 from feedweave.operators import enrich
+from feedweave.operators.cache import AnswerCache
 
 # What marks a sponsored post in a page's scripts and the fields around it; the first group is the value.
 UNIT = r'(?:[^"\\]|\\[^\n\r\u2028\u2029])'
@@ -63,3 +64,30 @@ def sponsored_posts(pages: DataFrame) -> DataFrame:
     text, author = (F.coalesce(R.unescaped(F.col(c)), F.lit("")) for c in ("message", "actor"))
     rows = near.select(F.col("doc_id").alias("page_id"), place.alias("place"), "post_id", text.alias("text"), author.alias("author_name"))
     return rows.withColumn("post_id", F.coalesce("post_id", F.concat(F.lit("ssr-"), "place"))).where((T.units(F.col("text")) > 10) | (T.units(F.col("author_name")) > 1))
+
+
+# What a cached scan may hold.
+MAX_POSTS, MAX_UNITS, MAX_URL, MAX_TEXT, MAX_FIELD = 30, 120_000, 2048, 5000, 240
+TTL = 5 * 60
+POSTS = "array<struct<post_id:string,text:string,author_name:string>>"
+
+
+def cacheable(url: Column, posts: Column) -> Column:
+    """Whether a page's posts may be kept: the page is the network's own, there are posts, and every one has all its fields within bounds."""
+    fits = lambda c, most: F.coalesce((F.trim(c) != "") & (T.units(F.trim(c)) <= most), F.lit(False))
+    sound = F.forall(posts, lambda p: fits(p["post_id"], MAX_FIELD) & fits(p["text"], MAX_TEXT) & fits(p["author_name"], MAX_FIELD))
+    host = T.host(url)
+    own = url.rlike("(?i)^https?://") & ((host == "facebook.com") | host.endswith(".facebook.com")) & (T.units(url) <= MAX_URL)
+    return own & (F.size(posts) > 0) & (F.size(posts) <= MAX_POSTS) & sound & (T.units(F.to_json(posts)) <= MAX_UNITS)
+
+
+def cached_scans(spark: SparkSession, folder: str, ttl: int = TTL) -> AnswerCache:
+    """The cache of pages' sponsored posts by URL."""
+    return AnswerCache(spark, folder, POSTS, ttl, cacheable)
+
+
+def posts_by_key(pages: DataFrame) -> DataFrame:
+    """``key, answer`` of ``pages(key, page_id, html)``: each page's sponsored posts in their order."""
+    found = sponsored_posts(pages.select("page_id", "html")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", "post_id", "text", "author_name"))).alias("p"))
+    answer = F.transform(F.coalesce("p", F.array().cast("array<struct<place:int,post_id:string,text:string,author_name:string>>")), lambda p: F.struct(p["post_id"].alias("post_id"), p["text"].alias("text"), p["author_name"].alias("author_name")))
+    return pages.select("key", "page_id").join(found, "page_id", "left").select("key", answer.alias("answer"))

@@ -33,14 +33,23 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")  # a batch that is repeated writes the same folder
 
-    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"  # keyed state with timers needs this store; it keeps large state off the heap
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
+    running.awaitTermination()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], stream.schema)
     found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out")
     if mode == "complete":
         found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
-    return found.drop("batch")
+    found = found.drop("batch")
+    found.state_rows = [sum(o.numRowsTotal for o in p.stateOperators) for p in running.recentProgress]  # held after each trigger
+    return found
 
 
 def progressive(events: DataFrame) -> DataFrame:
