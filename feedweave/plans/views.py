@@ -117,6 +117,25 @@ VIEWS = {
             concat('"message":{{"text":"', case when page_id % 5 = 0 then 'short' else concat('A shared ', case when page_id % 2 = 0 then concat(chr(92), 'u00e9', chr(92), chr(34)) else concat(chr(92), 'x bad') end, ' story of page ', cast(page_id as string)) end, '"') as message,
             concat('"actors":[{{"__typename":"User","name":"Author ', cast(page_id % 37 as string), '"}}],') as actor,
             '"message":{{"text":"earlier of two"' as tied, '"message":{{"text":"later of two!!"' as tied2, concat('"th_dat_spo":{{"c":"', repeat('x', 13), '"}}') as spot from {pages}) p"""),
+    "files_v": ("documents", """
+        select case doc_id % 12 when 0 then concat('.env.', n) when 1 then concat('data/a', n, '.json') when 2 then concat('tmp/', n) when 3 then concat('dist-', n, '/b.js') when 4 then concat('src/lib/f', n, '.ts') when 5 then concat('docs/n', n, '.md')
+            when 6 then concat('node_modules/p', n, '/i.js') when 7 then concat('.idea/w', n, '.xml') when 8 then concat('README', n, '.md') when 9 then concat('database/x', n) when 10 then concat('test-results/r', n) else concat('docs/a/b/c', n, '.md') end as path,
+          case when doc_id % 41 = 7 then 'symlink' when doc_id % 43 = 5 then 'directory' else 'file' end as kind,
+          concat(left(text, cut), case doc_id % 19 when 0 then '/Users/someone/' when 1 then concat('C:', chr(92), 'Users', chr(92), 'x') when 2 then 'http://GX10.local:1' when 3 then 'at 192.168.1.5' when 4 then 'https://www.facebook.com/a?__cft__[0]=b'
+            when 5 then 'facebook.com then __cft__' when 6 then 'SCONTENT-tpe1.xx' when 7 then 'https://video.fbcdn.net/v' when 8 then 'http://a fbcdn' when 9 then ' ../x' when 10 then ' ../../../../y' when 11 then '("../../z.ts")' when 12 then 'a../b' when 13 then '192.168x'
+            when 14 then concat(chr(10), '../q/../../r', chr(10), '/Users/again/') when 15 then '/users/low/' when 16 then ' ../docs/../x/./y' else '' end, substr(text, cut + 1)) as content
+        from (select *, cast(doc_id as string) as n, cast(floor(length(text) * (doc_id % 11) / 11) as int) as cut from {documents}) d"""),
+    "pictured_v": ("pages", """
+        select page_id, concat(left(html, mid), one, substr(html, mid + 1), two, three, case when k = 2 then concat(one, '<img src=/five.png><img src=/six.png><img src="data:image/png;base64,x"><img src=/seven.png>') else '' end) as html
+        from (select *, page_id % 9 as k, cast(floor(length(html) / 2) as int) as mid, concat('https://h.example/p', cast(page_id as string)) as base,
+          concat('<img class="x>y" alt="a" src="https://h.example/p', cast(page_id as string), case page_id % 5 when 0 then '.jpg' when 1 then '.GIF?a=1' when 2 then '.jpg?x=1&amp;_nc_video=1' when 3 then '.jpg?_nc_video=2' else '.png' end, '"',
+            case page_id % 4 when 0 then ' width="640" height=480' when 1 then ' width="99" height="300"' when 2 then ' width="50"' else '' end, case page_id % 7 when 0 then ' data-imgperflogname="profilePic"' when 1 then ' data-imgperflogname="feedImage"' else '' end, '>') as one,
+          case page_id % 3 when 0 then '<IMG srcset="https://h.example/s.jpg 320w, https://h.example/l.jpg 1280w, https://h.example/m.jpg 640w" src="https://h.example/s.jpg">' when 1 then '<img src="https://static.xx.fbcdn.net/rsrc.php/v3/y.png"><img src="">' else concat('<video poster="', 'https://h.example/v.jpg', '" width="300" height="200"></video>') end as two,
+          case page_id % 6 when 0 then concat('<div class=c style="color:red;background-image: url(', chr(39), 'https://h.example/bg.png', chr(39), ')">x</div>') when 1 then '<span style="background:url(https://h.example/b1.png) no-repeat">y</span><a style="background-image:url(&quot;https://h.example/b2.png&quot;)">z</a>'
+            when 2 then concat('<img src="', 'https://h.example/p', cast(page_id as string), '.png"><p style="background-image:url(no)">p</p>') else '' end as three from {pages}) p"""),
+    "settings_v": ("events", """
+        select event_id, user_id, concat('{{"kind":"', event_type, '","apiKey":"', key, '","nested":{{"list":[{{"tierBApi-Key":', case when event_id % 3 = 0 then 'null' else concat('"', key, '"') end, ',"n":', cast(event_id as string), '}},[{{"api_key":', cast(event_id as string), ',"apiKeyAccepted":true}}]],"apikeys":"kept"}},"API_KEY":"","z":{{"deep":{{"deeper":{{"x_apikey":false,"a":[]}}}}}}}}') as body
+        from (select *, concat('k-', cast(event_id * 7 as string)) as key from {events}) e"""),
     "nested_v": ("documents", """
         select doc_id, concat('{{"data":', case k when 0 then concat('[', post, actors, said, '}},', other, ']') when 1 then concat('{{', said, ',"owning_profile":{{"name":"', author, '"}},', deep, ',"story_id":"s', cast(doc_id as string), '"}}')
             when 2 then concat('{{"comet_sections":{{"context_layout":{{"story":{{"actors":[{{"name":"', author, '"}}]}}}}}},"id":', cast(doc_id as string), ',', said, ',"url":"https://h/reel/1"}}')
