@@ -150,3 +150,11 @@ def djb2(c: Column) -> Column:
 def units(c: Column) -> Column:
     """A text's length in UTF-16 units: characters beyond the basic plane count twice."""
     return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def left_units(c: Column, n: int) -> Column:
+    """The first ``n`` UTF-16 units of a text; a character that the cut would halve is left out."""
+    raw = F.substring(F.encode(c, "UTF-16BE"), 1, 2 * n)
+    halved = F.hex(F.substring(raw, 2 * n - 1, 1)).rlike("^D[89AB]")
+    cut = F.decode(F.when(halved, F.substring(raw, 1, 2 * n - 2)).otherwise(raw), "UTF-16BE")
+    return F.when(F.length(c) <= n // 2, c).otherwise(cut)

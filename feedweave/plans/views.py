@@ -136,6 +136,21 @@ VIEWS = {
     "settings_v": ("events", """
         select event_id, user_id, concat('{{"kind":"', event_type, '","apiKey":"', key, '","nested":{{"list":[{{"tierBApi-Key":', case when event_id % 3 = 0 then 'null' else concat('"', key, '"') end, ',"n":', cast(event_id as string), '}},[{{"api_key":', cast(event_id as string), ',"apiKeyAccepted":true}}]],"apikeys":"kept"}},"API_KEY":"","z":{{"deep":{{"deeper":{{"x_apikey":false,"a":[]}}}}}}}}') as body
         from (select *, concat('k-', cast(event_id * 7 as string)) as key from {events}) e"""),
+    "stored_v": ("events", """
+        select event_id, case when event_id % 29 = 0 then '[]' when event_id % 31 = 0 then '{{"type":7}}' else concat('{{"type":"SETTINGS"', case event_id % 5 when 0 then ',"themeMode":"dark"' when 1 then ',"themeMode":"blue"' when 2 then ',"themeMode":5' else '' end, case event_id % 4 when 0 then ',"language":"en"' when 1 then ',"language":null' else '' end,
+            case event_id % 6 when 0 then ',"tierAProvider":"ollama"' when 1 then ',"cloudProvider":"openai-compatible"' when 2 then ',"tierAProvider":null,"cloudProvider":"ollama"' when 3 then ',"tierAProvider":"openai-compatible","cloudProvider":"x"' else '' end,
+            case event_id % 7 when 0 then ',"tierBProvider":"tier-a"' when 1 then ',"tierBUseTierAEndpoint":true' when 2 then ',"tierBUseTierAModel":true,"tierBEndpoint":"http://e"' when 3 then ',"vllmEndpoint":"  http://v "' when 4 then ',"tierBEndpoint":"  "' when 5 then ',"tierBProvider":"","tierBUseTierAEndpoint":"true"' else ',"tierBProvider":"ollama","tierBModel":"m"' end,
+            case event_id % 3 when 0 then ',"vllmModel":"old"' else '' end, case event_id % 8 when 0 then ',"collapseReelsEnabled":true' when 1 then ',"collapseReelsEnabled":"true"' else '' end, ',"markdownDownloadMode":"', case when event_id % 2 = 0 then 'directory-picker' else 'other' end, '","cacheEnabled":false}}') end as current,
+          case event_id % 11 when 0 then '{{"cloudProvider":"ollama"}}' when 1 then '{{"tierAProvider":"openai-compatible","language":"zh-TW"}}' when 2 then '{{"tierBProvider":"tier-a"}}' when 3 then '{{"tierBProvider":"ollama","tierBUseTierAEndpoint":true}}' when 4 then '{{"tierBUseTierAEndpoint":true}}'
+            when 5 then '{{"tierBUseTierAModel":true,"tierBUseTierAEndpoint":null}}' when 6 then '{{"vllmEndpoint":"http://new"}}' when 7 then '{{"tierBEndpoint":null,"vllmModel":"n"}}' when 8 then '{{"tierBModel":"t","sponsoredDisplayMode":"collapse"}}' when 9 then '{{"tierBUseTierAEndpoint":true,"tierBUseTierAModel":true}}' else '{{}}' end as patch,
+          case event_id % 9 when 0 then '{{"ollama":{{"endpoint":" http://o/ ","model":" m1 "}},"other":{{"endpoint":"x"}}}}' when 1 then '{{"ollama":"http://o","openai-compatible":{{"endpoint":5,"model":"m2"}}}}' when 2 then '[]' when 3 then 'broken' when 4 then '{{"openai-compatible":{{"endpoint":"http://c"}},"ollama":null}}' else '{{}}' end as config
+        from {events}"""),
+    "asked_v": ("documents", """
+        select doc_id, text, lang_k as lang, author_name, post_type, is_sponsored, is_verified, has_media, reactions, comments, '' as shares, reshare_text, reshare_author, images, cast('2024-03-01 20:30:00' as timestamp) + doc_id * interval 61 minute as ts
+        from (select doc_id, text, case when doc_id % 4 = 0 then 'en' when doc_id % 4 = 1 then 'fr' end as lang_k, case when doc_id % 7 > 0 then concat('Author ', cast(doc_id % 37 as string)) end as author_name,
+          case doc_id % 8 when 0 then 'reshare' when 1 then 'group' when 2 then 'reel' when 3 then 'text_only' when 4 then 'page' when 5 then 'odd' when 6 then 'reshare' else 'standard' end as post_type, doc_id % 5 = 0 as is_sponsored, doc_id % 3 = 0 as is_verified, doc_id % 2 = 0 as has_media,
+          case when doc_id % 6 = 0 then '12 likes' else '' end as reactions, case when doc_id % 4 = 0 then '3 comments' end as comments, case when doc_id % 16 <> 6 then concat(text, ' once more') end as reshare_text, case when doc_id % 24 = 0 then '' when doc_id % 8 = 0 then 'First Author' end as reshare_author,
+          case when doc_id % 5 < 3 then split(substr('a,b,c,d,e,f', 1, cast(2 * (doc_id % 7) - 1 + case when doc_id % 7 = 0 then 2 else 0 end as int)), ',') end as images from {documents}) d"""),
     "nested_v": ("documents", """
         select doc_id, concat('{{"data":', case k when 0 then concat('[', post, actors, said, '}},', other, ']') when 1 then concat('{{', said, ',"owning_profile":{{"name":"', author, '"}},', deep, ',"story_id":"s', cast(doc_id as string), '"}}')
             when 2 then concat('{{"comet_sections":{{"context_layout":{{"story":{{"actors":[{{"name":"', author, '"}}]}}}}}},"id":', cast(doc_id as string), ',', said, ',"url":"https://h/reel/1"}}')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedweave.functions import rules as R
 from feedweave.functions import text as T
+from feedweave.functions.variants import is_kind, part
 from feedweave.operators.tables import stored
 
 POST_DEPTH, SIGNAL_DEPTH = 30, 15
@@ -20,15 +21,6 @@ TRACKED = ("tracking_data", ("ad_id", "campaign_id"))
 ANY_FIELDS = ("sponsor_id",)
 
 
-def part(value: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(value, path, kind)
-
-
-def is_kind(value: Column, *kinds: str) -> Column:
-    """Whether a value's own type is one of these, never a text that looks like it; false where there is no value."""
-    return F.coalesce(F.schema_of_variant(value).rlike(f"^({'|'.join(kinds)})"), F.lit(False))
-
-
 def is_signal(key: Column, value: Column) -> Column:
     """Whether a field of an object says that it is sponsored: each name has a test of its own, and only true booleans are true."""
     inside = [part(value, f"$.{k}").isNotNull() for k in TRACKED[1]]
