@@ -50,9 +50,8 @@ def _times(a: Column, b: int) -> Column:
 
 
 def fnv(c: Column, start: int, factor: int) -> Column:
-    """A 32-bit hash of a string's code points: exclusive or, then multiply."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    return F.aggregate(codes, F.lit(start).cast("long"), lambda h, x: _times(h.bitwiseXOR(x), factor))
+    """A 32-bit hash of a string's UTF-16 units: exclusive or, then multiply."""
+    return F.aggregate(T.unit_codes(c), F.lit(start).cast("long"), lambda h, x: _times(h.bitwiseXOR(x), factor))
 
 
 def balanced_object(c: Column) -> Column:
@@ -136,18 +135,46 @@ def same_detail(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & ((x == y) | ((F.least(F.length(x), F.length(y)) >= 24) & (F.contains(x, y) | F.contains(y, x))))
 
 
-def decisions(posts: DataFrame) -> DataFrame:
-    """``posts(event_id, enabled, allowed, sponsored, cached, n_chars, outcome)`` with final state, decisions given out, tier and whether it is filtered.
+def decided(posts: DataFrame) -> DataFrame:
+    """Every decision that is given out on a post's way through the filters: ``event_id, step, stage, tier, filtered, pending, insufficient, error``.
 
-    Filters that are off give nothing; an allowed author one decision; a sponsored post one at once and then the others' way: a cached
-    result, or a pending decision and then the result, an error for texts of a character or a timeout, or one that the text doesn't suffice.
+    ``posts(event_id, enabled, allowed, sponsored, cached, shared, configured, n_chars, outcome)``; ``shared`` posts have no words of their own.
+    Filters that are off give nothing, an allowed author one decision.  A sponsored post is filtered at once; then a cached result ends the
+    way.  Others show their heuristic scores first, pending unless they are shares.  With a model and more than a character of its own words a
+    post ends with the model's scores, with too little to judge, or with an error; with a model and less it ends with too little.
     """
     c = F.col
-    short, scored = c("n_chars") <= 1, c("outcome") == "scores"
-    state = F.when(~c("enabled"), "none").when(c("allowed"), "kept").when(c("cached"), "final").when(short | (c("outcome") == "timeout"), "error").when(c("outcome") == "empty", "insufficient").otherwise("final")
-    emitted = F.when(~c("enabled"), 0).when(c("allowed"), 1).otherwise(F.when(c("cached"), 1).otherwise(2) + c("sponsored").cast("int"))
-    tier = F.when(c("enabled"), F.when(~c("allowed") & (c("cached") | (~short & scored)), 3).otherwise(1))
-    return posts.select("event_id", state.alias("state"), emitted.alias("emitted"), tier.alias("tier"), (c("enabled") & ~c("allowed") & c("sponsored")).alias("filtered"))
+    cached = c("cached") & ~c("shared")
+    runs = c("configured") & ~c("shared")
+    made = lambda stage, tier=1, filtered=c("sponsored"), pending=False, insufficient=False, error=None: F.struct(
+        F.lit(stage).alias("stage"), F.lit(tier).alias("tier"), filtered.alias("filtered"), F.lit(pending).alias("pending"), F.lit(insufficient).alias("insufficient"), F.lit(error).cast("string").alias("error"))
+    result = (
+        F.when(~runs, None).when(c("n_chars") <= 1, made("model", insufficient=True, error="too short")).when(c("outcome") == "timeout", made("model", error="timeout"))
+        .when(c("outcome") == "empty", made("model", insufficient=True, error="empty")).otherwise(made("model", tier=3))
+    )
+    no = F.lit(False)
+    steps = F.when(c("allowed"), F.array(made("allowed", filtered=no))).otherwise(F.array_compact(F.array(
+        F.when(c("sponsored"), made("sponsored")), F.when(cached, made("cached", tier=3)), F.when(~cached & ~c("sponsored") & ~c("shared"), made("heuristic", filtered=no, pending=True)),
+        F.when(~cached & ~c("sponsored") & c("shared"), made("heuristic", filtered=no)), F.when(~cached, result),
+    )))
+    return posts.where("enabled").select("event_id", F.posexplode(steps).alias("step", "d")).select("event_id", "step", "d.*")
+
+
+def decisions(posts: DataFrame) -> DataFrame:
+    """Each post of ``decided`` with its final state and tier, how many decisions were given out, and whether it is filtered in the end."""
+    last = decided(posts).groupBy("event_id").agg(F.count("*").cast("int").alias("emitted"), F.max(F.struct("step", "stage", "tier", "filtered", "insufficient", "error")).alias("m"))
+    state = F.when(F.col("m").isNull(), "none").when(F.col("m.stage") == "allowed", "kept").when(F.col("m.tier") == 3, "final").when(F.col("m.insufficient"), "insufficient").when(F.col("m.error").isNotNull(), "error").otherwise("heuristic")
+    return posts.select("event_id").join(last, "event_id", "left").select("event_id", state.alias("state"), F.coalesce("emitted", F.lit(0)).alias("emitted"), F.col("m.tier").alias("tier"), F.coalesce("m.filtered", F.lit(False)).alias("filtered"))
+
+
+def counted(posts: DataFrame) -> DataFrame:
+    """One row: what a session counts of its posts: seen, sponsored, filtered, judged by heuristics, answered by the model, and answered with nothing."""
+    seen = posts.where("enabled")
+    open_ = ~F.col("allowed")
+    runs = open_ & F.col("configured") & ~F.col("shared") & ~F.col("cached") & (F.col("n_chars") > 1)
+    return seen.agg(
+        F.count("*").alias("seen"), F.count_if(open_ & F.col("sponsored")).alias("sponsored"), F.count_if(open_).alias("tier1"), F.count_if(runs & (F.col("outcome") != "timeout")).alias("tier3"), F.count_if(runs & (F.col("outcome") == "empty")).alias("tier3_empty"),
+    )
 
 
 def new_rows(c: Column) -> Column:

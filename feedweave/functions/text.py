@@ -141,10 +141,16 @@ def without_tracking(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "&+", "&"), "[?]&", "?"), r"[?&]+\z", "")
 
 
-def djb2(c: Column) -> Column:
-    """The 32-bit djb2 hash of a string's code points."""
+def unit_codes(c: Column) -> Column:
+    """The UTF-16 units of a text as numbers."""
     codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, x: ((h * 33) + x).bitwiseAND(0xFFFFFFFF))
+    pair = lambda x: F.array(F.lit(0xD800).cast("long") + F.shiftright(x - 0x10000, 10), F.lit(0xDC00).cast("long") + (x - 0x10000).bitwiseAND(0x3FF))
+    return F.flatten(F.transform(codes, lambda x: F.when(x > 0xFFFF, pair(x)).otherwise(F.array(x))))
+
+
+def djb2(c: Column) -> Column:
+    """The 32-bit djb2 hash of a string's UTF-16 units."""
+    return F.aggregate(unit_codes(c), F.lit(5381).cast("long"), lambda h, x: ((h * 33) + x).bitwiseAND(0xFFFFFFFF))
 
 
 def units(c: Column) -> Column:

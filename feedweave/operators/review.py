@@ -65,3 +65,44 @@ def findings(issues: DataFrame) -> DataFrame:
     rows = issues.groupBy("post_id", group.alias("issue_group")).agg(F.count("*").alias("n"), F.max(rank(F.col("severity"))).alias("sev"), F.count_distinct("found").alias("n_terms"))
     other = rows.where("issue_group <> 'punctuation'").select("post_id").distinct()
     return rows.join(other, "post_id", "left_semi")
+
+
+# Words for pictures, whose exchange for one another isn't worth a hint; the room of a hint, and from how many issues on one shows.
+PICTURES = ("圖像", "影像", "圖片", "相片", "照片")
+HINT_ROOM, BADGE_FROM, EXAMPLES, FULL_SIGNAL = 16, 2, 3, 5
+KINDS = ("post_text", "sharer_comment", "shared_content", "link_preview", "image_text")
+
+
+def worth_showing(found: Column, suggestions: Column, rule_type: Column, severity: Column, room: int = HINT_ROOM) -> Column:
+    """Whether an issue is worth showing: not about punctuation, no mere information, not empty or all signs, within the room, and not one word for pictures for another."""
+    bare = F.trim(found)
+    generic = bare.isin(*PICTURES) & (F.size(suggestions) > 0) & F.forall(suggestions, lambda x: F.trim(x).isin(*PICTURES))
+    return (rule_type != "punctuation") & (severity != "info") & (bare != "") & ~bare.rlike(r"^[\p{P}\p{S}\s]+\z") & (T.units(bare) <= room) & ~F.coalesce(generic, F.lit(False))
+
+
+def hints(issues: DataFrame) -> DataFrame:
+    """``post_id, n, badge``: the issues worth a hint on each post that has any, and whether they are enough for a badge."""
+    worthy = issues.where(worth_showing(F.col("found"), F.col("suggestions"), F.col("rule_type"), F.col("severity")))
+    return worthy.groupBy("post_id").agg(F.count("*").alias("n"), (F.count("*") >= BADGE_FROM).alias("badge"))
+
+
+def segment_reviews(issues: DataFrame) -> DataFrame:
+    """One review per post and segment from its issues ``(post_id, kind, seq, found, suggestions, rule_type, severity)``: counts, badges, severities, rules, the first examples."""
+    worthy = worth_showing(F.col("found"), F.col("suggestions"), F.col("rule_type"), F.col("severity"))
+    by_rule = issues.groupBy("post_id", "kind", "rule_type").agg(
+        F.count("*").alias("n"), F.count_if(worthy).alias("badges"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY), F.slice(F.array_sort(F.collect_list(F.struct("seq", F.trim("found").alias("found")))), 1, EXAMPLES).alias("first"),
+    )
+    examples = F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, EXAMPLES), lambda e: e["found"])
+    return by_rule.groupBy("post_id", "kind").agg(
+        F.sum("n").alias("issue_count"), F.sum("badges").alias("badge_count"), *(F.sum(s).alias(s) for s in SEVERITY), F.map_from_entries(F.collect_list(F.struct("rule_type", "n"))).alias("issue_summary"), examples.alias("examples"),
+    )
+
+
+def aggregated(segments: DataFrame) -> DataFrame:
+    """A post's review from those of its segments: counts and badges added, rules added by name, examples in the segments' order, and a signal that five badges fill."""
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    merged = F.aggregate(F.collect_list("issue_summary"), F.expr("cast(map() as map<string,bigint>)"), lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))))
+    examples = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "examples"))), lambda e: e["examples"]))
+    return segments.groupBy("post_id").agg(
+        F.sum("issue_count").alias("issue_count"), F.sum("badge_count").alias("badge_count"), *(F.sum(s).alias(s) for s in SEVERITY), merged.alias("issue_summary"), examples.alias("examples"), F.least(F.lit(1.0), F.sum("badge_count") / FULL_SIGNAL).alias("signal"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedweave.functions import rules as R
 from feedweave.functions import scores as S
 from feedweave.functions import text as T
-from feedweave.operators import history
+from feedweave.operators import history, review
 from feedweave.plans.catalog import _table, query, squeezed
 from feedweave.plans.context_queries import trim
 from feedweave.plans.views import view
@@ -270,9 +270,66 @@ def live_expanded_merge(spark, sf_dir):
     return view(spark, sf_dir, "expanded_v").select("post_id", "seq", F.when(keep, c("text1")).otherwise(c("text2")).alias("text"), F.when(keep, c("kind1")).otherwise(c("kind2")).alias("kind"), F.when(keep, shared).otherwise(c("shared2")).alias("shared"))
 
 
-@query("""select event_id, case when not enabled then 'none' when allowed then 'kept' when cached then 'final' when n_chars <= 1 then 'error' when outcome = 'timeout' then 'error' when outcome = 'empty' then 'insufficient' else 'final' end as state,
-  case when not enabled then 0 when allowed then 1 when cached then 1 + sponsored::int else 2 + sponsored::int end as emitted, case when not enabled then null when not allowed and (cached or (n_chars > 1 and outcome = 'scores')) then 3 else 1 end as tier,
-  case when not enabled or allowed then false else sponsored end as filtered from pipeline_v""", "pipeline_v")
+WAY = """select event_id, enabled, case when not enabled then 'none' when allowed then 'kept' when cached and not shared then 'final' when configured and not shared then case when n_chars <= 1 then 'insufficient' when outcome = 'timeout' then 'error' when outcome = 'empty' then 'insufficient' else 'final' end else 'heuristic' end as state,
+  case when not enabled then 0 when allowed then 1 when cached and not shared then 1 + sponsored::int else 1 + (configured and not shared)::int end as emitted, enabled and not allowed and sponsored as filtered from pipeline_v"""
+
+
+@query(f"select event_id, state, emitted, case when state = 'none' then null when state = 'final' then 3 else 1 end as tier, filtered from ({WAY})", "pipeline_v")
 def decision_pipeline(spark, sf_dir):
     """A post's way through the filters: its final state and tier, how many decisions are given out on the way, and whether it is filtered."""
     return R.decisions(view(spark, sf_dir, "pipeline_v"))
+
+
+@query("""select event_id, (row_number() over (partition by event_id order by place) - 1)::int as step, stage, tier, filtered, pending, insufficient, error from (
+  select event_id, 1 as place, 'allowed' as stage, 1 as tier, false as filtered, false as pending, false as insufficient, null::varchar as error from pipeline_v where enabled and allowed
+  union all select event_id, 2, 'sponsored', 1, true, false, false, null from pipeline_v where enabled and not allowed and sponsored
+  union all select event_id, 3, 'cached', 3, sponsored, false, false, null from pipeline_v where enabled and not allowed and cached and not shared
+  union all select event_id, 4, 'heuristic', 1, false, not shared, false, null from pipeline_v where enabled and not allowed and not sponsored and (shared or not cached)
+  union all select event_id, 5, 'model', case when n_chars > 1 and outcome = 'scores' then 3 else 1 end, sponsored, false, n_chars <= 1 or outcome = 'empty', case when n_chars <= 1 then 'too short' when outcome <> 'scores' then outcome end from pipeline_v where enabled and not allowed and not shared and not cached and configured)""", "pipeline_v")
+def decisions_given(spark, sf_dir):
+    """Every decision that is given out, step by step."""
+    return R.decided(view(spark, sf_dir, "pipeline_v"))
+
+
+@query("""select count(*) as seen, count(*) filter (not allowed and sponsored) as sponsored, count(*) filter (not allowed) as tier1, count(*) filter (not allowed and configured and not shared and not cached and n_chars > 1 and outcome <> 'timeout') as tier3,
+  count(*) filter (not allowed and configured and not shared and not cached and n_chars > 1 and outcome = 'empty') as tier3_empty from pipeline_v where enabled""", "pipeline_v")
+def pipeline_counts(spark, sf_dir):
+    return R.counted(view(spark, sf_dir, "pipeline_v"))
+
+
+UNITS = """(select event_id, list_concat([]::bigint[], flatten(list_transform(list_filter(string_split(t, ''), lambda x: x <> ''), lambda x: case when unicode(x) > 65535 then [55296 + (unicode(x) - 65536) // 1024, 56320 + (unicode(x) - 65536) % 1024] else [unicode(x)] end))) as cs
+  from (select event_id, case event_id % 4 when 0 then concat('😀', event_type, event_id) when 1 then concat('é中', event_id) when 2 then '' else concat(event_type, '𝄞', props) end as t from events))"""
+FNV = "list_reduce(list_prepend({0}::hugeint, list_transform(cs, lambda x: x::hugeint)), lambda h, x: (xor(h, x) * {1}) % 4294967296)::bigint"
+
+
+@query(f"""select event_id, len(cs)::bigint as n, {FNV.format(2166136261, 16777619)} as h1, {FNV.format(2654435769, 2246822507)} as h2, list_reduce(list_prepend(5381::hugeint, list_transform(cs, lambda x: x::hugeint)), lambda h, x: (h * 33 + x) % 4294967296)::bigint as djb2 from {UNITS}""")
+def utf16_hash_keys(spark, sf_dir):
+    """Hashes over UTF-16 units, as scripts take them: characters beyond the basic plane count as two."""
+    i = F.col("event_id") % 4
+    t = F.when(i == 0, F.concat(F.lit("😀"), "event_type", "event_id")).when(i == 1, F.concat(F.lit("é中"), "event_id")).when(i == 2, "").otherwise(F.concat("event_type", F.lit("𝄞"), "props"))
+    return _table(spark, sf_dir, "events").select("event_id", T.units(t).cast("long").alias("n"), R.fnv(t, 0x811C9DC5, 0x01000193).alias("h1"), R.fnv(t, 0x9E3779B9, 0x85EBCA6B).alias("h2"), T.djb2(t).alias("djb2"))
+
+
+TERMS = r"""(select post_id, seq, severity, rule_type, kind, trim(found) as found, list_transform(list_filter(string_split(suggestions, '|'), lambda x: x <> ''), lambda x: trim(x)) as suggested from worded_v)"""
+WORTHY = r"""rule_type <> 'punctuation' and severity <> 'info' and found <> '' and not regexp_matches(found, '^[\p{P}\p{S}\s]+$') and length(found) <= 16
+  and not (found in ('圖像', '影像', '圖片', '相片', '照片') and len(suggested) > 0 and len(list_filter(suggested, lambda x: x not in ('圖像', '影像', '圖片', '相片', '照片'))) = 0)"""
+
+
+@query(f"select post_id, count(*) as n, count(*) >= 2 as badge from {TERMS} where {WORTHY} group by 1", "worded_v")
+def hint_counts(spark, sf_dir):
+    """How many issues a hint on a post counts: only those worth showing in little room."""
+    return review.hints(view(spark, sf_dir, "worded_v").withColumn("suggestions", F.filter(F.split("suggestions", "[|]"), lambda x: x != "")))
+
+
+@query(f"""select post_id, issue_count, badge_count, info, warning, error, rules, signal, examples from (with parts as (
+    select post_id, kind, count(*) as issue_count, count(*) filter ({WORTHY}) as badge_count, count(*) filter (severity = 'info') as info, count(*) filter (severity = 'warning') as warning, count(*) filter (severity = 'error') as error from {TERMS} group by 1, 2),
+  summed as (select post_id, sum(issue_count)::bigint as issue_count, sum(badge_count)::bigint as badge_count, sum(info)::bigint as info, sum(warning)::bigint as warning, sum(error)::bigint as error, least(1, sum(badge_count) / 5e0)::double as signal from parts group by 1),
+  rules as (select post_id, string_agg(rule_type || ':' || n, ',' order by rule_type) as rules from (select post_id, rule_type, count(*) as n from worded_v group by 1, 2) group by 1),
+  shown as (select post_id, string_agg(found, '|' order by k, seq) as examples from (select *, case kind when 'post_text' then 1 when 'shared_content' then 2 when 'link_preview' then 3 else 4 end as k, row_number() over (partition by post_id, kind order by seq) as r from {TERMS}) where r <= 3 group by 1)
+  select * from summed join rules using (post_id) join shown using (post_id))""", "worded_v")
+def review_totals(spark, sf_dir):
+    """A post's review from its segments' reviews: counts, badges, severities and rules added up, examples one after the other."""
+    issues = view(spark, sf_dir, "worded_v").withColumn("suggestions", F.filter(F.split("suggestions", "[|]"), lambda x: x != ""))
+    found = review.aggregated(review.segment_reviews(issues))
+    rules = F.array_join(F.transform(F.array_sort(F.map_entries("issue_summary")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return found.select("post_id", "issue_count", "badge_count", "info", "warning", "error", rules.alias("rules"), "signal", F.array_join("examples", "|").alias("examples"))

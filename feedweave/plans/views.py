@@ -92,7 +92,8 @@ VIEWS = {
           concat('own ', event_type) as text1, concat('whole ', event_type) as text2, concat('s1 ', event_type) as shared1, case when event_id % 5 = 0 then '' else concat('s2 ', event_type) end as shared2
         from {events}"""),
     "pipeline_v": ("events", """
-        select event_id, event_id % 19 > 0 as enabled, event_id % 17 = 0 as allowed, event_id % 7 = 0 as sponsored, event_id % 5 = 0 as cached, event_id % 13 as n_chars, case event_id % 11 when 0 then 'timeout' when 1 then 'empty' else 'scores' end as outcome
+        select event_id, event_id % 19 > 0 as enabled, event_id % 17 = 0 as allowed, event_id % 7 = 0 as sponsored, event_id % 5 = 0 as cached, event_id % 13 as n_chars, case event_id % 11 when 0 then 'timeout' when 1 then 'empty' else 'scores' end as outcome,
+          event_id % 6 = 2 as shared, event_id % 23 > 0 as configured
         from {events}"""),
     "gate_v": ("events", """
         select event_id, case when event_id % 5 = 0 then null when event_id % 7 = 1 then 'en' else 'zh-TW' end as deep_lang,
@@ -151,6 +152,12 @@ VIEWS = {
           case doc_id % 8 when 0 then 'reshare' when 1 then 'group' when 2 then 'reel' when 3 then 'text_only' when 4 then 'page' when 5 then 'odd' when 6 then 'reshare' else 'standard' end as post_type, doc_id % 5 = 0 as is_sponsored, doc_id % 3 = 0 as is_verified, doc_id % 2 = 0 as has_media,
           case when doc_id % 6 = 0 then '12 likes' else '' end as reactions, case when doc_id % 4 = 0 then '3 comments' end as comments, case when doc_id % 16 <> 6 then concat(text, ' once more') end as reshare_text, case when doc_id % 24 = 0 then '' when doc_id % 8 = 0 then 'First Author' end as reshare_author,
           case when doc_id % 5 < 3 then split(substr('a,b,c,d,e,f', 1, cast(2 * (doc_id % 7) - 1 + case when doc_id % 7 = 0 then 2 else 0 end as int)), ',') end as images from {documents}) d"""),
+    "worded_v": ("events", """
+        select user_id as post_id, event_id as seq, case event_id % 3 when 0 then 'info' when 1 then 'warning' else 'error' end as severity, case event_id % 7 when 0 then 'punctuation' when 1 then 'cross_strait' else 'lexical' end as rule_type,
+          case event_id % 5 when 0 then 'post_text' when 1 then 'shared_content' when 2 then 'link_preview' else 'image_text' end as kind,
+          case cast(floor(event_id / 3) as bigint) % 10 when 0 then ' ，。！ ' when 1 then '「+」' when 2 then '圖像' when 3 then ' 照片' when 4 then 'seventeen letters' when 5 then 'sixteen letters ' when 6 then '' when 7 then '視頻' else event_type end as found,
+          case cast(floor(event_id / 7) as bigint) % 5 when 0 then '影像|圖片' when 1 then '影像|畫' when 2 then '' when 3 then ' 影片' else '影片' end as suggestions
+        from {events}"""),
     "nested_v": ("documents", """
         select doc_id, concat('{{"data":', case k when 0 then concat('[', post, actors, said, '}},', other, ']') when 1 then concat('{{', said, ',"owning_profile":{{"name":"', author, '"}},', deep, ',"story_id":"s', cast(doc_id as string), '"}}')
             when 2 then concat('{{"comet_sections":{{"context_layout":{{"story":{{"actors":[{{"name":"', author, '"}}]}}}}}},"id":', cast(doc_id as string), ',', said, ',"url":"https://h/reel/1"}}')
