@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedweave.functions import text as T
+from feedweave.operators import history
 from feedweave.operators.tables import stored
 
 ANCHOR = 8  # characters of a seed that an equi-join finds before the seed itself is tested
@@ -118,6 +119,31 @@ def late_marks(posts: DataFrame, late: DataFrame) -> DataFrame:
         asking = stored(asking.join(sure, ["session", "late_id"], "left_anti").join(lost.select("session"), "session", "left_semi"))
 
 
+def text_upgrades(posts: DataFrame, late: DataFrame, least: int = 50) -> DataFrame:
+    """``post_id, late_id, before, after``: the posts whose text a fuller one replaces, each time with the units before and after.
+
+    ``posts(session, post_id, seq, text, classified)`` with the units that were classified last, 0 if none were yet, and ``late(session, late_id, seq,
+    text)``.  A late text of over 30 units belongs to the first post of its session that shares a seed with it, and to no other; it replaces
+    that post's text if it is more than ``least`` units longer than what was classified by then.
+    """
+    own = stored(posts.select("session", "post_id", F.col("seq").alias("at"), "classified", T.compact(F.col("text")).alias("t")).withColumn("k", F.xxhash64("t")))
+    net = late.where(T.units(F.col("text")) > 30).select("session", "late_id", F.col("seq").alias("came"), T.units(F.col("text")).alias("u"), T.compact(F.col("text")).alias("t")).withColumn("n", F.xxhash64("t"))
+    net = stored(net)
+    pairs = sharing_seeds(own.groupBy("k").agg(F.min("t").alias("t")), net.groupBy("n").agg(F.min("t").alias("t")))
+    first = own.join(pairs, "k").groupBy("session", "n").agg(F.min(F.struct("at", "post_id", "classified")).alias("m"))
+    met = net.join(first, ["session", "n"]).select(F.struct("session", "m.post_id").alias("post"), F.struct("came", "late_id").alias("place"), "u", F.col("m.classified").alias("classified"))
+    met = met.where("classified > 0").select(F.xxhash64("post").alias("key"), F.col("post.post_id").alias("post_id"), F.col("place.came").alias("came"), F.col("place.late_id").alias("late_id"), "u", "classified")
+
+    def step(state: tuple, row) -> tuple:
+        last = row.classified if state[1] is None else state[1]
+        return (row.post_id, row.u, row.late_id, last) if row.u > last + least else (row.post_id, last, None, None)
+
+    kinds = dict(met.dtypes)
+    fields = [("post_id", kinds["post_id"]), ("after", "int"), ("late_id", kinds["late_id"]), ("before", "int")]
+    found = history.folded(met.withColumn("order", F.format_string("%020d %s", F.col("came").cast("long") + (1 << 40), "late_id")), "key", "order", (None, None, None, None), step, fields)
+    return found.where("before is not null").select("post_id", "late_id", "before", "after")
+
+
 def known_when(posts: DataFrame, network: DataFrame) -> DataFrame:
     """``post_id, marked_at, late``: the posts that a remembered sponsored text gives away, when, and whether only after they had been seen.
 

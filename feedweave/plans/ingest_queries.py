@@ -84,6 +84,22 @@ def late_sponsored_marks(spark, sf_dir):
     return enrich.late_marks(shown, late)
 
 
+@query(f"""select post_id, late_id, before, after from (with shown as (select doc_id % 12 as session, doc_id as post_id, {compacted('left(text, 300)')} as t, length(text) as classified from documents where doc_id % 9 <> 4),
+  late as (select seq % 12 as session, post_id as late_id, 0 - seq as came, length(t0) as u, {compacted('t0')} as t from (select *, case when seq % 3 = 0 then text || ' and much more than fifty characters that only the network knows of' when seq % 3 = 1 then text || ' a bit' else left(text, 200) || repeat('x', 400) end as t0 from gql_v) where length(t0) > 30),
+  met as (select g.session, g.late_id, any_value(g.came) as came, any_value(g.u) as u, min(a.post_id) as post_id, arg_min(a.classified, a.post_id) as classified from late g join shown a on a.session = g.session and {MATCHED} group by 1, 2),
+  folded as (select post_id, list_reduce(list({{'u': u, 'late_id': late_id}} order by came, late_id), lambda s, x: {{'last': case when x.u > s.last + 50 then x.u else s.last end, 'got': case when x.u > s.last + 50 then list_append(s.got, {{'late_id': x.late_id, 'before': s.last, 'after': x.u}}) else s.got end}},
+    {{'last': any_value(classified), 'got': []::struct(late_id varchar, before bigint, after bigint)[]}}) as f from met where classified > 0 group by 1)
+  select post_id, g.late_id as late_id, g.before::int as before, g.after::int as after from (select post_id, unnest(f.got) as g from folded))""", "gql_v")
+def late_text_upgrades(spark, sf_dir):
+    """Posts whose text the network's fuller ones replace, one after the other, as long as each is much longer than the one before."""
+    d = _table(spark, sf_dir, "documents")
+    shown = d.where("doc_id % 9 <> 4").select((F.col("doc_id") % 12).alias("session"), F.col("doc_id").alias("post_id"), F.col("doc_id").alias("seq"), F.left("text", F.lit(300)).alias("text"), F.length("text").alias("classified"))
+    k, text = F.col("seq") % 3, F.col("text")
+    fuller = F.when(k == 0, F.concat(text, F.lit(" and much more than fifty characters that only the network knows of"))).when(k == 1, F.concat(text, F.lit(" a bit"))).otherwise(F.concat(F.left("text", F.lit(200)), F.repeat(F.lit("x"), F.lit(400))))
+    late = view(spark, sf_dir, "gql_v").select((F.col("seq") % 12).alias("session"), F.col("post_id").alias("late_id"), (-F.col("seq")).alias("seq"), fuller.alias("text"))
+    return enrich.text_upgrades(shown, late)
+
+
 @query("""select post_id, greatest(post_id, came) as marked_at, came > post_id as late from (select p.post_id, min(g.seq) as came from posts_v p join gql_v g on g.is_sponsored and length(g.text) > 20 and contains(left(p.full_text, 200), left(g.text, 30)) group by 1)""", "posts_v", "gql_v")
 def sponsored_when_known(spark, sf_dir):
     """When a post is known for sponsored: as it is seen, or once the text that gives it away has come."""

@@ -158,6 +158,27 @@ VIEWS = {
           case cast(floor(event_id / 3) as bigint) % 10 when 0 then ' ，。！ ' when 1 then '「+」' when 2 then '圖像' when 3 then ' 照片' when 4 then 'seventeen letters' when 5 then 'sixteen letters ' when 6 then '' when 7 then '視頻' else event_type end as found,
           case cast(floor(event_id / 7) as bigint) % 5 when 0 then '影像|圖片' when 1 then '影像|畫' when 2 then '' when 3 then ' 影片' else '影片' end as suggestions
         from {events}"""),
+    "blocks_v": ("documents", """
+        select d.doc_id as post_id, b.place, case b.place when 0 then author_name when 1 then 'a longer label of a button' when 2 then concat('nested words ', d.text) when 3 then 'Facebook' when 4 then case when d.doc_id % 3 = 0 then 'www.example.org/path' else 'abcdef1234567' end
+            when 5 then case when d.doc_id % 5 = 0 then concat(author_name, ' · 2 h') else 'short' end when 6 then case when d.doc_id % 7 > 0 then flat end when 7 then concat('second: ', flat) else concat('comment: ', flat) end as text,
+          case when b.place = 1 then ' Share ' when b.place = 6 and d.doc_id % 11 = 0 then 'Like' end as label, b.place = 2 as nested, b.place = 8 or (b.place = 7 and d.doc_id % 2 = 0) as after_comments, author_name, cast(null as string) as source_name
+        from (select *, concat('Author ', cast(doc_id % 37 as string)) as author_name, trim(regexp_replace(translate(text, concat(chr(10), chr(13), chr(9)), '   '), '^ +', '')) as flat from {documents}) d cross join (select 0 as place union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8) b"""),
+    "shares_v": ("documents", """
+        select doc_id as post_id, case doc_id % 6 when 0 then concat('said of it', chr(10), author, chr(10), flat) when 1 then concat('first line', chr(10), ' second line ', chr(10), chr(10), author, ' · 3h', chr(10), flat, chr(10), 'the end') when 2 then concat(author, chr(10), flat, chr(10), 'more')
+            when 3 then concat('x', chr(10), author, chr(10), flat, chr(10), other, chr(10), 'last words') when 4 then concat('words', chr(10), author, chr(10), 'abc') else flat end as text, author, other
+        from (select *, concat('Page ', cast(doc_id % 5 as string)) as author, concat('Other ', cast(doc_id % 3 as string)) as other, trim(translate(text, concat(chr(10), chr(13), chr(9)), '   ')) as flat from {documents}) d"""),
+    "attached_v": ("documents", """
+        select d.doc_id as post_id, b.place, case b.place when 0 then 'https://www.facebook.com/someone' when 1 then case when d.doc_id % 2 = 0 then 'https://example.org/article' end when 2 then 'https://www.facebook.com/reel/5' when 3 then '/watch/?v=1' when 4 then 'https://www.facebook.com/a/posts/9' else 'https://example.org/b' end as href,
+          case b.place when 0 then concat('A profile whose name is long enough to count ', n) when 1 then concat('Example headline number ', n, ' which is long', chr(10), 'example.org', chr(10), 'Follow') when 2 then concat('Reel caption ', n, chr(10), 'Original audio', chr(10), 'abcdefghij12') when 3 then case when d.doc_id % 5 = 0 then d.flat else concat('Reel caption ', n, chr(10), 'Second caption') end
+            when 4 then case when d.doc_id % 7 = 0 then concat('quoting: ', d.flat, ' indeed') else 'Third caption' end else 'too short to count' end as text,
+          d.flat as own_text, b.place = 0 as names_author, not (b.place = 2 and d.doc_id % 4 = 0) as shown, b.place = 4 and d.doc_id % 3 = 0 as after_comments
+        from (select *, cast(doc_id as string) as n, trim(translate(text, concat(chr(10), chr(13), chr(9)), '   ')) as flat from {documents}) d cross join (select 0 as place union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) b"""),
+    "assembly_v": ("documents", """
+        select doc_id as post_id, case when doc_id % 13 = 0 then '' when doc_id % 8 = 3 then concat('said of it', chr(10), 'Page A', chr(10), flat) else flat end as dom_text, case when doc_id % 13 = 0 and doc_id % 2 = 0 then '' when doc_id % 10 = 1 then concat('Author ', n, ' Verified') else concat('Author ', n) end as raw_author, cast(null as string) as source_name,
+          doc_id % 11 = 0 as marked_sponsored, doc_id % 5 = 2 as recommended, case doc_id % 6 when 0 then concat('An attachment of post ', n) when 1 then flat end as attachment, case when doc_id % 9 = 8 then split('Page B', ',') else split('Page A,Page B', ',') end as reshare_authors, case when doc_id % 17 = 0 then 'Card Author' end as card_author,
+          case when doc_id % 17 = 0 then case when doc_id % 34 = 0 then flat else 'a card with words of another' end end as card_text, doc_id % 26 <> 0 as has_media, case when doc_id % 4 = 1 then case when doc_id % 13 = 0 then ' ' else concat(flat, ' and then the network goes on with fifty characters and some more') end end as gql_text, case when doc_id % 4 = 1 then case when doc_id % 8 = 1 then '' else 'Network Name' end end as gql_author,
+          case when doc_id % 4 = 1 then case when doc_id % 3 = 0 then 'reshare' else 'standard' end end as gql_type, case when doc_id % 4 = 1 then doc_id % 7 = 0 end as gql_sponsored, case when doc_id % 4 = 1 and doc_id % 9 < 6 then 'the words that were shared' end as gql_reshare_text, case when doc_id % 4 = 1 and doc_id % 2 = 1 then 'First Hand' end as gql_reshare_author, doc_id % 23 = 0 as known_sponsored
+        from (select *, cast(doc_id as string) as n, concat('Post ', cast(doc_id as string), ' says: ', trim(translate(text, concat(chr(10), chr(13), chr(9)), '   '))) as flat from {documents}) d"""),
     "nested_v": ("documents", """
         select doc_id, concat('{{"data":', case k when 0 then concat('[', post, actors, said, '}},', other, ']') when 1 then concat('{{', said, ',"owning_profile":{{"name":"', author, '"}},', deep, ',"story_id":"s', cast(doc_id as string), '"}}')
             when 2 then concat('{{"comet_sections":{{"context_layout":{{"story":{{"actors":[{{"name":"', author, '"}}]}}}}}},"id":', cast(doc_id as string), ',', said, ',"url":"https://h/reel/1"}}')
