@@ -179,6 +179,17 @@ VIEWS = {
           case when doc_id % 17 = 0 then case when doc_id % 34 = 0 then flat else 'a card with words of another' end end as card_text, doc_id % 26 <> 0 as has_media, case when doc_id % 4 = 1 then case when doc_id % 13 = 0 then ' ' else concat(flat, ' and then the network goes on with fifty characters and some more') end end as gql_text, case when doc_id % 4 = 1 then case when doc_id % 8 = 1 then '' else 'Network Name' end end as gql_author,
           case when doc_id % 4 = 1 then case when doc_id % 3 = 0 then 'reshare' else 'standard' end end as gql_type, case when doc_id % 4 = 1 then doc_id % 7 = 0 end as gql_sponsored, case when doc_id % 4 = 1 and doc_id % 9 < 6 then 'the words that were shared' end as gql_reshare_text, case when doc_id % 4 = 1 and doc_id % 2 = 1 then 'First Hand' end as gql_reshare_author, doc_id % 23 = 0 as known_sponsored
         from (select *, cast(doc_id as string) as n, concat('Post ', cast(doc_id as string), ' says: ', trim(translate(text, concat(chr(10), chr(13), chr(9)), '   '))) as flat from {documents}) d"""),
+    "boxes_v": ("events", """
+        select event_id, event_id % 3 = 0 as filtered, case event_id % 5 when 0 then 'rule' when 1 then '' end as fold_reason, case when event_id % 2 = 0 then 'collapse' else 'none' end as mode, event_id % 7 = 0 as expanded, event_id * 37 % 1000 as width, event_id * 53 % 3900 as height, event_id % 13 = 0 as forced,
+          event_id % 6 = 0 as reel_tray, cast(floor(event_id % 11 / 4) as int) as posts, event_id % 4 as bars, event_id % 17 = 0 as nested, event_id % 19 = 0 as composer, event_id % 23 = 0 as wrapper
+        from {events}"""),
+    "parts_v": ("documents", """
+        select doc_id, concat(left(text, cast(doc_id * 13 % 900 as int)), case doc_id % 5 when 0 then ' Sponsored ' when 1 then ' 短片 ' when 2 then ' sponsored birthday ' when 3 then ' reels ' else ' 贊助 ' end, text) as text, case when doc_id % 2 = 0 then 'rail' else 'feed' end as place, doc_id % 9 > 0 as free, doc_id % 6 as links,
+          doc_id * 17 % 700 - 20 as width, doc_id * 29 % 1400 - 20 as height, doc_id % 8 > 0 as ads, doc_id % 10 > 0 as reels
+        from {documents}"""),
+    "queue_v": ("events", """
+        select user_id % 40 as tab, event_id as place, event_id as post_id, cast(event_id * 7919 % 6000 - 2000 as int) as top, cast(event_id * 7919 % 6000 - 2000 + 100 + event_id % 400 as int) as bottom, event_id % 7 > 0 as attached, event_id % 11 = 0 as mixed, 900 as view, event_id % 3 = 0 as done, event_id % 5 = 0 as waiting
+        from {events}"""),
     "nested_v": ("documents", """
         select doc_id, concat('{{"data":', case k when 0 then concat('[', post, actors, said, '}},', other, ']') when 1 then concat('{{', said, ',"owning_profile":{{"name":"', author, '"}},', deep, ',"story_id":"s', cast(doc_id as string), '"}}')
             when 2 then concat('{{"comet_sections":{{"context_layout":{{"story":{{"actors":[{{"name":"', author, '"}}]}}}}}},"id":', cast(doc_id as string), ',', said, ',"url":"https://h/reel/1"}}')
