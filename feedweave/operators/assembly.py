@@ -35,9 +35,11 @@ def primary_message(blocks: DataFrame) -> DataFrame:
     """
     open_ = ~F.col("nested") & ~F.col("after_comments") & ~F.coalesce(F.trim("label").isin(*BUTTONS), F.lit(False))
     empty = F.lit("")
-    text = C.without_identity(R.cleaned_lines(F.col("text")), F.coalesce("author_name", empty), F.coalesce("source_name", empty), inline=False)
-    rows = blocks.where(open_ & F.col("text").isNotNull()).withColumn("message", text)
-    rows = rows.where(is_message(F.col("message"), F.coalesce("author_name", empty), F.coalesce("source_name", empty)))
+    author, source = F.coalesce("author_name", empty), F.coalesce("source_name", empty)
+    text = C.without_identity(R.cleaned_lines(F.col("text")), author, source, inline=False)
+    # a generated row computes the text once; a filter would do so once for each test
+    message = F.explode(F.filter(F.array(text), lambda x: is_message(x, author, source))).alias("message")
+    rows = blocks.where(open_ & F.col("text").isNotNull()).select("post_id", "place", message)
     return rows.groupBy("post_id").agg(F.min(F.struct("place", "message")).alias("m")).select("post_id", "m.message")
 
 
@@ -64,8 +66,8 @@ def repeats_own(own: Column, candidate: Column) -> Column:
 
 
 def useful_lines(text: Column) -> Column:
-    """The lines of a link's text that may say what is attached."""
-    lines = F.transform(F.split(R.cleaned_lines(text), "\n"), C.trimmed)
+    """The lines of a cleaned link's text that may say what is attached."""
+    lines = F.transform(F.split(text, "\n"), C.trimmed)
     return F.filter(lines, lambda x: (T.units(x) >= 2) & ~x.rlike(NO_ATTACHMENT) & ~x.rlike(BARE_URL))
 
 
@@ -78,13 +80,18 @@ def attachments(links: DataFrame) -> DataFrame:
     content = F.lit(False)
     for mark in CONTENT_LINKS:
         content = content | F.contains("href", F.lit(mark))
-    rows = links.where("shown and not after_comments and href is not null").withColumn("useful", useful_lines(F.col("text"))).withColumn("content", content)
     own = F.col("own_text")
     host = T.host(F.col("href"))
-    author = ((host == "facebook.com") | host.endswith(".facebook.com")) & F.col("names_author")
-    joined = F.array_join("useful", "\n")
-    fits = F.when(F.col("content"), ~repeats_own(own, R.cleaned_lines(F.col("text")))).otherwise(~repeats_own(own, joined) & ~repeats_own(own, R.cleaned_lines(F.col("text"))) & (T.units(joined) >= OTHER_LINK) & ~F.coalesce(author, F.lit(False)))
-    lines = rows.where(fits).select("post_id", (~F.col("content")).alias("late"), "place", F.posexplode("useful").alias("at", "line"))
+    author = F.coalesce(((host == "facebook.com") | host.endswith(".facebook.com")) & F.col("names_author"), F.lit(False))
+
+    def fits(x: Column) -> Column:
+        joined = F.array_join(x["lines"], "\n")
+        return ~repeats_own(own, x["whole"]) & (x["content"] | (~repeats_own(own, joined) & (T.units(joined) >= OTHER_LINK) & ~author))
+
+    read = F.struct(content.alias("content"), R.cleaned_lines(F.col("text")).alias("whole"))
+    split = F.transform(F.array(read), lambda x: F.struct(x["content"].alias("content"), x["whole"].alias("whole"), useful_lines(x["whole"]).alias("lines")))
+    rows = links.where("shown and not after_comments and href is not null").select("post_id", "place", F.explode(F.filter(split, fits)).alias("x"))
+    lines = rows.select("post_id", (~F.col("x.content")).alias("late"), "place", F.posexplode("x.lines").alias("at", "line"))
     first = lines.groupBy("post_id", "line").agg(F.min(F.struct("late", "place", "at")).alias("o"))
     best = first.groupBy("post_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("o", "line"))), 1, LINES).alias("l"))  # one row for each line of a post's links
     return best.select("post_id", T.left_units(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), ROOM).alias("attachment"))
