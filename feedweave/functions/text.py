@@ -18,7 +18,6 @@ BAIT = (
     r"don'?t\s+scroll\s+without",
     r"ignore\s+if\s+you",
 )
-SPONSORED = ("Sponsored", "Paid partnership", "贊助", "付費合作夥伴關係", "広告", "スポンサー", "タイアップ投稿")
 SUGGESTED = ("Suggested for you", "Suggested", "People You May Know", "People you may know", "為你推薦", "推薦", "你可能認識的朋友", "おすすめ", "あなたへのおすすめ", "知り合いかも")
 SHORT_LABELS = ("贊助", "助贊", "Sponsored", "广告", "廣告", "スポンサー")
 EMOJI = r"[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{1F000}-\x{1F02F}\x{1F0A0}-\x{1F0FF}\x{200D}\x{20E3}\x{E0020}-\x{E007F}]"
