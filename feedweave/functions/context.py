@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedweave.functions import clean as C
+from feedweave.functions import text as T
 
 CAP, MOST_SEGMENTS, MOST_TEXTS = 2000, 12, 8
 # Section heads of the serialised form.
@@ -63,11 +64,11 @@ def serialised(context: Column, kind: Column, author: Column, reshare_author: Co
 
 
 def scannable(listed: Column) -> Column:
-    """The segments a language checker reads: image descriptions left out, texts in images split off, eight characters at least, each text once across kinds."""
+    """The segments a language checker reads: image descriptions left out, texts in images split off, eight characters at least, each text once across kinds; texts that differ in white space or compatibility forms are one."""
 
     def split(s: Column) -> Column:
         return C.let(C.image_parts(s["text"]), lambda v: F.concat(F.array(F.struct(s["kind"].alias("kind"), v["body"].alias("text"))), F.transform(v["image_texts"], lambda x: F.struct(F.lit("image_text").alias("kind"), x.alias("text")))))
 
     parts = F.filter(F.transform(F.flatten(F.transform(F.filter(listed, lambda s: s["kind"] != "image_alt"), split)), lambda s: F.struct(s["kind"].alias("kind"), C.chrome(s["text"]).alias("text"))), lambda s: F.length(s["text"]) >= 8)
-    bare = lambda v: F.transform(v, lambda s: F.regexp_replace(s["text"], r"\s+", ""))
+    bare = lambda v: F.transform(v, lambda s: F.regexp_replace(T.nfkc(s["text"]), r"\s+", ""))
     return C.let(C.let(parts, lambda v: F.struct(v.alias("s"), bare(v).alias("k"))), lambda v: F.filter(v["s"], lambda s, i: F.array_position(v["k"], F.get(v["k"], i)) == i + 1))

@@ -39,6 +39,11 @@ def compact(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, f"{WS}+", ""))
 
 
+def nfkc(c: Column) -> Column:
+    """Compatibility forms composed (NFKC): full-width and half-width letters, ligatures and the like in their usual form."""
+    return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True)))
+
+
 def without_bidi(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x{200E}\x{200F}\x{202A}-\x{202E}]", "")
 

@@ -556,4 +556,4 @@ def stream_progressive(spark, sf_dir):
     return found.groupBy("post_id").agg(F.max(F.struct("n", "text", "author_name")).alias("m")).select("post_id", "m.text", "m.author_name", "m.n")
 
 
-from feedweave.plans import assembly_queries, context_queries, flow_queries, ingest_queries, model_queries, panel_queries, panel_states, rule_queries, scan_queries, stream_queries  # noqa: E402, F401  they register their queries here
+from feedweave.plans import assembly_queries, context_queries, flow_queries, gate_queries, ingest_queries, model_queries, panel_queries, panel_states, rule_queries, scan_queries, stream_queries  # noqa: E402, F401  they register their queries here

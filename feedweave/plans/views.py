@@ -190,6 +190,24 @@ VIEWS = {
     "queue_v": ("events", """
         select user_id % 40 as tab, event_id as place, event_id as post_id, cast(event_id * 7919 % 6000 - 2000 as int) as top, cast(event_id * 7919 % 6000 - 2000 + 100 + event_id % 400 as int) as bottom, event_id % 7 > 0 as attached, event_id % 11 = 0 as mixed, 900 as view, event_id % 3 = 0 as done, event_id % 5 = 0 as waiting
         from {events}"""),
+    "readings_v": ("documents", """
+        select doc_id, doc_id % 11 = 0 as filtered, case when doc_id % 13 > 0 then (doc_id * 37 % 100) / 100e0 end as text_ai, case when doc_id % 7 > 0 then (doc_id * 43 % 100) / 100e0 end as image_ai,
+          case doc_id % 5 when 0 then concat('文字高度工整。', left(text, 40)) when 1 then concat('疑似 ai 生成', left(text, 200), '模板化') when 2 then '' when 3 then left(text, 60) end as explanation,
+          case doc_id % 4 when 0 then concat(left(text, 30), ' 內容空泛。More.') when 1 then '個人經驗' when 2 then concat('Made from a 官方 chart, 非 AI 生成 ', left(text, 20)) end as summary,
+          case doc_id % 3 when 0 then '手指畸形，光影怪' when 1 then '不是 AI生成 but a 截圖' end as insight,
+          concat(left(text, cast(doc_id * 17 % 200 as int)), case doc_id % 8 when 0 then ' ChatGPT ' when 1 then ' 我今天用了 Claude ' when 2 then ' AI 生成 by 我覺得 ' when 3 then ' 我最近 LLM ' else ' ' end, text) as post_text
+        from {documents}"""),
+    "briefs_v": ("documents", """
+        select doc_id, case doc_id % 6 when 0 then '需查證 ' when 1 then '低風險，' when 2 then '無事實風險 GitHub ' else '' end as row1, case doc_id % 5 when 0 then '各方觀點差異' when 1 then '純個人 talk' else '' end as note,
+          case doc_id % 7 when 0 then concat('What does the API of ', cast(doc_id as string), ' do?') when 1 then '是否為個人分享？' when 2 then 'Who said so?' end as q1, case when doc_id % 3 = 0 then concat('Where is the source of ', cast(doc_id as string), '?') end as q2,
+          case doc_id % 4 when 0 then ' Is it dated? ' when 1 then '商業推廣，是否？' end as asked, case doc_id % 9 when 0 then '待確認：short topic。' when 1 then '' when 2 then 'abc' else concat('待確認：', lang, ' topic ', cast(doc_id as string), '！') end as summary,
+          concat(case when doc_id % 10 = 0 then '低風險 ' else '' end, text) as text, doc_id % 8 = 0 as has_media, (doc_id * 41 % 100) / 100e0 as image_ai, doc_id % 2 = 0 as worthy, doc_id % 4 = 2 as risky
+        from {documents}"""),
+    "widths_v": ("documents", """
+        select doc_id, lang, text, concat(case doc_id % 3 when 0 then 'ＡＤ１２ ' when 1 then 'AD12' else 'ＡD１2　' end, text) as wide, concat('AD12 ', text) as narrow,
+          case doc_id % 5 when 0 then 'zh_TW' when 1 then 'ja-JP' when 2 then 'fr' when 3 then 'en_GB' else lang end as locale,
+          case doc_id % 7 when 0 then ' 贊助 ' when 1 then ' 広告 ' when 2 then ' Paid partnership ' when 3 then ' 知り合いかも ' when 4 then ' おすすめ ' else ' ' end as label
+        from {documents}"""),
     "nested_v": ("documents", """
         select doc_id, concat('{{"data":', case k when 0 then concat('[', post, actors, said, '}},', other, ']') when 1 then concat('{{', said, ',"owning_profile":{{"name":"', author, '"}},', deep, ',"story_id":"s', cast(doc_id as string), '"}}')
             when 2 then concat('{{"comet_sections":{{"context_layout":{{"story":{{"actors":[{{"name":"', author, '"}}]}}}}}},"id":', cast(doc_id as string), ',', said, ',"url":"https://h/reel/1"}}')
