@@ -1,12 +1,13 @@
 """Licence statements in documents: a trained paragraph classifier confirmed by template comparison, in DataFrame operations.
 
 Paragraphs are lines; lines of 50 to 100 characters that another line follows are taken for hard-wrapped text and joined with it.
-A paragraph that holds one of the model's indicators (n-grams that the training chose, see ``indicators``) is a candidate.  Its
-word n-grams (1 to 3) meet the sparse weights of a multinomial logistic regression, trained here on the templates below, on
+A paragraph that holds a word of rights (licence, license, copyright, ... in any form) or one of the model's indicators (n-grams that
+the training chose, see ``indicators``) is a candidate.  Its word n-grams (1 to 3) meet the sparse weights of a multinomial logistic regression, trained here on the templates below, on
 variants of them, on general statements about rights (the class ``unknown``) and on ordinary sentences (``none``).  Probabilities
-are calibrated by a temperature chosen on variants left out of the training; how probable a family must be, else the statement
-is ``unknown``, is chosen on statements of families left out of the training.  A family is confirmed if the paragraph shares
-enough 3-grams with one of its templates, and both name the same versions and restrictions.
+are calibrated by a temperature chosen on variants left out of the training; how probable a family must be that no template confirms,
+else the statement is ``unknown``, is chosen on statements of families left out of the training.  A family is confirmed if the paragraph shares
+enough 3-grams with one of its templates, and both name the same versions and restrictions.  Where it names others than the family has, or
+shares hardly anything with its templates, the statement is ``unknown``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from feedweave.llm.common import id_and_text, stored, table
 
 CONFIRM = 0.6  # share of the 3-grams of a paragraph, or of a template, that both have
+AGREE = 0.3  # below this share with every template of its family a statement is unknown
+SPEAKS_OF_RIGHTS = "(?<![a-z])(?:(?:re|sub|un)?licen[cs]|copyright|copyleft|spdx|redistribut)"
 WRAPPED = "(?md)^([^\\n]{50,100})\\n(?=[^\\n]*\\S)"
 
 # Names of the licences as their texts and the SPDX list write them; the last is the SPDX identifier.
@@ -79,12 +82,7 @@ PARAGRAPHS = {
     "agpl-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "bsd-2-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following two conditions are met:",
-    ),
     "bsd-3-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "isc": (
@@ -107,7 +105,14 @@ PARAGRAPHS = {
         "To the extent possible under law, the authors have waived all copyright and related or neighboring rights to this work under CC0 1.0.",
     ),
 }
+# Paragraphs that several families' texts share, so that they name none by themselves.
+SHARED = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+)
 UNKNOWN = (
+    *SHARED,
     "All rights reserved.", "Copyright 2021 the authors. All rights reserved.", "This material is proprietary and licensed to you under a separate agreement.",
     "Licensed under the terms of the agreement between the parties.", "Distributed under a custom license; see the file for details.", "This work is in the public domain.",
     "Use of this software requires a commercial license.", "Released under the Example Community License.", "Permission to redistribute must be requested in writing.",
@@ -121,7 +126,8 @@ NONE = (
     "Er kommt mit dem Zug und mit der Bahn.", "Das Kind spielt mit dem Hund im Garten.", "La version finale du projet est disponible sur le site.", "El software se publica cada mes y la version 2 llega en mayo.",
     "An apache helicopter landed near the base.", "Use the form to obtain a copy of the report.", "The general public was invited to the opening.", "This software program runs version 3 of the protocol.",
     "Any person may use the library for free on Sundays.", "You can obtain one at the counter in the main hall.", "The following conditions are met every year, the source said.", "Version 2.0 of the app was released last week under a new name.",
-    "Attribution of the painting is uncertain; the international jury met at four.", "This program is available to the public at no charge.", "The foundation published a list of names and products.",
+    "His driving licence was taken away for three months.", "Poetic license let the author move the battle to spring.", "The clerk at the license office stamps each form twice.", "Copyright law was the topic of a long lecture.",
+    "Licensed plumbers charge more on weekends.", "The city licenses about forty taxi drivers a year.", "Attribution of the painting is uncertain; the international jury met at four.", "This program is available to the public at no charge.", "The foundation published a list of names and products.",
 )
 # Everyday words, which indicate nothing by themselves; mit is one in German.
 COMMON = frozenset(
@@ -279,7 +285,7 @@ def least_probability() -> float:
         strange += [float(probabilities(model, words(t))[inside].max()) for c in sorted(out) for t in TEMPLATES[c]]
         known += [float(probabilities(model, own)[model[0].index(c)]) for own, c in training_rows(50 + k, out) if c in TEMPLATES]
     strange_, known_ = np.array(strange), np.array(known)
-    return max((float((strange_ < b).mean() + (known_ >= b).mean()), -b) for b in np.arange(0.3, 0.95, 0.05).round(2).tolist())[1] * -1
+    return max((float((strange_ < b).mean() + (known_ >= b).mean()), -b) for b in np.arange(0.3, 1.0, 0.01).round(2).tolist())[1] * -1
 
 
 def indicators(model) -> list[str]:
@@ -335,9 +341,9 @@ def scan(docs: DataFrame) -> DataFrame:
     shapes = [(c, n, len(t3), " ".join(sorted(keys(own))), g) for c, texts in CONFIRMING.items() for n, t in enumerate(texts) for own in [words(t)] for t3 in [{" ".join(own[i : i + 3]) for i in range(max(1, len(own) - 2))}] for g in sorted(t3)]
     template_rows = spark.createDataFrame(shapes, "family string, template int, t_size int, keys string, gram string")
 
-    # a text or paragraph without the longest of the uncommon words of any indicator holds none
+    # a text or paragraph that has neither a word of rights nor the longest of the uncommon words of any indicator is no candidate
     heads = sorted({max((w for w in m.split(" ") if w not in COMMON), key=len) for m in marks})
-    some_head = "(?<![a-z0-9])(?:" + "|".join(h.replace(".", "[.]").replace("+", "[+]") for h in heads) + ")(?![a-z0-9])"
+    some_head = SPEAKS_OF_RIGHTS + "|(?<![a-z0-9])(?:" + "|".join(h.replace(".", "[.]").replace("+", "[+]") for h in heads) + ")(?![a-z0-9])"
 
     # equal texts are scanned once
     rows = id_and_text(docs).withColumn("mark", F.xxhash64("text")).withColumn("mark2", F.xxhash64(F.lit(7), "text"))
@@ -345,7 +351,8 @@ def scan(docs: DataFrame) -> DataFrame:
     some = rows.where(F.lower("text").rlike(some_head)).dropDuplicates(["mark", "mark2"]).select("mark", "mark2", F.posexplode(paragraphs_column(F.col("text"))).alias("pos", "p"))
     # each step is written, so that what it made isn't computed again for each use
     own = stored(some.where(F.lower("p").rlike(some_head)).select("mark", "mark2", "pos", words_column(F.col("p")).alias("own")))
-    own = stored(own.where(F.arrays_overlap(F.concat(_runs(F.col("own"), 1), _runs(F.col("own"), 2)), F.array(*map(F.lit, marks)))))
+    marked = F.arrays_overlap(F.concat(_runs(F.col("own"), 1), _runs(F.col("own"), 2)), F.array(*map(F.lit, marks)))
+    own = stored(own.where(F.array_join("own", " ").rlike(SPEAKS_OF_RIGHTS) | marked))
 
     key = ["mark", "mark2", "pos"]
     hits = own.select(*key, F.explode(grams_column(F.col("own"))).alias("gram")).join(F.broadcast(weight_rows), "gram")  # bounded by the templates
@@ -357,16 +364,23 @@ def scan(docs: DataFrame) -> DataFrame:
     e = F.transform("z", lambda v: F.exp(v - F.array_max("z")))
     scored = scored.select(*key, "own", e.alias("e")).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
     best = F.array_max(F.transform("e", lambda v, i: F.struct((v / F.col("total")).alias("score"), F.element_at(ranks, i + 1).alias("r"), F.element_at(names, i + 1).alias("family"))))
-    scored = scored.withColumn("b", best).select(*key, "own", "b.score", F.when(F.col("b.family").isin("unknown", "none") | (F.col("b.score") >= least), F.col("b.family")).otherwise("unknown").alias("family"))
+    scored = scored.withColumn("b", best).select(*key, "own", "b.score", "b.family")
     scored = stored(scored)
 
     named = scored.where(~F.col("family").isin("unknown", "none"))
     threes = F.array_distinct(F.when(F.size("own") >= 3, _runs(F.col("own"), 3)).otherwise(F.array(F.array_join("own", " "))))
     named = stored(named.select(*key, "family", F.array_join(F.array_sort(keys_column(F.col("own"))), " ").alias("keys"), threes.alias("threes")))
     parts = named.select(*key, "family", "keys", F.size("threes").alias("n"), F.explode("threes").alias("gram"))
-    agreed = parts.join(F.broadcast(template_rows), ["family", "keys", "gram"]).groupBy(*key, "template").agg((F.count("*") / F.least(F.max("n"), F.max("t_size"))).alias("share"))
-    agreed = agreed.groupBy(*key).agg(F.max("share").alias("share"))
-    judged = scored.join(agreed, key, "left").select(*key, "score", "family", F.coalesce(F.col("share") >= CONFIRM, F.lit(False)).alias("confirmed"))
+    agreed = parts.withColumnRenamed("keys", "own_keys").join(F.broadcast(template_rows), ["family", "gram"])
+    agreed = agreed.groupBy(*key, "template", (F.col("own_keys") == F.col("keys")).alias("alike")).agg((F.count("*") / F.least(F.max("n"), F.max("t_size"))).alias("share"))
+    agreed = agreed.groupBy(*key).agg(F.max(F.when(F.col("alike"), F.col("share"))).alias("sure"), F.max("share").alias("share"))
+    # a statement that names versions or restrictions which no template of the family has is about another licence
+    allowed = F.create_map(*(x for c, texts in CONFIRMING.items() for x in (F.lit(c), F.array(*map(F.lit, sorted(set().union(*(keys(words(t)) for t in texts)))) or [F.lit("")]))))
+    strange = named.select(*key, (F.size(F.array_except(F.split("keys", " "), F.concat(F.array(F.lit("")), F.element_at(allowed, F.col("family"))))) > 0).alias("strange"))
+    judged = scored.join(agreed, key, "left").join(strange, key, "left")
+    sure = F.coalesce(F.col("sure") >= CONFIRM, F.lit(False))
+    doubted = ~F.col("family").isin("unknown", "none") & (F.col("strange") | (F.coalesce("share", F.lit(0.0)) < AGREE) | (~sure & (F.col("score") < least)))
+    judged = judged.select(*key, "score", F.when(doubted, "unknown").otherwise(F.col("family")).alias("family"), (sure & ~doubted).alias("confirmed"))
 
     licence = F.col("family") != "none"
     order = F.struct(licence.cast("int").alias("l"), "score", (-F.col("pos")).alias("p"), "family", "confirmed")

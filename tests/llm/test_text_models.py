@@ -210,21 +210,25 @@ def plain_scan(text):
     found, candidates = [], 0
     for pos, p in enumerate(parts):
         own = license_scan.words(p)
-        if not license_scan.grams(own) & set(marks):
+        if not license_scan.grams(own) & set(marks) and not re.search(license_scan.SPEAKS_OF_RIGHTS, " ".join(own)):
             continue
         candidates += 1
         probability = license_scan.probabilities((classes, weights, bias), own)
         best = max(range(len(classes)), key=lambda k: (probability[k], -sorted(classes).index(classes[k])))
-        family = classes[best] if classes[best] in ("unknown", "none") or probability[best] >= least else "unknown"
+        family = classes[best]
         if family == "none":
             continue
         threes = lambda w: {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
-        mine, share = threes(own), 0.0
+        mine, sure, share, allowed = threes(own), 0.0, 0.0, set()
         for t in license_scan.CONFIRMING.get(family, ()):
             other = license_scan.words(t)
-            if license_scan.keys(other) == license_scan.keys(own):
-                share = max(share, len(mine & threes(other)) / min(len(mine), len(threes(other))))
-        found.append((float(probability[best]), -pos, family, share >= license_scan.CONFIRM))
+            allowed |= license_scan.keys(other)
+            same = len(mine & threes(other)) / min(len(mine), len(threes(other)))
+            share = max(share, same)
+            sure = max(sure, same) if license_scan.keys(other) == license_scan.keys(own) else sure
+        if family != "unknown" and (license_scan.keys(own) - allowed or share < license_scan.AGREE or sure < license_scan.CONFIRM and probability[best] < least):
+            family = "unknown"
+        found.append((float(probability[best]), -pos, family, family != "unknown" and sure >= license_scan.CONFIRM))
     best = max(found, default=(0.0, 0, "none", False))
     return len(parts), candidates, len(found), best[2], best[0], best[3]
 
@@ -249,6 +253,17 @@ def test_licence_families_and_wrapped_notices(spark):
     assert (rows[100]["n_paragraphs"], rows[100]["family"], rows[100]["confirmed"]) == (3, "mit", True)
 
 
+def test_licences_of_other_families_and_shared_paragraphs_are_unknown(spark):
+    """No family is named by what several families' texts share, by a version that it doesn't have, or by another licence beside it."""
+    other = [
+        *license_scan.SHARED, "Python Software Foundation License Version 2", "Mozilla Public License 1.1", "CC BY-SA 3.0", "Licensed under Apache-2.0 OR MIT", "Business Source License 1.1", "European Union Public Licence 1.2", "zlib License",
+    ]
+    ordinary = ["He keeps a licensed pub near the river.", "He lost his driving licence in 2019 after the trial.", "A copyright dispute between two film studios ended."]
+    rows = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame([*enumerate(other + ordinary)], "doc_id long, text string")).collect()}
+    assert [rows[i]["family"] for i in range(len(rows))] == ["unknown"] * len(other) + ["none"] * len(ordinary)
+    assert not any(r["confirmed"] for r in rows.values())
+
+
 def test_licence_query_equals_plain_scan(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     more = [*LICENCE_LINES, None, "", " \n\t\n ", "GNU General Public License version 3, or GPL 2", "Ties: All rights reserved.\nAll rights reserved."]
