@@ -56,7 +56,9 @@ def codes_of(signs: np.ndarray, tables: int, bits: int) -> np.ndarray:
 
 
 def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    """Vectors, each scaled by a power of two so that no square of a component overflows: that changes no cosine."""
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0.0))[1][:, None])
 
 
 def _coded(tables: int, bits: int):
@@ -160,11 +162,13 @@ def near_duplicate_vectors(rows: DataFrame, similarity: float = SIMILARITY) -> D
 
     Vectors link if their labels are equal and not null, their lengths equal, and their cosine in double precision is at
     least ``similarity``.  Null, empty and zero vectors and those with null, NaN or infinite components link with nothing,
-    count 0 links and are kept.  Rows that repeat a vec_id are vectors of their own.  A pair at the limit shares none of
+    count 0 links and are kept.  Components of doubles stay doubles.  Rows that repeat a vec_id are vectors of their own.  A pair at the limit shares none of
     the tables with a chance of MISSES at most.  An empty table gives an empty result; other columns are ignored.
     """
     v = F.col("embedding")
-    all_ = stored(rows.select(rows["vec_id"].cast("long").alias("vec_id"), rows["embedding"].cast("array<float>").alias("embedding"), rows["label"].cast("string").alias("label")))
+    kind = rows.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    all_ = stored(rows.select(rows["vec_id"].cast("long").alias("vec_id"), rows["embedding"].cast(kind).alias("embedding"), rows["label"].cast("string").alias("label")))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
     key = [F.xxhash64(v, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), v).alias("h2"), F.size(v).alias("dim"), F.col("label")]

@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweave.llm.common import byte_texts, carried, crc_mod, discard, id_and_text, row_texts, shared, slices, split_words, stored, table, tidy
+from feedweave.llm.minhash_dedup import near_duplicates
 
 TOXIC_DOCS, CLEAN_DOCS = 4000, 6000  # the bounds of the training sample, by label
+SAME_PERCENT = 80  # Jaccard similarity from which documents teach as one
 STEMS = range(4, 9)
 WINDOW = 6  # words on either side that tell quotation from abuse
 THRESHOLD = 0.7
@@ -45,11 +47,10 @@ def allowed_edits(term: str) -> int:
 
 
 def letter_counts(words: list[str]) -> np.ndarray:
-    """A row per word: how often it has each character, by code point modulo 61; at most 64 characters of it count."""
-    cut = [w[:64] for w in words]
-    points = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 61
-    owner = np.repeat(np.arange(len(cut)), np.fromiter(map(len, cut), np.int64, len(cut)))
-    return np.bincount(owner * 61 + points, minlength=61 * len(cut)).reshape(-1, 61).astype(np.int16)
+    """A row per word: how often it has each character, by code point modulo 61."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 61
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    return np.bincount(owner * 61 + points, minlength=61 * len(words)).reshape(-1, 61).astype(np.int32)
 
 
 class Lexicon:
@@ -98,9 +99,10 @@ class Lexicon:
         some = np.zeros(len(words), bool)
         for (at, size), texts in self.pieces.items():
             some |= self.holding(column, at, size, texts)
-        rows = np.flatnonzero(some)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        rows = np.flatnonzero(some & (lengths <= max(map(len, self.whole), default=0) + 2))
+        sizes = lengths[rows]
         counts = letter_counts([words[i] for i in rows.tolist()])
-        sizes = counts.sum(axis=1, dtype=np.int64)
         found = [np.zeros(0, np.int64)]
         for term, own in zip(self.whole, self.letters):
             k = allowed_edits(term)
@@ -299,7 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
     """Lexicon, rate of chance hits and weights from ``docs(doc_id, text)`` joined with ``labels(doc_id, toxic)``.
 
     Bounded: at most TOXIC_DOCS toxic and CLEAN_DOCS clean documents, chosen by a hash of their ids; term counts are summed
-    per batch before they are shuffled, and only terms that pass the significance bound reach the driver.  Null texts or labels teach nothing.
+    per batch before they are shuffled, and only terms that pass the significance bound reach the driver.  Null texts or labels teach nothing;
+    of documents that near_duplicates links (80 per cent of their word 5-grams in common) the one with the smallest id teaches alone, and
+    of rows that repeat an id the one whose text sorts last.
     """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(crc_mod(F.col("doc_id"), 3) != 1)
@@ -308,13 +312,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     sample = id_and_text(docs).join(F.broadcast(chosen), "doc_id")  # the bounded sample's ids
 
-    def marked(batches):
-        for batch in batches:
-            marks = [min((zlib.crc32(b" ".join(w[k : k + 3])) for w in [text.lower().split()] for k in range(max(1, len(w) - 2))), default=0) for text in byte_texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["text"], batch["toxic"], pa.array(marks, pa.int64())], names=["text", "toxic", "mark"])
-
-    # copies and near copies teach once: most of them share the smallest hash of their word 3-grams
-    single = sample.select("text", "toxic").mapInArrow(marked, "text string, toxic int, mark long").groupBy("mark").agg(F.min(F.struct("toxic", "text")).alias("m"))
+    # copies and near copies teach once, each group by its document with the smallest id
+    sample = stored(sample.select("doc_id", "text", "toxic"))
+    texts = sample.groupBy("doc_id").agg(F.max("text").alias("text"))
+    firsts = stored(near_duplicates(texts, percent=SAME_PERCENT).where("kept").select("doc_id"))
+    single = sample.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", "toxic")).alias("m"))
+    first = sample
     sample = stored(single.select("m.text", "m.toxic"))
 
     def count(batches):
@@ -349,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float, np.ndarray]
 
     fields = ", ".join(f"{k} double" for k in RAW)
     found = np.array(sorted(map(tuple, sample.select("text", "toxic").mapInArrow(tidy(measure), f"{fields}, kind int").collect())), np.float64).reshape(-1, len(RAW) + 1)
-    discard(sample, counts)
+    discard(first, firsts, sample, counts)
     raw, kind = found[:, :-1], found[:, -1]
     clean = raw[kind == 0]
     noise = float((clean[:, 4].sum() + 1) / (clean[:, 5].sum() + 1000))

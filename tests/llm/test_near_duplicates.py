@@ -163,6 +163,14 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_doubles_keep_their_precision_and_range(spark):
+    """Large doubles link as their cosines say; two vectors that floats would tell apart from nothing don't become copies."""
+    far = [1e200, 1e200, 0.0]
+    rows = [(1, far, 1), (2, [x * 1.001 for x in far], 1), (3, [1e-200, 1e-200, 0.0], 1), (4, [0.0, 0.0, 1e300], 1), (5, [1.0, 1.0, 1e-60], 1), (6, [0.0, 0.0, 1e-60], 1)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (1, 4), 5: (3, 1), 6: (1, 4)}
+
+
 def test_vectors_in_several_tiles(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(0, 1, 8)

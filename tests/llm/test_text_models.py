@@ -432,6 +432,33 @@ def test_terms_by_columns_equal_terms_by_lexicon(spark):
     assert {r["term"] for r in toxicity.clear_terms(counts, 60, 90, len(toxic)).collect()} == set(want) and want
 
 
+def test_long_terms_match_with_two_edits():
+    term = "".join(chr(97 + k * 7 % 26) for k in range(90))
+    lexicon = toxicity.Lexicon({term: 1.0}, {})
+    words = [term, term[:40] + term[41:], "x" + term + "y", term[:60], term + "abc", "q" * 70000]
+    assert sorted(lexicon.plausible(words)) == [0, 1, 2]
+    assert [lexicon.match(w) is not None for w in words[:5]] == [True, True, True, False, False]
+
+
+def test_near_copies_teach_once_and_strangers_that_share_a_phrase_each(spark):
+    """What the lexicon counts: documents, near copies as one, whatever phrase other texts have in common with them."""
+    shared = "in the end of the day "
+    filler = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    toxic = [shared + filler(k) + " grumblefink" for k in range(40)]
+    clean = [shared + filler(100 + k) for k in range(60)]
+    copies = [shared + filler(99) + f" clatterpot c{k}" for k in range(40)]
+    docs, labels, i = [], [], 0
+    for texts, y in ((toxic, 1), (clean, 0), (copies, 1)):
+        for text in texts:
+            while zlib.crc32(str(i).encode()) % 3 == 1:
+                i += 1
+            docs.append((i, text))
+            labels.append((i, y))
+            i += 1
+    lexicon, _, _ = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "grumblefink" in lexicon.weights and "clatterpot" not in lexicon.weights
+
+
 def test_misspellings_of_inflected_terms(spark):
     """A term that also occurs inflected is learned as a stem; its whole words stay targets of the automata."""
     docs, labels = labelled(60, 90, lambda k: [("idiot", "idiots", "scum", "scumbag")[k % 4]], [f"w{k}" for k in range(40)])
