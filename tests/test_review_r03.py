@@ -1,5 +1,7 @@
 """What the review of round 3 found: each case failed before."""
 
+from feedweave.operators import enrich
+from feedweave.operators.tables import stored
 from feedweave.plans import catalog
 from feedweave.sources import ingest
 
@@ -12,3 +14,14 @@ def test_centred_ties_go_to_the_first_event(spark, tmp_path):
 
 def test_references_end_with_a_semicolon():
     assert ingest.visible_text("<p>a&amp;&amp</p><p>b&quot; &copyx &#x27;&#x2 R&D</p>") == "a&&amp\nb\" &copyx '&#x2 R&D"
+
+
+def test_late_marks_take_no_rounds(spark, monkeypatch):
+    # texts of one beginning that differ at the end, so that each late one loses what all before it took
+    written = []
+    monkeypatch.setattr(enrich, "stored", lambda df: (written.append(1), stored(df))[1])
+    text = "A shared story about cats and dogs in town number "
+    posts = spark.createDataFrame([(0, i, i, f"{text}{i}", False) for i in range(8)], "session int, post_id int, seq int, text string, marked boolean")
+    late = spark.createDataFrame([(0, f"g{i}", -i, f"{text}{i} {'and more ' * (1 + i % 3)}") for i in range(9)], "session int, late_id string, seq int, text string")
+    assert sorted(map(tuple, enrich.late_marks(posts, late).collect())) == [(0, i, f"g{8 - i}") for i in range(8)]
+    assert len(written) < 8
