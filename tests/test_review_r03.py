@@ -25,3 +25,12 @@ def test_late_marks_take_no_rounds(spark, monkeypatch):
     late = spark.createDataFrame([(0, f"g{i}", -i, f"{text}{i} {'and more ' * (1 + i % 3)}") for i in range(9)], "session int, late_id string, seq int, text string")
     assert sorted(map(tuple, enrich.late_marks(posts, late).collect())) == [(0, i, f"g{8 - i}") for i in range(8)]
     assert len(written) < 8
+
+
+def test_shared_seeds_count_members_not_pairs(spark):
+    begun = "ashareddiscoveryaboutcatsanddogsintown"
+    posts = spark.createDataFrame([(i, f"{begun}{i}{'x' * 60}") for i in range(40)], "k long, t string")
+    network = spark.createDataFrame([(i, f"{begun}{i}{'y' * 60}") for i in range(40)], "n long, t string")
+    ours, theirs = enrich.sharing_seeds(posts, network)
+    assert ours.count() == theirs.count() == 80  # two nodes, one seed of either side; the pairs are 1,600
+    assert ours.select("node").distinct().count() == 2
