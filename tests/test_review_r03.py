@@ -34,3 +34,12 @@ def test_shared_seeds_count_members_not_pairs(spark):
     ours, theirs = enrich.sharing_seeds(posts, network)
     assert ours.count() == theirs.count() == 80  # two nodes, one seed of either side; the pairs are 1,600
     assert ours.select("node").distinct().count() == 2
+
+
+def test_fold_rules_split_a_text_once(spark):
+    posts = spark.createDataFrame([(1, "the the a of"), (2, "The of OF of of"), (3, "")], "post_id long, full_text string")
+    rules = spark.createDataFrame([(k, f"r{k}", w, t, True) for k, (w, t) in enumerate([("the", 0.2), ("of", 0.4), ("zz", 0.1)])], "ord int, rule_id string, keyword string, threshold double, enabled boolean")
+    found = enrich.folded(posts, rules)
+    assert sorted(map(tuple, found.collect())) == [(1, "r0", 1), (2, "r1", 1), (3, None, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" in plan  # words that no rule names are dropped in one pass, before the rules count
