@@ -20,6 +20,12 @@ DATE = "(?:[0-9]{1,2}月[0-9]{1,2}日|[0-9]+ ?(?:秒|分鐘|小時|天|週|月|
 CLOCK = "(?: ?(?:上午|下午)? ?[0-9]{1,2}:[0-9]{2})?"
 TIME_CHARS = "0-9年月日時小分秒上午下午"
 SEPARATORS = r"[\s·•:：-]"
+# Words without which the patterns above find nothing.
+VERIFIED_WORDS = ("已驗證", "已验证账号", "verified", "追蹤", "follow", "加入", "join", "關注")
+COMMENT_WORDS = ("查看更多留言", "顯示更多留言", "view more comment", "view previous comment")
+IMAGE_WORDS = tuple(IMAGE.split("|"))
+LABEL_WORDS = ("查看", "回答", "回覆", *IMAGE_WORDS, *EXPAND)
+CHROME_WORDS = (*COMMENT_WORDS, "你對這", "觀察", "判讀", "分析", "observation", "analysis", *LABEL_WORDS)
 
 
 def let(c: Column, f) -> Column:
@@ -28,7 +34,7 @@ def let(c: Column, f) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{T.WS}+|{T.WS}+\\z", "")
+    return F.btrim(c, F.lit(T.WS_CHARS))
 
 
 def plain(c: Column) -> Column:
@@ -58,15 +64,21 @@ def without_labels(c: Column) -> Column:
 
 def chrome(c: Column) -> Column:
     """A post's text on one line without the interface's labels: four passes, after which a text that still changes is left."""
-    out = plain(without_observations(without_comment_tail(c)))
-    for _ in range(4):
-        out = without_labels(out)
-    return out
+
+
+    def passes(x: Column) -> Column:
+        out = plain(without_observations(without_comment_tail(x)))
+        for _ in range(4):
+            out = let(out, lambda v: F.when(T.holds(v, LABEL_WORDS), without_labels(v)).otherwise(v))
+        return out
+
+    return let(c, lambda x: F.when(T.holds(x, CHROME_WORDS), passes(x)).otherwise(plain(x)))  # most texts hold no label
 
 
 def name_of(c: Column) -> Column:
     """A display name without marks of verification, up to its first separator."""
-    return T.squeeze(F.regexp_extract(F.regexp_replace(trimmed(c), rf"\s*(?:{VERIFIED})\s*", " "), "^[^·•─✓]*", 0))
+    bare = let(trimmed(c), lambda x: F.when(T.holds(x, VERIFIED_WORDS), F.regexp_replace(x, rf"\s*(?:{VERIFIED})\s*", " ")).otherwise(x))
+    return T.squeeze(F.regexp_extract(bare, "^[^·•─✓]*", 0))
 
 
 def is_line_of(line: Column, name: Column) -> Column:
@@ -150,8 +162,8 @@ def without_identity(c: Column, author: Column, source: Column, inline: bool = T
         whole = lambda e: F.when(e["done"], trimmed(F.array_join(F.concat(F.array(e["text"]), F.slice(lines, e["at"] + 2, F.size(lines))), "\n"))).otherwise("")
         return F.when((F.length(where) < 2) & (who == ""), trimmed(F.array_join(lines, "\n"))).otherwise(let(end, whole))
 
-    bound = F.struct(F.split(c, "\r?\n").alias("lines"), F.coalesce(name_of(author), F.lit("")).alias("who"), F.coalesce(name_of(source), F.lit("")).alias("where"))
-    return F.when(c.isNotNull(), let(bound, cut))
+    bound = lambda x: F.struct(F.split(x, "\r?\n").alias("lines"), F.coalesce(name_of(author), F.lit("")).alias("who"), F.coalesce(name_of(source), F.lit("")).alias("where"))
+    return let(c, lambda x: F.when(x.isNotNull(), let(bound(x), cut)))
 
 
 def without_shared_identity(c: Column, author: Column, source: Column) -> Column:
@@ -219,7 +231,7 @@ def without_attribution(c: Column, author: Column, source: Column) -> Column:
     who, where = F.coalesce(name_of(author), F.lit("")), F.coalesce(name_of(source), F.lit(""))
     known = lambda tail: ((where != "") & F.contains(tail, where)) | ((who != "") & F.contains(tail, who))
     fits = let(name_of(F.regexp_extract(c, form, 1)), lambda tail: known(tail) & tail.rlike(f"(?i){DATE}\\z"))
-    return F.when(c.rlike(form) & fits, trimmed(F.regexp_replace(c, form, ""))).otherwise(c)
+    return F.when(F.contains(c, F.lit("來源：")) & c.rlike(form) & fits, trimmed(F.regexp_replace(c, form, ""))).otherwise(c)
 
 
 def authored(c: Column, author: Column, source: Column) -> Column:
@@ -250,10 +262,16 @@ def image_parts(c: Column) -> Column:
 
         return step
 
-    for form, group, left, lettered in PASSES:
-        state = let(state, run(form, group, left, lettered))
+    def passes(v: Column) -> Column:
+        out = v
+        for form, group, left, lettered in PASSES:
+            out = let(out, run(form, group, left, lettered))
+        return F.when(F.contains(v["rest"], F.lit("可能是")) | F.contains(v["rest"], F.lit("「")), out).otherwise(v)
+
+    state = let(state, passes)
     last = rf"(?:^|\s)(?:的\s*)?(?:{IMAGE})(?=\z|[。.!！?？\s])"
-    return let(state, lambda v: F.struct(chrome(F.regexp_replace(v["rest"], last, " ")).alias("body"), F.array_distinct(v["texts"]).alias("image_texts"), F.array_except(F.array_distinct(v["alts"]), v["texts"]).alias("image_alts")))
+    rest = lambda x: F.when(T.holds(x, IMAGE_WORDS), F.regexp_replace(x, last, " ")).otherwise(x)
+    return let(state, lambda v: F.struct(chrome(rest(v["rest"])).alias("body"), F.array_distinct(v["texts"]).alias("image_texts"), F.array_except(F.array_distinct(v["alts"]), v["texts"]).alias("image_alts")))
 
 
 def without_reference(body: Column, reference: Column) -> Column:
@@ -290,11 +308,11 @@ def is_byline(c: Column) -> Column:
     return let(F.regexp_replace(plain(c), "[·•]", " "), judged)
 
 
-def is_useful_reference(c: Column) -> Column:
-    """A text worth showing as what was shared: long enough, no time, date, byline or missing caption."""
+def is_useful_reference(c: Column, least: int = 6) -> Column:
+    """A text worth showing as what was shared: ``least`` characters or three Han signs long, no time, date, byline or missing caption."""
     text = plain(F.coalesce(c, F.lit("")))
     dated = text.rlike(r"(?i)^[0-9]{1,2}月[0-9]{1,2}日(?:\s*(?:上午|下午)?\s*[0-9]{1,2}:[0-9]{2})?\z")
-    return ~((F.length(text) < 6) & (han(text) < 3)) & ~text.rlike(TIME_WORD) & ~dated & ~is_byline(text) & ~text.rlike(NO_CAPTION)
+    return ~((F.length(text) < least) & (han(text) < 3)) & ~text.rlike(TIME_WORD) & ~dated & ~is_byline(text) & ~text.rlike(NO_CAPTION)
 
 
 def is_scrambled(c: Column) -> Column:
