@@ -17,7 +17,7 @@ NAMED = "(t = {0} or starts_with(t, {0} || ' ·'))"
   and not regexp_matches(t, '{assembly.NO_MESSAGE}') and not regexp_matches(t, '{assembly.PICTURE_LABEL}') and not regexp_matches(t, '{assembly.BARE_URL}') and not {NAMED.format("author_name")} group by 1""", "blocks_v")
 def primary_messages(spark, sf_dir):
     """The message of each post: the first of its blocks that can be one."""
-    return assembly.primary_message(view(spark, sf_dir, "blocks_v"))
+    return assembly.primary_message(view(spark, sf_dir, "blocks_v", spread="doc_id"))
 
 
 @query("""select post_id, k is not null as split, array_to_string(l[1:k - 1], chr(10)) as sharer_text, case when k is not null then case when l[k] = author or starts_with(l[k], author || ' ·') then author else other end end as original_author, array_to_string(l[k + 1:], chr(10)) as original_text from (
@@ -45,7 +45,7 @@ OWN = "(contains(href, '//www.facebook.com/') or starts_with(href, '/'))"
     lateral (select unnest(range(1, len(u) + 1)) as j) where fits)) where r = 1 group by 1""", "attached_v")
 def attachment_lines(spark, sf_dir):
     """What a post attaches, in up to three lines of its links."""
-    return assembly.attachments(view(spark, sf_dir, "attached_v"))
+    return assembly.attachments(view(spark, sf_dir, "attached_v", spread="doc_id"))
 
 
 SPLIT = "case when not quiet and starts_with(whole, 'said of it' || chr(10)) and list_contains(reshare_authors, 'Page A') then 'Page A' end"
@@ -68,4 +68,4 @@ def low(x: str) -> str:
             recommended and not (coalesce(gql_sponsored, false) or marked_sponsored or known_sponsored) as is_recommended, recommended and not (coalesce(gql_sponsored, false) or marked_sponsored or known_sponsored) and not coalesce(gql_type = 'reshare', false) as quiet from assembly_v)))))""", "assembly_v")
 def posts_assembled(spark, sf_dir):
     """Posts from what the page shows and what the network says of them."""
-    return assembly.assembled(view(spark, sf_dir, "assembly_v"))
+    return assembly.assembled(view(spark, sf_dir, "assembly_v", spread="doc_id"))
