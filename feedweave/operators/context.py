@@ -11,14 +11,14 @@ from feedweave.functions.context import COMMENT, NO_COMMENT, ORIGINAL, SHARED, S
 INPUTS = ("text", "full_text", "author_name", "source_name", "post_type", "content_kind", "shared_attachment", "reshare_text", "reshare_author")
 
 
-def with_context(posts: DataFrame) -> DataFrame:
+def with_context(posts: DataFrame, least: int = 6) -> DataFrame:
     """``posts`` with the columns INPUTS (strings, null or empty where unknown) and, behind all its own, the struct ``context``.
 
     The struct holds is_share, author_name, original_author, own_text, sharer_comment, shared_content, link_preview, image_texts
     and image_alts.  A share is what its kind or type says, or what holds a shared text.  The shared text is the given one, the
     text of a share without comment, or the section of a serialised one; a byline in its place gives way to the visible text.
     Names, times and labels are cleaned off; what is quoted from the shared text or the preview is taken out of a person's own
-    words; a preview that says nothing new is left out.
+    words; a preview that says nothing new is left out.  A shared text shorter than ``least`` characters isn't shown.
     """
     c = F.col
     text, full, kind = F.coalesce("text", F.lit("")), F.coalesce("full_text", F.lit("")), F.coalesce("content_kind", F.lit(""))
@@ -39,7 +39,7 @@ def with_context(posts: DataFrame) -> DataFrame:
     })
     stage = stage.withColumns({k: C.without_shared_identity(c(k), c("_whose"), source) for k in ("_a", "_b")})
     stage = stage.withColumns({"_pa": C.image_parts(c("_a")), "_pb": C.image_parts(c("_b"))})
-    useful = lambda t, p: C.is_useful_reference(c(t)) & C.is_useful_reference(c(p)["body"])
+    useful = lambda t, p: C.is_useful_reference(c(t), least) & C.is_useful_reference(c(p)["body"], least)
     stage = stage.withColumns({"_ua": useful("_a", "_pa"), "_ub": c("_b").isNotNull() & useful("_b", "_pb")})
     stage = stage.withColumn("_swap", ~c("_ua") & c("_ub"))
     pick = lambda a, b: F.when(c("_swap"), c(b)).otherwise(c(a))

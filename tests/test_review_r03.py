@@ -1,5 +1,8 @@
 """What the review of round 3 found: each case failed before."""
 
+from pyspark.sql import functions as F
+
+from feedweave.functions import clean, rules, text
 from feedweave.operators import enrich
 from feedweave.operators.tables import stored
 from feedweave.plans import catalog
@@ -43,3 +46,24 @@ def test_fold_rules_split_a_text_once(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "r0", 1), (2, "r1", 1), (3, None, 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" in plan  # words that no rule names are dropped in one pass, before the rules count
+
+
+def test_short_shares_are_shown(spark, tmp_path):
+    spark.createDataFrame([(8352, "Avec.", "fr", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["shared_content"] for r in catalog.QUERIES["structured_context"](spark, str(tmp_path)).collect()] == ["Avec."]
+    assert [(r["kind"], r["text"]) for r in catalog.QUERIES["context_segments"](spark, str(tmp_path)).collect()] == [("shared_content", "Avec.")]
+
+
+def test_costly_texts_are_spread_over_tasks(spark):
+    for name in ("authored_clean", "image_split", "primary_messages", "attachment_lines", "posts_assembled"):
+        assert "RepartitionByExpression" in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_cheap_tests_let_every_label_through(spark):
+    labels = [x.swapcase() for x in clean.EXPAND] + ["x 查看更多留言 y", "x VIEW previous comment y", "你對這篇貼文有興趣嗎？", "AI image ANALYSIS: cat", "回答", "照片"]
+    rows = spark.createDataFrame([(x,) for x in labels], "t string").select(F.concat(F.lit("a b　　c \n"), "t").alias("t"))
+    assert {r[0] for r in rows.select(clean.chrome(F.col("t"))).collect()} <= {"a b c", "a b c x"}
+    odd = spark.createDataFrame([("  a \t b 😀﻿\n",), ("",), (None,)], "t string")
+    assert [tuple(r) for r in odd.select(text.squeeze("t"), text.units(F.col("t")), clean.trimmed(F.col("t"))).collect()] == [("a b 😀", 12, "a \t b 😀"), ("", 0, ""), (None, None, None)]
+    noisy = spark.createDataFrame([("A line 已編輯 SHARED with public\nfacebook of more than twenty letters\n5h\nlike\nto\nxq\nB",), ("Facebook Facebook Facebook words\nan ending",)], "t string")
+    assert [r[0] for r in noisy.select(rules.cleaned_lines(F.col("t"))).collect()] == ["A line\nto", "words\nan ending"]
