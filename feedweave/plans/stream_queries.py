@@ -10,12 +10,13 @@ from feedweave.streaming import arrivals, timers
 from feedweave.streaming.posts import drained
 
 SLICES = 3
+MOST = 1_000_000  # events in a slice where few keys hold all of them
 CLOSING = {"event_id": -1, "user_id": -1, "event_type": "closing"}
 
 
-def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _arriving(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return arrivals.arriving(arrivals.shuffled(events, SLICES), CLOSING)
+    return arrivals.arriving(arrivals.shuffled(events, SLICES, most=most), CLOSING)
 
 
 def runs(key: str, on: str, seconds: int, pick: str) -> str:
@@ -60,7 +61,7 @@ def stream_late_marks(spark, sf_dir):
   union all select m.tab, p.event_id, m.event_id, m.members from c m join c p on p.tab = m.tab and not p.joins and p.posts <= m.posts and p.posts > m.posts - 200 and (p.ts, p.event_id) < (m.ts, m.event_id) where m.joins""")
 def stream_replay(spark, sf_dir):
     """What subscribers that join late get of the last 200 posts of their tab, and how many hear each post as it comes."""
-    rows = _arriving(spark, sf_dir).withColumn("tab", F.col("user_id") % 4).withColumn("joins", F.col("event_id") % 83 == 0)
+    rows = _arriving(spark, sf_dir, MOST).withColumn("tab", F.col("user_id") % 4).withColumn("joins", F.col("event_id") % 83 == 0)
     return drained(timers.replayed(rows, "tab", "event_id", "joins", 200), "append").where("post >= 0")
 
 
@@ -71,5 +72,5 @@ def stream_replay(spark, sf_dir):
   select event_type, event_id, item, len(items)::int as held, dropped from s where k > 0""".replace("with recursive", "select * from (with recursive", 1) + ")")
 def stream_capture_ring(spark, sf_dir):
     """A buffer of 60 items for each kind of event, also where an item that was dropped returns."""
-    rows = _arriving(spark, sf_dir).withColumn("item", (F.col("user_id") * 7) % 90)
+    rows = _arriving(spark, sf_dir, MOST).withColumn("item", (F.col("user_id") * 7) % 90)
     return drained(timers.ring(rows, "event_type", "event_id", "item", 60), "append").where("event_id >= 0")

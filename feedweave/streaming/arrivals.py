@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from feedweave.operators.tables import shared_folder
 
@@ -28,13 +29,28 @@ def arriving(slices: Iterable[DataFrame], closing: dict, late: str = "10 minutes
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slice=*").withWatermark("ts", late)
 
 
-def shuffled(events: DataFrame, slices: int, late_seconds: int = 600) -> list[DataFrame]:
-    """``events(event_id, ts, …)`` by time of arrival, which is up to ``late_seconds`` after their own, in slices of equal time."""
+def shuffled(events: DataFrame, slices: int, late_seconds: int = 600, most: int | None = None) -> list[DataFrame]:
+    """``events(event_id, ts, …)`` by time of arrival, which is up to ``late_seconds`` after their own, in slices of equal time.
+
+    With ``most``, more events than ``slices`` times as many come in more slices, of about ``most`` rows each: what waits of a key is no more.
+    """
     came = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(late_seconds * 1_000_000))
-    bounds = events.agg(F.min(came).alias("a"), F.max(came).alias("b")).first()
+    bounds = events.agg(F.min(came).alias("a"), F.max(came).alias("b"), F.count("*").alias("n")).first()
     if bounds["a"] is None:
         return [events]
+    if most and bounds["n"] > slices * most:
+        return _filled(events, came, -(-bounds["n"] // most))
     span = (bounds["b"] - bounds["a"]) // slices + 1
     return [events.where(F.floor((came - bounds["a"]) / span) == i) for i in range(slices)]
 
 
+def _filled(events: DataFrame, came: Column, slices: int) -> list[DataFrame]:
+    """``events`` by ``came`` in ``slices`` of about equal size, written at once so that each is read by itself."""
+    cuts = events.agg(F.percentile_approx(came, [i / slices for i in range(1, slices)], 100 * slices)).first()[0]
+    part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(cuts)))), lambda x: x <= came))
+    folder = shared_folder(events.sparkSession)
+    events.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(folder)
+    found = events.sparkSession.read.schema(StructType([*events.schema.fields, StructField("part", IntegerType())])).parquet(folder)
+    return [found.where(F.col("part") == i).drop("part") for i in range(len(set(cuts)) + 1)]
+
+

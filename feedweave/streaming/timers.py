@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 Rows = list[tuple]
+PART = 10_000  # rows handed to a step at a time
 
 
 class InOrder(StatefulProcessor):
     """Takes a key's rows in order once they are complete, and wakes up again when the step asks for it.
 
     ``step(state, rows, now)`` gets the key's state, its new rows ``(us, id, …)`` in order and the watermark in microseconds; it returns the new state,
-    the rows to give out, without the key, and the microsecond at which it wants to be asked again, or None.
+    the rows to give out, without the key, and the microsecond at which it wants to be asked again, or None.  Many rows come in parts, each with
+    the time of its last row as ``now`` but the last: what is given out for one is gone before the next.
     """
 
     def __init__(self, columns: list[str], kinds: str, out: list[str], state: str, start: tuple, step: Callable[[tuple, Rows, int], tuple[tuple, Rows, int | None]]):
@@ -34,8 +36,8 @@ class InOrder(StatefulProcessor):
         latest = None
         for part in rows:
             if len(part):
-                values = zip(*(part[c].tolist() for c in self.columns))
-                self.waiting.appendList([tuple(None if pd.isna(x) else x for x in r) for r in values])
+                values = [part[c].tolist() if not part[c].hasnans else [None if pd.isna(x) else x for x in part[c].tolist()] for c in self.columns]
+                self.waiting.appendList(list(zip(*values)))
                 latest = max(latest or 0, int(part["us"].max()))
         if latest is not None:
             self.handle.registerTimer(-(-latest // 1000))
@@ -49,13 +51,16 @@ class InOrder(StatefulProcessor):
             self.waiting.put(rest)
         else:
             self.waiting.clear()
-        state = tuple(self.state.get()) if self.state.exists() else self.start
-        state, found, wake = self.step(state, ready, now)
+        known = self.state.get()
+        state, wake = self.start if known is None else tuple(known), None
+        for at in range(0, max(len(ready), 1), PART):
+            part = ready[at : at + PART]
+            state, found, wake = self.step(state, part, now if at + PART >= len(ready) else part[-1][0])
+            if found:
+                yield pd.DataFrame([(key[0], *r) for r in found], columns=self.out)
         self.state.update(state)
         if wake is not None:
             self.handle.registerTimer(max(-(-wake // 1000), now // 1000 + 1))
-        if found:
-            yield pd.DataFrame([(key[0], *r) for r in found], columns=self.out)
 
     def close(self) -> None:
         pass

@@ -7,6 +7,7 @@ from feedweave.operators import enrich
 from feedweave.operators.tables import stored
 from feedweave.plans import catalog
 from feedweave.sources import ingest
+from feedweave.streaming import arrivals, timers
 
 
 def test_centred_ties_go_to_the_first_event(spark, tmp_path):
@@ -67,3 +68,37 @@ def test_cheap_tests_let_every_label_through(spark):
     assert [tuple(r) for r in odd.select(text.squeeze("t"), text.units(F.col("t")), clean.trimmed(F.col("t"))).collect()] == [("a b 😀", 12, "a \t b 😀"), ("", 0, ""), (None, None, None)]
     noisy = spark.createDataFrame([("A line 已編輯 SHARED with public\nfacebook of more than twenty letters\n5h\nlike\nto\nxq\nB",), ("Facebook Facebook Facebook words\nan ending",)], "t string")
     assert [r[0] for r in noisy.select(rules.cleaned_lines(F.col("t"))).collect()] == ["A line\nto", "words\nan ending"]
+
+
+def test_slices_are_bounded_and_in_order(spark):
+    rows = spark.range(0, 900).selectExpr("id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * id) as ts")
+    slices = [[r["event_id"] for r in s.collect()] for s in arrivals.shuffled(rows, 3, most=100)]
+    assert sorted(x for s in slices for x in s) == list(range(900)) and max(map(len, slices)) <= 150
+    assert [len(s.collect()) for s in arrivals.shuffled(rows, 3, most=300)] == [len(s.collect()) for s in arrivals.shuffled(rows, 3)]
+
+
+def test_a_step_takes_rows_in_parts():
+    class Held:
+        def __init__(self, v):
+            self.v = v
+
+        def get(self):
+            return self.v
+
+        def clear(self):
+            pass
+
+        def update(self, v):
+            self.v = v
+
+    seen = []
+
+    def step(state, rows, now):
+        seen.append((len(rows), now))
+        return (state[0] + len(rows),), [(r[1],) for r in rows], None
+
+    p = timers.InOrder(["us", "oid"], "", ["k", "oid"], "", (0,), step)
+    p.waiting, p.state = Held([(i, i) for i in reversed(range(timers.PART + 5))]), Held(None)
+    values = type("V", (), {"getCurrentWatermarkInMs": lambda self: 1_000_000})()
+    assert [[tuple(r) for r in d.itertuples(index=False)] for d in p.handleExpiredTimer((7,), values, None)] == [[(7, i) for i in range(timers.PART)], [(7, i) for i in range(timers.PART, timers.PART + 5)]]
+    assert seen == [(timers.PART, timers.PART - 1), (5, 10**9)] and p.state.v == (timers.PART + 5,)
