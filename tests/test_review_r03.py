@@ -6,7 +6,7 @@ from feedweave.functions import clean, rules, text
 from feedweave.operators import enrich
 from feedweave.operators.tables import stored
 from feedweave.plans import catalog
-from feedweave.sources import ingest
+from feedweave.sources import ingest, nested
 from feedweave.streaming import arrivals, timers
 
 
@@ -102,3 +102,10 @@ def test_a_step_takes_rows_in_parts():
     values = type("V", (), {"getCurrentWatermarkInMs": lambda self: 1_000_000})()
     assert [[tuple(r) for r in d.itertuples(index=False)] for d in p.handleExpiredTimer((7,), values, None)] == [[(7, i) for i in range(timers.PART)], [(7, i) for i in range(timers.PART, timers.PART + 5)]]
     assert seen == [(timers.PART, timers.PART - 1), (5, 10**9)] and p.state.v == (timers.PART + 5,)
+
+
+def test_walk_writes_only_what_it_needs(spark):
+    roots = spark.sql("""select 1 as id, parse_json('{"a":{"b":{"c":{"d":{"ad_id":"9","x":"words"}}}},"y":"more words"}') as value""")
+    rows = nested.descended(roots, 15, lambda key, value: key == "ad_id")
+    assert [sorted(r["key"] for r in x.collect()) for x in rows] == [["d"], ["ad_id"]]
+    assert [r["id"] for r in nested.signalled(roots).collect()] == [1]
