@@ -1,5 +1,6 @@
 """What the review of round 3 found: each case failed before."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from feedweave.functions import clean, rules, text
@@ -8,6 +9,7 @@ from feedweave.operators.tables import stored
 from feedweave.plans import catalog
 from feedweave.sources import ingest, nested
 from feedweave.streaming import arrivals, timers
+from feedweave.streaming.posts import drained
 
 
 def test_centred_ties_go_to_the_first_event(spark, tmp_path):
@@ -104,6 +106,96 @@ def test_a_step_takes_rows_in_parts():
     assert seen == [(timers.PART, timers.PART - 1), (5, 10**9)] and p.state.v == (timers.PART + 5,)
 
 
+class Kept:
+    """State of a processor, by name, with its timers and the calls that it took."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = {}, set(), 0
+
+    def getListState(self, name, shape):
+        return Kept.One(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+    class One:
+        def __init__(self, kept, name):
+            self.kept, self.name = kept, name
+
+        def get(self):
+            self.kept.calls += 1
+            return self.kept.held.get(self.name, [] if self.name == "waiting" else None)
+
+        def put(self, value):
+            self.kept.calls += 1
+            self.kept.held[self.name] = value
+
+        update = put
+
+        def appendValue(self, value):
+            self.put([*self.get(), value])
+
+        def clear(self):
+            self.kept.calls += 1
+            self.kept.held.pop(self.name, None)
+
+
+def waits_together(kept, rows, ms, wait_us=100_000):
+    """What a group of keys gives out when ``rows`` have come and the watermark stands at ``ms``."""
+    p = timers.Together("k", ["us", "oid", "on"], ["k", "oid", "fired_us"], (None, None, False, False), timers.settled(wait_us, False, False))
+    p.init(kept)
+    values, found = type("V", (), {"getCurrentWatermarkInMs": lambda self: ms})(), []
+    if rows:
+        assert list(p.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["k", "us", "oid", "on"])]), values)) == []
+    for due in sorted(t for t in kept.timers if t <= ms):
+        for d in p.handleExpiredTimer((0,), values, None):
+            found += map(tuple, d.itertuples(index=False))
+        kept.timers.remove(due)
+    return sorted(found)
+
+
+def test_keys_of_a_group_share_their_calls():
+    def calls(keys):
+        kept = Kept()
+        waits_together(kept, [(f"k{k}", k, k, True) for k in range(keys)], 0)
+        assert kept.timers == {1}  # of the row that the watermark has not passed
+        assert waits_together(kept, [], 50) == [] and kept.timers == {100}  # the first wait ends at 100 ms
+        assert waits_together(kept, [("k1", 60_000, 9999, False)], 99) == []
+        assert waits_together(kept, [], 400) == [(f"k{k}", k, k + 100_000) for k in sorted(range(keys), key=lambda k: f"k{k}") if k != 1]
+        assert kept.timers == set()
+        return kept.calls
+
+    assert calls(2000) == calls(3)
+
+
+def test_a_group_takes_rows_in_order_and_parts(monkeypatch):
+    monkeypatch.setattr(timers, "PART", 3)
+    kept = Kept()
+    assert waits_together(kept, [(7, 30_000, 3, True), (8, 10_000, None, True), (7, 10_000, 1, True), (7, 20_000, 2, False)], 5) == []
+    # key 7 comes in two parts, its second row of the same time after the first; what is beyond 40 ms stays
+    assert waits_together(kept, [(7, 20_000, 4, True), (7, 40_001, 5, False), (8, 10_000, 2**60 + 1, False)], 40) == []
+    assert kept.timers == {41}
+    assert waits_together(kept, [], 1000) == [(8, None, 110_000)]
+    assert kept.timers == set()
+
+
+def test_many_keys_wait_in_few_groups(spark, monkeypatch):
+    monkeypatch.setattr(timers, "GROUPS", 2, raising=False)
+    rows = spark.range(0, 900).selectExpr("cast(id % 300 as int) as k", "id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 10) as ts", "id % 300 < 100 or id < 300 as on")
+    stream = timers.waited(arrivals.arriving([rows.where(f"event_id % 300 {c} 150") for c in ("<", ">=")], {"k": -1, "event_id": -1, "on": False}, "3 hours"), "k", "event_id", "on", 3001)
+    found = drained(stream, "append").where("event_id >= 0")
+    assert sorted(r["event_id"] for r in found.collect()) == list(range(100))  # the others are ended by a row 3,000 seconds after
+    found = drained(timers.waited(arrivals.arriving([rows], {"k": -1, "event_id": -1, "on": False}), "k", "event_id", "on", 3000), "append")
+    assert found.where("event_id >= 0").count() == 300 and max(found.state_rows) <= 10  # one for each key before
+
+
 def test_walk_writes_only_what_it_needs(spark):
     roots = spark.sql("""select 1 as id, parse_json('{"a":{"b":{"c":{"d":{"ad_id":"9","x":"words"}}}},"y":"more words"}') as value""")
     rows = nested.descended(roots, 15, lambda key, value: key == "ad_id")
