@@ -147,9 +147,9 @@ class Kept:
             self.kept.held.pop(self.name, None)
 
 
-def waits_together(kept, rows, ms, wait_us=100_000):
+def waits_together(kept, rows, ms, wait_us=100_000, restart=False):
     """What a group of keys gives out when ``rows`` have come and the watermark stands at ``ms``."""
-    p = timers.Together("k", ["us", "oid", "on"], ["k", "oid", "fired_us"], (None, None, False, False), timers.settled(wait_us, False, False))
+    p = timers.Together("k", ["us", "oid", "on"], ["k", "oid", "fired_us"], (None, None, False, False), timers.settled(wait_us, restart, False))
     p.init(kept)
     values, found = type("V", (), {"getCurrentWatermarkInMs": lambda self: ms})(), []
     if rows:
@@ -186,6 +186,14 @@ def test_a_group_takes_rows_in_order_and_parts(monkeypatch):
     assert kept.timers == set()
 
 
+def test_a_group_debounces_each_key_by_itself():
+    kept = Kept()
+    rows = [(k, 1000 * k + i * gap, 10 * k + i, True) for k, gap in ((1, 99_999), (2, 100_000), (3, 250_000)) for i in range(3)]
+    assert waits_together(kept, rows, 103, 100_000, True) == [(2, 20, 102_000), (3, 30, 103_000)]
+    assert waits_together(kept, [], 1000, 100_000, True) == [(1, 12, 300_998), (2, 21, 202_000), (2, 22, 302_000), (3, 31, 353_000), (3, 32, 603_000)]
+    assert kept.timers == set()
+
+
 def test_many_keys_wait_in_few_groups(spark, monkeypatch):
     monkeypatch.setattr(timers, "GROUPS", 2, raising=False)
     rows = spark.range(0, 900).selectExpr("cast(id % 300 as int) as k", "id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 10) as ts", "id % 300 < 100 or id < 300 as on")
