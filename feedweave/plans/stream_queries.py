@@ -11,12 +11,14 @@ from feedweave.streaming.posts import drained
 
 SLICES = 3
 MOST = 1_000_000  # events in a slice where few keys hold all of them
+FILE = 100_000  # events that are worth a file, and a task, of their own
 CLOSING = {"event_id": -1, "user_id": -1, "event_type": "closing"}
 
 
 def _arriving(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return arrivals.arriving(arrivals.shuffled(events, SLICES, most=most), CLOSING)
+    files = 1 if most else min(spark.sparkContext.defaultParallelism, events.count() // SLICES // FILE)
+    return arrivals.arriving(arrivals.shuffled(events, SLICES, most=most), CLOSING, files=files)
 
 
 def runs(key: str, on: str, seconds: int, pick: str) -> str:

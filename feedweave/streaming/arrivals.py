@@ -13,20 +13,33 @@ from feedweave.operators.tables import shared_folder
 CLOSING = "2200-01-01 00:00:00"
 
 
-def arriving(slices: Iterable[DataFrame], closing: dict, late: str = "10 minutes") -> DataFrame:
+def arriving(slices: Iterable[DataFrame], closing: dict, late: str = "10 minutes", files: int = 1) -> DataFrame:
     """A stream of ``slices``, one in each trigger, its column ``ts`` as event time with a watermark of ``late``.
 
     ``closing`` names the values of the last row, whose time lies beyond all others: it moves the watermark past everything, so that what waits
     for time to pass is given out.  Give it a key of its own, not null: filters on the key are applied before the watermark sees a row.
+
+    The source counts files, so each slice is written in just as many: in ``files``, by as many tasks, or, if one is too small for that, all in one.
     """
     slices = [s.withColumn("ts", F.col("ts").cast("timestamp")) for s in slices]
     spark, schema = slices[0].sparkSession, slices[0].schema
-    folder = shared_folder(spark)
     last = spark.createDataFrame([Row(**{f.name: closing.get(f.name) for f in schema.fields if f.name != "ts"})], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields if f.name != "ts"))
     last = last.withColumn("ts", F.lit(CLOSING).cast("timestamp")).select(*(f.name for f in schema.fields))
-    for i, rows in enumerate([*slices, last]):
-        rows.coalesce(1).write.parquet(f"{folder}/slice={i}")  # one file after the other: the source takes them by age
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slice=*").withWatermark("ts", late)
+    folder = _written(slices, files) if files > 1 else None
+    if folder is None:
+        folder, files = _written(slices, 1), 1
+    last.coalesce(1).write.parquet(f"{folder}/slice={len(slices)}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/slice=*").withWatermark("ts", late)
+
+
+def _written(slices: list[DataFrame], files: int) -> str | None:
+    """The folder with each slice in ``files`` files; None if one of them fills fewer."""
+    spark, folder = slices[0].sparkSession, shared_folder(slices[0].sparkSession)
+    for i, rows in enumerate(slices):  # one slice after the other: the source takes files by age
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.parquet(f"{folder}/slice={i}")
+        if files > 1 and len(spark.read.schema(rows.schema).parquet(f"{folder}/slice={i}").inputFiles()) != files:
+            return None
+    return folder
 
 
 def shuffled(events: DataFrame, slices: int, late_seconds: int = 600, most: int | None = None) -> list[DataFrame]:

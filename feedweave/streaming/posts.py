@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from feedweave.operators.tables import shared_folder
 
+LEAST_STATES = 32
+
 
 def timed(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Event time as a timestamp with a watermark: ``timestamp_ntz`` can't carry one."""
@@ -26,6 +28,14 @@ def once(events: DataFrame, key: list[str], late: str = "10 minutes") -> DataFra
     return timed(events, late).dropDuplicatesWithinWatermark(key)
 
 
+def states(spark: SparkSession) -> int:
+    """Parts of a stream's state: what is set for shuffles, but no more than keep all cores at work.
+
+    Each costs a task in each trigger, with a store to open and to commit and often a Python worker, about half a second without any row.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_STATES, 4 * spark.sparkContext.defaultParallelism))
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """All that a bounded stream gives out, batch by batch in Parquet in the shared folder; of a complete mode, the last batch."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
@@ -33,13 +43,16 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")  # a batch that is repeated writes the same folder
 
-    name = "spark.sql.streaming.stateStore.providerClass"  # keyed state with timers needs this store; it keeps large state off the heap
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # keyed state with timers needs this store; it keeps large state off the heap
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": str(states(spark))}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     running.awaitTermination()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):

@@ -1,5 +1,7 @@
 """What the review of round 3 found: each case failed before."""
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -79,6 +81,39 @@ def test_slices_are_bounded_and_in_order(spark):
     assert [len(s.collect()) for s in arrivals.shuffled(rows, 3, most=300)] == [len(s.collect()) for s in arrivals.shuffled(rows, 3)]
 
 
+def test_a_slice_is_many_files_and_one_trigger(spark):
+    def triggers(*slices):
+        rows = spark.range(0, 900).selectExpr("id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) as ts")
+        stream = arrivals.arriving([rows.where(f"event_id between {a} and {b}") for a, b in slices], {"event_id": -1}, files=3)
+        found = drained(stream.select("event_id", F.input_file_name().alias("file")), "append").select("event_id", "file", F.input_file_name().alias("batch")).collect()
+        taken = {}
+        for r in found:
+            ids, files = taken.setdefault(int(r["batch"].split("batch=")[1].split("/")[0]), ([], set()))
+            ids.append(r["event_id"])
+            files.add(r["file"])
+        return [(sorted(taken[k][0]), len(taken[k][1])) for k in sorted(taken)]
+
+    assert triggers((0, 299), (300, 599), (600, 899)) == [(list(range(a, a + 300)), 3) for a in (0, 300, 600)] + [([-1], 1)]
+    # a slice of two rows fills no three files, one without rows only an empty one: all are written in one file each
+    assert triggers((0, 299), (300, 301), (900, 901), (302, 899)) == [(list(range(300)), 1), ([300, 301], 1), (list(range(302, 900)), 1), ([-1], 1)]
+
+
+def test_parts_of_state_follow_the_cores(spark):
+    before, shared = spark.conf.get("spark.sql.shuffle.partitions"), Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    rows = spark.range(0, 300).selectExpr("id % 50 as k", "id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 10) as ts", "true as on")
+    stream = timers.waited(arrivals.arriving([rows], {"k": -1, "event_id": -1, "on": True}), "k", "event_id", "on", 500, restart=True)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "600")
+        began = set(shared.glob("feedweave/*/state/state/0/*"))
+        found = drained(stream, "append").where("event_id >= 0")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "600"
+        assert found.count() == 300  # the next row of a key comes at the end of the wait, too late to end it
+        parts = set(shared.glob("feedweave/*/state/state/0/*")) - began
+        assert 0 < len([p for p in parts if p.name.isdigit()]) <= 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_a_step_takes_rows_in_parts():
     class Held:
         def __init__(self, v):
