@@ -226,8 +226,8 @@ def sanitized_preview(c: Column) -> Column:
 
 
 def without_attribution(c: Column, author: Column, source: Column) -> Column:
-    """A closing note of the source off, if it holds a known name and ends with a time."""
-    form = r"(?s)\s+來源：([^。！？!?]{2,180})\z"
+    """A closing note of the source off, if it holds a known name and ends with a time; it may be all there is."""
+    form = r"(?s)(?:^|\s+)來源：([^。！？!?]{2,180})\z"
     who, where = F.coalesce(name_of(author), F.lit("")), F.coalesce(name_of(source), F.lit(""))
     known = lambda tail: ((where != "") & F.contains(tail, where)) | ((who != "") & F.contains(tail, who))
     fits = let(name_of(F.regexp_extract(c, form, 1)), lambda tail: known(tail) & tail.rlike(f"(?i){DATE}\\z"))

@@ -3,6 +3,12 @@
 import random
 
 from feedweave.operators import enrich
+from feedweave.plans import catalog, context_queries  # noqa: F401
+
+
+def documents(spark, folder, *rows):
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return lambda name, column: {r["post_id"]: r[column] for r in catalog.QUERIES[name](spark, str(folder)).collect()}
 
 
 def test_a_text_is_read_once_for_all_seeds(spark, monkeypatch):
@@ -13,3 +19,8 @@ def test_a_text_is_read_once_for_all_seeds(spark, monkeypatch):
     found = enrich.containing(spark.createDataFrame(list(enumerate(texts)), "text_id long, t string"), spark.createDataFrame(list(enumerate(seeds)), "seed_id long, s string"))
     assert sorted(map(tuple, found.collect())) == sorted((i, k) for i, t in enumerate(texts) for k, s in enumerate(seeds) if s in t and len(s) <= 32)
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # a row for each place of a text before
+
+
+def test_a_note_of_the_source_may_be_all_there_is(spark, tmp_path):
+    found = documents(spark, tmp_path, (7, ""), (15, "Words."))
+    assert found("authored_clean", "text") == {7: "", 15: "Words."}
