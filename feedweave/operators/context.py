@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,15 @@ from feedweave.functions.context import COMMENT, NO_COMMENT, ORIGINAL, SHARED, S
 INPUTS = ("text", "full_text", "author_name", "source_name", "post_type", "content_kind", "shared_attachment", "reshare_text", "reshare_author")
 
 
-def with_context(posts: DataFrame, least: int = 6) -> DataFrame:
+def with_context(posts: DataFrame, least: int = 6, useful_comment: Callable[[Column], Column] = C.is_useful_comment) -> DataFrame:
     """``posts`` with the columns INPUTS (strings, null or empty where unknown) and, behind all its own, the struct ``context``.
 
     The struct holds is_share, author_name, original_author, own_text, sharer_comment, shared_content, link_preview, image_texts
     and image_alts.  A share is what its kind or type says, or what holds a shared text.  The shared text is the given one, the
     text of a share without comment, or the section of a serialised one; a byline in its place gives way to the visible text.
     Names, times and labels are cleaned off; what is quoted from the shared text or the preview is taken out of a person's own
-    words; a preview that says nothing new is left out.  A shared text shorter than ``least`` characters isn't shown.
+    words; a preview that says nothing new is left out.  A shared text shorter than ``least`` characters isn't shown, a
+    comment isn't if ``useful_comment`` says no.
     """
     c = F.col
     text, full, kind = F.coalesce("text", F.lit("")), F.coalesce("full_text", F.lit("")), F.coalesce("content_kind", F.lit(""))
@@ -57,7 +60,7 @@ def with_context(posts: DataFrame, least: int = 6) -> DataFrame:
     named = (C.plain(body) == C.plain(F.coalesce(author, F.lit("")))) | (C.plain(body) == C.plain(F.coalesce(source, F.lit(""))))
     said_before = ~c("_share") & (F.length(body) >= 20) & F.contains(low(c("_plain")), low(body))
     keep = C.is_useful_preview(body) & ~named & ~C.is_source_name(body) & ~said_before & ~repeats(c("_own")) & ~repeats(c("_clean")) & ~repeats(c("_shared"))
-    comment = F.when(c("_silent") | c("_swap") | (c("_said") == NO_COMMENT) | ~c("_share") | ~C.is_useful_comment(mine), "").otherwise(mine)
+    comment = F.when(c("_silent") | c("_swap") | (c("_said") == NO_COMMENT) | ~c("_share") | ~useful_comment(mine), "").otherwise(mine)
     stage = stage.withColumns({"_keep": keep, "_comment": comment})
     every = lambda name: F.array_distinct(F.concat(c("_po")[name], c("_ps")[name], c("_pp")[name]))
     context: Column = F.struct(

@@ -24,3 +24,9 @@ def test_a_text_is_read_once_for_all_seeds(spark, monkeypatch):
 def test_a_note_of_the_source_may_be_all_there_is(spark, tmp_path):
     found = documents(spark, tmp_path, (7, ""), (15, "Words."))
     assert found("authored_clean", "text") == {7: "", 15: "Words."}
+
+
+def test_comments_are_shown_as_in_the_sql(spark, tmp_path):
+    # the first holds no word of five letters, though five letters stand in a row without its spaces
+    found = documents(spark, tmp_path, (7, "Resh 4238171331158001 a orat. By."), (1, "Abcde 1."))
+    assert found("structured_context", "sharer_comment") == {7: "Resh 4238171331158001 a orat. By.", 1: ""}
